@@ -85,19 +85,19 @@ WS = r"[\x20\x09-\x0D]"
 
 OP5 = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-w AS (SELECT *, list_filter(regexp_split_to_array(text, '{WS}+'), x -> x <> '') AS words, string_split(text, chr(10)) AS lines FROM d),
-t AS (SELECT *, CASE WHEN len(words) < 3 THEN [] ELSE list_transform(range(1, len(words) - 1), i -> words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) END AS tri FROM w),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '{WS}+'), lambda x: x <> '') AS words, string_split(text, chr(10)) AS lines FROM d),
+t AS (SELECT *, CASE WHEN len(words) < 3 THEN [] ELSE list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) END AS tri FROM w),
 u AS (SELECT doc_id, unnest(tri) AS g, unnest(range(1, len(tri) + 1)) AS i FROM t),
 r AS (SELECT doc_id, i FROM u QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
 p AS (SELECT doc_id, count(DISTINCT k) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS k FROM r) GROUP BY doc_id),
-f AS (SELECT *, list_filter(lines, x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS worded,
-  list_filter(lines, x -> NOT (regexp_matches(x, '[^\x20\x09-\x0D]') AND (
+f AS (SELECT *, list_filter(lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS worded,
+  list_filter(lines, lambda x: NOT (regexp_matches(x, '[^\x20\x09-\x0D]') AND (
     len(regexp_extract_all(x, '[#*$%&|<>!\x{{00BB}}\x{{2022}}]+')) * 1000 > length(x) * {quality.MAX_RUNS}
     OR (length(x) >= {quality.UNPUNCTUATED} AND NOT regexp_matches(x, '[.!?\x{{2026}}\x{{3002}}]'))
     OR (length(x) <= {quality.BOILERPLATE_CHARS} AND regexp_matches(x, '(?i){"|".join(quality.BOILERPLATE)}'))))) AS good FROM t),
-m AS (SELECT doc_id, text, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, x -> length(x))), 0)::BIGINT AS word_chars,
+m AS (SELECT doc_id, text, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
   len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(worded) - len(list_distinct(worded)))::BIGINT AS n_dup_lines,
-  (coalesce(list_sum(list_transform(lines, x -> length(x))), 0) - coalesce(list_sum(list_transform(good, x -> length(x))), 0))::BIGINT AS n_lost_chars FROM f),
+  (coalesce(list_sum(list_transform(lines, lambda x: length(x))), 0) - coalesce(list_sum(list_transform(good, lambda x: length(x))), 0))::BIGINT AS n_lost_chars FROM f),
 b AS (SELECT m.*, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM m LEFT JOIN p USING (doc_id)),
 v AS (SELECT *, (n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT} * n_words) AS base_failed FROM b)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
@@ -118,9 +118,9 @@ FROM documents d LEFT JOIN g USING (doc_id)
 
 OP4 = rf"""
 WITH RECURSIVE d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
-w AS (SELECT doc_id, list_filter(regexp_split_to_array(t, '{WS}+'), x -> x <> '') AS words FROM d),
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(t, '{WS}+'), lambda x: x <> '') AS words FROM d),
 s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
-  ELSE list_distinct(list_transform(range(1, len(words) - 2), i -> words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] || ' ' || words[i + 3])) END AS g FROM w),
+  ELSE list_distinct(list_transform(range(1, len(words) - 2), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] || ' ' || words[i + 3])) END AS g FROM w),
 e AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
 c AS (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS k FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
 p AS (SELECT x, y FROM c WHERE 100 * k >= {jaccard.PERCENT} * (n + m - k)),
