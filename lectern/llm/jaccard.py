@@ -152,7 +152,8 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
     made = docs.select("doc_id", "text", place).mapInArrow(run, "doc_id long, id long, shingles array<long>")
     # Rows that share an id may hold other texts: the set's own key decides; of equal ones, one row stays.
-    return made.join(wanted, ["doc_id", "id"]).groupBy("id").agg(F.any_value("shingles").alias("shingles"))
+    # The join has dealt the rows by both columns already.
+    return made.join(wanted, ["doc_id", "id"]).groupBy("doc_id", "id").agg(F.any_value("shingles").alias("shingles")).select("id", "shingles")
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -197,11 +198,12 @@ def linked_sets(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> tu
     index = entries(docs, k, percent, frequent)
 
     # Lists with one set alone are dropped; the sets of a list meet the one that stands nearest its own start.
-    lists = index.groupBy("shingle").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min(F.struct("at", "size", "id")).alias("head")).where("low <> high").select("shingle", "head")
+    lists = index.groupBy("shingle").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("shingle")
     index = stored(index.join(lists, "shingle"))
+    heads = index.groupBy("shingle").agg(F.min(F.struct("at", "size", "id")).alias("head"))
     bound = lambda a, b: 1 + F.least(F.col(f"{a}.size") - F.col(f"{a}.at") - 1, F.col(f"{b}.size") - F.col(f"{b}.at") - 1)
     reach = lambda a, b: bound(a, b) >= _needed(F.col(f"{a}.size"), F.col(f"{b}.size"), percent)
-    i = index.alias("x")
+    i = index.join(heads, "shingle").alias("x")
     hub = F.col("x.head")
     near = 1 + F.least(hub["size"] - hub["at"] - 1, F.col("x.size") - F.col("x.at") - 1) >= _needed(hub["size"], F.col("x.size"), percent)
     met = i.where((F.col("x.id") != hub["id"]) & near).groupBy("x.id", hub["id"].alias("leader")).agg(F.count(F.lit(1)).alias("n"), F.min("x.size").alias("size"), F.min(hub["size"]).alias("leader_size"))
@@ -209,7 +211,8 @@ def linked_sets(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> tu
     leaders = stored(leaders.select(F.col("leader").alias("a"), F.col("id").alias("b"), F.col("leader_size").alias("size_a"), F.col("size").alias("size_b")))
     first = rows.groupBy("id").agg(F.min("doc_id").alias("doc_id"))
     wanted = stored(index.select("id").distinct().join(first, "id"))
-    sets = stored(shingle_sets(docs, wanted, k))
+    met = stored(leaders.select(F.col("a").alias("id")).union(leaders.select(F.col("b").alias("id"))).distinct().join(wanted, "id"))
+    sets = stored(shingle_sets(docs, met, k))
     links = lambda p: F.col("common") >= _needed(F.col("size_a"), F.col("size_b"), percent)
     starred = stored(overlaps(leaders, sets))
     edges = starred.where(links(starred)).select("a", "b")
@@ -227,7 +230,12 @@ def linked_sets(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> tu
     pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.size").alias("size_a"), F.col("y.size").alias("size_b")).distinct()
     pairs = stored(_underived(pairs, starred, percent))
     more = pairs.where("answer = 'linked'").select("a", "b")
-    asked = overlaps(pairs.where("answer = 'open'").drop("answer"), sets)
+    open_ = pairs.where("answer = 'open'").drop("answer")
+    late = open_.select(F.col("a").alias("id")).union(open_.select(F.col("b").alias("id"))).distinct().join(met, "id", "left_anti")
+    late = stored(late.join(wanted, "id"))
+    if not late.isEmpty():
+        sets = sets.union(stored(shingle_sets(docs, late, k)))
+    asked = overlaps(open_, sets)
     more = more.union(asked.where(links(asked)).select("a", "b"))
     roots = components(_named(more, known).union(state))
     return rows, known.join(roots.withColumnRenamed("node", "name"), "name").select(F.col("node").alias("id"), F.col("root").alias("component_id"))
