@@ -258,6 +258,16 @@ def test_pieces_equal_the_library_without_dropout_and_decode_with_it():
     assert found == [pieces.Segmenter(m, 0.3, 1, 4).encode(t, i) for i, t in enumerate(texts)]
 
 
+@pytest.mark.parametrize("limit", [0, 1 << 28, 1 << 31, (1 << 32) - 1])
+def test_words_segmented_together_equal_words_alone(limit):
+    m, rng = pieces.Pieces(PIECE), random.Random(limit)
+    for width in (2, 3, 7, 24):
+        words = ["".join(rng.choice("▁▁aeinrstß日𝄞\x00") for _ in range(width)) for _ in range(200)] + ["▁international"[:width].ljust(width, "s")]
+        keys = [rng.getrandbits(64) for _ in words]
+        together = [np.frombuffer(b, np.int32).tolist() for b in m.segment_all(words, keys, limit)]
+        assert together == [m.segment(w, k, limit) for w, k in zip(words, keys)]
+
+
 def test_encoded_rows_are_lossless(docs):
     out = pieces.encoded(docs, PIECE)
     assert out.where("NOT lossless").count() == 0
