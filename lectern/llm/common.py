@@ -5,6 +5,8 @@ from __future__ import annotations
 import itertools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +33,32 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/lectern/{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
+#: The setting by which Spark removes a query's shuffle files at its end rather than at some later garbage collection.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage ends there, and a lost executor costs nothing."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{folder}/{uuid.uuid4().hex}" if folder else scratch(spark)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def workroom(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """``stored`` for tables that nothing reads after the block: their folder is removed at its end."""
+    folder = scratch(spark)
+    try:
+        yield lambda df: stored(df, folder)
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -9,14 +9,14 @@ they leave open is intersected. Pairs inside one component need no answer at all
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import WordHashes, binaries, chained, shingles, stored, words
+from lectern.llm.common import WordHashes, binaries, chained, shingles, stored, words, workroom
 
 #: Words of a shingle; sets link when 100 * intersection >= PERCENT * union.
 SHINGLE, PERCENT = 4, 85
@@ -162,7 +162,7 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").withColumn("common", F.size(F.array_intersect("_sa", "_sb"))).drop("_sa", "_sb")
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame, most: int = 60, stored: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
     """``node, root`` of ``edges(a, b)`` over numbers: the least node that each one reaches.
 
     Large-star and small-star steps in turn, each by aggregation and join, until nothing moves.
@@ -187,8 +187,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     return state.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def linked_sets(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """``doc_id, id, size`` of each row, and ``id, component_id`` of each set that links with another set."""
+def linked_sets(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, stored: Callable[[DataFrame], DataFrame] = stored) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, id, size`` of each row, and ``id, component_id`` of each set that links with another set; ``stored`` keeps what is read again."""
     about = stored(described(docs, k))
     rows = about.where("kind = 0").select(F.col("key").alias("doc_id"), F.col("a").alias("id"), F.col("b").alias("size"))
     total = rows.agg(F.sum("size")).first()[0] or 0
@@ -218,7 +218,7 @@ def linked_sets(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> tu
     edges = starred.where(links(starred)).select("a", "b")
     known = wanted.select(F.col("id").alias("node"), F.col("doc_id").alias("name"))
     state = stored(_named(edges, known))
-    roots = components(state)
+    roots = components(state, stored=stored)
 
     # What is left: pairs of two components in one list, by position and size.
     name = known.join(roots.withColumnRenamed("node", "name"), "name", "left").select(F.col("node").alias("id"), F.coalesce("root", "name").alias("root"))
@@ -237,7 +237,7 @@ def linked_sets(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> tu
         sets = sets.union(stored(shingle_sets(docs, late, k)))
     asked = overlaps(open_, sets)
     more = more.union(asked.where(links(asked)).select("a", "b"))
-    roots = components(_named(more, known).union(state))
+    roots = components(_named(more, known).union(state), stored=stored)
     return rows, known.join(roots.withColumnRenamed("node", "name"), "name").select(F.col("node").alias("id"), F.col("root").alias("component_id"))
 
 
@@ -276,11 +276,12 @@ def joined(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
     rows are alike. A null id takes part and never names a component unless it links with no known id. An empty
     table gives none; other columns are ignored.
     """
-    rows, found = linked_sets(docs, k, percent)
-    own = rows.where("size > 0").groupBy("id").agg(F.min("doc_id").alias("own"))
-    out = rows.join(own, "id", "left").join(found, "id", "left")
-    component = F.when(F.col("size") > 0, F.coalesce("component_id", "own")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("size").cast("long").alias("n_shingles"), component.alias("component_id"))
+    with workroom(docs.sparkSession) as keep:
+        rows, found = linked_sets(docs, k, percent, keep)
+        own = rows.where("size > 0").groupBy("id").agg(F.min("doc_id").alias("own"))
+        out = rows.join(own, "id", "left").join(found, "id", "left")
+        component = F.when(F.col("size") > 0, F.coalesce("component_id", "own")).otherwise(F.col("doc_id"))
+        return stored(out.select("doc_id", F.col("size").cast("long").alias("n_shingles"), component.alias("component_id")))
 
 
 def representatives(docs: DataFrame, k: int, percent: int) -> DataFrame:
