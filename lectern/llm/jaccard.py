@@ -137,7 +137,7 @@ def _bits(ids: DataFrame) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """``id, shingles`` of the sets in ``wanted(id, doc_id)``; texts that the filter excludes are not sent on."""
+    """``id, shingles`` of the sets in ``wanted(id, doc_id, ...)``, with its other columns; texts that the filter excludes are not sent on."""
     bits = docs.sparkSession.sparkContext.broadcast(_bits(wanted.select(F.col("doc_id").alias("id"))))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << LG_FILTER)).alias("place")
 
@@ -153,7 +153,15 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     made = docs.select("doc_id", "text", place).mapInArrow(run, "doc_id long, id long, shingles array<long>")
     # Rows that share an id may hold other texts: the set's own key decides; of equal ones, one row stays.
     # The join has dealt the rows by both columns already.
-    return made.join(wanted, ["doc_id", "id"]).groupBy("doc_id", "id").agg(F.any_value("shingles").alias("shingles")).select("id", "shingles")
+    rest = ["shingles", *(c for c in wanted.columns if c not in ("doc_id", "id"))]
+    return made.join(wanted, ["doc_id", "id"]).groupBy("doc_id", "id").agg(*(F.any_value(c).alias(c) for c in rest)).select("id", *rest)
+
+
+def _led(sets: DataFrame) -> DataFrame:
+    """``a, b, size_a, size_b, common`` of each set ``b`` with its leader ``a``; a set is sent on as one or the other only."""
+    b = sets.where("leader IS NOT NULL").select(F.col("leader").alias("a"), F.col("id").alias("b"), "size_a", "size_b", F.col("shingles").alias("_sb"))
+    a = sets.where("leads").select(F.col("id").alias("a"), F.col("shingles").alias("_sa"))
+    return b.join(a, "a").withColumn("common", F.size(F.array_intersect("_sa", "_sb"))).drop("_sa", "_sb")
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -195,11 +203,12 @@ def linked_sets(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, store
     floor = max(FREQUENT_LEAST, -(-total // FREQUENT_PART))
     often = about.where("kind = 1").groupBy("key").agg(F.sum("a").alias("n")).where(F.col("n") >= floor)
     frequent = often.orderBy("n", "key").toPandas()["key"].to_numpy(np.int64).view(np.uint64)  # FREQUENT_PART rows at most
-    index = entries(docs, k, percent, frequent)
 
     # Lists with one set alone are dropped; the sets of a list meet the one that stands nearest its own start.
-    lists = index.groupBy("shingle").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("shingle")
-    index = stored(index.join(lists, "shingle"))
+    with workroom(docs.sparkSession) as briefly:
+        index = briefly(entries(docs, k, percent, frequent))
+        lists = index.groupBy("shingle").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("shingle")
+        index = stored(index.join(lists, "shingle"))
     heads = index.groupBy("shingle").agg(F.min(F.struct("at", "size", "id")).alias("head"))
     bound = lambda a, b: 1 + F.least(F.col(f"{a}.size") - F.col(f"{a}.at") - 1, F.col(f"{b}.size") - F.col(f"{b}.at") - 1)
     reach = lambda a, b: bound(a, b) >= _needed(F.col(f"{a}.size"), F.col(f"{b}.size"), percent)
@@ -211,10 +220,12 @@ def linked_sets(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, store
     leaders = stored(leaders.select(F.col("leader").alias("a"), F.col("id").alias("b"), F.col("leader_size").alias("size_a"), F.col("size").alias("size_b")))
     first = rows.groupBy("id").agg(F.min("doc_id").alias("doc_id"))
     wanted = stored(index.select("id").distinct().join(first, "id"))
-    met = stored(leaders.select(F.col("a").alias("id")).union(leaders.select(F.col("b").alias("id"))).distinct().join(wanted, "id"))
-    sets = stored(shingle_sets(docs, met, k))
+    met = leaders.select(F.col("a").alias("id"), F.lit(True).alias("leads")).union(leaders.select("b", F.lit(False))).groupBy("id").agg(F.max("leads").alias("leads"))
+    met = stored(met.join(wanted, "id").join(leaders.withColumnRenamed("b", "id").withColumnRenamed("a", "leader"), "id", "left"))
     links = lambda p: F.col("common") >= _needed(F.col("size_a"), F.col("size_b"), percent)
-    starred = stored(overlaps(leaders, sets))
+    with workroom(docs.sparkSession) as briefly:
+        sets = briefly(shingle_sets(docs, met, k))
+        starred = stored(_led(sets))
     edges = starred.where(links(starred)).select("a", "b")
     known = wanted.select(F.col("id").alias("node"), F.col("doc_id").alias("name"))
     state = stored(_named(edges, known))
@@ -231,11 +242,8 @@ def linked_sets(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, store
     pairs = stored(_underived(pairs, starred, percent))
     more = pairs.where("answer = 'linked'").select("a", "b")
     open_ = pairs.where("answer = 'open'").drop("answer")
-    late = open_.select(F.col("a").alias("id")).union(open_.select(F.col("b").alias("id"))).distinct().join(met, "id", "left_anti")
-    late = stored(late.join(wanted, "id"))
-    if not late.isEmpty():
-        sets = sets.union(stored(shingle_sets(docs, late, k)))
-    asked = overlaps(open_, sets)
+    asked = open_.select(F.col("a").alias("id")).union(open_.select("b")).distinct()
+    asked = stored(overlaps(open_, stored(shingle_sets(docs, stored(asked.join(wanted, "id")), k))))
     more = more.union(asked.where(links(asked)).select("a", "b"))
     roots = components(_named(more, known).union(state), stored=stored)
     return rows, known.join(roots.withColumnRenamed("node", "name"), "name").select(F.col("node").alias("id"), F.col("root").alias("component_id"))
