@@ -11,7 +11,8 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: A word, as the contracts define it, for Spark's and DuckDB's regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -61,6 +62,20 @@ def workroom(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_place``: each row's number in the order of the files and of the rows in them, however they are read.
+
+    Rows that are not read from files as they are will be stored first.
+    """
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = stored(docs)
+    rows = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    # One row a file.
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    files = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("n")).select("_file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"))
+    return rows.join(F.broadcast(files), "_file").select(*(rows[c] for c in docs.columns), (F.col("_first") + F.col("_row")).alias("_place"))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = (x ^ (x >> np.uint64(30))) * _M1

@@ -1,12 +1,13 @@
 """SentencePiece BPE with seeded merge-dropout.
 
-Merges are taken from an agenda, best score first. A keyed hash of the seed, the variant, the word and the candidate
-decides whether a candidate is skipped when its turn comes; a pair is proposed again only when a neighbour merges.
-With dropout 0 the ids are the library's. Any segmentation decodes to the same text.
-
-A piece holds spaces at its start only, so words are segmented one by one, each with the spaces before it, and
-remembered by (variant, word). The variant is a keyed hash of the document and the word's place. The new words of a
-batch are segmented together, those of one length as the rows of a matrix that holds every row's agenda.
+Merges are taken from an agenda, best score first, one candidate a turn. A keyed hash of the seed, the document, its
+copy, the word's place and the turn decides whether the candidate is skipped; a pair is proposed again only when a
+neighbour merges. With dropout 0 the ids are the library's. Any segmentation decodes to the same text.
+
+A piece holds spaces at its start only, so words are segmented one by one, each with the spaces before it. A word's
+segmentation without a skip is remembered, and holds wherever none of its turns is skipped; the others are remembered
+by word and skipped turns. New words of a batch are segmented together, those of one length as the rows of a matrix
+that holds every row's agenda.
 """
 
 from __future__ import annotations
@@ -16,16 +17,18 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import compress, groupby
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from lectern.llm.common import batches
+from lectern.llm.common import batches, mix
 
-#: Share of candidate merges that are skipped, ways in which one word is segmented, words a worker remembers.
-DROPOUT, VARIANTS, WORD_CACHE = 0.1, 2, 700_000
+#: Share of candidate merges that are skipped; words, and words with skipped turns, that a worker remembers.
+DROPOUT, WORD_CACHE, VARIED_CACHE = 0.1, 500_000, 300_000
 
 SPACE = "▁"
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -37,12 +40,21 @@ NEVER, SHORT = 1 << 30, 48
 #: Words of one length that are worth a matrix, the longest of them, characters of texts that are encoded together.
 ROWS, WIDEST, BATCH = 48, 24, 4 << 20
 
-_C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: Characters of a word whose turns, three for each pair at most, fit the bits of a number.
+MASKED = 22
+
+_C1 = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _skipped(key: int, turn: int, limit: int) -> bool:
+    h = (key + turn * 0x9E3779B97F4A7C15) & _M
+    h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & _M
+    h = (h ^ h >> 27) * 0x94D049BB133111EB & _M
+    return (h ^ h >> 31) >> 32 < limit
 
 
-def _skipped(key: int, start: int, rank: int, limit: int) -> bool:
-    h = (key + start * 0x9E3779B97F4A7C15 + rank * 0xBF58476D1CE4E5B9) & _M
-    return ((h ^ h >> 31) * 0x94D049BB133111EB & _M) >> 32 < limit
+def _skipped_all(keys: np.ndarray, turn: int, limit: int) -> np.ndarray:
+    return mix(keys + np.uint64(turn * 0x9E3779B97F4A7C15 & _M)) >> np.uint64(32) < np.uint64(limit)
 
 
 class Pieces:
@@ -90,6 +102,10 @@ class Pieces:
 
     def segment_all(self, words: list[str], keys: list[int], limit: int) -> list[bytes]:
         """``segment`` of many words of one length, each as 32-bit integers."""
+        return self.merged_all(words, keys, limit)[0]
+
+    def merged_all(self, words: list[str], keys: list[int], limit: int) -> tuple[list[bytes], list[int]]:
+        """``segment_all``, and how many merges were done in each word."""
         width, n = len(words[0]), len(words)
         points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, width)
         symbol = self.symbols[points]
@@ -100,15 +116,15 @@ class Pieces:
         after, before = np.tile(np.arange(1, width + 3), (n, 1)), np.tile(np.arange(-1, width + 1), (n, 1))
         rank, piece = np.full((n, width + 2), NEVER, np.int64), np.zeros((n, width + 2), np.int64)
         rank[:, 1:-2], piece[:, 1:-2] = self._met(symbol[:, :-1], symbol[:, 1:])
-        live = np.arange(n)
+        live, turn = np.arange(n), -1
         while len(live):
+            turn += 1
             a = rank[live].argmin(1)
             best = rank[live, a]
             going = best != NEVER
-            live, a, best = live[going], a[going], best[going]
+            live, a = live[going], a[going]
             if limit:
-                h = key[live] + (a - 1).astype(np.uint64) * _C1 + best.astype(np.uint64) * _C2
-                skip = ((h ^ (h >> np.uint64(31))) * _C3) >> np.uint64(32) < np.uint64(limit)
+                skip = _skipped_all(key[live], turn, limit)
                 rank[live[skip], a[skip]] = NEVER
                 r, a = live[~skip], a[~skip]
             else:
@@ -123,12 +139,13 @@ class Pieces:
                 found, made = self._met(x, y)
                 rank[r, left], piece[r, left] = np.where((x < 0) | (y < 0), NEVER, found), made
         held = at >= 0
-        ids, ends = at[held].astype(np.int32).tobytes(), (np.cumsum(held.sum(1)) * 4).tolist()
+        left = held.sum(1)
+        ids, ends = at[held].astype(np.int32).tobytes(), (np.cumsum(left) * 4).tolist()
         out = [ids[x:y] for x, y in zip([0, *ends], ends)]
         for k in np.flatnonzero((at >= self.n).any(1)).tolist():
             mixed = np.frombuffer(out[k], np.int32).tolist()
             out[k] = np.array([i for s in mixed for i in ([s] if s < self.n else [self.bytes.get(b, self.unknown) for b in chr(s - self.n).encode()])], np.int32).tobytes()
-        return out
+        return out, (width - left).tolist()
 
     def segment(self, word: str, key: int = 0, limit: int = 0) -> list[int]:
         """Ids of one word; ``limit`` of 2^32 is the share of candidates that are skipped, ``key`` decides which."""
@@ -145,18 +162,19 @@ class Pieces:
     def _short(self, word: str, key: int, limit: int) -> list[str]:
         """The agenda as the list of neighbours' ranks: for a few characters the least is found faster than a heap is kept."""
         rank = self.ranks.get
-        symbols, starts = list(word), list(range(len(word)))
+        symbols, turn = list(word), -1
         agenda = [rank(x + y, NEVER) for x, y in zip(word, word[1:])]
         while agenda:
             best = min(agenda)
             if best == NEVER:
                 break
             k = agenda.index(best)
-            if limit and _skipped(key, starts[k], best, limit):
+            turn += 1
+            if limit and _skipped(key, turn, limit):
                 agenda[k] = NEVER
                 continue
             symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
-            del starts[k + 1], agenda[k]
+            del agenda[k]
             if k < len(agenda):
                 agenda[k] = rank(symbols[k] + symbols[k + 1], NEVER)
             if k:
@@ -166,7 +184,7 @@ class Pieces:
     def _long(self, word: str, key: int, limit: int) -> list[str]:
         rank = self.ranks.get
         symbols = list(word)
-        n = len(symbols)
+        n, turn = len(symbols), -1
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
         agenda: list[tuple[int, int, int, str]] = []
 
@@ -179,7 +197,10 @@ class Pieces:
             propose(k, k + 1)
         while agenda:
             best, a, b, text = heapq.heappop(agenda)
-            if right[a] != b or symbols[a] + symbols[b] != text or limit and _skipped(key, a, best, limit):
+            if right[a] != b or symbols[a] + symbols[b] != text:
+                continue
+            turn += 1
+            if limit and _skipped(key, turn, limit):
                 continue
             symbols[a], symbols[b] = text, ""
             r = right[a] = right[b]
@@ -205,88 +226,143 @@ def pieces(path: str) -> Pieces:
 
 
 class Segmenter:
-    """Whole texts by a model, a seed and a dropout."""
+    """Whole texts by a model, a seed and a dropout; ``variants`` bounds the ways in which one word is segmented, 0 does not."""
 
-    def __init__(self, model: Pieces, dropout: float, seed: int, variants: int) -> None:
-        self.model, self.limit, self.seed = model, int(dropout * 2**32), seed
-        self.variants = variants if self.limit else 1
-        self.known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+    def __init__(self, model: Pieces, dropout: float, seed: int, variants: int = 0) -> None:
+        self.model, self.limit, self.seed, self.variants = model, int(dropout * 2**32), seed, variants
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.plain: list[bytes] = []
+        #: Of each word: merges without a skip, and characters.
+        self.merges, self.widths = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.varied: dict[tuple[int, int], bytes] = {}
 
     def words(self, text: str) -> list[str]:
         """The text's words with a space before the first, as the library adds it."""
         return _WORDS.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
-    def _key(self, word: str, variant: int) -> int:
-        return (zlib.crc32(word.encode(), self.seed & 0xFFFFFFFF) << 20 ^ (self.seed * 1_000_003 + variant) * 0x9E3779B97F4A7C15) & _M
-
-    def _one(self, word: str, variant: int) -> bytes:
-        known = self.known[variant]
-        found = known.get(word)
-        if found is None:
-            found = np.array(self.model.segment(word, self._key(word, variant), self.limit), np.int32).tobytes()
-            if len(known) < WORD_CACHE // self.variants:
-                known[word] = found
-        return found
-
-    def plan(self, text: str | None, doc_id: int | None) -> tuple[list[str], np.ndarray]:
-        """The words of a text and the variant of each."""
-        words = self.words(text or "")
-        start = zlib.crc32(str(doc_id).encode(), self.seed & 0xFFFFFFFF)
-        place = np.arange(len(words), dtype=np.uint64) + np.uint64(start)
-        return words, ((place * _C1) >> np.uint64(40)) % np.uint64(self.variants)
-
-    def learn(self, plans: list[tuple[list[str], np.ndarray]]) -> None:
+    def _segmented(self, words: list[str], keys: list[int], limit: int) -> list[tuple[bytes, int]]:
+        """Ids of each word, and its merges or more."""
+        out: list[tuple[bytes, int]] = [(b"", 0)] * len(words)
+        for width, group in groupby(sorted(range(len(words)), key=lambda k: len(words[k])), lambda k: len(words[k])):
+            some = list(group)
+            if 1 < width <= WIDEST and len(some) >= ROWS:
+                found = zip(*self.model.merged_all([words[k] for k in some], [keys[k] for k in some], limit))
+            else:
+                found = ((np.array(self.model.segment(words[k], keys[k], limit), np.int32).tobytes(), width - 1) for k in some)
+            for k, x in zip(some, found):
+                out[k] = x
+        return out
+
+    def learn(self, words: list[str]) -> None:
         """Segments what is not remembered yet; a full memory starts anew."""
-        for v, known in enumerate(self.known):
-            if len(known) >= WORD_CACHE // self.variants:
-                known.clear()
-            met: set[str] = set()
-            for words, which in plans:
-                met.update(compress(words, (which == v).tolist()))
-            for length, group in groupby(sorted(met.difference(known), key=len), len):
-                new = list(group)
-                if 1 < length <= WIDEST and len(new) >= ROWS:
-                    known.update(zip(new, self.model.segment_all(new, [self._key(w, v) for w in new], self.limit)))
-
-    def placed(self, words: list[str], which: np.ndarray) -> np.ndarray:
-        known = [k.get for k in self.known]
-        return np.frombuffer(b"".join([known[v](w) or self._one(w, v) for w, v in zip(words, which.tolist())]), np.int32)
-
-    def encode(self, text: str | None, doc_id: int | None) -> list[int]:
-        return self.placed(*self.plan(text, doc_id)).tolist()
-
-
-def encoded(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = 0, variants: int = VARIANTS) -> DataFrame:
+        met = set(words)
+        new = sorted(met.difference(self.number))
+        if len(self.number) + len(new) > WORD_CACHE and self.number:
+            self._forget()
+            new = sorted(met)
+        elif len(self.varied) > VARIED_CACHE:
+            self.varied.clear()
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+        found = self._segmented(new, [0] * len(new), 0)
+        self.plain += [x for x, _ in found]
+        self.merges = np.concatenate([self.merges, np.array([n for _, n in found], np.int64)])
+        self.widths = np.concatenate([self.widths, np.fromiter(map(len, new), np.int64, len(new))])
+
+    def _keys(self, words: list[str], starts: np.ndarray, places: np.ndarray) -> np.ndarray:
+        keys = mix(starts + places * _C1)
+        if self.variants:
+            own = np.fromiter((zlib.crc32(w.encode(), self.seed & 0xFFFFFFFF) for w in words), np.uint64, len(words))
+            keys = mix((own << np.uint64(20)) + keys % np.uint64(self.variants))
+        return keys
+
+    def _skipping(self, at: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Places where a turn of the word's merges is skipped, and of the words with too many turns to tell here."""
+        merges = self.merges[at]
+        long = merges > 3 * MASKED
+        found, live = [np.flatnonzero(long)], np.flatnonzero(~long)
+        for turn in range(3 * MASKED):
+            live = live[merges[live] > turn]
+            if not len(live):
+                break
+            hit = _skipped_all(keys[live], turn, self.limit)
+            found.append(live[hit])
+            live = live[~hit]
+        return np.concatenate(found)
+
+    def _vary(self, words: list[str], at: np.ndarray, keys: np.ndarray, out: list[bytes]) -> None:
+        rows = self._skipping(at, keys)
+        widths = self.widths[at[rows]]
+        fit = widths <= MASKED
+        alone, rows, most = rows[~fit].tolist(), rows[fit], 3 * (widths[fit] - 1)
+        masks, live = np.zeros(len(rows), np.uint64), np.arange(len(rows))
+        for turn in range(3 * (MASKED - 1)):
+            live = live[most[live] > turn]
+            if not len(live):
+                break
+            masks[live] |= _skipped_all(keys[rows[live]], turn, self.limit).astype(np.uint64) << np.uint64(turn)
+        marks = list(zip(at[rows].tolist(), masks.tolist()))
+        # Words with the same skipped turns are segmented alike, whatever their keys are.
+        new: dict[tuple[int, int], int] = {m: r for m, r in zip(marks, rows.tolist()) if m not in self.varied}
+        asked = [*new.values(), *alone]
+        found = [x for x, _ in self._segmented([words[r] for r in asked], [int(keys[r]) for r in asked], self.limit)]
+        self.varied.update(zip(new, found))
+        for m, r in zip(marks, rows.tolist()):
+            out[r] = self.varied[m]
+        for r, x in zip(alone, found[len(new) :]):
+            out[r] = x
+
+    def start(self, text: str | None, doc_id: int | None, copy: int = 0) -> int:
+        """What the skips of a text hang on besides place and turn; the text tells rows apart that share an id."""
+        return xxhash.xxh3_64_intdigest(f"{self.seed}:{doc_id}:{copy}:{text or ''}".encode("utf-8", "surrogatepass"))
+
+    def encode_all(self, texts: list[str | None], starts: list[int]) -> list[np.ndarray]:
+        docs = [self.words(t or "") for t in texts]
+        sizes = np.array([len(d) for d in docs], np.int64)
+        words = list(chain.from_iterable(docs))
+        self.learn(words)
+        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        out = list(map(self.plain.__getitem__, at.tolist()))
+        ends = np.cumsum(sizes)
+        if self.limit and words:
+            places = (np.arange(len(words)) - np.repeat(ends - sizes, sizes)).astype(np.uint64)
+            self._vary(words, at, self._keys(words, np.repeat(np.array(starts, np.uint64), sizes), places), out)
+        return [np.frombuffer(b"".join(out[end - n : end]), np.int32) for n, end in zip(sizes.tolist(), ends.tolist())]
+
+    def encode(self, text: str | None, doc_id: int | None, copy: int = 0) -> list[int]:
+        return self.encode_all([text], [self.start(text, doc_id, copy)])[0].tolist()
+
+
+def encoded(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = 0, copy: Column | None = None) -> DataFrame:
     """``doc_id, ids, n_words, n_chars, text_crc32, lossless`` of each row of ``docs(doc_id, text)``.
 
     ``lossless`` tells whether the ids decode to the text, ``text_crc32`` is of what they decode to. Reruns give the
-    same ids: they depend on the id, the text, the seed and the dropout alone. A null or empty text has no ids and
-    is lossless; the model's own space mark (U+2581) inside a text decodes as a space, and such a text is reported as
-    not lossless. Repeated rows are alike; an empty table gives none; other columns are ignored.
+    same ids: they depend on the id, the text, ``copy``, the seed and the dropout alone; rows that differ by ``copy``
+    (a number of the row) are segmented on their own. A null or empty text has no ids and is lossless; the model's own
+    space mark (U+2581) inside a text decodes as a space, and such a text is reported as not lossless. Repeated rows
+    of one ``copy`` are alike; an empty table gives none; other columns are ignored.
     """
     schema = "doc_id long, ids array<int>, n_words long, n_chars long, text_crc32 long, lossless boolean"
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
-        s = Segmenter(model, dropout, seed, variants)
+        s = Segmenter(model, dropout, seed)
         for batch in rows:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            doc_ids, texts, copies = (c.to_pylist() for c in batch.columns)
             for i, j in batches(texts, BATCH):
-                found: list[np.ndarray] = []
                 rest: list[list] = [[], [], [], []]
-                plans = [s.plan(text, doc_id) for doc_id, text in zip(doc_ids[i:j], texts[i:j])]
-                s.learn(plans)
-                for text, plan in zip(texts[i:j], plans):
+                found = s.encode_all(texts[i:j], list(map(s.start, texts[i:j], doc_ids[i:j], copies[i:j])))
+                for text, ids in zip(texts[i:j], found):
                     text = text or ""
-                    ids = s.placed(*plan)
                     back = model.decode_bytes(ids.tolist())
-                    found.append(ids)
                     for column, value in zip(rest, (text.count(" ") + 1 if text else 0, len(text), zlib.crc32(back), back == text.encode())):
                         column.append(value)
                 columns = [pa.array(doc_ids[i:j], pa.int64()), pa.array(found, pa.list_(pa.int32())), *(pa.array(c, t) for c, t in zip(rest, (pa.int64(), pa.int64(), pa.int64(), pa.bool_())))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "n_words", "n_chars", "text_crc32", "lossless"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text", (F.lit(0) if copy is None else copy).cast("long").alias("copy")).mapInArrow(run, schema)
 
 
 def decoded(rows: DataFrame, path: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import jaccard, lines, lm, mixing, pieces, pii, quality, sketch, tokens, wavelet
-from lectern.llm.common import documents
+from lectern.llm.common import documents, placed
 
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
@@ -74,7 +74,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.encoded(docs, public_tokenizers.path(PIECE_BPE)).select("doc_id", "ids", "n_chars", "lossless")
+    """The mix's copies of a document are told apart by their place in training order, so each is segmented on its own."""
+    return pieces.encoded(placed(docs), public_tokenizers.path(PIECE_BPE), copy=F.col("_place")).select("doc_id", "ids", "n_chars", "lossless")
 
 
 def queries() -> dict:

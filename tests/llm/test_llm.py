@@ -275,6 +275,53 @@ def test_encoded_rows_are_lossless(docs):
     assert back == {r.doc_id: r.text or "" for r in docs.collect()}
 
 
+def test_each_occurrence_of_a_word_is_varied_on_its_own():
+    m = pieces.Pieces(PIECE)
+    s, n = pieces.Segmenter(m, 0.1, 0), 4000
+    for word in ("the", "international", "é😀schichten", "x" * 70):
+        text = " ".join([word] * n)
+        ids = s.encode(text, 1)
+        starts = [0, *np.cumsum([len(x.encode()) + 1 for x in [word] * n]).tolist()]
+        ends = np.cumsum([len(m.surface[i]) for i in ids])
+        cuts = np.searchsorted(ends, starts[1:]) + 1
+        ways = collections.Counter(tuple(ids[a:b]) for a, b in zip([0, *cuts], cuts))
+        plain = m.segment(pieces.SPACE + word)
+        merges = len(m._long(pieces.SPACE + word, 0, 0)) if len(word) > 47 else len(m._short(pieces.SPACE + word, 0, 0))
+        merges = len(word) + 1 - merges
+        assert m.decode(ids) == text and len(ways) > 2
+        # Other skips may end in the same pieces, so that this is the least share of the plain ones.
+        assert ways[tuple(plain)] / n >= 0.9**merges - 0.03 and ways[tuple(plain)] < n
+        assert ids == pieces.Segmenter(m, 0.1, 0).encode(text, 1)
+        assert len({tuple(s.encode(text, *x)) for x in ((1, 0), (1, 1), (2, 0), (None, 0))}) == 4
+
+
+def test_words_are_segmented_by_their_own_key():
+    m = pieces.Pieces(PIECE)
+    s, texts = pieces.Segmenter(m, 0.3, 5), [t for t in sample() if t] + ["international " * 300, "y" * 200]
+    for doc_id, (text, got) in enumerate(zip(texts, s.encode_all(texts, [s.start(t, k) for k, t in enumerate(texts)]))):
+        words = s.words(text)
+        keys = s._keys(words, np.full(len(words), s.start(text, doc_id), np.uint64), np.arange(len(words)).astype(np.uint64))
+        assert got.tolist() == [i for w, k in zip(words, keys.tolist()) for i in m.segment(w, k, s.limit)]
+
+
+def test_copies_of_a_document_are_segmented_on_their_own(spark, tmp_path):
+    from lectern.llm import queries
+
+    text = "international understanding of characteristic segmentations " * 5
+    fixture(spark, [text] * 4 + ["other words"] * 30, ids=[7] * 4 + list(range(8, 38))).repartition(3).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    got = sorted((r.doc_id, tuple(r.ids)) for r in queries.encoding_stage(spark, docs, "").collect())
+    assert len({ids for d, ids in got if d == 7}) == 4 and len(got) == 34
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        again = sorted((r.doc_id, tuple(r.ids)) for r in queries.encoding_stage(spark, docs, "").collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == again
+    chained = queries.encoding_stage(spark, docs.where("doc_id = 7").union(docs.where("doc_id = 7")), "").collect()
+    assert len({tuple(r.ids) for r in chained}) == len(chained) == 8
+
+
 def test_elias_fano():
     r = np.random.default_rng(0)
     for n, top in ((1, 10), (5, 5), (1000, 10**6), (3000, 2**62), (2000, 2001)):
