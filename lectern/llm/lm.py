@@ -7,7 +7,8 @@ for words, 16-bit log probabilities for longer n-grams. Workers map the files in
 local path, and read them otherwise.
 
 Probabilities: words by adding one; longer n-grams by absolute discounting, with all mass that the stored n-grams
-leave (also that of n-grams seen once, which are not stored) given to the shorter one.
+leave (also that of n-grams seen less than ``least`` times, which are not stored) given to the shorter one. A context
+of two words and more occurs as often as it is counted itself; these counts are a level of their own with its keys.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import WORD_CACHE, binaries, chained, scratch, stored, words
+from lectern.llm.common import WORD_CACHE, binaries, chained, scratch, words, workroom
 
-#: Words of an n-gram at most, times it must occur from two words on, and what is taken off its count.
+#: Unless asked for otherwise, words of an n-gram at most and times it must occur from two words on; what is taken off its count.
 ORDER, LEAST, DISCOUNT = 2, 2, 0.75
 
 #: Documents whose id's crc32 leaves this remainder are held out of training.
@@ -35,6 +36,9 @@ FOLDS, HELD_OUT = 7, 2
 #: Tokens that a worker counts together, and scores together.
 COUNT_TOKENS, SCORE_TOKENS = 6_000_000, 1_000_000
 
+#: Rows that are sent on together; keys of a file; the level of the counts of k-word contexts, less k.
+SENT, FILE_KEYS, COUNTS = 1 << 16, 4 << 20, 100
+
 #: Log probabilities are stored in steps over this range.
 LOWEST, STEPS = -14.0, 65535
 
@@ -196,6 +200,13 @@ class Level:
             self.payloads.append(take(payload, f["n"]))
         self.kind = np.dtype(payload)
 
+    def values(self, indexes: np.ndarray) -> np.ndarray:
+        """The payloads of keys by their index."""
+        part, value = np.searchsorted(self.base, indexes, "right") - 1, np.zeros(len(indexes), self.kind)
+        for k in np.unique(part).tolist():
+            value[part == k] = self.payloads[k][indexes[part == k] - self.base[k]]
+        return value
+
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each key's index (-1: none) and payload."""
         at, value = np.full(len(keys), -1, np.int64), np.zeros(len(keys), self.kind)
@@ -265,11 +276,21 @@ class Model:
         return _words(self.folder, self.files[1])
 
     def level(self, k: int) -> Level:
-        return _level(self.folder, k, self.files[k], "<u4" if k == 1 else "<u2")
+        return _level(self.folder, k, self.files[k], "<u4" if k == 1 or k > COUNTS else "<u2")
 
-    def backoff(self) -> np.ndarray:
-        """The share that each one-word context leaves to its words' own probability."""
-        return _backoff(self.folder, self.files[-2], self.distinct)
+    def backoff(self, k: int, context: np.ndarray) -> np.ndarray:
+        """The share that each context of k - 1 words leaves to the shorter n-grams: all, where it is not stored."""
+        if k == 2:
+            return _backoff(self.folder, self.files[-2], self.distinct)[context]
+        at, q = self.level(-k).find(context)
+        return np.where(at >= 0, restored(q), 1.0)
+
+    @staticmethod
+    def after(context: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """What stands at each token, moved on to the next one of its text."""
+        out = np.concatenate([np.full(1, -1), context[:-1]])
+        out[starts] = -1
+        return out
 
     def contexts(self, ids: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
         """For each token, with the end: its word id, and its context of k - 1 words in level k - 1 (-1: not stored).
@@ -283,9 +304,7 @@ class Model:
         before[starts] = self.distinct
         context = before
         for j in range(2, k):
-            shifted = np.concatenate([np.full(1, -1), context[:-1]])
-            shifted[starts] = -1
-            context, _ = self.level(j).find(self._keys(shifted, before))
+            context, _ = self.level(j).find(self._keys(self.after(context, starts), before))
         return w, context
 
     def _keys(self, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -326,8 +345,19 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def ngram_counts(docs: DataFrame, model: Model, k: int) -> DataFrame:
-    """``key, n`` of the k-word n-grams whose first k - 1 words are stored, from ``LEAST`` times on."""
+def _counted(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The distinct keys and how often each is there; ``held`` is emptied, so that no copy of it stays."""
+    flat = chained(held, np.int64)
+    held.clear()
+    flat.sort()
+    cuts = np.concatenate([np.flatnonzero(np.diff(flat, prepend=-1)), [len(flat)]])
+    for i in range(0, len(cuts) - 1, SENT):
+        some = cuts[i : i + SENT + 1]
+        yield _emitted(flat[some[:-1]], np.diff(some))
+
+
+def ngram_counts(docs: DataFrame, model: Model, k: int, least: int = LEAST) -> DataFrame:
+    """``key, n`` of the k-word n-grams whose first k - 1 words are stored, from ``least`` times on."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -338,13 +368,13 @@ def ngram_counts(docs: DataFrame, model: Model, k: int) -> DataFrame:
             held.append(keys[keys >= 0])
             size += len(held[-1])
             if size >= COUNT_TOKENS:
-                yield _emitted(*np.unique(chained(held, np.int64), return_counts=True))
+                yield from _counted(held)
                 held, size = [], 0
         if held:
-            yield _emitted(*np.unique(chained(held, np.int64), return_counts=True))
+            yield from _counted(held)
 
     found = docs.select("doc_id", "text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    return found.where(F.col("n") >= LEAST)
+    return found.where(F.col("n") >= least)
 
 
 def write_level(counts: DataFrame, model: Model, level: int, kind: str) -> None:
@@ -352,15 +382,20 @@ def write_level(counts: DataFrame, model: Model, level: int, kind: str) -> None:
     folder, order = model.folder, model.distinct + 1
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, values, part = [], [], 0
+        keys, values, size, part = [], [], 0, 0
         for batch in rows:
             if batch.num_rows:
                 keys.append(batch.column(0).to_numpy())
                 values.append(batch.column(1).to_numpy())
-                part = batch.column(2)[0].as_py()
-        if not keys:
-            return
-        k, v = np.concatenate(keys), np.concatenate(values)
+                size += batch.num_rows
+                part = part or batch.column(2)[0].as_py() << 12
+            if size >= FILE_KEYS:
+                yield written(np.concatenate(keys), np.concatenate(values), part)
+                keys, values, size, part = [], [], 0, part + 1
+        if keys:
+            yield written(np.concatenate(keys), np.concatenate(values), part)
+
+    def written(k: np.ndarray, v: np.ndarray, part: int) -> pa.RecordBatch:
         if kind == "count":
             payload = np.minimum(v, 2**32 - 1).astype("<u4")
         else:
@@ -368,12 +403,12 @@ def write_level(counts: DataFrame, model: Model, level: int, kind: str) -> None:
             payload = quantised(np.maximum(v - DISCOUNT if kind == "child" else total(parent) - v, 1e-9) / total(parent))
         first, width, low, high, ranks = EliasFano.encode(k)
         _write(folder, f"{level}-{part}", [low, high, ranks, payload])
-        yield pa.RecordBatch.from_pylist([{"level": level, "part": part, "n": len(k), "first": first, "last": int(k[-1]), "width": width, "low": len(low), "high": len(high)}], schema)
+        return pa.RecordBatch.from_pylist([{"level": level, "part": part, "n": len(k), "first": first, "last": int(k[-1]), "width": width, "low": len(low), "high": len(high)}], schema)
 
     def total(parent: np.ndarray) -> np.ndarray:
         """How often each context occurs: by its own level's counts."""
         if abs(level) > 2:
-            raise NotImplementedError("contexts of two words and more need their counts stored")
+            return model.level(COUNTS + abs(level) - 1).values(parent).astype(np.float64)
         w = model.level(1)
         flat = np.concatenate([*w.payloads, [max(model.documents, 1)]]).astype(np.float64) if w.n else np.ones(1)
         return flat[parent]
@@ -385,19 +420,22 @@ def write_level(counts: DataFrame, model: Model, level: int, kind: str) -> None:
     model.files[level] = tuple(sorted(tuple(r) for r in ranged.mapInArrow(run, FILES).collect()))
 
 
-def train(docs: DataFrame, order: int = ORDER) -> Model:
-    """The model of all rows of ``docs(doc_id, text)``."""
-    if order != 2:
-        raise NotImplementedError("two-word levels only")
+def train(docs: DataFrame, order: int = ORDER, least: int = LEAST) -> Model:
+    """The model of all rows of ``docs(doc_id, text)``: n-grams of up to ``order`` words, from two words on those met ``least`` times."""
     folder = scratch(docs.sparkSession)
-    counts = stored(word_counts(docs))
-    tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    model = Model(folder, tokens, distinct, docs.count(), order)
-    write_level(counts, model, 1, "count")
-    pairs = stored(ngram_counts(docs, model, 2))
-    write_level(pairs, model, 2, "child")
-    parent = F.expr(f"key div {distinct + 1}")
-    write_level(pairs.groupBy(parent.alias("key")).agg(F.sum(F.col("n") - DISCOUNT).alias("n")), model, -2, "rest")
+    with workroom(docs.sparkSession) as keep:
+        counts = keep(word_counts(docs))
+        tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+        model = Model(folder, tokens, distinct, docs.count(), order)
+        write_level(counts, model, 1, "count")
+    for k in range(2, order + 1):
+        with workroom(docs.sparkSession) as keep:
+            found = keep(ngram_counts(docs, model, k, least))
+            if k < order:
+                write_level(found, model, COUNTS + k, "count")
+            write_level(found, model, k, "child")
+            parent = F.expr(f"key div {distinct + 1}")
+            write_level(found.groupBy(parent.alias("key")).agg(F.sum(F.col("n") - DISCOUNT).alias("n")), model, -k, "rest")
     return model
 
 
@@ -420,11 +458,13 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             c = counts[w].astype(np.float64)
             p = (c + 1) / bottom
             base = np.log10(p)
-            at, q = model.level(2).find(model._keys(context, w))
-            p *= model.backoff()[context]
-            p[at >= 0] += restored(q[at >= 0])
             sizes = np.array([len(t) for t, _ in some])
             starts = np.cumsum(sizes) - sizes
+            for k in range(2, model.order + 1):
+                at, q = model.level(k).find(model._keys(context, w))
+                p *= model.backoff(k, context)
+                p[at >= 0] += restored(q[at >= 0])
+                context = model.after(at, starts)
             sums = [np.add.reduceat(x, starts) for x in (base, np.log10(p), (c > 0).astype(np.int64))]
             k = len(some)
             yield pa.RecordBatch.from_arrays([pa.array([d for _, d in some], pa.int64()), pa.array(sizes), pa.array(sums[2]), pa.array(np.full(k, model.tokens)), pa.array(sums[0]), pa.array(sums[1])], names)
@@ -436,7 +476,7 @@ def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % FOLDS == HELD_OUT
 
 
-def scores(docs: DataFrame) -> DataFrame:
+def scores(docs: DataFrame, order: int = ORDER, least: int = LEAST) -> DataFrame:
     """All rows scored by a model of those that are not held out, with ``held_out``."""
-    model = train(docs.where(~held_out()))
+    model = train(docs.where(~held_out()), order, least)
     return scored(docs, model).withColumn("held_out", held_out())

@@ -49,8 +49,12 @@ def op9_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.crc32(F.array_join("ids", " ").cast("binary")).alias("ids_crc32"), "n_chars", "text_crc32", "lossless")
 
 
+#: Words of an n-gram at most, and times it must occur.
+LM_ORDER, LM_LEAST = 3, 1
+
+
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.scores(documents(spark, sf_dir))
+    return lm.scores(documents(spark, sf_dir), LM_ORDER, LM_LEAST)
 
 
 #: The pipeline's near-duplicate stage works on word shingles of five words and a similarity of 0.8 or more.

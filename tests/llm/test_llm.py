@@ -356,6 +356,42 @@ def test_lm_scores(docs):
         assert abs(r.score - score) <= 1.2e-4 * len(w)  # half a step of the stored logarithms for each token
 
 
+@pytest.mark.parametrize("order,least", [(3, 1), (3, 2), (4, 1)])
+def test_lm_scores_of_longer_ngrams(docs, order, least):
+    texts = {r.doc_id: [None, *(r.text or "").encode().lower().split(), b"\n"] for r in docs.collect()}
+    held = {i for i in texts if zlib.crc32(str(i).encode()) % 7 == 2}
+    seen = [texts[i] for i in texts if i not in held]
+    grams = [collections.Counter(tuple(t[j : j + k]) for t in seen for j in range(len(t) - k + 1)) for k in range(order + 1)]
+    n, v = sum(len(t) - 1 for t in seen), len(grams[1]) - 1
+    for k in range(2, order + 1):
+        grams[k] = {g: c for g, c in grams[k].items() if c >= least and (k == 2 or g[:-1] in grams[k - 1])}
+    mass = collections.Counter()
+    for k in range(2, order + 1):
+        for g, c in grams[k].items():
+            mass[g[:-1]] += c - lm.DISCOUNT
+    for r in lm.scores(docs, order, least).collect():
+        t, score = texts[r.doc_id], 0
+        for j in range(1, len(t)):
+            p = (grams[1][t[j],] + 1) / (n + v + 1)
+            for k in range(2, min(order, j + 1) + 1):
+                g = tuple(t[j - k + 1 : j + 1])
+                if g[:-1] in mass:
+                    times = grams[k - 1][g[:-1]]
+                    p = p * (times - mass[g[:-1]]) / times + max(grams[k].get(g, 0) - lm.DISCOUNT, 0) / times
+            score += math.log10(p)
+        # Half a step of the stored logarithms for each level of each token.
+        assert abs(r.score - score) <= 1.2e-4 * order * len(t)
+
+
+def test_op10_has_contexts_of_two_words(spark, tmp_path):
+    from lectern.llm import queries
+
+    texts = ["a x b", "c x d"] * 20 + ["a x b", "a x d"] * 5
+    fixture(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.score for r in queries.op10_lm_scores(spark, str(tmp_path)).collect()}
+    assert got[40] > got[41] + 0.2
+
+
 def test_base_spans():
     text = "mail a.b+c@x-y.co.uk, @no @x.y q@z 10.0.0.1 1.2.3.4.5 999.1.1.1 4111 1111 1111 1111 4111-1111-1111-1112 +1 (724) 555-7058 +12"
     got = [(pii.KINDS[k], text[a:b]) for k, a, b in pii.base_spans(text)]
