@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
@@ -22,6 +22,9 @@ KINDS = ("email", "ip", "card", "phone")
 #: Windows of the corpus to train on at most, characters of a window and its step.
 TRAIN_WINDOWS, WINDOW, STEP = 800, 64, 32
 
+#: Parts of each kind's windows, from each of which the first ones are taken.
+PARTS = 64
+
 #: Sizes of the network, passes over the windows, windows in a step.
 EMBED, HIDDEN, EPOCHS, BATCH = 12, 24, 12, 32
 
@@ -319,11 +322,15 @@ def _altered(text: str, spans: list[Span], turn: int) -> tuple[str, list[Span]]
 
 
 def training_windows(docs: DataFrame, most: int = TRAIN_WINDOWS, seed: int = 0) -> list[tuple[str, list[Span]]]:
-    """Labelled windows: ``most`` at most of the corpus, in hash order, and altered copies of those with a span."""
+    """Labelled windows: ``most`` at most of the corpus, in hash order, and altered copies of those with a span.
+
+    Equal windows count once. Half of the windows are such without a span, an eighth each such with a first span of one
+    kind; what there is too little of is made up by the next windows in hash order, whatever they hold.
+    """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            found: list[str] = []
+            found: set[str] = set()
             for text in batch.column(0).to_pylist():
                 seen = -WINDOW
                 for m in _ANCHOR.finditer(text or ""):
@@ -331,13 +338,25 @@ def training_windows(docs: DataFrame, most: int = TRAIN_WINDOWS, seed: int = 0)
                         seen = m.start()
                         h = int.from_bytes(hashlib.blake2b(f"{seed}:{seen}:{text[seen:seen + 24]}".encode(), digest_size=4).digest(), "big")
                         start = max(0, seen - h % (WINDOW // 2))
-                        found.append(text[start : start + WINDOW])
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["window"])
-
-    rows = docs.where(F.col("text").rlike("[0-9@]")).select("text").mapInArrow(run, "window string")
-    found = [r[0] for r in rows.orderBy(F.xxhash64("window", F.lit(seed)), "window").limit(most).collect()]
+                        found.add(text[start : start + WINDOW])
+            windows = list(found)
+            kinds = [min(base_spans(w), key=lambda s: s[1], default=(-1,))[0] for w in windows]
+            yield pa.RecordBatch.from_arrays([pa.array(windows, pa.string()), pa.array(kinds, pa.int32())], ["window", "kind"])
+
+    rows = docs.where(F.col("text").rlike("[0-9@]")).select("text").mapInArrow(run, "window string, kind int").distinct()
+    rows = rows.withColumn("key", F.xxhash64("window", F.lit(seed)))
+    # The first of each kind in each of a fixed number of parts, then of each kind: no task gets more than these.
+    part, order = F.pmod(F.xxhash64("key"), F.lit(PARTS)), ("key", "window")
+    for group in (["kind", part], ["kind"]):
+        rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("n") <= most).drop("n")
+    by_kind: dict[int, list[tuple[int, str]]] = {k: [] for k in range(-1, len(KINDS))}
+    for w, kind, key in sorted(rows.select("window", "kind", "key").collect(), key=lambda r: (r[2], r[0])):  # ``most`` a kind
+        by_kind[kind].append((key, w))
+    quota = {k: most // 2 if k < 0 else most // 2 // len(KINDS) for k in by_kind}
+    taken = [x for k, some in by_kind.items() for x in some[: quota[k]]]
+    rest = sorted(x for k, some in by_kind.items() for x in some[quota[k] :])
     out: list[tuple[str, list[Span]]] = []
-    for turn, w in enumerate(found):
+    for turn, (_, w) in enumerate(sorted(taken + rest[: most - len(taken)])):
         spans = sorted(base_spans(w), key=lambda s: s[1])
         spans = [s for i, s in enumerate(spans) if not any(s[1] < b and a < s[2] for _, a, b in spans[:i])]
         out.append((w, spans))

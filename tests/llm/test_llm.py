@@ -415,6 +415,18 @@ def test_personal_data_model(spark):
     assert sum(got[i].n_added for i in range(3, 300, 4)) <= 7
 
 
+def test_training_windows_do_not_depend_on_copies_or_on_what_is_common(spark):
+    r = random.Random(6)
+    pad = lambda: "".join(r.choice("etaoinsh ") for _ in range(40))
+    rare = [f"{pad()} {item}" for i in range(12) for item in (f"u{i}@host{i}.example.com", f"10.0.{i}.1 up")]
+    common = [f"{pad()} {r.randrange(10**6)} of it" for _ in range(2000)]
+    got = pii.training_windows(fixture(spark, [*rare, *common, *["copied 1 line"] * 3000]), most=80)
+    negatives = [w for w, s in got if not s]
+    kinds = collections.Counter(s[0][0] for _, s in got if s)
+    assert len(set(negatives)) == len(negatives) and 40 <= len(negatives) <= 70
+    assert kinds[0] >= 10 and kinds[1] >= 10
+
+
 def test_tagger_learns_held_out_windows(spark):
     r = random.Random(7)
 
