@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import WordHashes, binaries, chained, shingles, stored, words, workroom
+from lectern.llm.common import WordHashes, binaries, chained, placed, shingles, stored, words, workroom
 
 #: Words of a shingle; sets link when 100 * intersection >= PERCENT * union.
 SHINGLE, PERCENT = 4, 85
@@ -293,7 +293,15 @@ def joined(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
 
 
 def representatives(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """``docs`` with one row of each component: that of its least ``doc_id``; rows without words stay."""
-    found = joined(docs, k, percent).where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_anti")
-    return kept.select(*docs.columns)
+    """``docs`` with one row of each component: that of its least ``doc_id``; rows without words stay.
+
+    Rows are told apart by their place in the files, not by ``doc_id``: ids may be null (the last ones) or repeat.
+    """
+    rows = placed(docs)
+    found = joined(rows.select(F.col("_place").alias("doc_id"), "text"), k, percent).where("n_shingles > 0")
+    found = rows.select("_place", "doc_id").join(found.select(F.col("doc_id").alias("_place"), "component_id"), "_place")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_place"))
+    # Most rows are alone in their component.
+    shared = found.groupBy("component_id").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    dropped = found.join(shared, "component_id").where(F.col("_place") != F.col("first._place")).select("_place")
+    return rows.join(dropped, "_place", "left_anti").select(*docs.columns)

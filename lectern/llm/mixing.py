@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import WORD, stored
+from lectern.llm.common import WORD, placed, stored
 
 #: Weights in the order of sources, repeating; how each source's weight leans to the end of training (-1 to 1).
 WEIGHTS, LEANS = (5, 2, 1), (-0.5, 0.0, 0.5)
@@ -26,8 +26,12 @@ def _cycle(values: tuple, place: Column) -> Column:
     return F.element_at(F.array(*(F.lit(v).cast("double") for v in values)), ((place - 1) % len(values) + 1).cast("int"))
 
 
+def _place(docs: DataFrame) -> list[str]:
+    return [c for c in docs.columns if c == "_place"]
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    return docs.select("doc_id", *_place(docs), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, leans: tuple = LEANS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -60,7 +64,8 @@ def mixture(docs: DataFrame, weights: tuple = WEIGHTS, leans: tuple = LEANS, max
 
     A source is taken whole as often as its target allows; the rest is its next documents in hash order, up to
     where half of the next would pass the target. Null texts have no words and are not taken; a null source is the
-    last source; repeated rows are documents of their own; an empty table gives none; other columns are ignored.
+    last source; repeated rows are documents of their own; an empty table gives none; other columns are ignored but
+    ``_place``, a number of the row, which is passed on.
     """
     sizes = stored(sized(docs))
     key = F.xxhash64(F.col("doc_id"), F.lit(seed))
@@ -71,10 +76,10 @@ def mixture(docs: DataFrame, weights: tuple = WEIGHTS, leans: tuple = LEANS, max
     buckets = buckets.withColumn("base", F.coalesce(F.sum("words").over(before), F.lit(0)))
     t, b = plan.alias("t"), buckets.alias("b")
     places = b.join(t, F.col("b.source").eqNullSafe(F.col("t.source"))).select("b.source", "b.bucket", "base", "source_size", "target", "lean")
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", *_place(docs)).rowsBetween(Window.unboundedPreceding, -1)
     r, p = rows.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("r"), places.alias("p")
     joined = r.join(p, F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.bucket") == F.col("p.bucket")))
-    joined = joined.select("doc_id", "r.source", "size", "source_size", "target", "lean", (F.col("base") + F.col("inner")).alias("before"))
+    joined = joined.select("doc_id", *_place(docs), "r.source", "size", "source_size", "target", "lean", (F.col("base") + F.col("inner")).alias("before"))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     joined = joined.withColumn("epochs", epochs)
     rest = F.col("target") - F.col("epochs") * F.col("source_size")
@@ -99,6 +104,7 @@ def plan(docs: DataFrame, **options) -> DataFrame:
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as the mix takes them: a row for each copy, in training order; documents it does not take are absent."""
-    m = mixture(docs, **options).where("copies > 0").select(F.col("doc_id").alias("_doc"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("_epoch"), "source_size", "target", "lean", "before", "size")
-    m = m.select("_doc", position(F.col("_epoch")).alias("_at"), "_epoch")
-    return docs.join(m, docs["doc_id"].eqNullSafe(m["_doc"])).orderBy("_at", "doc_id", "_epoch").select(*(docs[c] for c in docs.columns))
+    rows = placed(docs)
+    m = mixture(rows, **options).where("copies > 0").select("_place", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("_epoch"), "source_size", "target", "lean", "before", "size")
+    m = m.select("_place", position(F.col("_epoch")).alias("_at"), "_epoch")
+    return rows.join(m, "_place").orderBy("_at", "doc_id", "_place", "_epoch").select(*docs.columns)

@@ -142,6 +142,16 @@ def test_jaccard_of_a_large_group_of_near_copies(spark):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.joined(fixture(spark, texts)).collect()} == want
 
 
+def test_representatives_of_null_and_repeated_ids(spark):
+    r = random.Random(8)
+    texts = [" ".join(f"v{r.randrange(10**6)}" for _ in range(40)) for _ in range(8)]
+    a, b, c, d, e, f = texts[:6]
+    rows = [(None, a), (None, a), (None, a + " more"), (None, b), (1, c), (1, c), (2, c), (1, d), (3, e), (4, e), (4, f), (None, None), (None, "")]
+    got = collections.Counter((x.doc_id, x.text) for x in jaccard.representatives(fixture(spark, [t for _, t in rows], ids=[i for i, _ in rows]), 5, 80).collect())
+    assert sum(got.values()) == 8 and got[None, a] + got[None, a + " more"] == 1
+    assert all(got[x] == 1 for x in ((None, b), (1, c), (1, d), (3, e), (4, f), (None, None), (None, "")))
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 360)]
@@ -239,6 +249,14 @@ def test_mixture(spark):
     assert collections.Counter(x.doc_id for x in mixed) == {x.doc_id: x.copies for x in rows if x.copies}
 
 
+def test_mix_of_null_and_repeated_ids(spark):
+    texts = [f"w{i} " * (i + 1) for i in range(12)]
+    docs = fixture(spark, texts, ids=[None] * 4 + [1] * 4 + [1, 2, 2, 3])
+    copies = sum(x.copies for x in mixing.mixture(docs).collect())
+    got = collections.Counter(x.text for x in mixing.mixed(docs).collect())
+    assert sum(got.values()) == copies and max(got.values()) <= mixing.MAX_EPOCHS
+
+
 def test_demand_time_inverts_the_integral(spark):
     t = spark.range(101).select((F.col("id") / 100).alias("t"))
     for lean in (-0.5, 0.0, 0.5):
