@@ -51,6 +51,18 @@ def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffled(spark: SparkSession) -> Iterator[None]:
+    """Joins are planned by shuffle for any size of their sides: one plan for small and large input, no broadcast that grows."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 @contextmanager
 def workroom(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """``stored`` for tables that nothing reads after the block: their folder is removed at its end."""
@@ -63,17 +75,18 @@ def workroom(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
 
 
 def placed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_place``: each row's number in the order of the files and of the rows in them, however they are read.
+    """``row``, all columns of ``docs`` as one struct, and ``place``: the row's number in the order of the files and of the rows in them.
 
+    A place holds however the files are read, tells equal rows apart, and keeps the order in which they were written.
     Rows that are not read from files as they are will be stored first.
     """
     if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
         docs = stored(docs)
-    rows = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    # One row a file.
-    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    files = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("n")).select("_file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"))
-    return rows.join(F.broadcast(files), "_file").select(*(rows[c] for c in docs.columns), (F.col("_first") + F.col("_row")).alias("_place"))
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    # One row a file; numbered names that outgrow their zeros are longer.
+    before = Window.orderBy(F.length("file"), "file").rowsBetween(Window.unboundedPreceding, -1)
+    files = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n")).select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    return rows.join(F.broadcast(files), "file").select("row", (F.col("first") + F.col("at")).alias("place"))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

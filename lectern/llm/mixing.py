@@ -26,12 +26,9 @@ def _cycle(values: tuple, place: Column) -> Column:
     return F.element_at(F.array(*(F.lit(v).cast("double") for v in values)), ((place - 1) % len(values) + 1).cast("int"))
 
 
-def _place(docs: DataFrame) -> list[str]:
-    return [c for c in docs.columns if c == "_place"]
-
-
-def sized(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", *_place(docs), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def sized(rows: DataFrame) -> DataFrame:
+    """``place, doc_id, source, size`` of ``placed`` rows."""
+    return rows.select("place", "row.doc_id", "row.source", F.coalesce(F.regexp_count("row.text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, leans: tuple = LEANS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -59,15 +56,15 @@ def demand_time(share: Column, lean: Column) -> Column:
     return F.when(lean == 0, share).otherwise((root - (1 - lean)) / (2 * lean))
 
 
-def mixture(docs: DataFrame, weights: tuple = WEIGHTS, leans: tuple = LEANS, max_epochs: int = MAX_EPOCHS, seed: int = 0) -> DataFrame:
-    """``doc_id, source, size, source_size, target, copies, taken, before, lean, source_taken`` of each row.
+def mixture(rows: DataFrame, weights: tuple = WEIGHTS, leans: tuple = LEANS, max_epochs: int = MAX_EPOCHS, seed: int = 0) -> DataFrame:
+    """``place, doc_id, source, size, source_size, target, copies, taken, before, lean`` of each of ``placed`` rows.
 
     A source is taken whole as often as its target allows; the rest is its next documents in hash order, up to
     where half of the next would pass the target. Null texts have no words and are not taken; a null source is the
-    last source; repeated rows are documents of their own; an empty table gives none; other columns are ignored but
-    ``_place``, a number of the row, which is passed on.
+    last source; rows of one id are documents of their own, told apart by their place; an empty table gives none;
+    other columns are ignored. Joins are by shuffle at all sizes, but for one row a source.
     """
-    sizes = stored(sized(docs))
+    sizes = stored(sized(rows))
     key = F.xxhash64(F.col("doc_id"), F.lit(seed))
     rows = sizes.withColumn("key", key).withColumn("bucket", F.shiftrightunsigned("key", 64 - LG_BUCKETS))
     buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
@@ -75,11 +72,11 @@ def mixture(docs: DataFrame, weights: tuple = WEIGHTS, leans: tuple = LEANS, max
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.withColumn("base", F.coalesce(F.sum("words").over(before), F.lit(0)))
     t, b = plan.alias("t"), buckets.alias("b")
-    places = b.join(t, F.col("b.source").eqNullSafe(F.col("t.source"))).select("b.source", "b.bucket", "base", "source_size", "target", "lean")
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", *_place(docs)).rowsBetween(Window.unboundedPreceding, -1)
+    places = b.join(t.hint("merge"), F.col("b.source").eqNullSafe(F.col("t.source"))).select("b.source", "b.bucket", "base", "source_size", "target", "lean")
+    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", "place").rowsBetween(Window.unboundedPreceding, -1)
     r, p = rows.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("r"), places.alias("p")
-    joined = r.join(p, F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.bucket") == F.col("p.bucket")))
-    joined = joined.select("doc_id", *_place(docs), "r.source", "size", "source_size", "target", "lean", (F.col("base") + F.col("inner")).alias("before"))
+    joined = r.join(p.hint("merge"), F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.bucket") == F.col("p.bucket")))
+    joined = joined.select("place", "doc_id", "r.source", "size", "source_size", "target", "lean", (F.col("base") + F.col("inner")).alias("before"))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     joined = joined.withColumn("epochs", epochs)
     rest = F.col("target") - F.col("epochs") * F.col("source_size")
@@ -95,16 +92,28 @@ def position(epoch: Column) -> Column:
 
 
 def plan(docs: DataFrame, **options) -> DataFrame:
-    """The mixture of ``docs``, with the first training position, sorted by it; documents that are not taken are last."""
-    m = mixture(docs, **options)
+    """The ``mixture`` of ``docs``, with the first training position, sorted by it; documents that are not taken are last.
+
+    Nulls, rows of one id, ties and empty tables are handled as in ``mixture``; equal positions are ordered by id, null
+    ids first, then by place.
+    """
+    m = mixture(placed(docs), **options)
     first = F.when(F.col("copies") > 0, position(F.lit(0)))
-    out = m.select("doc_id", "size", "source_size", "target", "taken", "copies", first.alias("position"))
-    return out.orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    out = m.select("place", "doc_id", "size", "source_size", "target", "taken", "copies", first.alias("position"))
+    return out.orderBy(F.col("position").asc_nulls_last(), "doc_id", "place").drop("place")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` as the mix takes them: a row for each copy, in training order; documents it does not take are absent."""
+    """``docs`` as the mix takes them: a row for each copy, in training order; documents it does not take are absent.
+
+    The order is that of the rows in the files they are written to, which ``placed`` gives back. Equal positions are
+    ordered by id, place and copy; rows of one id keep their own copies; an empty table gives none; all columns are
+    kept, whatever their names.
+    """
     rows = placed(docs)
-    m = mixture(rows, **options).where("copies > 0").select("_place", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("_epoch"), "source_size", "target", "lean", "before", "size")
-    m = m.select("_place", position(F.col("_epoch")).alias("_at"), "_epoch")
-    return rows.join(m, "_place").orderBy("_at", "doc_id", "_place", "_epoch").select(*docs.columns)
+    m = mixture(rows, **options).where("copies > 0").select("place", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("epoch"), "source_size", "target", "lean", "before", "size")
+    m = m.select("place", position(F.col("epoch")).alias("position"), "epoch")
+    # A row is sent on once for all its copies, and sorted with what its order needs only.
+    turns = m.groupBy("place").agg(F.collect_list(F.struct("position", "epoch")).alias("turns"))  # of one row: MAX_EPOCHS at most
+    out = rows.join(turns.hint("shuffle_hash"), "place").select("row", "place", F.explode("turns").alias("turn"))
+    return out.orderBy("turn.position", "row.doc_id", "place", "turn.epoch").select("row.*")

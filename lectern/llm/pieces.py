@@ -336,7 +336,7 @@ class Segmenter:
 
 
 def encoded(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = 0, copy: Column | None = None) -> DataFrame:
-    """``doc_id, ids, n_words, n_chars, text_crc32, lossless`` of each row of ``docs(doc_id, text)``.
+    """``doc_id, copy, ids, n_words, n_chars, text_crc32, lossless`` of each row of ``docs(doc_id, text)``.
 
     ``lossless`` tells whether the ids decode to the text, ``text_crc32`` is of what they decode to. Reruns give the
     same ids: they depend on the id, the text, ``copy``, the seed and the dropout alone; rows that differ by ``copy``
@@ -344,7 +344,7 @@ def encoded(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = 0,
     space mark (U+2581) inside a text decodes as a space, and such a text is reported as not lossless. Repeated rows
     of one ``copy`` are alike; an empty table gives none; other columns are ignored.
     """
-    schema = "doc_id long, ids array<int>, n_words long, n_chars long, text_crc32 long, lossless boolean"
+    schema = "doc_id long, copy long, ids array<int>, n_words long, n_chars long, text_crc32 long, lossless boolean"
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
@@ -359,8 +359,8 @@ def encoded(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = 0,
                     back = model.decode_bytes(ids.tolist())
                     for column, value in zip(rest, (text.count(" ") + 1 if text else 0, len(text), zlib.crc32(back), back == text.encode())):
                         column.append(value)
-                columns = [pa.array(doc_ids[i:j], pa.int64()), pa.array(found, pa.list_(pa.int32())), *(pa.array(c, t) for c, t in zip(rest, (pa.int64(), pa.int64(), pa.int64(), pa.bool_())))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "n_words", "n_chars", "text_crc32", "lossless"])
+                columns = [pa.array(doc_ids[i:j], pa.int64()), pa.array(copies[i:j], pa.int64()), pa.array(found, pa.list_(pa.int32())), *(pa.array(c, t) for c, t in zip(rest, (pa.int64(), pa.int64(), pa.int64(), pa.bool_())))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "copy", "ids", "n_words", "n_chars", "text_crc32", "lossless"])
 
     return docs.select("doc_id", "text", (F.lit(0) if copy is None else copy).cast("long").alias("copy")).mapInArrow(run, schema)
 

@@ -52,66 +52,63 @@ def _fails(line: Column) -> Column:
     return line.rlike(r"[^\x20\x09-\x0D]") & (navigation | punctuation | boilerplate)
 
 
-#: Columns that ``measured`` adds; the scratch ones among them start with an underscore.
+#: Counts of ``measured``.
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lost_chars")
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """``docs`` with the struct ``q`` of counts, verdicts and the cleaned text.
+    """``row`` (the columns of ``docs``, whatever their names) and the struct ``q`` of counts, verdicts and the cleaned text.
 
     A null or empty text has no words and is rejected. Equal lines are told by their characters; the first of equal
-    lines is no repetition. Rows are judged each on their own: repeated rows alike, an empty table gives none, and
-    no column is lost; columns that are named ``q`` or like ``_q_lines`` are replaced.
+    lines is no repetition. Rows are judged each on their own: repeated rows alike; an empty table gives none.
     """
-    c = lambda name: F.col(f"_q_{name}")
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumn("_q_text", text)
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     # Each step's arrays are columns of their own, so that the next step's lambdas read them instead of building them.
-    words = F.array_remove(F.split(c("text"), r"[\x20\x09-\x0D]+"), "")
-    rows = rows.withColumns({"_q_lines": F.split(c("text"), "\n"), "_q_words": words})
-    rows = rows.withColumns({"_q_h": F.transform(c("words"), lambda w: F.xxhash64(w)), "_q_chars": F.length(F.array_join(c("words"), ""))})
-    h = c("h")
+    rows = rows.withColumns({"lines": F.split("text", "\n"), "words": F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")})
+    rows = rows.withColumns({"h": F.transform("words", lambda w: F.xxhash64(w)), "chars": F.length(F.array_join("words", ""))})
+    h = F.col("h")
     hashed = F.slice(F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2))), F.lit(1), F.greatest(F.size(h) - 2, F.lit(0)))
     rows = rows.withColumns(
         {
-            "_q_windows": hashed,
-            "_q_n": F.size(h),
-            "_q_worded": F.filter(c("lines"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
-            "_q_good": F.filter(c("lines"), lambda x: ~_fails(x)),
+            "windows": hashed,
+            "n": F.size(h),
+            "worded": F.filter("lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
+            "good": F.filter("lines", lambda x: ~_fails(x)),
         }
     )
-    windows = c("windows")
-    rows = rows.withColumn("_q_placed", F.when(F.size(F.array_distinct(windows)) < F.size(windows), F.array_sort(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))))
-    placed = c("placed")
-    twice = F.filter(placed, lambda x, i: (x["w"] == F.get(placed, i - 1)["w"]) | (x["w"] == F.get(placed, i + 1)["w"]))
-    rows = rows.withColumn("_q_at", F.sort_array(F.transform(twice, lambda x: x["i"])))
-    at = c("at")
+    windows = F.col("windows")
+    rows = rows.withColumn("sorted", F.when(F.size(F.array_distinct(windows)) < F.size(windows), F.array_sort(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))))
+    by_hash = F.col("sorted")
+    twice = F.filter(by_hash, lambda x, i: (x["w"] == F.get(by_hash, i - 1)["w"]) | (x["w"] == F.get(by_hash, i + 1)["w"]))
+    rows = rows.withColumn("at", F.sort_array(F.transform(twice, lambda x: x["i"])))
+    at = F.col("at")
     covered = F.aggregate(F.transform(at, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(at, i + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x)
     counts = {
-        "n_words": c("n"),
-        "word_chars": c("chars"),
-        "n_symbols": F.regexp_count(c("text"), F.lit("[#*$%&|<>]")),
-        "n_dup_lines": F.size(c("worded")) - F.size(F.array_distinct(c("worded"))),
+        "n_words": F.col("n"),
+        "word_chars": F.col("chars"),
+        "n_symbols": F.regexp_count("text", F.lit("[#*$%&|<>]")),
+        "n_dup_lines": F.size("worded") - F.size(F.array_distinct("worded")),
         "n_repeat_words": F.coalesce(covered, F.lit(0)),
-        "n_lost_chars": F.aggregate(c("lines"), F.lit(0), lambda a, x: a + F.length(x)) - F.aggregate(c("good"), F.lit(0), lambda a, x: a + F.length(x)),
+        "n_lost_chars": F.aggregate("lines", F.lit(0), lambda a, x: a + F.length(x)) - F.aggregate("good", F.lit(0), lambda a, x: a + F.length(x)),
     }
-    rows = rows.withColumns({f"_q_{k}": v.cast("long") for k, v in counts.items()})
-    failed = (c("n_words") < MIN_WORDS) | (c("n_repeat_words") * 100 > c("n_words") * MAX_REPEAT)
-    kept = ~failed & (c("n_lost_chars") * 100 <= F.length(c("text")) * MAX_LOST)
-    text = F.array_join(c("good"), "\n")
-    q = F.struct(*(c(k).alias(k) for k in COUNTS), failed.alias("base_failed"), kept.alias("kept"), text.alias("cleaned"))
-    return rows.withColumn("q", q).select(*(n for n in docs.columns if n != "q" and not n.startswith("_q_")), "q")
+    rows = rows.withColumns({k: v.cast("long") for k, v in counts.items()})
+    failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT)
+    kept = ~failed & (F.col("n_lost_chars") * 100 <= F.length("text") * MAX_LOST)
+    return rows.select("row", F.struct(*COUNTS, failed.alias("base_failed"), kept.alias("kept"), F.array_join("good", "\n").alias("cleaned")).alias("q"))
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
-    """``doc_id``, the counts, ``base_failed`` and ``kept`` of each row."""
+    """``doc_id``, the counts, ``base_failed`` and ``kept`` of each row; other cases as ``measured`` says."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lost_chars"]
-    return measured(docs.select("doc_id", "text")).select("doc_id", *(f"q.{n}" for n in names))
+    return measured(docs.select("doc_id", "text")).select("row.doc_id", *(f"q.{n}" for n in names))
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
-    """The rows that are kept, with their columns; ``text`` is without the lines that failed, ``n_chars`` its length."""
+    """The rows that are kept, with their columns; ``text`` is without the lines that failed, ``n_chars`` its length.
+
+    Null and empty texts go; repeated rows stay or go alike; an empty table gives none; columns may have any name.
+    """
     # The partition's number keeps the optimizer from moving the filter, with all that it depends on, below the steps.
-    rows = measured(docs).withColumn("_part", F.spark_partition_id())
-    kept = rows.where(F.col("q.kept") & (F.col("_part") >= 0)).withColumn("text", F.col("q.cleaned"))
-    return (kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept).select(*docs.columns)
+    kept = measured(docs).withColumn("part", F.spark_partition_id()).where(F.col("q.kept") & (F.col("part") >= 0))
+    own = {"text": F.col("q.cleaned"), "n_chars": F.length("q.cleaned").cast("long")}
+    return kept.select(*(own[c].alias(c) if c in own else F.col(f"row.`{c}`") for c in docs.columns))

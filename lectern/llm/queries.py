@@ -78,8 +78,13 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix's copies of a document are told apart by their place in training order, so each is segmented on its own."""
-    return pieces.encoded(placed(docs), public_tokenizers.path(PIECE_BPE), copy=F.col("_place")).select("doc_id", "ids", "n_chars", "lossless")
+    """``doc_id, position, ids, n_chars, lossless`` of each row; ``position`` is its place in training order, from 0.
+
+    The mix's copies of a document are told apart by that place, so each is segmented on its own.
+    """
+    rows = placed(docs).select("row.doc_id", "row.text", "place")
+    out = pieces.encoded(rows, public_tokenizers.path(PIECE_BPE), copy=F.col("place"))
+    return out.select("doc_id", F.col("copy").alias("position"), "ids", "n_chars", "lossless")
 
 
 def queries() -> dict:
