@@ -11,10 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import WordHashes, shingles, words
+from lectern.llm.common import WordHashes, shingles, stored, words
 
 #: Words of a shingle, and one part in how many of the hash range is kept.
 SHINGLE, SCALE = 5, 8
@@ -92,28 +92,41 @@ class _Pairs:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], [x.split()[0] for x in PAIRS.split(", ")])
 
 
+def _range(doc_id: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds do not pass an id, by bisection; -1 for a null id."""
+    steps = [1 << k for k in range(len(bounds).bit_length() - 1, -1, -1)] if bounds else []
+    table = F.array(*(F.lit(b).cast("long") for b in bounds)) if bounds else None
+    at = F.lit(0)
+    if steps:
+        at = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda n, step: F.when(F.get(table, n + step - 1) <= doc_id, n + step).otherwise(n))
+    return F.when(doc_id.isNull(), F.lit(-1)).otherwise(at)
+
+
 def edited_fingerprints(docs: DataFrame, k: int = SHINGLE, scale: int = SCALE) -> DataFrame:
     """Fingerprints of each text and of its edited form, and how alike they and the next text's are.
 
     The edited form has its last third replaced by as many first characters of the next document in descending
     ``doc_id`` order (after the last, the first). Null texts count as empty; rows of one id are ordered by their
     text's hash; null ids come last; a single row follows itself; an empty table gives no rows; other columns are
-    ignored. Texts are shuffled once, by range; a partition's last row meets the next partition's first row in a
-    small join with one row a partition.
+    ignored. Texts are shuffled once, by ranges of ids whose bounds are fixed beforehand; a range's last row meets the
+    next range's first row in a small join with one row a range.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("known").desc(), F.col("doc_id").desc(), F.col("tie").desc()]
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", F.xxhash64("text").alias("tie"), F.col("doc_id").isNotNull().alias("known"))
-    ranged = rows.repartitionByRange(n, *order)
+    parts = 4 * n
+    bounds = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] or []  # one number a range
+    order = [F.col("part").desc(), F.col("known").desc(), F.col("doc_id").desc(), F.col("tie").desc()]
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("tie"), F.col("doc_id").isNotNull().alias("known"), _range(F.col("doc_id"), sorted(set(bounds))).alias("part"))
+    ranged = rows.repartition(n, "part")
 
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, last = _Pairs(k, scale), None
         for batch in batches:
-            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc_id, text, part in zip(*(c.to_pylist() for c in batch.columns)):
                 own = made.sketch(text)
-                if last:
-                    made.add(*last, text, own)
-                last = doc_id, text, own
+                if last and last[0] == part:
+                    made.add(*last[1:], text, own)
+                last = part, doc_id, text, own
                 if len(made.rows) >= 2000:
                     yield made.out()
         yield made.out()
@@ -125,10 +138,12 @@ def edited_fingerprints(docs: DataFrame, k: int = SHINGLE, scale: int = SCALE) -
                 made.add(doc_id, text, made.sketch(text), after, made.sketch(after))
         yield made.out()
 
-    most = ranged.sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(inner, PAIRS)
+    most = ranged.sortWithinPartitions(*order).select("doc_id", "text", "part").mapInArrow(inner, PAIRS)
     key, whole = F.struct("known", "doc_id", "tie"), F.struct("doc_id", "text")
-    edges = ranged.groupBy(F.spark_partition_id().alias("part")).agg(F.max_by(whole, key).alias("head"), F.min_by(whole, key).alias("last"))
-    parts = Window.orderBy("part")
-    after = F.coalesce(F.lead("head.text").over(parts), F.first("head.text").over(parts.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    rest = edges.select("last.doc_id", "last.text", after.alias("after")).mapInArrow(ends, PAIRS)
+    edges = stored(ranged.groupBy("part").agg(F.max_by(whole, key).alias("head"), F.min_by(whole, key).alias("last")))
+    # The windows see one number a range, no text.
+    down, every = Window.orderBy(F.col("part").desc()), Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    follows = edges.select("part", F.coalesce(F.lead("part").over(down), F.max("part").over(every)).alias("next"))
+    heads = edges.select(F.col("part").alias("next"), F.col("head.text").alias("after"))
+    rest = edges.select("part", "last").join(follows, "part").join(heads, "next").select("last.doc_id", "last.text", "after").mapInArrow(ends, PAIRS)
     return most.unionByName(rest)
