@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from lectern.llm.bpe import Encoder
+from lectern.llm.bpe import Encoder, slices
+from lectern.llm.common import chained
 
 #: Bytes of text that are encoded together.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
 
 
 @lru_cache(maxsize=2)
@@ -20,21 +23,6 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def groups(texts: list[str | None], limit: int) -> Iterator[list[str | None]]:
-    """Consecutive texts of about ``limit`` characters; a longer text stands alone."""
-    held: list[str | None] = []
-    size = 0
-    for t in texts:
-        n = len(t) if t else 0
-        if held and size + n > limit:
-            yield held
-            held, size = [], 0
-        held.append(t)
-        size += n
-    if held:
-        yield held
-
-
 def count_tokens(docs: DataFrame, path: str, max_tokens: int = 1024, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` for each row of ``docs(doc_id, text)``.
 
@@ -47,10 +35,8 @@ def count_tokens(docs: DataFrame, path: str, max_tokens: int = 1024, batch_bytes
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         for batch in rows:
-            texts = batch.column(1).to_pylist()
-            sizes = [len(t.encode()) if t else 0 for t in texts]
-            found = [len(x) // e.dtype.itemsize for g in groups(texts, batch_bytes) for x in e.encode(g)]
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(found, pa.int64()), pa.array([n > max_tokens for n in found])]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *names])
+            sizes = pc.cast(pc.fill_null(pc.binary_length(batch.column(1)), 0), pa.int64())
+            found = chained([e.tokens(part, ids=False)[0] for part in slices(batch.column(1), batch_bytes)], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(found), pa.array(found > max_tokens)], ["doc_id", *names])
 
     return docs.select("doc_id", "text").mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -14,11 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import scratch
-from lectern.llm.tokens import BATCH_BYTES, encoder, groups
+from lectern.llm.bpe import slices
+from lectern.llm.common import chained, scratch
+from lectern.llm.tokens import BATCH_BYTES, encoder
 
 #: Tokens of a shard, but for a longer document, which has its own.
-SHARD_TOKENS = 4 << 20
+SHARD_TOKENS = 1 << 20
 
 #: 64-bit words between two samples of a plane's ranks.
 SAMPLE = 8
@@ -116,20 +117,20 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """The whole sequence: planes are undone from the lowest bit up."""
-        v = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if len(self.zeros) <= 16 else np.uint32
+        v = np.zeros(self.n, kind)
         for k in range(len(self.zeros) - 1, -1, -1):
             ones = np.unpackbits(self.planes[k].view(np.uint8), count=self.n, bitorder="little").view(bool)
             out = np.empty_like(v)
             out[~ones] = v[: self.zeros[k]]
-            out[ones] = v[self.zeros[k] :] | np.uint32(1 << (len(self.zeros) - 1 - k))
+            out[ones] = v[self.zeros[k] :] | kind(1 << (len(self.zeros) - 1 - k))
             v = out
         return v
 
 
-def _row(part: int, seq: int, doc_ids: list, ids: list[bytes], dtype: np.dtype, width: int) -> dict:
-    w = WaveletMatrix.of(np.frombuffer(b"".join(ids), dtype), width)
+def _row(part: int, seq: int, doc_ids: list, sizes: list[int], ids: np.ndarray, width: int) -> dict:
+    w = WaveletMatrix.of(ids, width)
     ranks, planes = w.blobs()
-    sizes = [len(x) // dtype.itemsize for x in ids]
     return {"part": part, "seq": seq, "n": w.n, "width": width, "zeros": w.zeros, "doc_ids": doc_ids, "sizes": sizes, "ranks": ranks, "planes": planes}
 
 
@@ -144,24 +145,38 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int, shar
 
     def shards(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer)
-        end = np.array([end_id], e.dtype).tobytes()
         width = max(end_id, len(e.widths) - 1).bit_length()
-        held_ids, held, size, seq, part = [], [], 0, 0, 0
+        held: list[np.ndarray] = []
+        held_ids, sizes, seq, part = [], [], 0, 0
+
+        def shard() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([_row(part, seq, held_ids, sizes, chained(held, e.dtype), width)], schema)
+
         for batch in rows:
-            doc_ids, texts, parts = (c.to_pylist() for c in batch.columns)
             at = 0
-            for g in groups(texts, BATCH_BYTES):
-                for x in e.encode(g):
-                    part = parts[at]
-                    if held and size + len(x) // e.dtype.itemsize > shard_tokens:
-                        yield pa.RecordBatch.from_pylist([_row(part, seq, held_ids, held, e.dtype, width)], schema)
-                        held_ids, held, size, seq = [], [], 0, seq + 1
-                    held_ids.append(doc_ids[at])
-                    held.append(x + end)
-                    size += len(x) // e.dtype.itemsize + 1
-                    at += 1
-        if held:
-            yield pa.RecordBatch.from_pylist([_row(part, seq, held_ids, held, e.dtype, width)], schema)
+            for some in slices(batch.column(1), BATCH_BYTES):
+                counts, flat = e.tokens(some)
+                ends = np.cumsum(counts)
+                flat = np.insert(flat, ends, end_id)
+                counts, ends = counts + 1, ends + np.arange(1, len(ends) + 1)
+                doc_ids, k = batch.column(0).slice(at, len(some)).to_pylist(), 0
+                part = batch.column(2)[at].as_py()
+                while k < len(counts):
+                    before = int(ends[k - 1]) if k else 0
+                    to = int(np.searchsorted(ends, before + shard_tokens - sum(sizes), "right"))
+                    if to == k and not held_ids:
+                        to = k + 1
+                    if to > k:
+                        held.append(flat[before : ends[to - 1]])
+                        held_ids += doc_ids[k:to]
+                        sizes += counts[k:to].tolist()
+                        k = to
+                    if k < len(counts):
+                        yield shard()
+                        held, held_ids, sizes, seq = [], [], [], seq + 1
+                at += len(some)
+        if held_ids:
+            yield shard()
 
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie").asc_nulls_first()]
     ranged = docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).repartitionByRange(n, *order).sortWithinPartitions(*order)
