@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -38,3 +40,21 @@ def stale_rows(docs: DataFrame, index: DataFrame) -> DataFrame:
     i = index.select(F.col("doc_id"), F.col("title").alias("_t"), F.col("n_words").alias("_n"))
     state = F.when(F.col("_n").isNull(), "missing").when(F.col("_n") != F.col("n_words"), "stale").when(F.col("_t") != F.col("title"), "renamed").otherwise("fresh")
     return docs.join(i, "doc_id", "left").select("doc_id", state.alias("state"))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder where the cluster's executors share one; a temporary one only on a local master without the setting, as in tests."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="lectern-")
+    return f"{base.rstrip('/')}/{name}/{uuid.uuid4().hex}"
+
+
+def export(tables: dict[str, DataFrame]) -> str:
+    """Writes each table below one new shared folder, which is returned."""
+    folder = shared_folder(next(iter(tables.values())).sparkSession, "lectern-snapshot")
+    for name, rows in tables.items():
+        rows.write.parquet(f"{folder}/{name}")
+    return folder

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.expr import answer_key, fnv1a, slug
+from lectern.functions.expr import fnv1a, slug
 from lectern.operators import text
 from lectern.operators.vocab import CORE
 
@@ -50,11 +50,3 @@ def seeded_shuffle(rows: DataFrame, key: str, seed: str) -> DataFrame:
     h = fnv1a(F.concat(F.lit(seed), F.col(key).cast("string")))
     out = rows.select(key, h.alias("h")).withColumn("bucket", F.floor(F.col("h") / (1 << 24)))
     return out.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("h", key))).select(key, "h", "bucket", "place")
-
-
-def marked(conversations: DataFrame) -> DataFrame:
-    """Whether each assistant turn equals its question after normalisation: ``conv_id, turn, same``."""
-    order = Window.partitionBy("conv_id").orderBy("turn")
-    rows = conversations.withColumn("asked", F.lag("text").over(order))
-    a, b = answer_key(F.coalesce("text", F.lit(""))), answer_key(F.coalesce("asked", F.lit("")))
-    return rows.where("role = 'assistant'").select("conv_id", "turn", ((a != "") & (a == b)).alias("same"), F.length(a).alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.operators import text
@@ -87,3 +87,17 @@ def catalog_search(docs: DataFrame, query: str) -> DataFrame:
     hay = F.lower(F.concat_ws(" ", "title", "source", "lang"))
     terms = F.array(*(F.lit(t) for t in query.lower().split()))
     return docs.where(F.forall(terms, lambda t: F.contains(hay, t))).select("doc_id", "title", "source")
+
+
+def final_forms(word: Column) -> Column:
+    """The forms that a phrase's last word may take: itself, two plurals, and its singulars where it is a plural."""
+    n = F.length(word)
+    plural = (n > 3) & F.endswith(word, F.lit("s")) & ~F.endswith(word, F.lit("ss"))
+    forms = F.array(word, F.concat(word, F.lit("s")), F.concat(word, F.lit("es")), F.when(plural, F.substring(word, F.lit(1), n - 1)), F.when(plural & F.endswith(word, F.lit("es")), F.substring(word, F.lit(1), n - 2)))
+    return F.array_distinct(F.filter(forms, lambda x: x.isNotNull()))
+
+
+def short_name(label: Column) -> Column:
+    """A label without its maker in front and what stands after its last dash; the label itself where nothing is left."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace(label, r"(?i)^(microsoft|google|apple)\s+", ""), r"\s*-\s*[^-]+$", ""))
+    return F.when(bare == "", label).otherwise(bare)

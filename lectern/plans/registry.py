@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from lectern.functions import expr
 from lectern.operators import library, questions, reading, review, text, topics, vocab
 from lectern.sources import tables as t
+from lectern.plans import study, study_sql
+from lectern.plans.registry_sql import ANSWERS, ASKED, BLOCKS, CATALOG, CORE, DOCS, FNV, HITS, KEY, MERGE, PACE, PAPERS, SALIENT, STATE, TOPICS
 from lectern.streaming import readers
 
 PHRASE, SEARCH, NOW, TODAY = "of the", "src1 en", "2024-02-01 00:00:00", "1998-06-01"
@@ -46,16 +48,13 @@ def _index(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "src_documents": lambda s, d: t.docs(s, d).select("doc_id", "title", F.length("text").alias("n_chars")),
-    "src_pages": lambda s, d: t.page_lines(s, d).groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("page_id").alias("pages")),
     "doc_catalog": lambda s, d: _catalog(s, d).orderBy(F.col("doc_id").desc()),
     "lines": lambda s, d: text.lines(t.docs(s, d)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("line")).alias("longest")),
     "blocks": lambda s, d: text.blocks(t.docs(s, d)),
-    "sentences": lambda s, d: text.sentences(t.docs(s, d)),
     "tokens": lambda s, d: text.tokens(t.docs(s, d)).groupBy("doc_id", "block").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("last"), F.sum(F.length("word")).alias("chars")),
     "clauses": lambda s, d: text.clauses(t.docs(s, d)),
     "block_words": lambda s, d: text.block_words(t.docs(s, d)),
     "pacing_checkpoints": lambda s, d: text.sections(t.docs(s, d)),
-    "demands_summary": lambda s, d: text.demands(text.sections(t.docs(s, d))),
     "read_time": lambda s, d: text.reading_times(t.docs(s, d)),
     "repeated_lines": lambda s, d: text.repeated_lines(t.docs(s, d)),
     "shared_lines": lambda s, d: text.frequent_lines(t.docs(s, d)),
@@ -80,7 +79,6 @@ QUERIES: dict[str, Query] = {
     "cloze_candidates": lambda s, d: questions.asked_terms(t.docs(s, d)),
     "item_ids": lambda s, d: questions.item_ids(t.docs(s, d)),
     "seeded_shuffle": lambda s, d: questions.seeded_shuffle(t.table(s, d, "orders"), "o_orderkey", "seed"),
-    "mark_answers": lambda s, d: questions.marked(t.table(s, d, "conversations")),
     "review_state": _state,
     "difficulty": lambda s, d: review.difficulty(_state(s, d)),
     "weak_terms": lambda s, d: review.weak_terms(_state(s, d)),
@@ -104,6 +102,7 @@ QUERIES: dict[str, Query] = {
     "latency_ema": lambda s, d: reading.latency_ema(t.table(s, d, "events")),
     "away_sessions_stream": readers.sessions,
     "wpm_windows_stream": readers.windows,
+    "answers_upsert_stream": readers.item_states,
     "snapshot_describe": lambda s, d: library.snapshot_describe({n: t.table(s, d, n) for n in ("documents", "events", "labels", "orders")}),
     "restore_merge": lambda s, d: library.restore_merge(*_split(s, d), ["c_custkey"], "updated"),
     "restore_counts": lambda s, d: library.restore_counts(library.restore_merge(*_split(s, d), ["c_custkey"], "updated")),
@@ -111,54 +110,6 @@ QUERIES: dict[str, Query] = {
     "stale_rows": lambda s, d: library.stale_rows(_catalog(s, d), _index(s, d)),
 }
 
-DOCS = r"""d AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '^\x{FEFF}', ''), '\r\n?', chr(10), 'g') AS text, lang, source FROM documents),
-dt AS (SELECT *, CASE WHEN trim(regexp_extract(text, '([^\n]*[^\s][^\n]*)', 1)) = '' THEN 'Untitled document' ELSE substring(trim(regexp_extract(text, '([^\n]*[^\s][^\n]*)', 1)), 1, 80) END AS title FROM d)"""
-BLOCKS = DOCS + r""",
-bl AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS k FROM d),
-b AS (SELECT doc_id, unnest(range(len(k)))::INTEGER AS block, unnest(k) AS line FROM bl),
-bw AS (SELECT *, list_filter(string_split(line, ' '), lambda x: x <> '') AS words FROM b),
-tk AS (SELECT doc_id, block, unnest(range(len(words)))::INTEGER AS "at", unnest(words) AS word FROM bw)"""
-CORE = "regexp_extract(word, '^[^A-Za-z0-9]*(.*?)[^A-Za-z0-9]*$', 1)"
-KEY = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({0}), '&', ' and ', 'g'), '[‐-―-]+', ' ', 'g'), '[^a-z0-9 ]+', ' ', 'g'), '\bthe\b', ' ', 'g'), ' +', ' ', 'g'))"
-FNV = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(list_filter(string_split({0}, ''), lambda c: c <> ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296)"
-ANSWERS = """a AS (SELECT event_id, ts, user_id AS reader, (props->>'$.k')::INTEGER % 7 AS item,
-  CASE event_type WHEN 'error' THEN 0 WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 END AS quality FROM events WHERE event_type IN ('error', 'view', 'click', 'purchase') AND (props->>'$.k') IS NOT NULL)"""
-PAPERS = ANSWERS + """,
-pa AS (SELECT *, ts::DATE AS day, reader || '-' || strftime(ts, '%Y%m%d') AS paper, ['cloze', 'grid', 'acronym'][item % 3 + 1] AS kind, quality >= 2 AS correct FROM a),
-pp AS (SELECT reader, paper, day, floor(count(*) FILTER (correct) * 100 / count(*) + 0.5)::BIGINT AS percent FROM pa GROUP BY ALL)"""
-STATE = ANSWERS.replace("a AS", "RECURSIVE a AS", 1) + """,
-o AS (SELECT *, row_number() OVER (PARTITION BY reader, item ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY reader, item) AS n FROM a),
-f AS (SELECT reader, item, 0::BIGINT AS i, 2.5::DOUBLE AS ease, 0 AS days, 0 AS reps, 0 AS lapses, NULL::TIMESTAMP AS last FROM o WHERE i = 1
-  UNION ALL SELECT o.reader, o.item, o.i, least(2.8, greatest(1.3, f.ease + [-0.8, -0.15, 0.0, 0.15][o.quality + 1]))::DOUBLE,
-  (CASE WHEN o.quality = 0 THEN 0 ELSE least(180, CASE WHEN f.reps = 0 THEN CASE WHEN o.quality = 3 THEN 3 ELSE 1 END WHEN f.reps = 1 THEN CASE WHEN o.quality = 1 THEN 3 ELSE 6 END
-    ELSE greatest(1, floor(f.days * least(2.8, greatest(1.3, f.ease + [-0.8, -0.15, 0.0, 0.15][o.quality + 1]))::DOUBLE + 0.5)::INTEGER) END) END)::INTEGER,
-  CASE WHEN o.quality = 0 THEN 0 ELSE f.reps + 1 END, f.lapses + CASE WHEN o.quality = 0 THEN 1 ELSE 0 END, o.ts FROM f JOIN o ON o.reader = f.reader AND o.item = f.item AND o.i = f.i + 1),
-st AS (SELECT f.reader, f.item, round(ease, 6) AS ease, days, reps, lapses, o.n AS answers, last, CASE WHEN days = 0 THEN last + INTERVAL 10 MINUTE ELSE last + to_days(days) END AS due FROM f JOIN o ON o.reader = f.reader AND o.item = f.item AND o.i = f.i AND o.i = o.n),
-df AS (SELECT reader, item, round(greatest(least(1.0, lapses / 3.0), greatest(0.0, least(1.0, (2.5 - ease) / 1.2))), 6)::DOUBLE AS weight FROM st)"""
-PACE = """p AS (SELECT event_id, ts, user_id AS voice, (10 + (props->>'$.k')::INTEGER % 5) AS tenths, floor(value)::BIGINT AS words, (floor(value) * (360 - 20 * ((props->>'$.k')::INTEGER % 5)))::BIGINT AS ms FROM events),
-pt AS (SELECT voice, tenths, sum(words)::BIGINT AS words, sum(ms)::BIGINT AS ms FROM p GROUP BY ALL),
-pf0 AS (SELECT voice, count(*) AS points, regr_slope(words / (ms / 60000.0::DOUBLE), tenths / 10.0::DOUBLE) AS s, regr_intercept(words / (ms / 60000.0::DOUBLE), tenths / 10.0::DOUBLE) AS i,
-  avg(words / (ms / 60000.0::DOUBLE)) AS w, avg(tenths / 10.0::DOUBLE) AS r FROM pt WHERE words >= 40 AND ms >= 8000 GROUP BY voice),
-pf AS (SELECT voice, points, round(CASE WHEN points > 1 AND s > 0 THEN s ELSE w / r END, 6) AS slope, round(CASE WHEN points > 1 AND s > 0 THEN i ELSE 0.0 END, 6) AS intercept FROM pf0)"""
-SALIENT = BLOCKS + f""",
-sc AS (SELECT doc_id, block, "at", {CORE} AS core FROM tk WHERE regexp_matches({CORE}, '[A-Z0-9]')),
-sv AS (SELECT *, CASE WHEN regexp_matches(core, '[0-9]') AND length(core) >= 2 THEN 4 WHEN "at" > 0 AND lower(core) NOT IN {questions.STOPWORDS} AND regexp_full_match(core, '[A-Z]{{2,}}') THEN 5
-  WHEN "at" > 0 AND lower(core) NOT IN {questions.STOPWORDS} AND regexp_full_match(core, '[A-Z][a-z]{{3,}}') THEN 3 ELSE 0 END AS score FROM sc),
-ss AS (SELECT doc_id, (block // 5)::BIGINT AS win, core AS term, sum(score)::BIGINT AS score, count(*) AS times FROM sv WHERE score > 0 GROUP BY ALL)"""
-ASKED = SALIENT + f""", sr AS (SELECT doc_id, win, term, row_number() OVER (PARTITION BY doc_id, win ORDER BY score DESC, h, term)::INTEGER AS rank FROM (SELECT *, {FNV.format("'s' || term")} AS h FROM ss) QUALIFY rank <= 3)"""
-HITS = BLOCKS + f""",
-hc AS (SELECT doc_id, block, line, list_transform(words, lambda word: lower({CORE})) AS c FROM bw WHERE contains(lower(line), 'of')),
-hp AS (SELECT doc_id, block, line, len(list_filter(range(1, len(c)), lambda i: c[i] = 'of' AND c[i + 1] = 'the'))::INTEGER AS hits FROM hc), h AS (SELECT * FROM hp WHERE hits > 0)"""
-TOPICS = BLOCKS + f""",
-rq0 AS (SELECT item_id, trim(string_split(coalesce(text, ''), chr(10))[1]) AS title FROM benchmark),
-rq AS (SELECT {KEY.format("title")} AS topic, min_by(title, item_id) AS title, count(DISTINCT item_id % 6) AS groups FROM rq0 WHERE {KEY.format("title")} <> '' GROUP BY 1),
-un AS (SELECT doc_id, block, {KEY.format("line")} AS topic, len(string_split(line, ' '))::INTEGER AS words FROM b)"""
-MERGE = """l AS (SELECT c_custkey, c_name, c_acctbal AS updated FROM customer WHERE c_custkey % 5 <> 0),
-k AS (SELECT c_custkey, c_name || '*' AS c_name, c_acctbal + (c_custkey % 7 - 3) AS updated FROM customer WHERE c_custkey % 3 <> 0),
-m AS (SELECT coalesce(l.c_custkey, k.c_custkey) AS c_custkey, CASE WHEN l.c_custkey IS NULL OR k.updated > l.updated THEN k.c_name ELSE l.c_name END AS c_name, CASE WHEN l.c_custkey IS NULL OR k.updated > l.updated THEN k.updated ELSE l.updated END AS updated,
-  CASE WHEN l.c_custkey IS NULL THEN 'added' WHEN k.updated > l.updated THEN 'updated' ELSE 'kept' END AS action FROM l FULL JOIN k ON l.c_custkey = k.c_custkey)"""
-CATALOG = DOCS + r", ct AS (SELECT doc_id, title, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))::INTEGER AS n_words FROM dt)"
-
 SQL: dict[str, str] = {
     "src_documents": f"WITH {DOCS} SELECT doc_id, title, length(text)::INTEGER AS n_chars FROM dt",
     "doc_catalog": f"WITH {CATALOG} SELECT * FROM ct",
@@ -191,6 +142,7 @@ SELECT p_name, near, levenshtein(p_name, near)::INTEGER AS distance FROM p, n WH
     "cloze_candidates": f"WITH {ASKED} SELECT * FROM sr",
     "seeded_shuffle": f"WITH h AS (SELECT o_orderkey, {FNV.format(chr(39) + 'seed' + chr(39) + ' || o_orderkey')} AS h FROM orders) SELECT o_orderkey, h, (h // 16777216)::BIGINT AS bucket, row_number() OVER (PARTITION BY h // 16777216 ORDER BY h, o_orderkey)::INTEGER AS place FROM h",
     "review_state": f"WITH {STATE} SELECT * FROM st",
+    "answers_upsert_stream": f"WITH {STATE} SELECT reader, item, ease, reps, lapses FROM st",
     "difficulty": f"WITH {STATE} SELECT * FROM df",
     "weak_terms": f"WITH {STATE} SELECT item, max(weight) AS weight, count(*) AS readers FROM df GROUP BY 1 HAVING max(weight) > 0",
     "due_list": f"WITH {STATE} SELECT reader, item, due FROM st WHERE due <= TIMESTAMP '{NOW}' ORDER BY due, reader, item LIMIT 40",
@@ -226,8 +178,8 @@ SELECT doc_id, CASE WHEN n IS NULL THEN 'missing' WHEN n <> n_words THEN 'stale'
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    return QUERIES | study.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | study_sql.SQL

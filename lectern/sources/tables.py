@@ -18,28 +18,21 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("title", F.when(first == "", "Untitled document").otherwise(F.substring(first, 1, 80)))
 
 
-def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Web pages as numbered lines: block tags end a line, headings carry their level, other tags go."""
-    html = F.coalesce("html", F.lit(""))
-    for tag in ("script", "style"):
-        html = F.regexp_replace(html, f"<{tag}[^>]*>[^<]*</{tag}>", "")
-    html = F.regexp_replace(html, "<h([1-3])[^>]*>", "\n#$1 ")
-    html = F.regexp_replace(html, "</?(p|li|ul|ol|div|article|nav|br|h[1-6]|title|head|body)[^>]*>", "\n")
-    html = F.regexp_replace(html, "<[^>]*>", "")
-    lines = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.split(html, "\n")).alias("at", "line"))
-    bare = F.trim(F.regexp_replace(F.regexp_replace("line", "^#[1-3] ", ""), "[ \t]+", " "))
-    level = F.when(F.col("line").rlike("^#[1-3] "), F.substring("line", 2, 1).cast("int")).otherwise(0)
-    return lines.select("page_id", "at", level.alias("level"), bare.alias("line")).where(F.col("line") != "")
+def as_answers(events: DataFrame) -> DataFrame:
+    """Reader events, a table or a stream, as answers: an error fails, a view is hard, a click good, a purchase easy.
 
-
-def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reader events as answers: an error fails, a view is hard, a click good, a purchase easy."""
+    Other events, as signing up, answer nothing and are left out.
+    """
     k = F.get_json_object("props", "$.k").cast("int")
     quality = F.expr("CASE event_type WHEN 'error' THEN 0 WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 END")
-    rows = table(spark, sf_dir, "events").select("event_id", "ts", F.col("user_id").alias("reader"), (k % 7).alias("item"), quality.alias("quality"))
+    rows = events.select("event_id", "ts", F.col("user_id").alias("reader"), (k % 7).alias("item"), quality.alias("quality"))
     return rows.where("quality IS NOT NULL AND item IS NOT NULL")
 
 
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_answers(table(spark, sf_dir, "events"))
+
+
 def pace_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reader events as spans of speech: a voice at a rate spoke words for some milliseconds."""
     k = F.get_json_object("props", "$.k").cast("int")
@@ -61,5 +54,50 @@ def paper_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "reader", "ts", "day", paper.alias("paper"), "item", kind.alias("kind"), (F.col("quality") >= 2).alias("correct"))
 
 
+#: What becomes of a web page's markup, in this order: hidden parts go, headings and items get marks, blocks end lines.
+MARKUP = (
+    ("(?is)<script[^>]*>.*?</script>", ""),
+    ("(?is)<style[^>]*>.*?</style>", ""),
+    ("(?is)<title[^>]*>.*?</title>", ""),
+    ("(?s)<!--.*?-->", ""),
+    ("<h1[^>]*>", "\n\n# "),
+    ("<(h2[^>]*|p><b)>", "\n\n## "),
+    ("<h3[^>]*>", "\n\n### "),
+    ("<li[^>]*>", "\n- "),
+    ("</?(p|ul|ol|div|article|nav|br|h[1-6]|head|body|footer|section)[^>]*>", "\n\n"),
+    ("<[^>]*>", ""),
+    ("&lt;", "<"),
+    ("&gt;", ">"),
+    ("&amp;", "&"),
+)
+
+
+def page_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, text, source``: web pages as marked-up text; a bold start of a paragraph is a second-level heading."""
+    text = F.coalesce("html", F.lit(""))
+    for pattern, by in MARKUP:
+        text = F.regexp_replace(text, pattern, by)
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), text.alias("text"), F.regexp_extract("url", "://([^/]+)", 1).alias("source"))
+
+
+def reader_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``reader, doc_id, caret, checked``: reader events as reading of pages; the page is the event's number, two words a unit of value."""
+    rows = _reading(spark, sf_dir).groupBy("reader", "doc_id").agg(F.max("caret").alias("caret"))
+    return rows.withColumn("checked", (F.floor(F.col("caret") / 250) * 250).cast("int"))
+
+
+def spot_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``reader, doc_id, from, to, blanks, recalled``: clicks as answered spot checks; the latest of a window holds."""
+    rows = _reading(spark, sf_dir).where("event_type = 'click'").withColumn("to", (F.floor(F.col("caret") / 250) * 250 + 250).cast("int"))
+    last = rows.groupBy("reader", "doc_id", "to").agg(F.max(F.struct("ts", "event_id"))["event_id"].alias("e"))
+    return last.select("reader", "doc_id", (F.col("to") - 250).alias("from"), "to", F.lit(3).alias("blanks"), (F.col("e") % 4).cast("int").alias("recalled"))
+
+
+def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``reader, doc_id, section``: purchases as summaries of one of a page's first four sections."""
+    return _reading(spark, sf_dir).where("event_type = 'purchase'").select("reader", "doc_id", (F.col("event_id") % 4).cast("int").alias("section")).distinct()
 
 
+def _reading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("long")
+    return table(spark, sf_dir, "events").select("event_id", "ts", F.col("user_id").alias("reader"), "event_type", k.alias("doc_id"), F.floor(F.col("value") * 2).cast("int").alias("caret")).where("doc_id IS NOT NULL")

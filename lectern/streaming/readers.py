@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lectern.operators import reading, review
+from lectern.operators import library, reading, review
+from lectern.sources import tables
 
 WATERMARK = "1 hour"
 
@@ -25,8 +25,7 @@ def source(spark: SparkSession, sf_dir: str) -> DataFrame:
 def settled(stream: DataFrame, mode: str) -> DataFrame:
     """Runs a stream over all that is there and reads back what it wrote; the folder is shared where the cluster names one."""
     spark = stream.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    folder = f"{base.rstrip('/')}/lectern-stream/{spark.sql('SELECT uuid()').first()[0]}"
+    folder = library.shared_folder(spark, "lectern-stream")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("append").parquet(f"{folder}/out")
@@ -60,3 +59,9 @@ def item_state(stream: DataFrame) -> DataFrame:
         yield pd.DataFrame({"reader": [key[0]], "item": [key[1]], "ease": [round(ease, 6)], "reps": [reps], "lapses": [lapses]})
 
     return stream.groupBy("reader", "item").applyInPandasWithState(fold, output, state, "update", GroupStateTimeout.NoTimeout)
+
+
+def item_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of every item after all answers: the last row that the stream wrote for it."""
+    out = settled(item_state(tables.as_answers(source(spark, sf_dir))), "update")
+    return out.groupBy("reader", "item").agg(F.max_by(F.struct("ease", "reps", "lapses"), "_batch").alias("s")).select("reader", "item", "s.*")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import expr
-from lectern.operators import library, reading, review, text, vocab
+from lectern.operators import coverage, library, reading, review, structure, text, vocab
 
 
 def docs(spark, *texts):
@@ -17,7 +17,7 @@ def one(spark, column):
 
 
 def test_sentences_keep_abbreviations_together(spark):
-    got = [r.text for r in text.sentences(docs(spark, 'We met Dr. Smith. He left! "Why?" Nobody knew, e.g. us.')).orderBy("sentence").collect()]
+    got = [r.sentence for r in structure.sentences(text.blocks(docs(spark, 'We met Dr. Smith. He left! "Why?" Nobody knew, e.g. us.')), "line").orderBy("at").collect()]
     assert got == ["We met Dr. Smith.", "He left!", '"Why?"', "Nobody knew, e.g. us."]
 
 
@@ -80,3 +80,29 @@ def test_item_state_stream_equals_the_batch_fold(spark, tmp_path):
     out = readers.settled(readers.item_state(spark.readStream.schema(log.schema).parquet(str(tmp_path / "in"))), "update")
     got = {(r.reader, r.item): (r.ease, r.reps, r.lapses) for r in out.collect()}
     assert got == {(r.reader, r.item): (r.ease, r.reps, r.lapses) for r in review.review_state(log).collect()}
+
+
+def test_capped_sentences(spark):
+    long = "word " * 20 + "and then, " + "word " * 30 + "end"
+    got = spark.createDataFrame([(long,), ("short one.",), ("x" * 400,)], "s string").select(structure.capped(F.col("s")).alias("p")).collect()
+    assert got[0].p[0] == ("word " * 20 + "and then,") and " ".join(got[0].p) == long and all(len(x) <= 180 for x in got[0].p)
+    assert got[1].p == ["short one."] and [len(x) for x in got[2].p] == [180, 180, 40]
+
+
+def test_sections_of_marked_text(spark):
+    text = "intro words here\n\n# One\n\n" + "a b c d e " * 80 + "\n\n- item\n1. first\n\n" + "f g h " * 150 + "\n\nlast\n\n## References\n\nx y"
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    b = structure.blocks(d).orderBy("block").collect()
+    assert [x.kind for x in b] == ["p", "h1", "p", "li", "li", "p", "p", "h2", "p"]
+    s = structure.sections(structure.blocks(d)).orderBy("section").collect()
+    assert [(x.title, x.level, x.part) for x in s] == [("Opening", 0, None), ("One", 1, 1), ("One (part 2)", 2, 2), ("References", 2, None)]
+    assert s[3].furniture and not s[3].intercept and s[1].intercept and s[-1].token_to == sum(x.words for x in b)
+
+
+def test_read_share_and_ladder(spark):
+    share = spark.range(1).select(*(coverage.read_share(F.lit(c), F.lit(0), F.lit(10)).alias(f"c{c + 1}") for c in (-1, 4, 9))).first()
+    assert list(share) == [0.0, 0.5, 1.0]
+    heard = spark.createDataFrame([(1, i, 100 * (i + 1), i // 3) for i in range(9)], "doc_id long, chunk int, stop long, section int")
+    owing = spark.createDataFrame([(1, 0, True), (1, 1, False), (1, 2, False)], "doc_id long, section int, owes boolean")
+    got = [(r.chunk, r.event) for r in coverage.ladder(heard, owing).orderBy("chunk").collect()]
+    assert got == [(2, "summary"), (3, "cloze"), (6, "cloze")]
