@@ -36,10 +36,14 @@ def answer_key(text: Column) -> Column:
     return F.regexp_replace(F.trim(t), "s$", "")
 
 
+#: Spellings of one sound and the common one, in this order.
+SOUNDS = (("ph", "f"), ("ck", "k"), ("c([eiy])", "s$1"), ("c", "k"), ("q", "k"), ("z", "s"), ("x", "ks"))
+
+
 def sound_key(text: Column) -> Column:
     """A word's consonants in a common spelling; a leading vowel stays, doubled sounds are one."""
     t = F.regexp_replace(F.lower(text), "[^a-z]", "")
-    for pattern, by in (("ph", "f"), ("ck", "k"), ("c([eiy])", "s$1"), ("c", "k"), ("q", "k"), ("z", "s"), ("x", "ks")):
+    for pattern, by in SOUNDS:
         t = F.regexp_replace(t, pattern, by)
     t = F.concat(F.substring(t, 1, 1), F.regexp_replace(F.substring(t, 2, 1_000_000), "[aeiou]", ""))
     letters = F.filter(F.split(t, ""), lambda c: c != "")

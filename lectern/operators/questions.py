@@ -46,7 +46,11 @@ def item_ids(docs: DataFrame) -> DataFrame:
 
 
 def seeded_shuffle(rows: DataFrame, key: str, seed: str) -> DataFrame:
-    """``rows(key)`` with their place in the order of the seeded hash, inside each hash bucket of 256."""
+    """``rows(key)`` with their place in the order of the seeded hash: in a bucket of hashes, after those of the buckets before."""
     h = fnv1a(F.concat(F.lit(seed), F.col(key).cast("string")))
-    out = rows.select(key, h.alias("h")).withColumn("bucket", F.floor(F.col("h") / (1 << 24)))
-    return out.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("h", key))).select(key, "h", "bucket", "place")
+    out = rows.select(key, h.alias("h")).withColumn("bucket", F.floor(F.col("h") / (1 << 20)))
+    sizes = out.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))  # 4096 rows at most
+    inner = F.row_number().over(Window.partitionBy("bucket").orderBy("h", key))
+    return out.withColumn("inner", inner).join(F.broadcast(bases), "bucket").select(key, "h", (F.col("base") + F.col("inner")).alias("place"))

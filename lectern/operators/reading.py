@@ -77,6 +77,16 @@ def value_windows(events: DataFrame, size: str = "1 hour") -> DataFrame:
     return events.groupBy(w.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("events"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("started"), "event_type", "events", "total")
 
 
+def wpm_windows(samples: DataFrame) -> DataFrame:
+    """``kind, started, words, wpm``: words a minute by the hour, and by the hour at each quarter of one."""
+
+    def by(kind: str, w: Column) -> DataFrame:
+        rows = samples.groupBy(w.alias("w")).agg(F.sum("words").alias("words"), F.sum("ms").alias("ms")).where("ms > 0")
+        return rows.select(F.lit(kind).alias("kind"), F.col("w.start").alias("started"), "words", half_up(F.col("words") / (F.col("ms") / 60000)).alias("wpm"))
+
+    return by("tumbling", F.window("ts", "1 hour")).unionByName(by("sliding", F.window("ts", "1 hour", "15 minutes")))
+
+
 def latency_ema(events: DataFrame, keep: float = 0.7) -> DataFrame:
     """``reader, ema``: values smoothed in order of time, the first as it is."""
     log = events.groupBy(F.col("user_id").alias("reader")).agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "value"))).alias("log"))

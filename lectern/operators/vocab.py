@@ -32,21 +32,24 @@ def acronym_tags(docs: DataFrame) -> DataFrame:
 
 
 def acronym_expansions(docs: DataFrame) -> DataFrame:
-    """``doc_id, block, spoken``: blocks that hold an acronym, with the acronyms written out."""
-    pairs = F.create_map(*(F.lit(x) for k, e, _ in ACRONYMS for x in (k, e)))
-    words = F.transform(F.split("line", " "), lambda w: F.coalesce(F.try_element_at(pairs, w), w))
-    return text.blocks(docs).select("doc_id", "block", "line", F.array_join(words, " ").alias("spoken")).where("spoken <> line").drop("line")
+    """``doc_id, block, spoken``: blocks that hold an acronym, with the acronyms written out inside their shells, plurals kept."""
+    forms = F.create_map(*(F.lit(x) for k, e, _ in ACRONYMS for end in ("", "s", "'s", "’s") for x in (k + end, e + end)))
+    core = lambda w: F.regexp_extract(w, CORE, 1)
+    words = F.transform(F.split("line", " "), lambda w: F.coalesce(F.replace(w, core(w), F.try_element_at(forms, core(w))), w))
+    return text.blocks(docs).where(F.col("line").rlike("[A-Z]")).select("doc_id", "block", "line", F.array_join(words, " ").alias("spoken")).where("spoken <> line").drop("line")
 
 
 def names(docs: DataFrame) -> DataFrame:
     """``doc_id, name, n``: runs of capitalised words inside a block's sentences, from two occurrences on.
 
-    A run is broken by a word in lower case and by punctuation; the first word of a sentence starts none.
+    A run is broken by a word in lower case and by punctuation; the first word of a sentence starts none. Spaces are
+    doubled, so that two runs side by side have one each.
     """
-    clean = F.regexp_replace("line", r"([.!?][\"')\]]*)\s+[^ ]+", "$1 ")
-    runs = F.regexp_extract_all(F.concat(F.lit(" "), F.regexp_replace(clean, "^[^ ]+", ""), F.lit(" ")), F.lit(r" ([A-Z][a-z]+(?: [A-Z][a-z]+){0,7})[,.;:!?]?(?= )"), 1)
+    clean = F.regexp_replace(F.regexp_replace("line", r"([.!?][\"')\]]*)\s+[^ ]+", "$1 "), "^[^ ]+", "")
+    spaced = F.regexp_replace(F.concat(F.lit(" "), clean, F.lit(" ")), " ", "  ")
+    runs = F.regexp_extract_all(spaced, F.lit(r" ([A-Z][a-z]+(?:  [A-Z][a-z]+){0,7})[,.;:!?]? "), 1)
     found = text.blocks(docs).select("doc_id", F.explode(runs).alias("name"))
-    return found.groupBy("doc_id", "name").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    return found.groupBy("doc_id", F.replace("name", F.lit("  "), F.lit(" ")).alias("name")).agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
 
 
 def merged_names(docs: DataFrame) -> DataFrame:

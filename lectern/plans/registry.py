@@ -11,7 +11,7 @@ from lectern.functions import expr
 from lectern.operators import library, questions, reading, review, text, topics, vocab
 from lectern.sources import tables as t
 from lectern.plans import study, study_sql
-from lectern.plans.registry_sql import ANSWERS, ASKED, BLOCKS, CATALOG, CORE, DOCS, FNV, HITS, KEY, MERGE, PACE, PAPERS, SALIENT, STATE, TOPICS
+from lectern.plans.registry_sql import ACRONYM_ROWS, ANSWERS, ASKED, BLOCKS, CATALOG, CORE, DOCS, ENTITIES, FNV, HITS, KEY, MERGE, PACE, PAPERS, SALIENT, STATE, TOPICS
 from lectern.streaming import readers
 
 PHRASE, SEARCH, NOW, TODAY = "of the", "src1 en", "2024-02-01 00:00:00", "1998-06-01"
@@ -54,7 +54,6 @@ QUERIES: dict[str, Query] = {
     "tokens": lambda s, d: text.tokens(t.docs(s, d)).groupBy("doc_id", "block").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("last"), F.sum(F.length("word")).alias("chars")),
     "clauses": lambda s, d: text.clauses(t.docs(s, d)),
     "block_words": lambda s, d: text.block_words(t.docs(s, d)),
-    "pacing_checkpoints": lambda s, d: text.sections(t.docs(s, d)),
     "read_time": lambda s, d: text.reading_times(t.docs(s, d)),
     "repeated_lines": lambda s, d: text.repeated_lines(t.docs(s, d)),
     "shared_lines": lambda s, d: text.frequent_lines(t.docs(s, d)),
@@ -71,9 +70,6 @@ QUERIES: dict[str, Query] = {
     "phrase_docs": lambda s, d: vocab.phrase_docs(t.docs(s, d), PHRASE),
     "catalog_search": lambda s, d: vocab.catalog_search(t.docs(s, d), SEARCH),
     "required_topics": lambda s, d: topics.required_topics(t.table(s, d, "benchmark")),
-    "topic_match": lambda s, d: topics.topic_match(t.docs(s, d), t.table(s, d, "benchmark")),
-    "topic_coverage": lambda s, d: topics.topic_coverage(t.docs(s, d), t.table(s, d, "benchmark")),
-    "topic_gaps": lambda s, d: topics.topic_gaps(t.docs(s, d), t.table(s, d, "benchmark")),
     "near_miss_alarm": lambda s, d: topics.near_misses(t.table(s, d, "part"), NAMES),
     "term_salience": lambda s, d: questions.salient_terms(t.docs(s, d)),
     "cloze_candidates": lambda s, d: questions.asked_terms(t.docs(s, d)),
@@ -98,7 +94,7 @@ QUERIES: dict[str, Query] = {
     "pace_solve": lambda s, d: reading.pace_solve(t.pace_samples(s, d)),
     "presence_lapses": lambda s, d: reading.presence_lapses(t.table(s, d, "events")),
     "away_sessions": lambda s, d: reading.sessions(t.table(s, d, "events")),
-    "wpm_windows": lambda s, d: reading.value_windows(t.table(s, d, "events")),
+    "wpm_windows": lambda s, d: reading.wpm_windows(t.pace_samples(s, d)),
     "latency_ema": lambda s, d: reading.latency_ema(t.table(s, d, "events")),
     "away_sessions_stream": readers.sessions,
     "wpm_windows_stream": readers.windows,
@@ -110,6 +106,10 @@ QUERIES: dict[str, Query] = {
     "stale_rows": lambda s, d: library.stale_rows(_catalog(s, d), _index(s, d)),
 }
 
+_SOUND = "regexp_replace(lower(word), '[^a-z]', '', 'g')"
+for _pattern, _by in expr.SOUNDS:
+    _SOUND = f"regexp_replace({_SOUND}, '{_pattern}', '{_by.replace('$', chr(92))}', 'g')"
+
 SQL: dict[str, str] = {
     "src_documents": f"WITH {DOCS} SELECT doc_id, title, length(text)::INTEGER AS n_chars FROM dt",
     "doc_catalog": f"WITH {CATALOG} SELECT * FROM ct",
@@ -132,15 +132,11 @@ SELECT doc_id, key, expansion, count(*) AS n FROM w JOIN fo USING (core) GROUP B
     "phrase_docs": f"WITH {HITS} SELECT doc_id, sum(hits)::BIGINT AS total FROM h GROUP BY 1",
     "catalog_search": f"WITH {DOCS} SELECT doc_id, title, source FROM dt WHERE contains(lower(concat_ws(' ', title, source, lang)), 'src1') AND contains(lower(concat_ws(' ', title, source, lang)), 'en')",
     "required_topics": f"WITH {TOPICS} SELECT topic, title, groups FROM rq",
-    "topic_match": f"WITH {TOPICS} SELECT doc_id, block, topic, words FROM un JOIN rq USING (topic)",
-    "topic_coverage": f"""WITH {TOPICS}, m AS (SELECT topic, count(DISTINCT doc_id) AS docs, sum(words)::BIGINT AS words FROM un GROUP BY 1)
-SELECT topic, coalesce(docs, 0) AS docs, coalesce(words, 0)::BIGINT AS words, CASE WHEN docs IS NULL THEN 'absent' WHEN docs = 1 THEN 'single' ELSE 'covered' END AS state FROM rq LEFT JOIN m USING (topic)""",
-    "topic_gaps": f"WITH {TOPICS} SELECT topic, groups FROM rq WHERE topic NOT IN (SELECT topic FROM un)",
     "near_miss_alarm": f"""WITH n(near) AS (VALUES {', '.join(f"('{x}')" for x in NAMES)}), p AS (SELECT DISTINCT p_name FROM part WHERE length(p_name) >= 8)
 SELECT p_name, near, levenshtein(p_name, near)::INTEGER AS distance FROM p, n WHERE levenshtein(p_name, near) BETWEEN 1 AND 2""",
     "term_salience": f"WITH {SALIENT} SELECT * FROM ss",
     "cloze_candidates": f"WITH {ASKED} SELECT * FROM sr",
-    "seeded_shuffle": f"WITH h AS (SELECT o_orderkey, {FNV.format(chr(39) + 'seed' + chr(39) + ' || o_orderkey')} AS h FROM orders) SELECT o_orderkey, h, (h // 16777216)::BIGINT AS bucket, row_number() OVER (PARTITION BY h // 16777216 ORDER BY h, o_orderkey)::INTEGER AS place FROM h",
+    "seeded_shuffle": f"WITH h AS (SELECT o_orderkey, {FNV.format(chr(39) + 'seed' + chr(39) + ' || o_orderkey')} AS h FROM orders) SELECT o_orderkey, h, row_number() OVER (ORDER BY h, o_orderkey) AS place FROM h",
     "review_state": f"WITH {STATE} SELECT * FROM st",
     "answers_upsert_stream": f"WITH {STATE} SELECT reader, item, ease, reps, lapses FROM st",
     "difficulty": f"WITH {STATE} SELECT * FROM df",
@@ -166,7 +162,21 @@ e AS (SELECT *, greatest(1, floor((intercept + slope * rate) / 5 + 0.5) * 5)::BI
     "presence_lapses": "WITH g AS (SELECT user_id AS reader, epoch_ms(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_ms(ts) AS gap FROM events) SELECT reader, count(*) FILTER (gap > 93500) AS lapses FROM g GROUP BY 1",
     "away_sessions": """WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 15 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id AS reader, min(ts) AS started, max(ts) + INTERVAL 15 MINUTE AS ended, count(*) AS events FROM s GROUP BY user_id, k""",
-    "wpm_windows": "SELECT date_trunc('hour', ts) AS started, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY ALL",
+    "wpm_windows": f"""WITH {PACE}, w AS (SELECT 'tumbling' AS kind, date_trunc('hour', ts) AS started, words, ms FROM p UNION ALL SELECT 'sliding', time_bucket(INTERVAL 15 MINUTE, ts) - k * INTERVAL 15 MINUTE, words, ms FROM p, range(4) r(k))
+SELECT kind, started, sum(words)::BIGINT AS words, floor(sum(words) / (sum(ms) / 60000.0::DOUBLE) + 0.5)::BIGINT AS wpm FROM w GROUP BY ALL HAVING sum(ms) > 0""",
+    "orp_index": f"""WITH {BLOCKS}, w AS (SELECT DISTINCT word, list_filter(string_split(word, ''), lambda c: c <> '') AS l FROM tk), p AS (SELECT word, list_filter(range(len(l)), lambda i: regexp_matches(l[i + 1], '[A-Za-z0-9À-ɏ]')) AS pl FROM w)
+SELECT word, coalesce(pl[CASE WHEN len(pl) <= 1 THEN 0 WHEN len(pl) <= 5 THEN 1 WHEN len(pl) <= 9 THEN 2 ELSE 3 END + 1], 0)::INTEGER AS pivot FROM p""",
+    "sound_key": f"""WITH {BLOCKS}, w AS (SELECT DISTINCT word FROM tk), r AS (SELECT word, {_SOUND} AS t FROM w), c AS (SELECT word, substring(t, 1, 1) || regexp_replace(substring(t, 2), '[aeiou]', '', 'g') AS t FROM r),
+l AS (SELECT word, list_filter(string_split(t, ''), lambda x: x <> '') AS l FROM c) SELECT word, array_to_string(list_filter(l, lambda x, i: i = 1 OR x <> l[i - 1]), '') AS key FROM l""",
+    "latency_ema": "SELECT user_id AS reader, round(list_reduce(list(value ORDER BY ts, event_id), lambda s, x: s * 0.7 + x * 0.3), 6) AS ema FROM events GROUP BY 1",
+    "acronym_expand": f"""WITH {BLOCKS}, fm AS (SELECT k || e AS form, x || e AS spoken FROM (SELECT key AS k, expansion AS x, unnest(['', 's', chr(39) || 's', '’s']) AS e FROM ({ACRONYM_ROWS}))),
+w AS (SELECT doc_id, block, "at", word, {CORE} AS core FROM tk), e AS (SELECT doc_id, block, string_agg(CASE WHEN spoken IS NULL THEN word ELSE replace(word, core, spoken) END, ' ' ORDER BY "at") AS spoken, count(spoken) AS n FROM w LEFT JOIN fm ON form = core GROUP BY 1, 2)
+SELECT doc_id, block, spoken FROM e WHERE n > 0""",
+    "entity_doc": f"WITH {ENTITIES} SELECT * FROM en",
+    "entity_corpus": f"WITH {ENTITIES} SELECT name, count(*) AS docs, sum(n)::BIGINT AS n FROM en GROUP BY 1",
+    "item_ids": f"WITH {ASKED} SELECT DISTINCT doc_id, doc_id || ':cloze:' || substring(regexp_replace(regexp_replace(lower(term), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 48) AS item FROM sr",
+    "read_time": f"""WITH {DOCS}, r AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))::INTEGER AS words FROM d), q AS (SELECT *, words / 185.0::DOUBLE * 60 AS s FROM r),
+m AS (SELECT *, floor(s / 60)::BIGINT AS m, floor(s % 60 + 0.5)::BIGINT AS k FROM q) SELECT doc_id, words, round(s, 3) AS seconds, CASE WHEN s <= 0 THEN '0s' WHEN m = 0 THEN k || 's' WHEN m < 60 THEN CASE WHEN k > 0 THEN m || 'm ' || k || 's' ELSE m || 'm' END ELSE (m // 60) || 'h ' || (m % 60) || 'm' END AS label FROM m""",
     "wpm_windows_stream": "SELECT date_trunc('hour', ts) AS started, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "snapshot_describe": " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n FROM {n}" for n in ("documents", "events", "labels", "orders")),
     "restore_merge": f"WITH {MERGE} SELECT * FROM m",

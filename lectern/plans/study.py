@@ -156,7 +156,26 @@ def _names(s: SparkSession, d: str) -> DataFrame:
 def _shared_names(s: SparkSession, d: str) -> DataFrame:
     """Names of at least two documents that hold a text."""
     merged = _names(s, d).groupBy("name").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"))
-    return merged.where((F.col("docs") >= 2) & F.contains(F.lower("name"), F.lit("er")))
+    return merged.where((F.col("docs") >= 2) & F.contains(F.lower("name"), F.lit("e")))
+
+
+def _line_blocks(s: SparkSession, d: str) -> DataFrame:
+    """Lines of documents as blocks of prose."""
+    from pyspark.sql import Window
+
+    rows = text.blocks(t.docs(s, d)).select("doc_id", "block", F.lit("p").alias("kind"), F.col("line").alias("text"), F.size(F.filter(F.split("line", " "), lambda w: w != "")).alias("words"))
+    before = Window.partitionBy("doc_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("start", F.coalesce(F.sum("words").over(before), F.lit(0)))
+
+
+def _matched(s: SparkSession, d: str) -> DataFrame:
+    from lectern.functions.expr import title_key
+
+    return _units(s, d).withColumn("topic", title_key(F.col("title"))).join(_page_topics(s, d).select("topic"), "topic").select("reader", "doc_id", "section", "topic", "words")
+
+
+def _topic_states(s: SparkSession, d: str) -> DataFrame:
+    return coverage.topic_coverage(coverage.exclusive(_units(s, d), _page_topics(s, d)), _page_topics(s, d)).drop("groups")
 
 
 def _exported(s: SparkSession, d: str) -> DataFrame:
@@ -270,8 +289,9 @@ QUERIES = {
     "demands_summary": lambda s, d: structure.owing(_page_sections(s, d)).select("doc_id", "section", "owes"),
     "content_words": lambda s, d: structure.content(_page_sections(s, d)).select("doc_id", "content_words"),
     "first_content": lambda s, d: structure.content(_page_sections(s, d)).select("doc_id", "first_token"),
-    "fold_checkpoints": lambda s, d: structure.folded(structure.sections(_doc_blocks(s, d))),
+    "fold_checkpoints": lambda s, d: structure.folded(structure.sections(_line_blocks(s, d))),
     "sentences": lambda s, d: structure.sentences(text.blocks(t.docs(s, d)), "line").select("doc_id", "block", F.col("at").alias("sentence"), F.col("sentence").alias("text")),
+    "pacing_checkpoints": lambda s, d: structure.sections(_line_blocks(s, d)).select("doc_id", "section", "title", "part", "block_from", "block_to", "words"),
     "cap_length": _chunks,
     "bionic_split": lambda s, d: text.tokens(t.docs(s, d)).select("word").distinct().select("word", F.substring("word", F.lit(1), structure.lead_letters(F.col("word"))).alias("lead")),
     "entity_filter": _shared_names,
@@ -281,7 +301,9 @@ QUERIES = {
     "short_name": lambda s, d: t.table(s, d, "customer").select("c_custkey", vocab.short_name(F.concat(F.lit("Google "), F.col("c_mktsegment"), F.lit(" voice - "), F.col("c_name"))).alias("label")),
     "coverage_units": _units,
     "unit_exclusive": lambda s, d: coverage.exclusive(_units(s, d), _page_topics(s, d)),
-    "topic_states": lambda s, d: coverage.topic_coverage(coverage.exclusive(_units(s, d), _page_topics(s, d)), _page_topics(s, d)).drop("groups"),
+    "topic_match": _matched,
+    "topic_coverage": _topic_states,
+    "topic_gaps": lambda s, d: _topic_states(s, d).where("state = 'absent'").select("topic"),
     "group_coverage": lambda s, d: coverage.group_coverage(coverage.topic_coverage(coverage.exclusive(_units(s, d), _page_topics(s, d)), _page_topics(s, d))),
     "cloze_windows": _candidates,
     "cloze_carriers": _carriers,

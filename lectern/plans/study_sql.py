@@ -97,6 +97,8 @@ HEARD = f"""{SECTIONS}, {_chunks("p")}, hr AS (SELECT c.*, s.section, s.furnitur
 DOC_BLOCKS = f"{DOCS}, {_blocks('d', 'd')}"
 DOC_CHUNKS = f"{DOC_BLOCKS}, {_chunks('d')}"
 
+LINES = f"""{LINE_BLOCKS}, dbk AS (SELECT doc_id, block, 'p' AS kind, line AS text, len(words)::INTEGER AS words, coalesce(sum(len(words)) OVER (PARTITION BY doc_id ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM bw)"""
+
 READING = """rd AS (SELECT event_id, ts, user_id AS reader, event_type, (props->>'$.k')::BIGINT AS doc_id, floor(value * 2)::INTEGER AS caret FROM events WHERE (props->>'$.k') IS NOT NULL),
 se AS (SELECT reader, doc_id, max(caret) AS caret, (floor(max(caret) / 250) * 250)::INTEGER AS checked FROM rd GROUP BY 1, 2),
 wn AS (SELECT reader, doc_id, (w - 250)::INTEGER AS "from", w AS "to", 3 AS blanks, (arg_max(event_id, (ts, event_id)) % 4)::INTEGER AS recalled FROM (SELECT *, (floor(caret / 250) * 250 + 250)::INTEGER AS w FROM rd WHERE event_type = 'click') GROUP BY reader, doc_id, w),
@@ -191,14 +193,14 @@ SQL = {
     "demands_summary": f"{W}{SECTIONS} SELECT doc_id, section, owes FROM pow",
     "content_words": f"{W}{SECTIONS} SELECT doc_id, sum(CASE WHEN furniture THEN 0 ELSE words END)::BIGINT AS content_words FROM psx GROUP BY 1",
     "first_content": f"{W}{SECTIONS} SELECT doc_id, coalesce(min(token_from) FILTER (NOT furniture AND words > 0), 0) AS first_token FROM psx GROUP BY 1",
-    "fold_checkpoints": f"""{W}{DOC_BLOCKS}, {_sections("d")}, g0 AS (SELECT *, CASE WHEN coalesce(part, 1) > 1 AND lag(base) OVER (PARTITION BY doc_id ORDER BY section) = base THEN 0 ELSE 1 END AS new FROM dsx),
+    "fold_checkpoints": f"""{W}{LINES}, {_sections("d")}, g0 AS (SELECT *, CASE WHEN coalesce(part, 1) > 1 AND lag(base) OVER (PARTITION BY doc_id ORDER BY section) = base THEN 0 ELSE 1 END AS new FROM dsx),
 g1 AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY section ROWS UNBOUNDED PRECEDING) AS run FROM g0) SELECT doc_id, min(section) AS section, any_value(base) AS base, count(*) AS parts, sum(words)::BIGINT AS words, max(token_to) AS token_to FROM g1 GROUP BY doc_id, run""",
     "cap_length": f"{W}{DOC_CHUNKS} SELECT * FROM dch",
     "sentences": f"""WITH {LINE_BLOCKS}, dbk AS (SELECT doc_id, block, 'p' AS kind, line AS text FROM b), {_sentences("d")} SELECT doc_id, block, (row_number() OVER (PARTITION BY doc_id, block ORDER BY s) - 1)::INTEGER AS sentence, sentence AS text FROM dq4""",
     "bionic_split": f"""{W}{DOC_BLOCKS}, w AS (SELECT DISTINCT unnest(list_filter(string_split(line, ' '), lambda x: x <> '')) AS word FROM (SELECT {SQUEEZE.format("unnest(string_split(text, chr(10)))")} AS line FROM d)),
 l AS (SELECT word, length(regexp_extract(word, '^([^A-Za-zÀ-ɏ]*)', 1)) AS h, length(regexp_extract(word, '^[^A-Za-zÀ-ɏ]*([A-Za-zÀ-ɏ][A-Za-zÀ-ɏ''’-]*)', 1)) AS n FROM w)
 SELECT word, substring(word, 1, CASE WHEN n = 0 THEN length(word) ELSE h + CASE WHEN n <= 3 THEN 1 ELSE greatest(1, floor(n * 0.45::DOUBLE + 0.5)::INTEGER) END END) AS lead FROM l""",
-    "entity_filter": f"{W}{NAMES} SELECT name, count(*) AS docs, sum(n)::BIGINT AS n FROM nm WHERE contains(lower(name), 'er') GROUP BY 1 HAVING count(*) >= 2",
+    "entity_filter": f"{W}{NAMES} SELECT name, count(*) AS docs, sum(n)::BIGINT AS n FROM nm WHERE contains(lower(name), 'e') GROUP BY 1 HAVING count(*) >= 2",
     "section_anchors": f"""{W}{TOKENS}, {_sections("d")}, z0 AS (SELECT s.doc_id, x.section AS part, s.acronym, s.core, s.score FROM dsl s JOIN dsx x ON s.doc_id = x.doc_id AND s.block >= x.block_from AND s.block < x.block_to),
 zt AS (SELECT s.doc_id, x.section AS part, s.acronym FROM dtg s JOIN dsx x ON s.doc_id = x.doc_id AND s.block >= x.block_from AND s.block < x.block_to WHERE s.acronym IS NOT NULL),
 z1 AS (SELECT doc_id, part, acronym AS label, 'acronym' AS kind, count(*) AS n FROM zt GROUP BY ALL UNION ALL SELECT doc_id, part, core, 'term', count(*) FROM z0 WHERE acronym IS NULL AND score = 3 GROUP BY ALL HAVING count(*) >= 2),
@@ -210,7 +212,10 @@ SELECT item_id, array_to_string(list_sort(list_distinct(list_filter([l, l || 's'
     "short_name": r"SELECT c_custkey, trim(regexp_replace(regexp_replace('Google ' || c_mktsegment || ' voice - ' || c_name, '(?i)^(microsoft|google|apple)\s+', ''), '\s*-\s*[^-]+$', '')) AS label FROM customer",
     "coverage_units": f"{W}{UNITS} SELECT * FROM ut",
     "unit_exclusive": f"{W}{TOPICS} SELECT * FROM ex",
-    "topic_states": f"{W}{TOPICS} SELECT * EXCLUDE (groups) FROM tc",
+    "topic_match": f"{W}{TOPICS} SELECT reader, doc_id, section, topic, words FROM x0",
+    "topic_coverage": f"{W}{TOPICS} SELECT * EXCLUDE (groups) FROM tc",
+    "topic_gaps": f"{W}{TOPICS} SELECT topic FROM tc WHERE state = 'absent'",
+    "pacing_checkpoints": f"{W}{LINES}, {_sections('d')} SELECT doc_id, section, title, part, block_from, block_to, words FROM dsx",
     "group_coverage": f"""{W}{TOPICS}, g AS (SELECT unnest(groups) AS grp, state FROM tc) SELECT grp, count(*) AS topics, {', '.join(f"count(*) FILTER (state = '{s}') AS {s}" for s in ("absent", "unread", "unchecked", "partial", "verified"))} FROM g GROUP BY 1""",
     "cloze_windows": f"{W}{CANDIDATES} SELECT * FROM ca",
     "cloze_carriers": f"{W}{TOKENS}, {CARRIERS} SELECT * FROM cr",
