@@ -311,7 +311,8 @@ def _altered(text: str, spans: list[Span], turn: int) -> tuple[str, list[Span]]
     if k == 3:
         new = (s.lstrip("+"), s.replace("(", "").replace(")", "").replace(" ", "-"), s.split(" ", 1)[-1], s.replace(" ", "."))[turn % 4]
     elif k == 2:
-        new = ("-".join(s[i : i + 4] for i in range(0, len(s), 4)), " ".join(s[i : i + 4] for i in range(0, len(s), 4)))[turn % 2]
+        digits = "".join(_DIGIT.findall(s))
+        new = ("-", " ", ".", "  ", "/")[turn % 5].join(digits[i : i + 4] for i in range(0, len(digits), 4))
     elif k == 0:
         new = (s.replace("@", " @ "), s.upper(), s.replace(".", " . "))[turn % 3]
     elif k == 1:
