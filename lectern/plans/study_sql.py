@@ -164,7 +164,7 @@ QUOTA = round(papers.PAPER * papers.SHARES[0][1] / sum(s for _, s in papers.SHAR
 PAPER = f"""{POOL}, e0 AS (SELECT *, {FNV.format(f"'{SEED}:docs' || doc_id")} AS h FROM po), e1 AS (SELECT * FROM e0 QUALIFY row_number() OVER (PARTITION BY meaning ORDER BY h, place, id) = 1),
 e2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY place, id) AS r FROM e1), e3 AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY r, h, id) AS q FROM e2 QUALIFY q <= {papers.PAPER}),
 e4 AS (SELECT *, CASE WHEN q > CASE WHEN kind = 'cloze' THEN {QUOTA} ELSE {papers.PAPER - QUOTA} END THEN 1 ELSE 0 END AS ov FROM e3),
-pp2 AS (SELECT row_number() OVER (ORDER BY ov, r, h, kind, id)::INTEGER AS place, id, kind, doc_id FROM e4 QUALIFY place <= {papers.PAPER})"""
+e5 AS (SELECT row_number() OVER (ORDER BY ov, r, h, kind, id)::INTEGER AS rn, id, kind, doc_id FROM e4), pp2 AS (SELECT rn AS place, id, kind, doc_id FROM e5 WHERE rn <= {papers.PAPER})"""
 NAMES = f"{TOKENS}, nm AS (SELECT doc_id, core AS name, count(*) AS n FROM dsl WHERE score = 3 GROUP BY ALL HAVING count(*) >= 2)"
 ANSWER = r"regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[’'']s\b', '', 'g'), '[^a-z0-9%. ]+', ' ', 'g'), ' +', ' ', 'g')), 's$', '')"
 FORMS = f"""f0 AS (SELECT item_id, list_filter(list_transform(regexp_split_to_array(string_split(coalesce(text, ''), chr(10))[1], '\\s+'), lambda word: {CORE}), lambda x: x <> '') AS w FROM benchmark),
