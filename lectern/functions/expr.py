@@ -50,20 +50,24 @@ def sound_key(text: Column) -> Column:
     return F.array_join(F.filter(letters, lambda c, i: (i == 0) | (c != F.get(letters, i - 1))), "")
 
 
+#: Inline marks and what stays of them, in this order.
+INLINE = (
+    (r"!\[[^\]]*\]\([^)]*\)", ""),
+    (r"\[([^\]]+)\]\([^)]*\)", "$1"),
+    (r"</?[a-zA-Z][^>]*>", ""),
+    (r"`([^`]+)`", "$1"),
+    (r"\*\*([^*]+)\*\*", "$1"),
+    (r"__([^_]+)__", "$1"),
+    (r"~~([^~]+)~~", "$1"),
+    (r"[ \t]+([,.;:!?])", "$1"),
+    (r"[ \t]+", " "),
+)
+
+
 def plain_inline(text: Column) -> Column:
     """Text without inline marks: images, links, tags, code, emphasis, escapes, spaces before stops."""
     t = text
-    for pattern, by in (
-        (r"!\[[^\]]*\]\([^)]*\)", ""),
-        (r"\[([^\]]+)\]\([^)]*\)", "$1"),
-        (r"</?[a-zA-Z][^>]*>", ""),
-        (r"`([^`]+)`", "$1"),
-        (r"\*\*([^*]+)\*\*", "$1"),
-        (r"__([^_]+)__", "$1"),
-        (r"~~([^~]+)~~", "$1"),
-        (r"[ \t]+([,.;:!?])", "$1"),
-        (r"[ \t]+", " "),
-    ):
+    for pattern, by in INLINE:
         t = F.regexp_replace(t, pattern, by)
     return F.trim(t)
 

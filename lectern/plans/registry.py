@@ -110,7 +110,12 @@ _SOUND = "regexp_replace(lower(word), '[^a-z]', '', 'g')"
 for _pattern, _by in expr.SOUNDS:
     _SOUND = f"regexp_replace({_SOUND}, '{_pattern}', '{_by.replace('$', chr(92))}', 'g')"
 
+_PLAIN = "coalesce(html, '')"
+for _pattern, _by in expr.INLINE:
+    _PLAIN = f"regexp_replace({_PLAIN}, '{_pattern}', '{_by.replace('$', chr(92))}', 'g')"
+
 SQL: dict[str, str] = {
+    "clean_inline": f"SELECT page_id, md5(trim({_PLAIN})) AS digest FROM pages",
     "src_documents": f"WITH {DOCS} SELECT doc_id, title, length(text)::INTEGER AS n_chars FROM dt",
     "doc_catalog": f"WITH {CATALOG} SELECT * FROM ct",
     "lines": f"WITH {DOCS}, l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) SELECT doc_id, count(*) AS n, max(length(line))::INTEGER AS longest FROM l GROUP BY 1",
