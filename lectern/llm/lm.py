@@ -1,14 +1,15 @@
 """An n-gram language model in Elias-Fano trie levels, and the log10 probability of whole texts under it.
 
-A level's keys are ``parent * (V + 1) + word``: within a parent's children the word ids are relative to that parent,
-and over the level the keys are monotone, so a parent's pointer is the successor of ``parent * (V + 1)``. A level is
-cut by key ranges into files in the shared folder, each with Elias-Fano high and low bits and a payload: exact counts
-for words, 16-bit log probabilities for longer n-grams. Workers map the files into memory where the folder is a
-local path, and read them otherwise.
+The first level holds the words by their hash, with exact counts. A file of a longer level holds the contexts (parents)
+of a range, each context's pointer to its first follower, and the followers' word ids, which are relative to their
+context; all three are monotone and Elias-Fano coded. A query finds its context, and searches the successor of its
+word among that context's followers only. Payloads are 16-bit log probabilities of followers, 16-bit shares that
+contexts leave to shorter n-grams, and the counts that the next level needs. Files lie in the shared folder; a worker
+opens one at a time, mapped into memory where the folder is a local path, and keeps none of them.
 
 Probabilities: words by adding one; longer n-grams by absolute discounting, with all mass that the stored n-grams
 leave (also that of n-grams seen less than ``least`` times, which are not stored) given to the shorter one. A context
-of two words and more occurs as often as it is counted itself; these counts are a level of their own with its keys.
+of two words and more occurs as often as it is counted itself.
 """
 
 from __future__ import annotations
@@ -25,19 +26,19 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import WORD_CACHE, binaries, chained, scratch, words, workroom
+from lectern.llm.common import binaries, chained, scratch, words, workroom
 
 #: Unless asked for otherwise, words of an n-gram at most and times it must occur from two words on; what is taken off its count.
-ORDER, LEAST, DISCOUNT = 2, 2, 0.75
+ORDER, LEAST, DISCOUNT = 3, 1, 0.75
 
 #: Documents whose id's crc32 leaves this remainder are held out of training.
 FOLDS, HELD_OUT = 7, 2
 
 #: Tokens that a worker counts together, and scores together.
-COUNT_TOKENS, SCORE_TOKENS = 6_000_000, 1_000_000
+COUNT_TOKENS, SCORE_TOKENS = 1_000_000, 400_000
 
-#: Rows that are sent on together; keys of a file; the level of the counts of k-word contexts, less k.
-SENT, FILE_KEYS, COUNTS = 1 << 16, 4 << 20, 100
+#: Rows that are sent on together; keys of a file, but for the followers of one context, which are never parted; words a worker remembers.
+SENT, FILE_KEYS, WORD_CACHE = 1 << 16, 2 << 20, 150_000
 
 #: Log probabilities are stored in steps over this range.
 LOWEST, STEPS = -14.0, 65535
@@ -117,7 +118,20 @@ class EliasFano:
         i = np.arange(self.n)
         return self.first + ((places - i) << self.width | self._low(i).astype(np.int64))
 
-    def _search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def at(self, i: np.ndarray) -> np.ndarray:
+        """The values at some places: the place of the i-th one among the high bits, and the low bits."""
+        k = np.clip(np.searchsorted(self.ranks, i, "right") - 1, 0, len(self.high) - 1)
+        left = i - self.ranks[k].astype(np.int64)
+        word, place = self.high[k], np.zeros(len(i), np.int64)
+        for half in (32, 16, 8, 4, 2, 1):
+            c = np.bitwise_count(word & _U((1 << half) - 1)).astype(np.int64)
+            up = left >= c
+            left = np.where(up, left - c, left)
+            word = np.where(up, word >> _U(half), word)
+            place += np.where(up, half, 0)
+        return self.first + (((k << 6) + place - i) << self.width | self._low(i).astype(np.int64))
+
+    def search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The index of the first value that is not below x, and whether it is x."""
         v = np.clip(x - self.first, 0, None)
         h, most = v >> self.width, len(self.high) * 64 - self.n - 1
@@ -141,11 +155,11 @@ class EliasFano:
 
     def successor(self, x: np.ndarray) -> np.ndarray:
         """The index of the first value that is not below x; n where there is none."""
-        return self._search(x)[0]
+        return self.search(x)[0]
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """The index of each value, -1 where it is not there."""
-        i, hit = self._search(x)
+        i, hit = self.search(x)
         return np.where(hit, i, -1)
 
 
@@ -173,71 +187,100 @@ def _open(folder: str, name: str) -> np.ndarray:
         return np.frombuffer(f.read(), np.uint8)
 
 
-FILES = "level int, part int, n long, first long, last long, width int, low int, high int"
+FILES = "level int, part int, n long, first long, last long, shapes array<long>"
+
+
+def _packed(folder: str, name: str, sequences: list[np.ndarray], payloads: list[np.ndarray]) -> list[int]:
+    """Writes monotone sequences and payloads as one file; what is needed to read it again: five numbers a sequence, then lengths."""
+    arrays, shapes = [], []
+    for v in sequences:
+        first, width, low, high, ranks = EliasFano.encode(v)
+        arrays += [low, high, ranks]
+        shapes += [len(v), first, width, len(low), len(high)]
+    _write(folder, name, [*arrays, *payloads])
+    return [*shapes, *map(len, payloads)]
+
+
+def _unpacked(folder: str, name: str, shapes: list[int], sequences: int, kinds: tuple[str, ...]) -> tuple[list[EliasFano], list[np.ndarray]]:
+    data, at = _open(folder, name), 0
+
+    def take(kind: str, n: int) -> np.ndarray:
+        nonlocal at
+        a = data[at : at + n * np.dtype(kind).itemsize].view(kind)
+        at += -(-n * np.dtype(kind).itemsize // 8) * 8
+        return a
+
+    coded = []
+    for k in range(sequences):
+        n, first, width, low, high = shapes[5 * k : 5 * k + 5]
+        coded.append(EliasFano(n, first, width, take("<u8", low), take("<u8", high), take("<u4", high + 1)))
+    return coded, [take(kind, n) for kind, n in zip(kinds, shapes[5 * sequences :])]
 
 
 class Level:
-    """A level's files: the index of a key over the whole level, and its payload."""
-
-    def __init__(self, folder: str, files: list[dict], payload: str) -> None:
-        files = sorted(files, key=lambda f: f["first"])
-        self.n = sum(f["n"] for f in files)
-        self.lasts = np.array([f["last"] for f in files], np.int64)
-        self.base = np.concatenate([[0], np.cumsum([f["n"] for f in files])]).astype(np.int64)
-        self.parts, self.payloads = [], []
-        for f in files:
-            data, at = _open(folder, f"{f['level']}-{f['part']}"), 0
-
-            def take(kind: str, n: int) -> np.ndarray:
-                nonlocal at
-                a = data[at : at + n * np.dtype(kind).itemsize].view(kind)
-                at += -(-n * np.dtype(kind).itemsize // 8) * 8
-                return a
-
-            low, high = take("<u8", f["low"]), take("<u8", f["high"])
-            ranks = take("<u4", f["high"] + 1)
-            self.parts.append(EliasFano(f["n"], f["first"], f["width"], low, high, ranks))
-            self.payloads.append(take(payload, f["n"]))
-        self.kind = np.dtype(payload)
-
-    def values(self, indexes: np.ndarray) -> np.ndarray:
-        """The payloads of keys by their index."""
-        part, value = np.searchsorted(self.base, indexes, "right") - 1, np.zeros(len(indexes), self.kind)
-        for k in np.unique(part).tolist():
-            value[part == k] = self.payloads[k][indexes[part == k] - self.base[k]]
-        return value
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each key's index (-1: none) and payload."""
-        at, value = np.full(len(keys), -1, np.int64), np.zeros(len(keys), self.kind)
-        if not self.n:
-            return at, value
-        part = np.searchsorted(self.lasts, keys, "left").astype(np.int32)
-        part[keys < 0] = len(self.parts)
+    """The files of a level, opened one by one as they are asked for; ``kinds`` are their payloads'."""
+
+    def __init__(self, folder: str, level: int, files: tuple) -> None:
+        self.folder, self.level = folder, level
+        self.files = sorted(files, key=lambda f: f[3])
+        self.lasts = np.array([f[4] for f in self.files], np.int64)
+        self.base = np.concatenate([[0], np.cumsum([f[2] for f in self.files])]).astype(np.int64)
+        self.n = int(self.base[-1])
+        self.sequences, self.kinds = (1, ("<u4",)) if level == 1 else (3, ("<u2", "<u2", "<u4"))
+
+    def _opened(self, k: int) -> tuple[list[EliasFano], list[np.ndarray]]:
+        f = self.files[k]
+        return _unpacked(self.folder, f"{self.level}-{f[1]}", f[5], self.sequences, self.kinds)
+
+    def _by_file(self, part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Each file with the rows that ask for it."""
+        part = part.astype(np.int32)
         order = np.argsort(part, kind="stable")
-        cuts = np.searchsorted(part[order], np.arange(len(self.parts) + 1))
-        for k, p in enumerate(self.parts):
-            rows = order[cuts[k] : cuts[k + 1]]
-            if len(rows):
-                i = p.find(keys[rows])
-                hit = i >= 0
-                rows, i = rows[hit], i[hit]
-                at[rows], value[rows] = i + self.base[k], self.payloads[k][i]
-        return at, value
-
+        cuts = np.searchsorted(part[order], np.arange(len(self.files) + 1))
+        for k in range(len(self.files)):
+            if cuts[k] < cuts[k + 1]:
+                yield k, order[cuts[k] : cuts[k + 1]]
+
+    def counts(self, indexes: np.ndarray) -> np.ndarray:
+        """How often what stands at each index occurs; 0 for -1."""
+        out = np.zeros(len(indexes), np.float64)
+        part = np.searchsorted(self.base, indexes, "right") - 1
+        part[indexes < 0] = len(self.files)
+        for k, rows in self._by_file(part):
+            out[rows] = self._opened(k)[1][-1][indexes[rows] - self.base[k]]
+        return out
 
-@lru_cache(maxsize=8)
-def _level(folder: str, level: int, files: tuple, payload: str) -> Level:
-    return Level(folder, [dict(zip((c.split()[0] for c in FILES.split(", ")), f)) for f in files], payload)
+    def words(self, keys: np.ndarray) -> np.ndarray:
+        """Each word's index in the first level (-1: none)."""
+        at = np.full(len(keys), -1, np.int64)
+        for k, rows in self._by_file(np.searchsorted(self.lasts, keys, "left")):
+            i = self._opened(k)[0][0].find(keys[rows])
+            at[rows] = np.where(i >= 0, i + self.base[k], -1)
+        return at
+
+    def after(self, parent: np.ndarray, word: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each word after its context: the n-gram's index (-1: none), its share of the context, and what the context leaves."""
+        at, share, left = np.full(len(parent), -1, np.int64), np.zeros(len(parent)), np.ones(len(parent))
+        part = np.searchsorted(self.lasts, parent, "left")
+        part[parent < 0] = len(self.files)
+        for k, rows in self._by_file(part):
+            (parents, pointers, followers), (shares, rests, _) = self._opened(k)
+            i = parents.find(parent[rows])
+            rows, i = rows[i >= 0], i[i >= 0]
+            left[rows] = restored(rests[i])
+            known = word[rows] >= 0
+            rows, i = rows[known], i[known]
+            # The context's followers stand from its pointer up to the next one's.
+            j, hit = followers.search(i * span + word[rows])
+            hit &= j < pointers.at(i + 1)
+            rows, j = rows[hit], j[hit]
+            at[rows], share[rows] = j + self.base[k], restored(shares[j])
+        return at, share, left
 
 
-@lru_cache(maxsize=2)
-def _backoff(folder: str, files: tuple, distinct: int) -> np.ndarray:
-    level = _level(folder, -2, files, "<u2")
-    out = np.ones(distinct + 2, np.float32)  # the last is for contexts that are not known
-    for p, q in zip(level.parts, level.payloads):
-        out[p.values()] = restored(q)
-    return out
+@lru_cache(maxsize=8)
+def _level(folder: str, level: int, files: tuple) -> Level:
+    return Level(folder, level, files)
 
 
 class _Words(dict):
@@ -247,7 +290,7 @@ class _Words(dict):
         self.level = level
 
     def learn(self, new: list[bytes]) -> None:
-        at, _ = self.level.find(np.fromiter(map(word_hash, new), np.int64, len(new)))
+        at = self.level.words(np.fromiter(map(word_hash, new), np.int64, len(new)))
         self.update(zip(new, at.tolist()))
 
     def ids(self, docs: list[list[bytes]]) -> list[np.ndarray]:
@@ -262,7 +305,7 @@ class _Words(dict):
 
 @lru_cache(maxsize=2)
 def _words(folder: str, files: tuple) -> _Words:
-    return _Words(_level(folder, 1, files, "<u4"))
+    return _Words(_level(folder, 1, files))
 
 
 class Model:
@@ -276,14 +319,12 @@ class Model:
         return _words(self.folder, self.files[1])
 
     def level(self, k: int) -> Level:
-        return _level(self.folder, k, self.files[k], "<u4" if k == 1 or k > COUNTS else "<u2")
+        return _level(self.folder, k, self.files[k])
 
-    def backoff(self, k: int, context: np.ndarray) -> np.ndarray:
-        """The share that each context of k - 1 words leaves to the shorter n-grams: all, where it is not stored."""
-        if k == 2:
-            return _backoff(self.folder, self.files[-2], self.distinct)[context]
-        at, q = self.level(-k).find(context)
-        return np.where(at >= 0, restored(q), 1.0)
+    def occurrences(self, k: int, parent: np.ndarray) -> np.ndarray:
+        """How often each context of k words occurs; the start of a text is a context of one word."""
+        n = self.level(k).counts(np.where(parent == self.distinct, -1, parent) if k == 1 else parent)
+        return np.where(parent == self.distinct, max(self.documents, 1), n) if k == 1 else n
 
     @staticmethod
     def after(context: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -304,7 +345,7 @@ class Model:
         before[starts] = self.distinct
         context = before
         for j in range(2, k):
-            context, _ = self.level(j).find(self._keys(self.after(context, starts), before))
+            context = self.level(j).after(self.after(context, starts), before, self.distinct + 1)[0]
         return w, context
 
     def _keys(self, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -377,65 +418,81 @@ def ngram_counts(docs: DataFrame, model: Model, k: int, least: int = LEAST) -> D
     return found.where(F.col("n") >= least)
 
 
-def write_level(counts: DataFrame, model: Model, level: int, kind: str) -> None:
-    """Writes ``counts(key, n)`` as a level; ``kind``: count (exact), child (discounted share of the parent) or rest."""
-    folder, order = model.folder, model.distinct + 1
+def _ranged(counts: DataFrame, model: Model, by: Column, run) -> list:
+    """The files that ``run`` writes of ``counts(key, n)`` dealt by ranges of ``by`` and sorted; one row a file comes back."""
+    n = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = counts.select("key", "n").repartitionByRange(n, by).sortWithinPartitions("key").select("key", "n", F.spark_partition_id().alias("part"))
+    return sorted((r[0], r[1], r[2], r[3], r[4], tuple(r[5])) for r in ranged.mapInArrow(run, FILES).collect())
 
+
+def _held(rows: Iterator[pa.RecordBatch], span: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Sorted keys and counts in pieces of about a file, cut where ``key div span`` changes, each with its file's number."""
+    keys, values, size, part = [], [], 0, 0
+    for batch in rows:
+        if not batch.num_rows:
+            continue
+        keys.append(batch.column(0).to_numpy())
+        values.append(batch.column(1).to_numpy())
+        size += batch.num_rows
+        part = part or batch.column(2)[0].as_py() << 16
+        if size >= FILE_KEYS:
+            k, v = np.concatenate(keys), np.concatenate(values)
+            cut = int(np.searchsorted(k, k[-1] // span * span))
+            if cut:
+                yield part, k[:cut], v[:cut]
+                keys, values, size, part = [k[cut:]], [v[cut:]], len(k) - cut, part + 1
+    if keys:
+        yield part, np.concatenate(keys), np.concatenate(values)
+
+
+_SCHEMA = pa.schema([("level", pa.int32()), ("part", pa.int32()), ("n", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("shapes", pa.list_(pa.int64()))])
+
+
+def write_words(counts: DataFrame, model: Model) -> None:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, values, size, part = [], [], 0, 0
-        for batch in rows:
-            if batch.num_rows:
-                keys.append(batch.column(0).to_numpy())
-                values.append(batch.column(1).to_numpy())
-                size += batch.num_rows
-                part = part or batch.column(2)[0].as_py() << 12
-            if size >= FILE_KEYS:
-                yield written(np.concatenate(keys), np.concatenate(values), part)
-                keys, values, size, part = [], [], 0, part + 1
-        if keys:
-            yield written(np.concatenate(keys), np.concatenate(values), part)
-
-    def written(k: np.ndarray, v: np.ndarray, part: int) -> pa.RecordBatch:
-        if kind == "count":
-            payload = np.minimum(v, 2**32 - 1).astype("<u4")
-        else:
-            parent = k // order if kind == "child" else k
-            payload = quantised(np.maximum(v - DISCOUNT if kind == "child" else total(parent) - v, 1e-9) / total(parent))
-        first, width, low, high, ranks = EliasFano.encode(k)
-        _write(folder, f"{level}-{part}", [low, high, ranks, payload])
-        return pa.RecordBatch.from_pylist([{"level": level, "part": part, "n": len(k), "first": first, "last": int(k[-1]), "width": width, "low": len(low), "high": len(high)}], schema)
-
-    def total(parent: np.ndarray) -> np.ndarray:
-        """How often each context occurs: by its own level's counts."""
-        if abs(level) > 2:
-            return model.level(COUNTS + abs(level) - 1).values(parent).astype(np.float64)
-        w = model.level(1)
-        flat = np.concatenate([*w.payloads, [max(model.documents, 1)]]).astype(np.float64) if w.n else np.ones(1)
-        return flat[parent]
-
-    schema = pa.schema([(c.split()[0], {"int": pa.int32(), "long": pa.int64()}[c.split()[1]]) for c in FILES.split(", ")])
-    n = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = counts.select("key", "n").repartitionByRange(min(n, 64), "key").sortWithinPartitions("key").select("key", "n", F.spark_partition_id().alias("part"))
-    # One row a file comes back.
-    model.files[level] = tuple(sorted(tuple(r) for r in ranged.mapInArrow(run, FILES).collect()))
+        for part, k, v in _held(rows, 1):
+            shapes = _packed(model.folder, f"1-{part}", [k], [np.minimum(v, 2**32 - 1).astype("<u4")])
+            yield pa.RecordBatch.from_pylist([{"level": 1, "part": part, "n": len(k), "first": int(k[0]), "last": int(k[-1]), "shapes": shapes}], _SCHEMA)
+
+    model.files[1] = tuple(_ranged(counts, model, F.col("key"), run))
+
+
+def write_level(counts: DataFrame, model: Model, level: int) -> None:
+    """Writes ``counts(key, n)`` of n-grams: contexts, pointers, followers; their shares, the contexts' rests, and counts for a longer level."""
+    span = model.distinct + 1
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, k, v in _held(rows, span):
+            parent, word = np.divmod(k, span)
+            starts = np.flatnonzero(np.diff(parent, prepend=-1))
+            own = parent[starts]
+            sizes = np.diff(np.append(starts, len(k)))
+            total = model.occurrences(level - 1, own)
+            rest = quantised(np.maximum(total - np.add.reduceat(v - DISCOUNT, starts), 1e-9) / total)
+            share = quantised((v - DISCOUNT) / np.repeat(total, sizes))
+            counted = np.minimum(v, 2**32 - 1).astype("<u4") if level < model.order else np.zeros(0, "<u4")
+            followers = np.repeat(np.arange(len(own)), sizes) * span + word
+            shapes = _packed(model.folder, f"{level}-{part}", [own, np.append(starts, len(k)), followers], [share, rest, counted])
+            yield pa.RecordBatch.from_pylist([{"level": level, "part": part, "n": len(k), "first": int(own[0]), "last": int(own[-1]), "shapes": shapes}], _SCHEMA)
+
+    model.files[level] = tuple(_ranged(counts, model, F.expr(f"key div {span}"), run))
 
 
 def train(docs: DataFrame, order: int = ORDER, least: int = LEAST) -> Model:
-    """The model of all rows of ``docs(doc_id, text)``: n-grams of up to ``order`` words, from two words on those met ``least`` times."""
+    """The model of all rows of ``docs(doc_id, text)``: n-grams of up to ``order`` words, from two words on those met ``least`` times.
+
+    Null and empty texts are an end alone; repeated rows count each; an empty table gives a model that knows no word;
+    other columns are ignored.
+    """
     folder = scratch(docs.sparkSession)
     with workroom(docs.sparkSession) as keep:
         counts = keep(word_counts(docs))
         tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
         model = Model(folder, tokens, distinct, docs.count(), order)
-        write_level(counts, model, 1, "count")
+        write_words(counts, model)
     for k in range(2, order + 1):
         with workroom(docs.sparkSession) as keep:
-            found = keep(ngram_counts(docs, model, k, least))
-            if k < order:
-                write_level(found, model, COUNTS + k, "count")
-            write_level(found, model, k, "child")
-            parent = F.expr(f"key div {distinct + 1}")
-            write_level(found.groupBy(parent.alias("key")).agg(F.sum(F.col("n") - DISCOUNT).alias("n")), model, -k, "rest")
+            write_level(keep(ngram_counts(docs, model, k, least)), model, k)
     return model
 
 
@@ -449,21 +506,16 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     bottom = model.tokens + model.distinct + 1
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = None
         for some in _texts(rows, SCORE_TOKENS):
-            if counts is None:
-                w1 = model.level(1)
-                counts = np.concatenate([*w1.payloads, np.zeros(1, "<u4")]) if w1.n else np.zeros(1, "<u4")
             w, context = model.contexts(model.words().ids([t for t, _ in some]), 2)
-            c = counts[w].astype(np.float64)
+            c = model.level(1).counts(w)
             p = (c + 1) / bottom
             base = np.log10(p)
             sizes = np.array([len(t) for t, _ in some])
             starts = np.cumsum(sizes) - sizes
             for k in range(2, model.order + 1):
-                at, q = model.level(k).find(model._keys(context, w))
-                p *= model.backoff(k, context)
-                p[at >= 0] += restored(q[at >= 0])
+                at, share, left = model.level(k).after(context, w, model.distinct + 1)
+                p = p * left + share
                 context = model.after(at, starts)
             sums = [np.add.reduceat(x, starts) for x in (base, np.log10(p), (c > 0).astype(np.int64))]
             k = len(some)
