@@ -108,8 +108,8 @@ def edited_fingerprints(docs: DataFrame, k: int = SHINGLE, scale: int = SCALE) -
     The edited form has its last third replaced by as many first characters of the next document in descending
     ``doc_id`` order (after the last, the first). Null texts count as empty; rows of one id are ordered by their
     text's hash; null ids come last; a single row follows itself; an empty table gives no rows; other columns are
-    ignored. Texts are shuffled once, by ranges of ids whose bounds are fixed beforehand; a range's last row meets the
-    next range's first row in a small join with one row a range.
+    ignored. Texts are shuffled by ranges of ids whose bounds are fixed beforehand, once for their rows and once to find
+    each range's first and last row; a range's last row meets the next range's first in a small join with one row a range.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = 4 * n
