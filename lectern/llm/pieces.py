@@ -17,7 +17,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, groupby
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,7 @@ _M = (1 << 64) - 1
 NEVER, SHORT = 1 << 30, 48
 
 #: Words of one length that are worth a matrix, the longest of them, characters of texts that are encoded together.
-ROWS, WIDEST, BATCH = 48, 24, 4 << 20
+ROWS, WIDEST, BATCH = 48, 24, 8 << 20
 
 #: Characters of a word whose turns, three for each pair at most, fit the bits of a number.
 MASKED = 22
@@ -89,7 +89,8 @@ class Pieces:
                 x, y = self._symbol(t[:k]), self._symbol(t[k:])
                 if x is not None and y is not None:
                     made.append((x << 21 | y, self.ranks[t], i))
-        self.pairs, self.pair_ranks, self.pair_ids = (np.array(c, np.int64) for c in zip(*sorted(made)))
+        self.pairs, ranks, self.pair_ids = (np.array(c, np.int64) for c in zip(*sorted(made)))
+        self.pair_ranks = ranks.astype(np.int32)
 
     def _symbol(self, text: str) -> int | None:
         return int(self.symbols[ord(text)]) if len(text) == 1 else self.ids.get(text)
@@ -98,7 +99,7 @@ class Pieces:
         """Rank of each two symbols and the piece that they make."""
         key = x << 21 | y
         i = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-        return np.where(self.pairs[i] == key, self.pair_ranks[i], NEVER), self.pair_ids[i]
+        return np.where(self.pairs[i] == key, self.pair_ranks[i], np.int32(NEVER)), self.pair_ids[i]
 
     def segment_all(self, words: list[str], keys: list[int], limit: int) -> list[bytes]:
         """``segment`` of many words of one length, each as 32-bit integers."""
@@ -114,7 +115,7 @@ class Pieces:
         at = np.full((n, width + 2), -1, np.int64)
         at[:, 1:-1] = symbol
         after, before = np.tile(np.arange(1, width + 3), (n, 1)), np.tile(np.arange(-1, width + 1), (n, 1))
-        rank, piece = np.full((n, width + 2), NEVER, np.int64), np.zeros((n, width + 2), np.int64)
+        rank, piece = np.full((n, width + 2), NEVER, np.int32), np.zeros((n, width + 2), np.int64)
         rank[:, 1:-2], piece[:, 1:-2] = self._met(symbol[:, :-1], symbol[:, 1:])
         live, turn = np.arange(n), -1
         while len(live):
@@ -137,7 +138,7 @@ class Pieces:
             for left, right in ((a, c), (z, a)):
                 x, y = at[r, left], at[r, right]
                 found, made = self._met(x, y)
-                rank[r, left], piece[r, left] = np.where((x < 0) | (y < 0), NEVER, found), made
+                rank[r, left], piece[r, left] = np.where((x < 0) | (y < 0), np.int32(NEVER), found), made
         held = at >= 0
         left = held.sum(1)
         ids, ends = at[held].astype(np.int32).tobytes(), (np.cumsum(left) * 4).tolist()
@@ -246,8 +247,10 @@ class Segmenter:
     def _segmented(self, words: list[str], keys: list[int], limit: int) -> list[tuple[bytes, int]]:
         """Ids of each word, and its merges or more."""
         out: list[tuple[bytes, int]] = [(b"", 0)] * len(words)
-        for width, group in groupby(sorted(range(len(words)), key=lambda k: len(words[k])), lambda k: len(words[k])):
-            some = list(group)
+        widths = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(widths, kind="stable")
+        for group in np.split(order, np.flatnonzero(np.diff(widths[order])) + 1) if words else ():
+            some, width = group.tolist(), int(widths[group[0]])
             if 1 < width <= WIDEST and len(some) >= ROWS:
                 found = zip(*self.model.merged_all([words[k] for k in some], [keys[k] for k in some], limit))
             else:
