@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import jaccard, lines, lm, mixing, pieces, pii, quality, sketch, tokens, wavelet
+from lectern.llm import audit, jaccard, lines, lm, mixing, pieces, pii, quality, sketch, tokens, turns, wavelet
 from lectern.llm.common import documents, placed
 
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -57,6 +57,14 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scores(documents(spark, sf_dir), LM_ORDER, LM_LEAST)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.prefix_nodes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 #: The pipeline's near-duplicate stage works on word shingles of five words and a similarity of 0.8 or more.
 PIPELINE_SHINGLE, PIPELINE_PERCENT = 5, 80
 
@@ -88,7 +96,7 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_personal_data, op2_token_counts, op3_fingerprints, op4_jaccard_join, op5_quality_rules, op6_line_dedup, op7_token_files, op8_source_mix, op9_piece_dropout, op10_lm_scores)}
+    return {f.__name__: f for f in (op1_personal_data, op2_token_counts, op3_fingerprints, op4_jaccard_join, op5_quality_rules, op6_line_dedup, op7_token_files, op8_source_mix, op9_piece_dropout, op10_lm_scores, op12_prefix_trie, op13_filter_audit)}
 
 
 WS = r"[\x20\x09-\x0D]"
@@ -140,5 +148,42 @@ SELECT s.doc_id, len(g)::BIGINT AS n_shingles, min(root) AS component_id FROM s
 """
 
 
+OP12 = r"""
+WITH RECURSIVE t AS (SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || length(coalesce(text, '')) || ':' || coalesce(text, ''))) AS own FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+bytes AS (SELECT conv_id, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT) AS b FROM t),
+crc(conv_id, b, i, c) AS (SELECT conv_id, b, 0, 4294967295::BIGINT FROM bytes UNION ALL
+  SELECT conv_id, b, i + 1, CASE WHEN i % 9 = 0 THEN xor(c, b[i // 9 + 1]) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc WHERE i < 9 * len(b)),
+h AS (SELECT conv_id, xor(c, 4294967295) % 4 AS h FROM crc WHERE i = 9 * len(b)),
+r AS (SELECT t.conv_id, list_concat(coalesce(b.own[1:h], []), t.own[h + 1:]) AS s FROM t JOIN h USING (conv_id) LEFT JOIN t b ON b.conv_id = t.conv_id - t.conv_id % 20),
+m AS (SELECT conv_id, s, unnest(range(len(s) + 1)) AS d FROM r),
+n AS (SELECT s[1:d] AS p, d, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(s) = d), '') AS ends FROM m GROUP BY 1, 2),
+k AS (SELECT p[1:d - 1] AS p, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+x AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(n.p[d].text, '[^\x20\x09-\x0D]+')) END AS saved FROM n LEFT JOIN k ON n.p = k.p),
+u AS (SELECT p[1:j] AS p, sum((n_children = 0)::INT) AS n_leaves, sum(saved) AS saved FROM (SELECT p, n_children, saved, unnest(range(d + 1)) AS j FROM x) GROUP BY 1)
+SELECT x.conv_id, x.d::BIGINT AS depth, y.conv_id AS parent_conv_id, x.n_convs::BIGINT AS n_convs, x.n_children::BIGINT AS n_children, u.n_leaves::BIGINT AS n_leaves, u.saved::BIGINT AS saved_tokens, sha256(x.ends) AS ends_sha256
+FROM x JOIN u ON x.p = u.p LEFT JOIN x y ON x.d > 0 AND y.d = x.d - 1 AND y.p = x.p[1:x.d - 1]
+"""
+
+OP13 = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS least FROM d),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, (len(words) < 50)::INT + 2 * (100 * len(list_distinct(words)) < 65 * len(words))::INT
+  + 4 * (100 * len(regexp_extract_all(text, '[A-Z]')) > 5 * length(text))::INT + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(doc_id > least, false)::INT AS mask FROM w LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY 1, 2),
+f AS (SELECT unnest(range(5)) AS f),
+o AS (SELECT a.f AS f1, b.f AS f2, c.f AS f3, d.f AS f4, e.f AS f5 FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (SELECT [f1, f2, f3, f4, f5] AS o, unnest(range(1, 6)) AS step FROM o),
+t AS (SELECT list_reduce(list_transform(o, lambda x: chr((65 + x)::INT)), lambda x, y: x || y) AS filter_order, step, 1 << o[step] AS bit, list_sum(list_transform(o[1:step - 1], lambda x: 1 << x))::BIGINT AS before FROM s),
+r AS (SELECT part, filter_order, step, bit,
+  sum(n) FILTER (mask & (coalesce(before, 0) | bit) = 0) AS kept, sum(n) FILTER (mask & coalesce(before, 0) = 0 AND mask & bit > 0) AS removed,
+  sum(n) FILTER (mask & coalesce(before, 0) > 0 AND mask & bit > 0) AS redundant, sum(n) FILTER (mask = bit) AS unique_fails,
+  sum(good) FILTER (mask & coalesce(before, 0) = 0 AND mask & bit > 0) AS good_lost, sum(toxic) FILTER (mask & coalesce(before, 0) = 0 AND mask & bit > 0) AS toxic_lost
+  FROM c, t GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+  coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, (coalesce(sum(removed) OVER (PARTITION BY part, bit), 0))::BIGINT AS shapley FROM r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_jaccard_join": OP4, "op5_quality_rules": OP5, "op6_line_dedup": OP6}
+    return {"op4_jaccard_join": OP4, "op5_quality_rules": OP5, "op6_line_dedup": OP6, "op12_prefix_trie": OP12, "op13_filter_audit": OP13}
