@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import audit, jaccard, lines, lm, mixing, pieces, pii, quality, sketch, tokens, turns, wavelet
+from lectern.llm import audit, extract, jaccard, lines, lm, mixing, pieces, pii, quality, sketch, tokens, turns, wavelet
 from lectern.llm.common import documents, placed
 
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -57,6 +57,10 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scores(documents(spark, sf_dir), LM_ORDER, LM_LEAST)
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.prefix_nodes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -96,7 +100,7 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_personal_data, op2_token_counts, op3_fingerprints, op4_jaccard_join, op5_quality_rules, op6_line_dedup, op7_token_files, op8_source_mix, op9_piece_dropout, op10_lm_scores, op12_prefix_trie, op13_filter_audit)}
+    return {f.__name__: f for f in (op1_personal_data, op2_token_counts, op3_fingerprints, op4_jaccard_join, op5_quality_rules, op6_line_dedup, op7_token_files, op8_source_mix, op9_piece_dropout, op10_lm_scores, op11_main_text, op12_prefix_trie, op13_filter_audit)}
 
 
 WS = r"[\x20\x09-\x0D]"
