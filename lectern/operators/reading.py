@@ -11,8 +11,8 @@ from lectern.functions.expr import half_up
 GAP_MS, SAMPLE_WORDS, SAMPLE_MS = 1500, 40, 8000
 #: Words a minute of an unknown voice; the control's range.
 BASE_WPM, MIN_RATE, MAX_RATE = 185, 0.5, 2.0
-#: Seconds of presence before a check, and to answer it; minutes that end a session.
-CHECK_S, ANSWER_S, AWAY_MIN = 90, 3.5, 15
+#: Minutes that end a session.
+AWAY_MIN = 15
 
 
 def _ms(ts: Column) -> Column:
@@ -58,13 +58,6 @@ def pace_solve(samples: DataFrame, target: int = 200) -> DataFrame:
     return rows.withColumn("expected_wpm", expected).select("voice", "rate", "expected_wpm", (F.abs(F.col("expected_wpm") - target) > 5).alias("clamped"))
 
 
-def presence_lapses(events: DataFrame) -> DataFrame:
-    """``reader, lapses``: gaps in which a presence check would have been raised and missed."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = _ms(F.lead("ts").over(order)) - _ms(F.col("ts"))
-    return events.select(F.col("user_id").alias("reader"), (gap > (CHECK_S + ANSWER_S) * 1000).alias("lapse")).groupBy("reader").agg(F.count_if("lapse").alias("lapses"))
-
-
 def sessions(events: DataFrame, minutes: int = AWAY_MIN) -> DataFrame:
     """``reader, started, ended, events``: sessions that a gap closes; the same on a stream, with a watermark."""
     w = F.session_window("ts", f"{minutes} minutes")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lectern.functions import expr
 from lectern.operators import library, questions, reading, review, text, topics, vocab
 from lectern.sources import tables as t
-from lectern.plans import study, study_sql
+from lectern.plans import reader_log, study, study_sql
 from lectern.plans.registry_sql import ACRONYM_ROWS, ANSWERS, ASKED, BLOCKS, CATALOG, CORE, DOCS, ENTITIES, FNV, HITS, KEY, MERGE, PACE, PAPERS, SALIENT, STATE, TOPICS
 from lectern.streaming import readers
 
@@ -92,7 +92,6 @@ QUERIES: dict[str, Query] = {
     "pace_table": lambda s, d: reading.pace_table(t.pace_samples(s, d)),
     "pace_fit": lambda s, d: reading.pace_fit(t.pace_samples(s, d)),
     "pace_solve": lambda s, d: reading.pace_solve(t.pace_samples(s, d)),
-    "presence_lapses": lambda s, d: reading.presence_lapses(t.table(s, d, "events")),
     "away_sessions": lambda s, d: reading.sessions(t.table(s, d, "events")),
     "wpm_windows": lambda s, d: reading.wpm_windows(t.pace_samples(s, d)),
     "latency_ema": lambda s, d: reading.latency_ema(t.table(s, d, "events")),
@@ -164,7 +163,6 @@ r AS (SELECT *, sum(new) OVER (PARTITION BY voice ORDER BY ts, event_id ROWS UNB
     "pace_fit": f"WITH {PACE} SELECT * FROM pf",
     "pace_solve": f"""WITH {PACE}, q AS (SELECT *, least(2.0, greatest(0.5, floor((200 - intercept) / slope * 10 + 0.5) / 10))::DOUBLE AS rate FROM pf),
 e AS (SELECT *, greatest(1, floor((intercept + slope * rate) / 5 + 0.5) * 5)::BIGINT AS expected_wpm FROM q) SELECT voice, rate, expected_wpm, abs(expected_wpm - 200) > 5 AS clamped FROM e""",
-    "presence_lapses": "WITH g AS (SELECT user_id AS reader, epoch_ms(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_ms(ts) AS gap FROM events) SELECT reader, count(*) FILTER (gap > 93500) AS lapses FROM g GROUP BY 1",
     "away_sessions": """WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 15 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id AS reader, min(ts) AS started, max(ts) + INTERVAL 15 MINUTE AS ended, count(*) AS events FROM s GROUP BY user_id, k""",
     "wpm_windows": f"""WITH {PACE}, w AS (SELECT 'tumbling' AS kind, date_trunc('hour', ts) AS started, words, ms FROM p UNION ALL SELECT 'sliding', time_bucket(INTERVAL 15 MINUTE, ts) - k * INTERVAL 15 MINUTE, words, ms FROM p, range(4) r(k))
@@ -193,8 +191,8 @@ SELECT doc_id, CASE WHEN n IS NULL THEN 'missing' WHEN n <> n_words THEN 'stale'
 
 
 def queries() -> dict[str, Query]:
-    return QUERIES | study.QUERIES
+    return QUERIES | study.QUERIES | reader_log.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | study_sql.SQL
+    return SQL | study_sql.SQL | reader_log.SQL

@@ -86,6 +86,20 @@ def reader_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("checked", (F.floor(F.col("caret") / 250) * 250).cast("int"))
 
 
+def as_check_results(events: DataFrame) -> DataFrame:
+    """``ts, event_id, reader, doc_id, begin, to, blanks, recalled``: clicks, of a table or a stream, as results of spot checks of 250 words."""
+    k, to = F.get_json_object("props", "$.k").cast("long"), (F.floor(F.floor(F.col("value") * 2).cast("int") / 250) * 250 + 250).cast("int")
+    rows = events.where("event_type = 'click'").select("ts", "event_id", F.col("user_id").alias("reader"), k.alias("doc_id"), (to - 250).alias("begin"), to.alias("to"), F.lit(3).alias("blanks"), (F.col("event_id") % 4).cast("int").alias("recalled"))
+    return rows.where("doc_id IS NOT NULL")
+
+
+def boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``event_id, ts, reader, doc_id, chunk, char_index``: reader events as boundaries of speech in the first sentences of a page."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    rows = table(spark, sf_dir, "events").select("event_id", "ts", F.col("user_id").alias("reader"), k.alias("doc_id"), (F.col("event_id") % 4).cast("int").alias("chunk"), F.floor("value").cast("int").alias("char_index"))
+    return rows.where("doc_id IS NOT NULL")
+
+
 def spot_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``reader, doc_id, from, to, blanks, recalled``: clicks as answered spot checks; the latest of a window holds."""
     rows = _reading(spark, sf_dir).where("event_type = 'click'").withColumn("to", (F.floor(F.col("caret") / 250) * 250 + 250).cast("int"))

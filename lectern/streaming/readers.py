@@ -22,15 +22,22 @@ def source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def settled(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over all that is there and reads back what it wrote; the folder is shared where the cluster names one."""
+def settled(stream: DataFrame, mode: str, conf: dict[str, str] | None = None) -> DataFrame:
+    """Runs a stream over all that is there, under the settings ``conf``, and reads back what it wrote; the folder is shared where the cluster names one."""
     spark = stream.sparkSession
+    before = {k: spark.conf.get(k, None) for k in conf or {}}
     folder = library.shared_folder(spark, "lectern-stream")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("append").parquet(f"{folder}/out")
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    for k, v in (conf or {}).items():
+        spark.conf.set(k, v)
+    try:
+        stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.parquet(f"{folder}/out")
 
 
