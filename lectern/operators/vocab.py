@@ -39,24 +39,6 @@ def acronym_expansions(docs: DataFrame) -> DataFrame:
     return text.blocks(docs).where(F.col("line").rlike("[A-Z]")).select("doc_id", "block", "line", F.array_join(words, " ").alias("spoken")).where("spoken <> line").drop("line")
 
 
-def names(docs: DataFrame) -> DataFrame:
-    """``doc_id, name, n``: runs of capitalised words inside a block's sentences, from two occurrences on.
-
-    A run is broken by a word in lower case and by punctuation; the first word of a sentence starts none. Spaces are
-    doubled, so that two runs side by side have one each.
-    """
-    clean = F.regexp_replace(F.regexp_replace("line", r"([.!?][\"')\]]*)\s+[^ ]+", "$1 "), "^[^ ]+", "")
-    spaced = F.regexp_replace(F.concat(F.lit(" "), clean, F.lit(" ")), " ", "  ")
-    runs = F.regexp_extract_all(spaced, F.lit(r" ([A-Z][a-z]+(?:  [A-Z][a-z]+){0,7})[,.;:!?]? "), 1)
-    found = text.blocks(docs).select("doc_id", F.explode(runs).alias("name"))
-    return found.groupBy("doc_id", F.replace("name", F.lit("  "), F.lit(" ")).alias("name")).agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-
-
-def merged_names(docs: DataFrame) -> DataFrame:
-    """``name, docs, n``: names over all documents, kept per document first so that a common name is combined early."""
-    return names(docs).groupBy("name").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"))
-
-
 def phrase_hits(docs: DataFrame, phrase: str) -> DataFrame:
     """``doc_id, block, line, hits``: blocks that hold the words of a phrase in a row, whatever stands around them."""
     words = [w for w in phrase.lower().split() if w]

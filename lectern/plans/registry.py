@@ -11,7 +11,7 @@ from lectern.functions import expr
 from lectern.operators import library, questions, reading, review, text, topics, vocab
 from lectern.sources import tables as t
 from lectern.plans import reader_log, study, study_sql
-from lectern.plans.registry_sql import ACRONYM_ROWS, ANSWERS, ASKED, BLOCKS, CATALOG, CORE, DOCS, ENTITIES, FNV, HITS, KEY, MERGE, PACE, PAPERS, SALIENT, STATE, TOPICS
+from lectern.plans.registry_sql import ACRONYM_ROWS, ANSWERS, ASKED, BLOCKS, CATALOG, CORE, DOCS, FNV, HITS, KEY, MERGE, PACE, PAPERS, SALIENT, STATE, TOPICS
 from lectern.streaming import readers
 
 PHRASE, SEARCH, NOW, TODAY = "of the", "src1 en", "2024-02-01 00:00:00", "1998-06-01"
@@ -64,8 +64,6 @@ QUERIES: dict[str, Query] = {
     "title_norm": lambda s, d: t.docs(s, d).select("doc_id", expr.title_key(F.col("title")).alias("key")),
     "acronym_tag": lambda s, d: vocab.acronym_tags(t.docs(s, d)),
     "acronym_expand": lambda s, d: vocab.acronym_expansions(t.docs(s, d)),
-    "entity_doc": lambda s, d: vocab.names(t.docs(s, d)),
-    "entity_corpus": lambda s, d: vocab.merged_names(t.docs(s, d)),
     "phrase_sites": lambda s, d: vocab.phrase_sites(t.docs(s, d), PHRASE),
     "phrase_docs": lambda s, d: vocab.phrase_docs(t.docs(s, d), PHRASE),
     "catalog_search": lambda s, d: vocab.catalog_search(t.docs(s, d), SEARCH),
@@ -175,8 +173,6 @@ l AS (SELECT word, list_filter(string_split(t, ''), lambda x: x <> '') AS l FROM
     "acronym_expand": f"""WITH {BLOCKS}, fm AS (SELECT k || e AS form, x || e AS spoken FROM (SELECT key AS k, expansion AS x, unnest(['', 's', chr(39) || 's', '’s']) AS e FROM ({ACRONYM_ROWS}))),
 w AS (SELECT doc_id, block, "at", word, {CORE} AS core FROM tk), e AS (SELECT doc_id, block, string_agg(CASE WHEN spoken IS NULL THEN word ELSE replace(word, core, spoken) END, ' ' ORDER BY "at") AS spoken, count(spoken) AS n FROM w LEFT JOIN fm ON form = core GROUP BY 1, 2)
 SELECT doc_id, block, spoken FROM e WHERE n > 0""",
-    "entity_doc": f"WITH {ENTITIES} SELECT * FROM en",
-    "entity_corpus": f"WITH {ENTITIES} SELECT name, count(*) AS docs, sum(n)::BIGINT AS n FROM en GROUP BY 1",
     "item_ids": f"WITH {ASKED} SELECT DISTINCT doc_id, doc_id || ':cloze:' || substring(regexp_replace(regexp_replace(lower(term), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 48) AS item FROM sr",
     "read_time": f"""WITH {DOCS}, r AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))::INTEGER AS words FROM d), q AS (SELECT *, words / 185.0::DOUBLE * 60 AS s FROM r),
 m AS (SELECT *, floor(s / 60)::BIGINT AS m, floor(s % 60 + 0.5)::BIGINT AS k FROM q) SELECT doc_id, words, round(s, 3) AS seconds, CASE WHEN s <= 0 THEN '0s' WHEN m = 0 THEN k || 's' WHEN m < 60 THEN CASE WHEN k > 0 THEN m || 'm ' || k || 's' ELSE m || 'm' END ELSE (m // 60) || 'h ' || (m % 60) || 'm' END AS label FROM m""",

@@ -52,7 +52,3 @@ k AS (SELECT c_custkey, c_name || '*' AS c_name, c_acctbal + (c_custkey % 7 - 3)
 m AS (SELECT coalesce(l.c_custkey, k.c_custkey) AS c_custkey, CASE WHEN l.c_custkey IS NULL OR k.updated > l.updated THEN k.c_name ELSE l.c_name END AS c_name, CASE WHEN l.c_custkey IS NULL OR k.updated > l.updated THEN k.updated ELSE l.updated END AS updated,
   CASE WHEN l.c_custkey IS NULL THEN 'added' WHEN k.updated > l.updated THEN 'updated' ELSE 'kept' END AS action FROM l FULL JOIN k ON l.c_custkey = k.c_custkey)"""
 CATALOG = DOCS + r", ct AS (SELECT doc_id, title, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))::INTEGER AS n_words FROM dt)"
-ENTITIES = BLOCKS + r""",
-e0 AS (SELECT doc_id, replace(' ' || regexp_replace(regexp_replace(line, '([.!?]["'')\]]*)\s+[^ ]+', '\1 ', 'g'), '^[^ ]+', '') || ' ', ' ', '  ') AS x FROM b),
-e1 AS (SELECT doc_id, replace(unnest(regexp_extract_all(x, ' ([A-Z][a-z]+(?:  [A-Z][a-z]+){0,7})[,.;:!?]? ', 1)), '  ', ' ') AS name FROM e0),
-en AS (SELECT doc_id, name, count(*) AS n FROM e1 GROUP BY ALL HAVING count(*) >= 2)"""

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.expr import fnv1a, slug
-from lectern.operators import coverage, library, papers, review, structure, text, topics, vocab
+from lectern.operators import coverage, entities, library, papers, review, structure, text, topics, vocab
 from lectern.sources import tables as t
 
-SEED, EXAM_DAY = "lectern", "1998-06-01"
+SEED, EXAM_DAY, NEEDLE = "lectern", "1998-06-01", "e"
 
 
 # What the queries share -------------------------------------------------------------------------------------------
@@ -135,28 +135,22 @@ def _readiness(s: SparkSession, d: str) -> DataFrame:
     return queue.join(trend, "reader", "left").select("reader", left.alias("days_left"), "due", "items", "mean3", F.greatest(F.lit(1), F.floor(left / 2)).cast("int").alias("cap_days"))
 
 
-def _anchors(s: SparkSession, d: str) -> DataFrame:
-    """``doc_id, part, place, label, kind``: three terms that tell a part: acronyms by their number, then the document's names."""
-    from pyspark.sql import Window
+def _located(s: SparkSession, d: str) -> DataFrame:
+    return entities.located(_tagged(s, d), structure.sections(_doc_blocks(s, d)))
+
 
-    parts = structure.sections(_doc_blocks(s, d)).select("doc_id", F.col("section").alias("part"), F.explode(F.sequence("block_from", F.col("block_to") - 1)).alias("block"))
-    rows = _tagged(s, d).join(parts, ["doc_id", "block"])
-    short = rows.where("acronym IS NOT NULL").groupBy("doc_id", "part", F.col("acronym").alias("label")).agg(F.count(F.lit(1)).alias("n")).select("doc_id", "part", "label", F.lit("acronym").alias("kind"), "n")
-    terms = papers.salience(rows).where("acronym IS NULL AND score = 3").groupBy("doc_id", "part", F.col("core").alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    long = terms.where("n >= 2").select("doc_id", "part", "label", F.lit("term").alias("kind"), "n")
-    order = Window.partitionBy("doc_id", "part")
-    both = short.unionByName(long).withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "part", F.lower("label")).orderBy("kind", F.col("n").desc(), "label"))).where("k = 1")
-    return both.withColumn("place", F.row_number().over(order.orderBy("kind", F.col("n").desc(), "label"))).where("place <= 3").select("doc_id", "part", "place", "label", "kind")
+def _index(s: SparkSession, d: str) -> DataFrame:
+    return entities.document_index(_located(s, d))
 
 
-def _names(s: SparkSession, d: str) -> DataFrame:
-    return papers.salience(_tagged(s, d)).where("score = 3").groupBy("doc_id", F.col("core").alias("name")).agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+def _corpus(s: SparkSession, d: str) -> DataFrame:
+    return entities.corpus_index(_index(s, d))
 
 
-def _shared_names(s: SparkSession, d: str) -> DataFrame:
-    """Names of at least two documents that hold a text."""
-    merged = _names(s, d).groupBy("name").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"))
-    return merged.where((F.col("docs") >= 2) & F.contains(F.lower("name"), F.lit("e")))
+def _told_corpus(corpus: DataFrame) -> DataFrame:
+    """The listed documents as text, for comparing."""
+    one = lambda x: F.concat_ws(":", x["doc_id"], x["count"], x["first"], x["sections"])
+    return corpus.withColumn("listed", F.array_join(F.transform("listed", one), ","))
 
 
 def _line_blocks(s: SparkSession, d: str) -> DataFrame:
@@ -269,13 +263,18 @@ def _dq_phrases(s: SparkSession, d: str) -> DataFrame:
 
 
 def _dq_entities(s: SparkSession, d: str) -> DataFrame:
-    names = _names(s, d)
-    return _report("entities", [
-        ("blank name", _count(names.where("trim(name) = ''")), 0),
-        ("below the floor", _count(names.where("n < 2")), 0),
-        ("document twice", _count(names.groupBy("doc_id", "name").count().where("count > 1")), 0),
-        ("shared", _count(names.groupBy("name").count().where("count > 1")), None),
-    ])
+    """What the indexes must hold, counted in one pass over the documents' entries and one over the corpus."""
+    index = _index(s, d)
+    name = F.col("kind") == "term"
+    own = index.agg(
+        F.count(F.lit(1)).alias("entries"), F.count_if(F.trim("display") == "").alias("blank name"), F.count_if(name & (F.col("count") < entities.LEAST)).alias("below the floor"),
+        F.count_if(F.size(F.split("display", " ")) > entities.LONGEST).alias("too long a name"), F.count_if(F.size("sections") == 0).alias("no section"), F.count_if(name & F.lower("display").isin(*entities.NOT_NAMES)).alias("names nothing"),
+        F.sum(F.when(F.col("rank") == 1, F.col("truncated")).otherwise(0)).alias("truncated"),
+    )
+    merged = entities.corpus_index(index).agg(F.count_if(F.col("docs") >= 2).alias("shared"), F.count_if(F.size("listed") != F.col("docs")).alias("documents not listed"))
+    told = lambda df: df.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, df.columns)), F.array(*(F.col(f"`{c}`").cast("long") for c in df.columns)))).alias("check", "value"))
+    free = F.col("check").isin("entries", "shared", "truncated")
+    return told(own).unionByName(told(merged)).select(F.lit("entities").alias("report"), "check", "value", (free | (F.col("value") == 0)).alias("ok"))
 
 
 QUERIES = {
@@ -294,8 +293,11 @@ QUERIES = {
     "pacing_checkpoints": lambda s, d: structure.sections(_line_blocks(s, d)).select("doc_id", "section", "title", "part", "block_from", "block_to", "words"),
     "cap_length": _chunks,
     "bionic_split": lambda s, d: text.tokens(t.docs(s, d)).select("word").distinct().select("word", F.substring("word", F.lit(1), structure.lead_letters(F.col("word"))).alias("lead")),
-    "entity_filter": _shared_names,
-    "section_anchors": _anchors,
+    "entity_mentions": lambda s, d: entities.mentions(_located(s, d)),
+    "entity_doc": lambda s, d: _index(s, d).withColumn("sections", F.array_join("sections", ",")),
+    "entity_corpus": lambda s, d: _told_corpus(_corpus(s, d)),
+    "entity_filter": lambda s, d: _told_corpus(entities.filtered(_corpus(s, d), vocab.dictionary(s), NEEDLE, shared=True)),
+    "section_anchors": lambda s, d: entities.anchors(_located(s, d), _index(s, d)),
     "phrase_words": lambda s, d: _forms(s, d).select("item_id", "words"),
     "final_forms": lambda s, d: _forms(s, d).select("item_id", "forms"),
     "short_name": lambda s, d: t.table(s, d, "customer").select("c_custkey", vocab.short_name(F.concat(F.lit("Google "), F.col("c_mktsegment"), F.lit(" voice - "), F.col("c_name"))).alias("label")),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from lectern.operators import coverage, papers, structure, text, vocab
+from lectern.operators import coverage, entities, papers, structure, text, vocab
 from lectern.operators.questions import STOPWORDS
 from lectern.plans.registry_sql import ACRONYM_ROWS, CORE, DOCS, FNV, HITS, KEY, PAPERS, STATE
 from lectern.plans.registry_sql import BLOCKS as LINE_BLOCKS
@@ -165,7 +165,28 @@ PAPER = f"""{POOL}, e0 AS (SELECT *, {FNV.format(f"'{SEED}:docs' || doc_id")} AS
 e2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY place, id) AS r FROM e1), e3 AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY r, h, id) AS q FROM e2 QUALIFY q <= {papers.PAPER}),
 e4 AS (SELECT *, CASE WHEN q > CASE WHEN kind = 'cloze' THEN {QUOTA} ELSE {papers.PAPER - QUOTA} END THEN 1 ELSE 0 END AS ov FROM e3),
 e5 AS (SELECT row_number() OVER (ORDER BY ov, r, h, kind, id)::INTEGER AS rn, id, kind, doc_id FROM e4), pp2 AS (SELECT rn AS place, id, kind, doc_id FROM e5 WHERE rn <= {papers.PAPER})"""
-NAMES = f"{TOKENS}, nm AS (SELECT doc_id, core AS name, count(*) AS n FROM dsl WHERE score = 3 GROUP BY ALL HAVING count(*) >= 2)"
+#: Roles of words as letters (E: a name goes on, F: it ends, C: connector, X: neither); names are then what a pattern finds in a document's letters.
+MENTIONS = f"""{TOKENS}, {_sections("d")},
+lc AS (SELECT t.*, x.section, x.furniture, regexp_extract(word, '^([^A-Za-z0-9]*)(.*?)([^A-Za-z0-9]*)$', 3) AS trail FROM dtg t JOIN dsx x ON t.doc_id = x.doc_id AND t.block >= x.block_from AND t.block < x.block_to),
+ro AS (SELECT *, CASE WHEN furniture OR kind = 'code' OR acronym IS NOT NULL THEN 'X' WHEN length(core) > 1 AND strpos(word, '[') = 0 AND regexp_matches(core, '^[A-Z].*[a-z]') AND lower(core) NOT IN {entities.NOT_NAMES}
+  THEN CASE WHEN "at" = 0 THEN 'X' WHEN trail = '' THEN 'E' ELSE 'F' END WHEN trail = '' AND regexp_full_match(core, 'of|and|for|the|to|in|on|with|at|an?|de') THEN 'C' ELSE 'X' END AS r FROM lc),
+ls AS (SELECT doc_id, regexp_replace(string_agg(r, '' ORDER BY i), '(E(?:C{{0,2}}E)*(?:C{{0,2}}F)?|F)', '<\\1>', 'g') AS m FROM ro GROUP BY 1),
+cs0 AS (SELECT doc_id, unnest(string_split(m, '')) AS c, unnest(range(length(m))) AS p FROM ls),
+cs1 AS (SELECT doc_id, c, sum((c NOT IN ('<', '>'))::INTEGER) OVER w - 1 AS i, sum((c = '<')::INTEGER) OVER w AS island, sum(CASE c WHEN '<' THEN 1 WHEN '>' THEN -1 ELSE 0 END) OVER w AS inside FROM cs0 WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+nw AS (SELECT o.*, c.island, count(*) FILTER (o.r <> 'C') OVER (PARTITION BY o.doc_id, c.island ORDER BY o.i) + (o.r = 'C')::INTEGER AS k FROM cs1 c JOIN ro o ON o.doc_id = c.doc_id AND o.i = c.i WHERE c.inside = 1 AND c.c NOT IN ('<', '>')),
+np AS (SELECT doc_id, island, k, count(*) AS n, list(core ORDER BY i) AS ws, arg_max(i, i) AS i, arg_max(section, i) AS section FROM nw GROUP BY 1, 2, 3),
+nr AS (SELECT doc_id, island, k, 0 AS run, n AS l, ws, i, section FROM np WHERE k = 1
+  UNION ALL SELECT p.doc_id, p.island, p.k, CASE WHEN a.l + p.n <= 8 THEN a.run ELSE a.run + 1 END, CASE WHEN a.l + p.n <= 8 THEN a.l + p.n ELSE 1 END, CASE WHEN a.l + p.n <= 8 THEN p.ws ELSE p.ws[-1:] END, p.i, p.section FROM nr a JOIN np p ON p.doc_id = a.doc_id AND p.island = a.island AND p.k = a.k + 1),
+nm AS (SELECT doc_id, min(i) AS i, arg_min(section, i) AS section, string_agg(array_to_string(ws, ' '), ' ' ORDER BY i) AS display FROM nr GROUP BY doc_id, island, run),
+mn AS (SELECT doc_id, i, section, 'term' AS kind, {_slug("display")} AS key, display FROM nm UNION ALL SELECT doc_id, i, section, 'acronym', acronym, acronym FROM lc WHERE acronym IS NOT NULL AND NOT furniture AND kind <> 'code')"""
+INDEX = MENTIONS + """,
+en0 AS (SELECT doc_id, key, arg_min(display, i) AS display, arg_min(kind, i) AS kind, count(*) AS n, min(i) AS first, list_sort(list_distinct(list(section)))[:12] AS sections FROM mn GROUP BY 1, 2),
+lo AS (SELECT doc_id, core, count(*) AS n FROM lc WHERE NOT furniture AND kind <> 'code' AND acronym IS NULL AND regexp_full_match(core, '[a-z]{2,}') GROUP BY 1, 2),
+en1 AS (SELECT e.* FROM en0 e LEFT JOIN lo ON lo.doc_id = e.doc_id AND lo.core = lower(e.display) WHERE e.kind = 'acronym' OR (e.n > 1 AND (strpos(e.display, ' ') > 0 OR e.n >= coalesce(lo.n, 0)))),
+en AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, display, key)::INTEGER AS rank, key, display, kind, n AS count, first, sections, greatest(count(*) OVER (PARTITION BY doc_id) - 600, 0)::BIGINT AS truncated FROM en1 QUALIFY rank <= 600)"""
+CORPUS = INDEX + """,
+cx AS (SELECT key, arg_max(display, (count, -doc_id)) AS display, arg_min(kind, doc_id) AS kind, count(*) AS docs, sum(count)::BIGINT AS total,
+  CASE WHEN count(*) <= 1000 THEN string_agg(doc_id || ':' || count || ':' || first || ':' || len(sections), ',' ORDER BY count DESC, doc_id) END AS listed FROM en GROUP BY 1)"""
 ANSWER = r"regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[’'']s\b', '', 'g'), '[^a-z0-9%. ]+', ' ', 'g'), ' +', ' ', 'g')), 's$', '')"
 FORMS = f"""f0 AS (SELECT item_id, list_filter(list_transform(regexp_split_to_array(string_split(coalesce(text, ''), chr(10))[1], '\\s+'), lambda word: {CORE}), lambda x: x <> '') AS w FROM benchmark),
 f1 AS (SELECT item_id, w, w[-1] AS l FROM f0 WHERE len(w) > 0)"""
@@ -200,12 +221,14 @@ g1 AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY section ROWS UNBOUN
     "bionic_split": f"""{W}{DOC_BLOCKS}, w AS (SELECT DISTINCT unnest(list_filter(string_split(line, ' '), lambda x: x <> '')) AS word FROM (SELECT {SQUEEZE.format("unnest(string_split(text, chr(10)))")} AS line FROM d)),
 l AS (SELECT word, length(regexp_extract(word, '^([^A-Za-zÀ-ɏ]*)', 1)) AS h, length(regexp_extract(word, '^[^A-Za-zÀ-ɏ]*([A-Za-zÀ-ɏ][A-Za-zÀ-ɏ''’-]*)', 1)) AS n FROM w)
 SELECT word, substring(word, 1, CASE WHEN n = 0 THEN length(word) ELSE h + CASE WHEN n <= 3 THEN 1 ELSE greatest(1, floor(n * 0.45::DOUBLE + 0.5)::INTEGER) END END) AS lead FROM l""",
-    "entity_filter": f"{W}{NAMES} SELECT name, count(*) AS docs, sum(n)::BIGINT AS n FROM nm WHERE contains(lower(name), 'e') GROUP BY 1 HAVING count(*) >= 2",
-    "section_anchors": f"""{W}{TOKENS}, {_sections("d")}, z0 AS (SELECT s.doc_id, x.section AS part, s.acronym, s.core, s.score FROM dsl s JOIN dsx x ON s.doc_id = x.doc_id AND s.block >= x.block_from AND s.block < x.block_to),
-zt AS (SELECT s.doc_id, x.section AS part, s.acronym FROM dtg s JOIN dsx x ON s.doc_id = x.doc_id AND s.block >= x.block_from AND s.block < x.block_to WHERE s.acronym IS NOT NULL),
-z1 AS (SELECT doc_id, part, acronym AS label, 'acronym' AS kind, count(*) AS n FROM zt GROUP BY ALL UNION ALL SELECT doc_id, part, core, 'term', count(*) FROM z0 WHERE acronym IS NULL AND score = 3 GROUP BY ALL HAVING count(*) >= 2),
-z2 AS (SELECT * FROM z1 QUALIFY row_number() OVER (PARTITION BY doc_id, part, lower(label) ORDER BY kind, n DESC, label) = 1)
-SELECT doc_id, part, row_number() OVER (PARTITION BY doc_id, part ORDER BY kind, n DESC, label)::INTEGER AS place, label, kind FROM z2 QUALIFY place <= 3""",
+    "entity_mentions": f"{W}{MENTIONS} SELECT doc_id, i::BIGINT AS i, section, kind, key, display FROM mn",
+    "entity_doc": f"{W}{INDEX} SELECT doc_id, rank, key, display, kind, count, first::BIGINT AS first, array_to_string(sections, ',') AS sections, truncated FROM en",
+    "entity_corpus": f"{W}{CORPUS} SELECT * FROM cx",
+    "entity_filter": f"{W}{CORPUS} SELECT cx.* FROM cx LEFT JOIN ({ACRONYM_ROWS}) a ON cx.kind = 'acronym' AND a.key = cx.key WHERE docs >= 2 AND (contains(lower(display), 'e') OR coalesce(contains(lower(expansion), 'e'), false))",
+    "section_anchors": f"""{W}{INDEX}, an AS (SELECT doc_id, section, acronym AS label, 'acronym' AS kind, -count(*) AS o FROM lc WHERE acronym IS NOT NULL GROUP BY 1, 2, 3
+  UNION ALL SELECT doc_id, unnest(sections), display, 'term', rank FROM en WHERE kind = 'term'),
+as0 AS (SELECT *, kind = 'acronym' OR row_number() OVER (PARTITION BY doc_id, section, lower(label) ORDER BY kind, o, label) = 1 AS ok FROM an)
+SELECT doc_id, section, row_number() OVER (PARTITION BY doc_id, section ORDER BY kind, o, label)::INTEGER AS place, label, kind FROM as0 WHERE ok QUALIFY place <= 3""",
     "phrase_words": f"WITH {FORMS} SELECT item_id, array_to_string(w, ' ') AS words FROM f1",
     "final_forms": f"""WITH {FORMS}, f2 AS (SELECT item_id, l, length(l) > 3 AND l LIKE '%s' AND l NOT LIKE '%ss' AS p FROM f1)
 SELECT item_id, array_to_string(list_sort(list_distinct(list_filter([l, l || 's', l || 'es', CASE WHEN p THEN l[:-2] END, CASE WHEN p AND l LIKE '%es' THEN l[:-3] END], lambda x: x IS NOT NULL))), ' ') AS forms FROM f2""",
@@ -253,7 +276,10 @@ l1 AS (SELECT * FROM l0 WHERE nx IS NOT NULL), l2 AS (SELECT doc_id, r, chunk, C
 SELECT doc_id, chunk, event FROM l2 WHERE event IS NOT NULL""",
     "effective_wpm": """WITH g AS (SELECT user_id AS reader, epoch_ms(ts) - epoch_ms(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM events), a AS (SELECT reader, count(*) AS n, coalesce(sum(least(gap, 1500)), 0) AS ms FROM g GROUP BY 1)
 SELECT reader, (floor(CASE WHEN n > 25 AND ms > 4000 THEN n * 40 / (ms / 60000.0::DOUBLE) ELSE 185 END / 5 + 0.5) * 5)::BIGINT AS wpm FROM a""",
-    "dq_entities": f"{W}{NAMES} " + _report("entities", [("blank name", "nm WHERE trim(name) = ''", 0), ("below the floor", "nm WHERE n < 2", 0), ("document twice", "(SELECT 1 FROM nm GROUP BY doc_id, name HAVING count(*) > 1)", 0), ("shared", "(SELECT 1 FROM nm GROUP BY name HAVING count(*) > 1)", None)]),
+    "dq_entities": f"""{W}{CORPUS}, dv AS (SELECT 'entries' AS "check", (SELECT count(*) FROM en) AS value UNION ALL SELECT 'blank name', (SELECT count(*) FROM en WHERE trim(display) = '') UNION ALL SELECT 'below the floor', (SELECT count(*) FROM en WHERE kind = 'term' AND count < 2)
+  UNION ALL SELECT 'too long a name', (SELECT count(*) FROM en WHERE len(string_split(display, ' ')) > 8) UNION ALL SELECT 'no section', (SELECT count(*) FROM en WHERE len(sections) = 0) UNION ALL SELECT 'names nothing', (SELECT count(*) FROM en WHERE kind = 'term' AND lower(display) IN {entities.NOT_NAMES})
+  UNION ALL SELECT 'truncated', (SELECT coalesce(sum(truncated), 0) FROM en WHERE rank = 1) UNION ALL SELECT 'shared', (SELECT count(*) FROM cx WHERE docs > 1) UNION ALL SELECT 'documents not listed', (SELECT count(*) FROM cx WHERE docs <= 1000 AND docs <> len(string_split(listed, ','))))
+SELECT 'entities' AS report, "check", value::BIGINT AS value, "check" IN ('entries', 'truncated', 'shared') OR value = 0 AS ok FROM dv""",
     "dq_checks": f"{W}{CHECKS} " + _report("checks", [("answer left in its carrier", "ck WHERE contains(carrier, answer)", 0), ("no blank", f"ck WHERE NOT contains(carrier, '{papers.BLANK}')", 0), ("shared carrier", "(SELECT 1 FROM ck GROUP BY doc_id, win, chunk HAVING count(*) > 1)", 0), ("windows", "(SELECT DISTINCT doc_id, win FROM ck)", None)]),
     "dq_paper": f"{W}{PAPER} " + _report("paper", [("answer not among the options", "aq WHERE NOT contains(options, answer)", 0), ("empty prompt", "po WHERE trim(prompt) = ''", 0), ("one question twice", "(SELECT 1 FROM pp2 GROUP BY id HAVING count(*) > 1)", 0), ("questions", "pp2", None)]),
     "dq_coverage": f"{W}{SECTIONS} " + _report("coverage", [("owed after a perfect reading", f"{_perfect(True)} WHERE words > 0 AND NOT furniture AND state <> 'verified'", 0), ("verified after an empty reading", f"{_perfect(False)} WHERE words > 0 AND NOT furniture AND state = 'verified'", 0), ("sections", "pow WHERE words > 0", None)]),
