@@ -76,18 +76,20 @@ def sections(blocks: DataFrame) -> DataFrame:
     blocks keeps the places of its cuts only. Blocks and tokens are half-open ranges.
     """
     by = placed(blocks).groupBy("doc_id", "seed", "title", "level").agg(F.sort_array(F.collect_list(F.struct("block", "words", "start"))).alias("b"))
-    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("cuts"))
+    place = lambda x: F.struct(x["block"].alias("block"), x["start"].alias("start"))
+    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<block:int,start:bigint>>").alias("cuts"))
     over = lambda s: s["n"] >= STRETCH_WORDS
-    fold = F.aggregate("b", start, lambda s, x: F.struct((F.when(over(s), 0).otherwise(s["n"]) + x["words"]).cast("int").alias("n"), F.when(over(s), F.concat(s["cuts"], F.array(x["block"]))).otherwise(s["cuts"]).alias("cuts")), lambda s: s["cuts"])
-    cuts = F.concat(F.array(F.col("b")[0]["block"]), fold)
-    rows = by.withColumn("cuts", cuts).select("doc_id", "seed", "title", "level", "b", "cuts", F.posexplode("cuts").alias("k", "block_from"))
-    rows = rows.withColumn("block_to", F.coalesce(F.get("cuts", F.col("k") + 1), F.element_at("b", -1)["block"] + 1))
-    own = F.filter("b", lambda x: (x["block"] >= F.col("block_from")) & (x["block"] < F.col("block_to")))
-    rows = rows.withColumn("own", own).withColumn("words", F.aggregate("own", F.lit(0), lambda n, x: n + x["words"]))
+    fold = F.aggregate("b", start, lambda s, x: F.struct((F.when(over(s), 0).otherwise(s["n"]) + x["words"]).cast("int").alias("n"), F.when(over(s), F.concat(s["cuts"], F.array(place(x)))).otherwise(s["cuts"]).alias("cuts")), lambda s: s["cuts"])
+    last = F.element_at("b", -1)
+    # A part's words stand between its first block's start and the next part's.
+    rows = by.withColumn("cuts", F.concat(F.array(place(F.col("b")[0])), fold)).withColumn("end", F.struct((last["block"] + 1).alias("block"), (last["start"] + last["words"]).alias("start"))).drop("b")
+    rows = rows.select("doc_id", "seed", "title", "level", "cuts", "end", F.posexplode("cuts").alias("k", "cut"))
+    rows = rows.withColumn("next", F.coalesce(F.get("cuts", F.col("k") + 1), F.col("end"))).withColumn("block_from", F.col("cut.block")).withColumn("block_to", F.col("next.block"))
+    rows = rows.withColumn("words", (F.col("next.start") - F.col("cut.start")).cast("int"))
     named = F.when(F.col("k") == 0, F.col("title")).otherwise(F.concat("title", F.lit(" (part "), (F.col("k") + 1).cast("string"), F.lit(")")))
     rows = rows.select(
         "doc_id", (F.row_number().over(_by_doc("block_from")) - 1).alias("section"), named.alias("title"), F.col("title").alias("base"), F.when(F.size("cuts") > 1, F.col("k") + 1).alias("part"),
-        F.when(F.col("k") == 0, F.col("level")).otherwise(2).alias("level"), "block_from", "block_to", F.col("own")[0]["start"].cast("int").alias("token_from"), "words",
+        F.when(F.col("k") == 0, F.col("level")).otherwise(2).alias("level"), "block_from", "block_to", F.col("cut.start").cast("int").alias("token_from"), "words",
     )
     rows = rows.withColumn("token_to", (F.col("token_from") + F.col("words")).cast("int"))
     whole = Window.partitionBy("doc_id")
@@ -118,37 +120,18 @@ def folded(sections: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "run").agg(F.min("section").alias("section"), F.first("base").alias("base"), F.count(F.lit(1)).alias("parts"), F.sum("words").alias("words"), F.max("token_to").alias("token_to")).drop("run")
 
 
-def _let(value: Column, then) -> Column:
-    """``then(value)`` with the value taken once."""
-    return F.transform(F.array(value), then)[0]
-
-
-def _last(text: Column, mark: str) -> Column:
-    """The last place (from 0) of a mark in a text, or below 0."""
-    return _let(F.locate(mark[::-1], F.reverse(text)), lambda at: F.when(at > 0, F.length(text) - at + 1 - len(mark)).otherwise(-1))
-
-
-def _cut(window: Column, longest: int) -> Column:
-    stop = F.greatest(*(_last(window, m) for m in ("; ", ", ", " — ", " – ")))
-    return _let(stop, lambda at: F.when(at > longest * CUT_SHARE, at + 1).otherwise(_let(_last(window, " "), lambda space: F.when(space > 0, space).otherwise(longest))))
+def _part(longest: int) -> str:
+    """The next part of a text, as a pattern: all that is left, else up to the last stop inside the limit, else to the last space, else to the limit."""
+    least = int(longest * CUT_SHARE) + 1
+    # A stop is a semicolon or comma before a space, or the space before a dash; all of it stands inside the limit.
+    stop = rf".{{{longest - 2}}}[;,](?= )|.{{{least},{longest - 3}}}(?:[;,](?= )| (?=[—–] ))"
+    return rf"(?s) *(.{{1,{longest}}}\z|{stop}|.{{1,{longest - 1}}}(?= )|.{{{longest}}})"
 
 
 def capped(sentence: Column, longest: int = LONGEST) -> Column:
-    """The parts of a sentence: cut at the last stop inside the limit, else at the last space, else at the limit."""
-    start = F.struct(sentence.alias("rest"), F.array().cast("array<string>").alias("parts"))
-
-    def added(parts: Column, part: Column) -> Column:
-        return F.when(part != "", F.concat(parts, F.array(part))).otherwise(parts)
-
-    def step(s, _):
-        rest = s["rest"]
-        whole = F.struct(F.lit("").alias("rest"), added(s["parts"], rest).alias("parts"))
-        split = _let(_let(F.substring(rest, 1, longest), lambda w: _cut(w, longest)), lambda cut: F.struct(F.trim(F.substring(rest, cut + 1, F.length(rest))).alias("rest"), added(s["parts"], F.trim(F.substring(rest, F.lit(1), cut))).alias("parts")))
-        return F.when(F.length(rest) <= longest, whole).otherwise(split)
-
-    # Each cut takes more than the share of the limit off, but for the last one.
-    most = F.ceil(F.length(sentence) / (longest * CUT_SHARE)).cast("int") + 1
-    return F.when(F.length(sentence) <= longest, F.array(sentence)).otherwise(F.aggregate(F.sequence(F.lit(1), most), start, step, lambda s: s["parts"]))
+    """The parts of a sentence: cut at the last stop inside the limit, else at the last space, else at the limit. One pass of a pattern, however long the text."""
+    parts = F.filter(F.transform(F.regexp_extract_all(sentence, F.lit(_part(longest)), 1), F.trim), lambda p: p != "")
+    return F.when(F.length(sentence) <= longest, F.array(sentence)).otherwise(parts)
 
 
 def sentences(blocks: DataFrame, line: str = "text") -> DataFrame:
