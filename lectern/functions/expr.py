@@ -36,18 +36,12 @@ def answer_key(text: Column) -> Column:
     return F.regexp_replace(F.trim(t), "s$", "")
 
 
-#: Spellings of one sound and the common one, in this order.
-SOUNDS = (("ph", "f"), ("ck", "k"), ("c([eiy])", "s$1"), ("c", "k"), ("q", "k"), ("z", "s"), ("x", "ks"))
-
-
 def sound_key(text: Column) -> Column:
-    """A word's consonants in a common spelling; a leading vowel stays, doubled sounds are one."""
-    t = F.regexp_replace(F.lower(text), "[^a-z]", "")
-    for pattern, by in SOUNDS:
-        t = F.regexp_replace(t, pattern, by)
-    t = F.concat(F.substring(t, 1, 1), F.regexp_replace(F.substring(t, 2, 1_000_000), "[aeiou]", ""))
-    letters = F.filter(F.split(t, ""), lambda c: c != "")
-    return F.array_join(F.filter(letters, lambda c, i: (i == 0) | (c != F.get(letters, i - 1))), "")
+    """A word's consonants in a common spelling; a leading vowel stays, doubled sounds are one. The spellings are fixed values."""
+    t = F.regexp_replace(F.lower(text), "[^a-z]+", "")
+    t = F.replace(F.replace(t, F.lit("ph"), F.lit("f")), F.lit("ck"), F.lit("k"))
+    t = F.replace(F.translate(F.regexp_replace(t, "c(?=[eiy])", "s"), "cqz", "kks"), F.lit("x"), F.lit("ks"))
+    return F.regexp_replace(F.regexp_replace(t, "(?<!^)[aeiou]+", ""), r"(.)\1+", "$1")
 
 
 #: Inline marks and what stays of them, in this order.

@@ -130,7 +130,7 @@ def _part(longest: int) -> str:
 
 def capped(sentence: Column, longest: int = LONGEST) -> Column:
     """The parts of a sentence: cut at the last stop inside the limit, else at the last space, else at the limit. One pass of a pattern, however long the text."""
-    parts = F.filter(F.transform(F.regexp_extract_all(sentence, F.lit(_part(longest)), 1), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.regexp_extract_all(sentence, F.lit(_part(longest)), 1), lambda p: F.trim(p)), lambda p: p != "")
     return F.when(F.length(sentence) <= longest, F.array(sentence)).otherwise(parts)
 
 

@@ -84,7 +84,7 @@ def reading_times(docs: DataFrame, wpm: int = 185) -> DataFrame:
 
 def repeated_lines(docs: DataFrame, share: float = 0.35) -> DataFrame:
     """First and last lines of documents, digits masked, that recur in a source: twice, and in a share of its documents."""
-    kept = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")
+    kept = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     rows = docs.select("doc_id", "source", kept.alias("k")).where(F.size("k") > 0)
     edges = rows.select("doc_id", "source", F.explode(F.array_distinct(F.transform(F.array(F.get("k", F.lit(0)), F.element_at("k", -1)), lambda x: F.regexp_replace(x, "[0-9]+", "#")))).alias("line"))
     counts = edges.groupBy("source", "line").agg(F.count(F.lit(1)).alias("n"))

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.expr import title_key
-from lectern.operators.text import blocks
 
 
 def required_topics(benchmark: DataFrame) -> DataFrame:
@@ -16,32 +15,40 @@ def required_topics(benchmark: DataFrame) -> DataFrame:
     return rows.groupBy("topic").agg(F.min_by("title", "item_id").alias("title"), F.count_distinct(F.col("item_id") % 6).alias("groups"))
 
 
-def units(docs: DataFrame) -> DataFrame:
-    """``doc_id, block, topic, words``: lines as titled units."""
-    return blocks(docs).select("doc_id", "block", title_key("line").alias("topic"), F.size(F.split("line", " ")).alias("words"))
+#: Characters of a title that can be all but another; edits that it may be away.
+LEAST_TITLE, MOST_EDITS = 8, 2
 
 
-def topic_match(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Units whose title is a required topic's exactly."""
-    return units(docs).join(required_topics(benchmark).select("topic"), "topic").select("doc_id", "block", "topic", "words")
+def _pieces(key, most: int):
+    """``at, piece`` of a text in ``most + 1`` pieces of about one length: of two texts so many edits apart, one holds a piece of the other unchanged."""
+    n, parts = F.length(key), most + 1
+    start = lambda k: F.floor(n * k / parts).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.lit(most)), lambda k: F.struct(k.alias("k"), start(k).alias("at"), F.substring(key, start(k) + 1, start(k + 1) - start(k)).alias("piece")))
 
 
-def topic_coverage(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``topic, docs, words, state`` of every required topic; the units are combined by topic before they meet."""
-    met = topic_match(docs, benchmark).groupBy("topic").agg(F.count_distinct("doc_id").alias("docs"), F.sum("words").alias("words"))
-    out = required_topics(benchmark).select("topic").join(met, "topic", "left")
-    return out.select("topic", F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("words", F.lit(0)).alias("words"), F.when(F.col("docs").isNull(), "absent").when(F.col("docs") == 1, "single").otherwise("covered").alias("state"))
+def near_misses(titles: DataFrame, topics: DataFrame, resembled: DataFrame | None = None, least: int = LEAST_TITLE, most: int = MOST_EDITS) -> DataFrame:
+    """``title, topic, distance``: titles one or two edits from a topic that are no topic, nor listed as resembling one.
 
+    A topic is kept under its length and each of three pieces; a title looks up its own substrings of the pieces' lengths,
+    at most two places off, for each length within two edits. So candidates meet by equality, and only they are
+    measured. Keys under eight characters are too short to tell.
+    """
+    known = topics.select("topic").distinct()
+    own = titles.select(F.col("title")).distinct().where(F.length("title") >= least).join(known.select(F.col("topic").alias("title")), "title", "left_anti")
+    if resembled is not None:
+        own = own.join(resembled.select("title").distinct(), "title", "left_anti")
+    kept = known.where(F.length("topic") >= least - most).select("topic", F.length("topic").alias("n"), F.explode(_pieces(F.col("topic"), most)).alias("p"))
+    kept = kept.select("topic", "n", "p.k", "p.piece")
+    lengths = own.select("title", F.explode(F.sequence(F.length("title") - most, F.length("title") + most)).alias("n"))
+    parts = most + 1
+    tried = lengths.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(most)))).withColumn("off", F.explode(F.sequence(F.lit(-most), F.lit(most))))
+    start, stop = F.floor(F.col("n") * F.col("k") / parts).cast("int"), F.floor(F.col("n") * (F.col("k") + 1) / parts).cast("int")
+    tried = tried.withColumn("at", start + F.col("off")).withColumn("piece", F.substring("title", F.col("at") + 1, stop - start)).where(F.col("at") >= 0)
+    met = tried.join(kept, ["n", "k", "piece"]).select("title", "topic").distinct()
+    return met.withColumn("distance", F.levenshtein("title", "topic", most)).where(F.col("distance").between(1, most))
 
-def topic_gaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    return required_topics(benchmark).join(units(docs).select("topic").distinct(), "topic", "left_anti").select("topic", "groups")
 
-
-def near_misses(parts: DataFrame, names: list[str], least: int = 8, most: int = 2) -> DataFrame:
-    """Names close to a listed one but not equal: ``p_name, near, distance``. The list is a fixed small one."""
-    spark = parts.sparkSession
-    listed = spark.createDataFrame([(n,) for n in names], "near string")
-    distinct = parts.select("p_name").distinct().where(F.length("p_name") >= least)
-    d = F.levenshtein("p_name", "near", most)
-    close = F.abs(F.length("p_name") - F.length("near")) <= most
-    return distinct.join(F.broadcast(listed), close & (d >= 1) & (d <= most)).select("p_name", "near", F.levenshtein("p_name", "near").alias("distance"))
+def resembling(titles: DataFrame, listed: DataFrame) -> DataFrame:
+    """``title, topics``: titles that are listed as look-alikes of topics, which they don't count for."""
+    by = listed.groupBy("title").agg(F.sort_array(F.collect_set("topic")).alias("topics"))
+    return titles.select("title").distinct().join(by, "title")

@@ -10,12 +10,11 @@ from pyspark.sql import functions as F
 from lectern.functions import expr
 from lectern.operators import library, questions, reading, review, text, topics, vocab
 from lectern.sources import tables as t
-from lectern.plans import reader_log, study, study_sql
+from lectern.plans import reader_log, search, study, study_sql
 from lectern.plans.registry_sql import ACRONYM_ROWS, ANSWERS, ASKED, BLOCKS, CATALOG, CORE, DOCS, FNV, HITS, KEY, MERGE, PACE, PAPERS, SALIENT, STATE, TOPICS
 from lectern.streaming import readers
 
 PHRASE, SEARCH, NOW, TODAY = "of the", "src1 en", "2024-02-01 00:00:00", "1998-06-01"
-NAMES = ["small rings", "red wiget", "blue bold", "green gears", "large bolts"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,7 +67,6 @@ QUERIES: dict[str, Query] = {
     "phrase_docs": lambda s, d: vocab.phrase_docs(t.docs(s, d), PHRASE),
     "catalog_search": lambda s, d: vocab.catalog_search(t.docs(s, d), SEARCH),
     "required_topics": lambda s, d: topics.required_topics(t.table(s, d, "benchmark")),
-    "near_miss_alarm": lambda s, d: topics.near_misses(t.table(s, d, "part"), NAMES),
     "term_salience": lambda s, d: questions.salient_terms(t.docs(s, d)),
     "cloze_candidates": lambda s, d: questions.asked_terms(t.docs(s, d)),
     "item_ids": lambda s, d: questions.item_ids(t.docs(s, d)),
@@ -103,10 +101,6 @@ QUERIES: dict[str, Query] = {
     "stale_rows": lambda s, d: library.stale_rows(_catalog(s, d), _index(s, d)),
 }
 
-_SOUND = "regexp_replace(lower(word), '[^a-z]', '', 'g')"
-for _pattern, _by in expr.SOUNDS:
-    _SOUND = f"regexp_replace({_SOUND}, '{_pattern}', '{_by.replace('$', chr(92))}', 'g')"
-
 _PLAIN = "coalesce(html, '')"
 for _pattern, _by in expr.INLINE:
     _PLAIN = f"regexp_replace({_PLAIN}, '{_pattern}', '{_by.replace('$', chr(92))}', 'g')"
@@ -134,8 +128,6 @@ SELECT doc_id, key, expansion, count(*) AS n FROM w JOIN fo USING (core) GROUP B
     "phrase_docs": f"WITH {HITS} SELECT doc_id, sum(hits)::BIGINT AS total FROM h GROUP BY 1",
     "catalog_search": f"WITH {DOCS} SELECT doc_id, title, source FROM dt WHERE contains(lower(concat_ws(' ', title, source, lang)), 'src1') AND contains(lower(concat_ws(' ', title, source, lang)), 'en')",
     "required_topics": f"WITH {TOPICS} SELECT topic, title, groups FROM rq",
-    "near_miss_alarm": f"""WITH n(near) AS (VALUES {', '.join(f"('{x}')" for x in NAMES)}), p AS (SELECT DISTINCT p_name FROM part WHERE length(p_name) >= 8)
-SELECT p_name, near, levenshtein(p_name, near)::INTEGER AS distance FROM p, n WHERE levenshtein(p_name, near) BETWEEN 1 AND 2""",
     "term_salience": f"WITH {SALIENT} SELECT * FROM ss",
     "cloze_candidates": f"WITH {ASKED} SELECT * FROM sr",
     "seeded_shuffle": f"WITH h AS (SELECT o_orderkey, {FNV.format(chr(39) + 'seed' + chr(39) + ' || o_orderkey')} AS h FROM orders) SELECT o_orderkey, h, row_number() OVER (ORDER BY h, o_orderkey) AS place FROM h",
@@ -167,8 +159,6 @@ s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS U
 SELECT kind, started, sum(words)::BIGINT AS words, floor(sum(words) / (sum(ms) / 60000.0::DOUBLE) + 0.5)::BIGINT AS wpm FROM w GROUP BY ALL HAVING sum(ms) > 0""",
     "orp_index": f"""WITH {BLOCKS}, w AS (SELECT DISTINCT word, list_filter(string_split(word, ''), lambda c: c <> '') AS l FROM tk), p AS (SELECT word, list_filter(range(len(l)), lambda i: regexp_matches(l[i + 1], '[A-Za-z0-9À-ɏ]')) AS pl FROM w)
 SELECT word, coalesce(pl[CASE WHEN len(pl) <= 1 THEN 0 WHEN len(pl) <= 5 THEN 1 WHEN len(pl) <= 9 THEN 2 ELSE 3 END + 1], 0)::INTEGER AS pivot FROM p""",
-    "sound_key": f"""WITH {BLOCKS}, w AS (SELECT DISTINCT word FROM tk), r AS (SELECT word, {_SOUND} AS t FROM w), c AS (SELECT word, substring(t, 1, 1) || regexp_replace(substring(t, 2), '[aeiou]', '', 'g') AS t FROM r),
-l AS (SELECT word, list_filter(string_split(t, ''), lambda x: x <> '') AS l FROM c) SELECT word, array_to_string(list_filter(l, lambda x, i: i = 1 OR x <> l[i - 1]), '') AS key FROM l""",
     "latency_ema": "SELECT user_id AS reader, round(list_reduce(list(value ORDER BY ts, event_id), lambda s, x: s * 0.7 + x * 0.3), 6) AS ema FROM events GROUP BY 1",
     "acronym_expand": f"""WITH {BLOCKS}, fm AS (SELECT k || e AS form, x || e AS spoken FROM (SELECT key AS k, expansion AS x, unnest(['', 's', chr(39) || 's', '’s']) AS e FROM ({ACRONYM_ROWS}))),
 w AS (SELECT doc_id, block, "at", word, {CORE} AS core FROM tk), e AS (SELECT doc_id, block, string_agg(CASE WHEN spoken IS NULL THEN word ELSE replace(word, core, spoken) END, ' ' ORDER BY "at") AS spoken, count(spoken) AS n FROM w LEFT JOIN fm ON form = core GROUP BY 1, 2)
@@ -187,8 +177,8 @@ SELECT doc_id, CASE WHEN n IS NULL THEN 'missing' WHEN n <> n_words THEN 'stale'
 
 
 def queries() -> dict[str, Query]:
-    return QUERIES | study.QUERIES | reader_log.QUERIES
+    return QUERIES | study.QUERIES | reader_log.QUERIES | search.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | study_sql.SQL | reader_log.SQL
+    return SQL | study_sql.SQL | reader_log.SQL | search.SQL
