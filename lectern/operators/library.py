@@ -52,6 +52,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}/{uuid.uuid4().hex}"
 
 
+def kept(rows: DataFrame) -> DataFrame:
+    """``rows`` written to a new shared folder and read again: what several steps read is made once, and a lost executor costs nothing."""
+    folder = shared_folder(rows.sparkSession, "lectern-kept")
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
 def export(tables: dict[str, DataFrame]) -> str:
     """Writes each table below one new shared folder, which is returned."""
     folder = shared_folder(next(iter(tables.values())).sparkSession, "lectern-snapshot")

@@ -6,10 +6,14 @@ paper are ranked by windows over documents and kinds, never in one task, but for
 
 from __future__ import annotations
 
+import collections
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.expr import answer_key, fnv1a, slug
+from lectern.operators import library
 from lectern.operators.questions import STOPWORDS
 from lectern.operators.vocab import CORE, dictionary
 
@@ -22,7 +26,7 @@ CARRIER_WORDS, PER_DOC, OPTIONS, PAPER = 6, 12, 4, 40
 #: What stands for the answer, scores of terms, the share of a paper that each kind aims at.
 BLANK = "____"
 ACRONYM_SCORE, CAPITALS_SCORE, NUMBER_SCORE, NAME_SCORE = 10, 5, 4, 3
-SHARES = (("cloze", 0.45), ("acronym", 0.35))
+MIX = {"acronym": 0.35, "cloze": 0.45, "grid": 0.2}
 
 #: Kinds of blocks that are not asked about, and the words that make the number after them a reference.
 NOT_ASKED = ("table", "code", "h1", "h2", "h3")
@@ -133,24 +137,55 @@ def question_pool(cloze: DataFrame, acronym: DataFrame) -> DataFrame:
     return cloze.select(columns).unionByName(acronym.select(columns))
 
 
+def assembled(pools: list[tuple[object, dict[str, list[tuple[str, str]]]]], count: int, picks: list, rest: bool = True) -> list:
+    """Adds to ``picks`` (document, kind, id, meaning) from pools in order: one question of a document at a time, of the kind furthest below its share that it can still offer, no meaning twice; ``rest``: round after round.
+
+    A pool's questions are ``(id, meaning)`` by kind, in its own order.
+    """
+    asked, taken = {p[3] for p in picks}, collections.Counter(p[1] for p in picks)
+    going = True
+    while going and len(picks) < count:
+        going = False
+        for doc, questions in pools:
+            if len(picks) >= count:
+                break
+            best = None
+            for kind, share in MIX.items():
+                first = next((q for q in questions.get(kind, ()) if q[1] not in asked), None)
+                debt = share * (len(picks) + 1) - taken[kind]
+                if first and (best is None or debt > best[0]):
+                    best = debt, kind, first
+            if best:
+                picks.append((doc, best[1], *best[2]))
+                asked.add(best[2][1])
+                taken[best[1]] += 1
+                going = rest
+    return picks
+
+
 def paper(pool: DataFrame, seed: str, count: int = PAPER) -> DataFrame:
-    """``place, id, kind, doc_id``: a paper of ``count`` questions, stratified by kind, documents in turn, one fact once.
+    """``place, id, kind, doc_id``: a paper of ``count`` questions, documents in turn by seeded order, no fact twice.
 
-    Of one fact the first question stays, by the seeded order of documents. A kind gives its share, and what others
-    cannot. The quota is decided by two counts and the paper is ``count`` rows, whatever the pool's size.
+    The first round needs, after the documents that it has met, the next ones with a fact that is not asked yet: at most
+    ``count`` documents with ``2 * count`` questions a kind are fetched at a time, and each time one at least is asked.
+    A document that is met in a later round was met in the first, as what was asked stays asked. ``place`` counts the
+    questions of a document and kind.
     """
-    turn = _order(seed + ":docs", F.col("doc_id").cast("string"))
-    rows = pool.withColumn("h", turn)
-    once = rows.withColumn("k", F.row_number().over(Window.partitionBy("meaning").orderBy("h", "place", "id"))).where("k = 1")
-    # The first of each document, then the second, and so on: the best ``count`` of each kind are a top-k.
-    once = once.withColumn("r", F.row_number().over(Window.partitionBy("doc_id", "kind").orderBy("place", "id")))
-    best = once.where("kind = 'cloze'").orderBy("r", "h", "id").limit(count).unionByName(once.where("kind = 'acronym'").orderBy("r", "h", "id").limit(count))
-    best = best.withColumn("q", F.row_number().over(Window.partitionBy("kind").orderBy("r", "h", "id"))).withColumn("have", F.count(F.lit(1)).over(Window.partitionBy("kind")))
-    total = sum(s for _, s in SHARES)
-    quota = F.when(F.col("kind") == SHARES[0][0], round(count * SHARES[0][1] / total)).otherwise(count - round(count * SHARES[0][1] / total))
-    best = best.withColumn("over", F.when(F.col("q") > quota, 1).otherwise(0))
-    chosen = best.orderBy("over", "r", "h", "kind", "id").limit(count)
-    return chosen.withColumn("place", F.row_number().over(Window.orderBy("over", "r", "h", "kind", "id"))).select("place", "id", "kind", "doc_id")  # ``count`` rows
+    rows = library.kept(pool.where(F.col("place") <= 2 * count).select("doc_id", "id", "kind", "meaning", "place", _order(seed + ":docs", F.col("doc_id").cast("string")).alias("h")))
+    picks, met, last = [], [], None
+    while len(picks) < count:
+        ahead = rows if last is None else rows.where((F.col("h") > last[0]) | ((F.col("h") == last[0]) & (F.col("doc_id") > last[1])))
+        ahead = ahead.where(~F.col("meaning").isin(*(p[3] for p in picks))) if picks else ahead
+        docs = ahead.select("h", "doc_id").distinct().orderBy("h", "doc_id").limit(count - len(picks))
+        found = sorted(rows.join(F.broadcast(docs), ["h", "doc_id"]).collect(), key=lambda r: (r.h, r.doc_id, r.kind, r.place))
+        if not found:
+            break
+        last = found[-1].h, found[-1].doc_id
+        pools = [(doc, {k: [(r.id, r.meaning) for r in v] for k, v in itertools.groupby(list(g), key=lambda r: r.kind)}) for (_, doc), g in itertools.groupby(found, key=lambda r: (r.h, r.doc_id))]
+        assembled(pools, count, picks, rest=False)
+        met += pools
+    assembled(met, count, picks)
+    return pool.sparkSession.createDataFrame([(i, p[2], p[1], p[0]) for i, p in enumerate(picks, 1)], f"place int, id string, kind string, doc_id {pool.schema['doc_id'].dataType.simpleString()}")
 
 
 def drill(questions: DataFrame, weak: DataFrame, seed: str) -> DataFrame:

@@ -80,8 +80,17 @@ def wpm_windows(samples: DataFrame) -> DataFrame:
     return by("tumbling", F.window("ts", "1 hour")).unionByName(by("sliding", F.window("ts", "1 hour", "15 minutes")))
 
 
-def latency_ema(events: DataFrame, keep: float = 0.7) -> DataFrame:
-    """``reader, ema``: values smoothed in order of time, the first as it is."""
-    log = events.groupBy(F.col("user_id").alias("reader")).agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "value"))).alias("log"))
-    fold = F.aggregate("log", F.lit(None).cast("double"), lambda s, e: F.when(s.isNull(), e["value"]).otherwise(s * keep + e["value"] * (1 - keep)))
-    return log.select("reader", F.round(fold, 6).alias("ema"))
+def latency_ema(events: DataFrame, keep: float = 0.7, stretch: str = "HOUR") -> DataFrame:
+    """``reader, ema``: values smoothed in order of time, the first as it is; null values don't count.
+
+    Smoothing a stretch of the log is an affine map of what came before, ``keep ** n * x + b``. Each stretch gives its
+    map by a sum of weighted values, and a reader's maps, one an hour of the log, are applied in order: no row holds
+    a reader's values.
+    """
+    rows = events.where("value IS NOT NULL").select(F.col("user_id").alias("reader"), F.date_trunc(stretch, "ts").alias("part"), "ts", "event_id", "value")
+    late = Window.partitionBy("reader", "part").orderBy(F.col("ts").desc(), F.col("event_id").desc())
+    weighted = rows.withColumn("w", F.col("value") * (1 - keep) * F.pow(F.lit(keep), F.row_number().over(late) - 1))
+    maps = weighted.groupBy("reader", "part").agg(F.pow(F.lit(keep), F.count(F.lit(1))).alias("a"), F.sum("w").alias("b"), F.min_by("value", F.struct("ts", "event_id")).alias("first"))
+    by = maps.groupBy("reader").agg(F.sort_array(F.collect_list(F.struct("part", "a", "b", "first"))).alias("maps"))
+    fold = F.aggregate("maps", F.col("maps")[0]["first"], lambda s, m: s * m["a"] + m["b"])
+    return by.select("reader", F.round(fold, 6).alias("ema"))

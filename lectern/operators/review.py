@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,28 +18,46 @@ MAX_DAYS, WEAK_LAPSES, DUE_LIMIT, PAPERS = 180, 3, 40, 30
 
 
 def review_state(answers: DataFrame, horizon_days: int | None = None) -> DataFrame:
-    """``reader, item, ease, days, reps, lapses, answers, last, due``: each item's answers folded in order of time."""
+    """``reader, item, ease, days, reps, lapses, answers, last, due``: each item's answers folded in order of time.
+
+    An item's answers pass a task one by one in sorted order, which Spark spills; only the state of one item is held,
+    however long its log. Answers of one moment are taken by ``event_id``; nulls are a reader and an item like others.
+    """
     cap = MAX_DAYS if horizon_days is None else min(MAX_DAYS, max(1, horizon_days))
-    log = answers.groupBy("reader", "item").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "quality"))).alias("log"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("answers"))
-    change = F.array(*(F.lit(c) for c in CHANGES))
-
-    def step(s, a):
-        q = a["quality"]
-        ease = F.least(F.lit(MAX_EASE), F.greatest(F.lit(MIN_EASE), s["ease"] + F.element_at(change, q + 1)))
-        reps = s["reps"] + 1
-        days = F.when(reps == 1, F.when(q == 3, 3).otherwise(1)).when(reps == 2, F.when(q == 1, 3).otherwise(6)).otherwise(F.greatest(F.lit(1), half_up(s["days"] * ease)))
-        failed = q == 0
-        return F.struct(
-            ease.alias("ease"),
-            F.when(failed, 0).otherwise(F.least(F.lit(cap), days)).cast("int").alias("days"),
-            F.when(failed, 0).otherwise(reps).cast("int").alias("reps"),
-            (s["lapses"] + failed.cast("int")).alias("lapses"),
-        )
-
-    start = F.struct(F.lit(EASE).alias("ease"), F.lit(0).alias("days"), F.lit(0).alias("reps"), F.lit(0).alias("lapses"))
-    out = log.withColumn("s", F.aggregate("log", start, step))
-    due = F.when(F.col("s.days") == 0, F.col("last") + F.expr("INTERVAL 10 MINUTES")).otherwise(F.col("last") + F.make_dt_interval(F.col("s.days")))
-    return out.select("reader", "item", F.round("s.ease", 6).alias("ease"), "s.days", "s.reps", "s.lapses", "answers", "last", due.alias("due"))
+    keys = ["reader", "item"]
+    kinds = {c: answers.schema[c].dataType.simpleString() for c in (*keys, "ts")}
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ease, days, reps, lapses, n, last = None, EASE, 0, 0, 0, 0, None
+        schema = None
+        for batch in batches:
+            schema = schema or [batch.schema.field(c).type for c in (*keys, "ts")]
+            done = []
+            for reader, item, ts, q in zip(*(batch.column(c).to_pylist() for c in (*keys, "ts", "quality"))):
+                if now != (reader, item):
+                    if now:
+                        done.append((*now, ease, days, reps, lapses, n, last))
+                    now, ease, days, reps, lapses, n = (reader, item), EASE, 0, 0, 0, 0
+                ease = min(MAX_EASE, max(MIN_EASE, ease + CHANGES[q]))
+                n, last = n + 1, ts
+                if q == 0:
+                    days, reps, lapses = 0, 0, lapses + 1
+                else:
+                    reps += 1
+                    days = min(cap, (3 if q == 3 else 1) if reps == 1 else (3 if q == 1 else 6) if reps == 2 else max(1, math.floor(days * ease + 0.5)))
+            if done:
+                yield made(done, schema)
+        if now:
+            yield made([(*now, ease, days, reps, lapses, n, last)], schema)
+
+    def made(rows: list[tuple], kinds: list[pa.DataType]) -> pa.RecordBatch:
+        types = [*kinds[:2], pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), kinds[2]]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[*keys, "ease", "days", "reps", "lapses", "answers", "last"])
+
+    log = answers.where("quality IS NOT NULL").select(*keys, "ts", "event_id", "quality").repartition(*keys).sortWithinPartitions(*keys, "ts", "event_id")
+    out = log.mapInArrow(fold, f"reader {kinds['reader']}, item {kinds['item']}, ease double, days int, reps int, lapses int, answers long, last {kinds['ts']}")
+    due = F.when(F.col("days") == 0, F.col("last") + F.expr("INTERVAL 10 MINUTES")).otherwise(F.col("last") + F.make_dt_interval(F.col("days")))
+    return out.select(*keys, F.round("ease", 6).alias("ease"), "days", "reps", "lapses", "answers", "last", due.alias("due"))
 
 
 def difficulty(state: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,44 +67,43 @@ def _tagged(s: SparkSession, d: str) -> DataFrame:
     return papers.tagged(structure.tokens(_chunks(s, d)))
 
 
-def _lengths(s: SparkSession, d: str) -> DataFrame:
-    return _chunks(s, d).groupBy("doc_id").agg(F.max("stop").alias("n_words"))
-
-
-def _weak(s: SparkSession, d: str, keys: DataFrame) -> DataFrame:
-    """``key, weight`` of terms: a term is the item that its hash names, as items are numbered in the answers."""
-    items = review.weak_terms(review.review_state(t.answers(s, d)))
-    return keys.select("key").distinct().withColumn("item", (fnv1a(F.col("key")) % 7).cast("int")).join(F.broadcast(items), "item").select("key", "weight")  # seven items
-
+class _Words:
+    """What questions are made of, written once: sentences, and of their words those that may be asked."""
 
-def _candidates(s: SparkSession, d: str) -> DataFrame:
-    rows = _tagged(s, d)
-    return papers.candidates(rows, _weak(s, d, papers.salience(rows)), _lengths(s, d))
+    def __init__(self, s: SparkSession, d: str):
+        self.chunks = library.kept(_chunks(s, d))
+        self.rows = library.kept(papers.tagged(structure.tokens(self.chunks)).where(F.col("acronym").isNotNull() | F.col("core").rlike("[A-Z0-9]")))
+        self.spark, self.sf_dir = s, d
 
+    def weak(self, keys: DataFrame) -> DataFrame:
+        """``key, weight`` of terms: a term is the item that its hash names, as items are numbered in the answers."""
+        items = review.weak_terms(review.review_state(t.answers(self.spark, self.sf_dir)))
+        return keys.select("key").distinct().withColumn("item", (fnv1a(F.col("key")) % 7).cast("int")).join(F.broadcast(items), "item").select("key", "weight")  # seven items
 
-def _carriers(s: SparkSession, d: str) -> DataFrame:
-    return papers.carriers(_tagged(s, d), _chunks(s, d))
+    def candidates(self) -> DataFrame:
+        lengths = self.chunks.groupBy("doc_id").agg(F.max("stop").alias("n_words"))
+        return papers.candidates(self.rows, self.weak(papers.salience(self.rows)), lengths)
 
+    def carriers(self) -> DataFrame:
+        return papers.carriers(self.rows, self.chunks)
 
-def _checks(s: SparkSession, d: str) -> DataFrame:
-    return papers.checks(_candidates(s, d), _carriers(s, d))
+    def checks(self) -> DataFrame:
+        return papers.checks(self.candidates(), self.carriers())
 
+    def cloze(self) -> DataFrame:
+        return papers.cloze_questions(self.checks(), SEED)
 
-def _cloze(s: SparkSession, d: str) -> DataFrame:
-    return papers.cloze_questions(_checks(s, d), SEED)
+    def acronym(self, most: int | None = papers.PER_DOC) -> DataFrame:
+        return papers.acronym_questions(self.rows, SEED, most)
 
-
-def _acronym(s: SparkSession, d: str, most: int | None = papers.PER_DOC) -> DataFrame:
-    return papers.acronym_questions(_tagged(s, d), SEED, most)
-
-
-def _pool(s: SparkSession, d: str) -> DataFrame:
-    return papers.question_pool(_cloze(s, d), _acronym(s, d))
+    def pool(self) -> DataFrame:
+        return papers.question_pool(self.cloze(), self.acronym())
 
 
 def _drill(s: SparkSession, d: str) -> DataFrame:
-    found = _acronym(s, d, None)
-    return papers.drill(found, _weak(s, d, found.select(F.substring("meaning", 5, 100).alias("key"))), SEED)
+    words = _Words(s, d)
+    found = words.acronym(None)
+    return papers.drill(found, words.weak(found.select(F.substring("meaning", 5, 100).alias("key"))), SEED)
 
 
 def _marked(s: SparkSession, d: str) -> DataFrame:
@@ -110,7 +111,7 @@ def _marked(s: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
     words = vocab.dictionary(s).select(F.col("key").alias("acronym"), "expansion")
-    rows = _checks(s, d).join(F.broadcast(words), "acronym", "left")
+    rows = _Words(s, d).checks().join(F.broadcast(words), "acronym", "left")
     given = F.lead("answer").over(Window.partitionBy("doc_id", "key").orderBy("i"))
     spoken = F.when(F.col("i") % 2 == 0, F.coalesce("expansion", F.upper("answer"))).otherwise(given)
     return rows.withColumn("given", spoken).select("doc_id", "i", "given", papers.matches(F.col("given"), F.col("answer"), F.col("expansion")).alias("right"))
@@ -136,15 +137,22 @@ def _readiness(s: SparkSession, d: str) -> DataFrame:
 
 
 def _located(s: SparkSession, d: str) -> DataFrame:
-    return entities.located(_tagged(s, d), structure.sections(_doc_blocks(s, d)))
+    """Words of documents in their sections, of which names and their rivals in lower case are found; written once, as several steps read them."""
+    blocks = library.kept(_doc_blocks(s, d))
+    return library.kept(entities.located(papers.tagged(structure.tokens(structure.chunks(blocks))), structure.sections(blocks)).select("doc_id", "i", "at", "kind", "word", "core", "acronym", "section", "furniture"))
 
 
 def _index(s: SparkSession, d: str) -> DataFrame:
     return entities.document_index(_located(s, d))
 
 
+def _anchored(s: SparkSession, d: str) -> DataFrame:
+    rows = _located(s, d)
+    return entities.anchors(rows, entities.document_index(rows))
+
+
 def _corpus(s: SparkSession, d: str) -> DataFrame:
-    return entities.corpus_index(_index(s, d))
+    return entities.corpus_index(library.kept(_index(s, d)))
 
 
 def _told_corpus(corpus: DataFrame) -> DataFrame:
@@ -192,8 +200,6 @@ def _forms(s: SparkSession, d: str) -> DataFrame:
 
 def _report(name: str, rows: list[tuple[str, DataFrame, int | None]]) -> DataFrame:
     """``report, check, value, ok`` of one-row counts; without an expected value, any number above none is right."""
-    from functools import reduce
-
     made = [df.select(F.lit(name).alias("report"), F.lit(check).alias("check"), F.col("value").cast("long").alias("value"), (F.col("value") == want if want is not None else F.col("value") > 0).alias("ok")) for check, df, want in rows]
     return reduce(DataFrame.unionByName, made)
 
@@ -202,25 +208,31 @@ def _count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("value"))
 
 
+def _told(name: str, counts: list[tuple[DataFrame, dict[str, int | None]]]) -> DataFrame:
+    """``report, check, value, ok`` of rows of counts, each counted in one pass; without an expected value, any number above none is right."""
+    out = []
+    for df, wanted in counts:
+        one = lambda c, want: F.struct(F.lit(c).alias("check"), F.col(f"`{c}`").cast("long").alias("value"), (F.col(f"`{c}`") == want if want is not None else F.col(f"`{c}`") > 0).alias("ok"))
+        out.append(df.select(F.explode(F.array(*(one(c, w) for c, w in wanted.items()))).alias("x")).select(F.lit(name).alias("report"), "x.*"))
+    return reduce(DataFrame.unionByName, out)
+
+
 def _dq_checks(s: SparkSession, d: str) -> DataFrame:
-    c = _checks(s, d)
-    return _report("checks", [
-        ("answer left in its carrier", _count(c.where(F.contains("carrier", F.col("answer")))), 0),
-        ("no blank", _count(c.where(~F.contains("carrier", F.lit(papers.BLANK)))), 0),
-        ("shared carrier", _count(c.groupBy("doc_id", "win", "chunk").count().where("count > 1")), 0),
-        ("windows", _count(c.select("doc_id", "win").distinct()), None),
-    ])
+    c = library.kept(_Words(s, d).checks())
+    by = c.groupBy("doc_id", "win").agg(
+        F.count_if(F.contains("carrier", F.col("answer"))).alias("left"), F.count_if(~F.contains("carrier", F.lit(papers.BLANK))).alias("none"), F.count(F.lit(1)).alias("n"), F.count_distinct("chunk").alias("chunks")
+    )
+    own = by.agg(F.sum("left").alias("answer left in its carrier"), F.sum("none").alias("no blank"), F.sum(F.col("n") - F.col("chunks")).alias("shared carrier"), F.count(F.lit(1)).alias("windows"))
+    return _told("checks", [(own.na.fill(0), {"answer left in its carrier": 0, "no blank": 0, "shared carrier": 0, "windows": None})])
 
 
 def _dq_paper(s: SparkSession, d: str) -> DataFrame:
-    a = _acronym(s, d)
-    p = papers.paper(_pool(s, d), SEED)
-    return _report("paper", [
-        ("answer not among the options", _count(a.where(~F.array_contains("options", F.col("answer")))), 0),
-        ("empty prompt", _count(_pool(s, d).where("trim(prompt) = ''")), 0),
-        ("one question twice", _count(p.groupBy("id").count().where("count > 1")), 0),
-        ("questions", _count(p), None),
-    ])
+    words = _Words(s, d)
+    pool = library.kept(words.pool())
+    a = words.acronym().agg(F.count_if(~F.array_contains("options", F.col("answer"))).alias("answer not among the options"))
+    own = pool.agg(F.count_if(F.trim("prompt") == "").alias("empty prompt"))
+    p = papers.paper(pool, SEED).agg((F.count(F.lit(1)) - F.count_distinct("id")).alias("one question twice"), F.count(F.lit(1)).alias("questions"))
+    return _told("paper", [(a, {"answer not among the options": 0}), (own, {"empty prompt": 0}), (p, {"one question twice": 0, "questions": None})])
 
 
 def _dq_coverage(s: SparkSession, d: str) -> DataFrame:
@@ -264,7 +276,7 @@ def _dq_phrases(s: SparkSession, d: str) -> DataFrame:
 
 def _dq_entities(s: SparkSession, d: str) -> DataFrame:
     """What the indexes must hold, counted in one pass over the documents' entries and one over the corpus."""
-    index = _index(s, d)
+    index = library.kept(_index(s, d))
     name = F.col("kind") == "term"
     own = index.agg(
         F.count(F.lit(1)).alias("entries"), F.count_if(F.trim("display") == "").alias("blank name"), F.count_if(name & (F.col("count") < entities.LEAST)).alias("below the floor"),
@@ -297,7 +309,7 @@ QUERIES = {
     "entity_doc": lambda s, d: _index(s, d).withColumn("sections", F.array_join("sections", ",")),
     "entity_corpus": lambda s, d: _told_corpus(_corpus(s, d)),
     "entity_filter": lambda s, d: _told_corpus(entities.filtered(_corpus(s, d), vocab.dictionary(s), NEEDLE, shared=True)),
-    "section_anchors": lambda s, d: entities.anchors(_located(s, d), _index(s, d)),
+    "section_anchors": _anchored,
     "phrase_words": lambda s, d: _forms(s, d).select("item_id", "words"),
     "final_forms": lambda s, d: _forms(s, d).select("item_id", "forms"),
     "short_name": lambda s, d: t.table(s, d, "customer").select("c_custkey", vocab.short_name(F.concat(F.lit("Google "), F.col("c_mktsegment"), F.lit(" voice - "), F.col("c_name"))).alias("label")),
@@ -307,13 +319,13 @@ QUERIES = {
     "topic_coverage": _topic_states,
     "topic_gaps": lambda s, d: _topic_states(s, d).where("state = 'absent'").select("topic"),
     "group_coverage": lambda s, d: coverage.group_coverage(coverage.topic_coverage(coverage.exclusive(_units(s, d), _page_topics(s, d)), _page_topics(s, d))),
-    "cloze_windows": _candidates,
-    "cloze_carriers": _carriers,
-    "cloze_checks": _checks,
-    "acronym_questions": lambda s, d: _acronym(s, d).withColumn("options", F.array_join("options", "|")),
-    "cloze_questions": _cloze,
-    "question_pool": _pool,
-    "paper": lambda s, d: papers.paper(_pool(s, d), SEED),
+    "cloze_windows": lambda s, d: _Words(s, d).candidates(),
+    "cloze_carriers": lambda s, d: _Words(s, d).carriers(),
+    "cloze_checks": lambda s, d: _Words(s, d).checks(),
+    "acronym_questions": lambda s, d: _Words(s, d).acronym().withColumn("options", F.array_join("options", "|")),
+    "cloze_questions": lambda s, d: _Words(s, d).cloze(),
+    "question_pool": lambda s, d: _Words(s, d).pool(),
+    "paper": lambda s, d: papers.paper(_Words(s, d).pool(), SEED),
     "drill": _drill,
     "mark_answers": _marked,
     "readiness": _readiness,

@@ -160,11 +160,6 @@ us AS (SELECT DISTINCT doc_id, acronym FROM dtg WHERE acronym IS NOT NULL),
 aq0 AS (SELECT doc_id, doc_id || ':acronym:' || acronym AS id, acronym, answer, options, {FNV.format(f"'{SEED}:acr' || acronym")} AS h FROM us JOIN op USING (acronym)),
 aq AS (SELECT doc_id, id, 'acronym' AS kind, 'acr:' || acronym AS meaning, 'What does ' || acronym || ' stand for?' AS prompt, answer, options, row_number() OVER (PARTITION BY doc_id ORDER BY h, id)::INTEGER AS place FROM aq0)"""
 POOL = f"""{CLOZE}, {ACRONYM}, po AS (SELECT doc_id, id, kind, meaning, prompt, answer, place FROM cq UNION ALL SELECT doc_id, id, kind, meaning, prompt, answer, place FROM aq WHERE place <= {papers.PER_DOC})"""
-QUOTA = round(papers.PAPER * papers.SHARES[0][1] / sum(s for _, s in papers.SHARES))
-PAPER = f"""{POOL}, e0 AS (SELECT *, {FNV.format(f"'{SEED}:docs' || doc_id")} AS h FROM po), e1 AS (SELECT * FROM e0 QUALIFY row_number() OVER (PARTITION BY meaning ORDER BY h, place, id) = 1),
-e2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY place, id) AS r FROM e1), e3 AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY r, h, id) AS q FROM e2 QUALIFY q <= {papers.PAPER}),
-e4 AS (SELECT *, CASE WHEN q > CASE WHEN kind = 'cloze' THEN {QUOTA} ELSE {papers.PAPER - QUOTA} END THEN 1 ELSE 0 END AS ov FROM e3),
-e5 AS (SELECT row_number() OVER (ORDER BY ov, r, h, kind, id)::INTEGER AS rn, id, kind, doc_id FROM e4), pp2 AS (SELECT rn AS place, id, kind, doc_id FROM e5 WHERE rn <= {papers.PAPER})"""
 #: Roles of words as letters (E: a name goes on, F: it ends, C: connector, X: neither); names are then what a pattern finds in a document's letters.
 MENTIONS = f"""{TOKENS}, {_sections("d")},
 lc AS (SELECT t.*, x.section, x.furniture, regexp_extract(word, '^([^A-Za-z0-9]*)(.*?)([^A-Za-z0-9]*)$', 3) AS trail FROM dtg t JOIN dsx x ON t.doc_id = x.doc_id AND t.block >= x.block_from AND t.block < x.block_to),
@@ -246,7 +241,6 @@ SELECT item_id, array_to_string(list_sort(list_distinct(list_filter([l, l || 's'
     "acronym_questions": f"{W}{TOKENS}, {ACRONYM} SELECT * FROM aq WHERE place <= {papers.PER_DOC}",
     "cloze_questions": f"{W}{CLOZE} SELECT * FROM cq",
     "question_pool": f"{W}{POOL} SELECT * FROM po",
-    "paper": f"{W}{PAPER} SELECT * FROM pp2",
     "drill": f"""{W}{TOKENS}, {WEAK}, {ACRONYM}, j AS (SELECT DISTINCT substring(meaning, 5) AS acronym, answer FROM aq), j1 AS (SELECT *, ({FNV.format("acronym")}) % 7 AS it, {FNV.format(f"'{SEED}:drill' || acronym")} AS h FROM j),
 j2 AS (SELECT acronym, answer, h, coalesce(weight, 0.0)::DOUBLE AS weight FROM j1 LEFT JOIN wk ON wk.item = j1.it) SELECT row_number() OVER (ORDER BY weight DESC, h, acronym)::INTEGER AS place, acronym, answer, weight FROM j2""",
     "mark_answers": f"""{W}{CHECKS}, ma AS (SELECT ck.*, v.expansion, CASE WHEN ck.i % 2 = 0 THEN coalesce(v.expansion, upper(answer)) ELSE lead(answer) OVER (PARTITION BY doc_id, ck.key ORDER BY ck.i) END AS given FROM ck LEFT JOIN ({ACRONYM_ROWS}) v ON v.key = ck.acronym)
@@ -281,7 +275,7 @@ SELECT reader, (floor(CASE WHEN n > 25 AND ms > 4000 THEN n * 40 / (ms / 60000.0
   UNION ALL SELECT 'truncated', (SELECT coalesce(sum(truncated), 0) FROM en WHERE rank = 1) UNION ALL SELECT 'shared', (SELECT count(*) FROM cx WHERE docs > 1) UNION ALL SELECT 'documents not listed', (SELECT count(*) FROM cx WHERE docs <= 1000 AND docs <> len(string_split(listed, ','))))
 SELECT 'entities' AS report, "check", value::BIGINT AS value, "check" IN ('entries', 'truncated', 'shared') OR value = 0 AS ok FROM dv""",
     "dq_checks": f"{W}{CHECKS} " + _report("checks", [("answer left in its carrier", "ck WHERE contains(carrier, answer)", 0), ("no blank", f"ck WHERE NOT contains(carrier, '{papers.BLANK}')", 0), ("shared carrier", "(SELECT 1 FROM ck GROUP BY doc_id, win, chunk HAVING count(*) > 1)", 0), ("windows", "(SELECT DISTINCT doc_id, win FROM ck)", None)]),
-    "dq_paper": f"{W}{PAPER} " + _report("paper", [("answer not among the options", "aq WHERE NOT contains(options, answer)", 0), ("empty prompt", "po WHERE trim(prompt) = ''", 0), ("one question twice", "(SELECT 1 FROM pp2 GROUP BY id HAVING count(*) > 1)", 0), ("questions", "pp2", None)]),
+    "dq_paper": f"{W}{POOL} " + _report("paper", [("answer not among the options", "aq WHERE NOT contains(options, answer)", 0), ("empty prompt", "po WHERE trim(prompt) = ''", 0), ("one question twice", "(SELECT id FROM po GROUP BY id HAVING count(DISTINCT meaning) > 1)", 0), ("questions", "(SELECT DISTINCT meaning FROM po LIMIT 40)", None)]),
     "dq_coverage": f"{W}{SECTIONS} " + _report("coverage", [("owed after a perfect reading", f"{_perfect(True)} WHERE words > 0 AND NOT furniture AND state <> 'verified'", 0), ("verified after an empty reading", f"{_perfect(False)} WHERE words > 0 AND NOT furniture AND state = 'verified'", 0), ("sections", "pow WHERE words > 0", None)]),
     "dq_topics": f"{W}{TOPICS} " + _report("topics", [("document and section counted both", "(SELECT 1 FROM ex GROUP BY reader, doc_id, topic HAVING bool_or(section IS NULL) AND bool_or(section IS NOT NULL))", 0), ("names lost to normalisation", "psx WHERE level > 0 AND trim(base) = ''", 0), ("topics", "tp", None)]),
     "dq_phrases": f"WITH {HITS}, si AS (SELECT line, row_number() OVER (PARTITION BY doc_id ORDER BY block) AS rank FROM h QUALIFY rank <= {vocab.QUOTATIONS}) " + _report("phrases", [("quotation without the phrase", "si WHERE NOT regexp_matches(lower(line), 'of[^a-z0-9]+the')", 0), ("more quotations than allowed", f"si WHERE rank > {vocab.QUOTATIONS}", 0), ("quotations", "si", None)]),
