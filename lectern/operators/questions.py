@@ -1,16 +1,11 @@
-"""Recall questions from documents: salient terms, windows, seeded orders, marking."""
+"""Seeded orders of rows, and the words that are no terms of questions."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.expr import fnv1a, slug
-from lectern.operators import text
-from lectern.operators.vocab import CORE
-
-#: Blocks of a window, terms asked in it.
-WINDOW_BLOCKS, ASKED = 5, 3
+from lectern.functions.expr import fnv1a
 
 #: Capitalised words that are no terms.
 STOPWORDS = (
@@ -21,30 +16,6 @@ STOPWORDS = (
 )
 
 
-def salient_terms(docs: DataFrame) -> DataFrame:
-    """``doc_id, win, term, score, times``: terms of each window of blocks by salience.
-
-    Numbers count 4, words in capitals 5, capitalised words inside a block 3.
-    """
-    rows = text.tokens(docs).select("doc_id", "block", "at", F.regexp_extract("word", CORE, 1).alias("core")).where(F.col("core").rlike("[A-Z0-9]"))
-    plain = (F.col("at") > 0) & ~F.lower("core").isin(*STOPWORDS)
-    score = F.when(F.col("core").rlike("[0-9]") & (F.length("core") >= 2), 4).when(plain & F.col("core").rlike("^[A-Z]{2,}$"), 5).when(plain & F.col("core").rlike("^[A-Z][a-z]{3,}$"), 3).otherwise(0)
-    rows = rows.withColumn("score", score).where("score > 0").withColumn("win", F.floor(F.col("block") / WINDOW_BLOCKS))
-    return rows.groupBy("doc_id", "win", F.col("core").alias("term")).agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("times"))
-
-
-def asked_terms(docs: DataFrame, seed: str = "s") -> DataFrame:
-    """The best terms of each window, ties in seeded order: ``doc_id, win, term, rank``."""
-    terms = salient_terms(docs).withColumn("h", fnv1a(F.concat(F.lit(seed), F.col("term"))))
-    order = Window.partitionBy("doc_id", "win").orderBy(F.col("score").desc(), "h", "term")
-    return terms.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= ASKED).select("doc_id", "win", "term", "rank")
-
-
-def item_ids(docs: DataFrame) -> DataFrame:
-    """``doc_id, item``: content-keyed ids of the asked terms."""
-    return asked_terms(docs).select("doc_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.lit("cloze"), slug("term")).alias("item")).distinct()
-
-
 def seeded_shuffle(rows: DataFrame, key: str, seed: str) -> DataFrame:
     """``rows(key)`` with their place in the order of the seeded hash: in a bucket of hashes, after those of the buckets before."""
     h = fnv1a(F.concat(F.lit(seed), F.col(key).cast("string")))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.operators import text
+from lectern.operators import structure, text
 
 #: The acronyms that occur, their expansions and categories.
 ACRONYMS = (("THE", "the hourly estimate", "time"), ("OF", "office form", "paper"), ("DE", "data entry", "paper"), ("TO", "time out", "time"), ("ERHE", "early relief", "care"), ("AND", "annual note digest", "paper"))
@@ -40,25 +41,30 @@ def acronym_expansions(docs: DataFrame) -> DataFrame:
 
 
 def phrase_hits(docs: DataFrame, phrase: str) -> DataFrame:
-    """``doc_id, block, line, hits``: blocks that hold the words of a phrase in a row, whatever stands around them."""
+    """``doc_id, block, at, line, hits``: sentences that hold the words of a phrase in a row, whatever stands around them.
+
+    The last word may take its other forms. Occurrences do not overlap, and none crosses the end of a sentence. Only
+    blocks that hold the phrase at all are cut into sentences.
+    """
     words = [w for w in phrase.lower().split() if w]
-    cores = F.transform(F.filter(F.split("line", " "), lambda w: w != ""), lambda w: F.lower(F.regexp_extract(w, CORE, 1)))
     k = len(words)
+    near = r"(?i)" + r"\s+".join(rf"[^A-Za-z0-9\s]*{re.escape(w)}[^\s]*" for w in words[:-1]) + (r"\s" if k > 1 else "")
+    rows = text.blocks(docs).where(F.col("line").rlike(near) if k > 1 else F.lit(True))
+    rows = structure.sentences(rows, "line").withColumn("cores", F.transform(F.filter(F.split("sentence", " "), lambda w: w != ""), lambda w: F.lower(F.regexp_extract(w, CORE, 1))))
     # Each place's next words side by side, so that the lambda reads its own element alone.
-    cores = F.transform(F.filter(F.split("line", " "), lambda w: w != ""), lambda w: F.lower(F.regexp_extract(w, CORE, 1)))
-    rows = text.blocks(docs).where(F.lower("line").contains(words[0]))
-    shifted = F.arrays_zip(*(F.slice(cores, F.lit(j + 1), F.lit(1 << 30)).alias(f"w{j}") for j in range(k)))
-    same = F.transform(shifted, lambda c, i: F.when(reduce(and_, (c[f"w{j}"] == w for j, w in enumerate(words))), i))
+    shifted = F.arrays_zip(*(F.slice("cores", F.lit(j + 1), F.lit(1 << 30)).alias(f"w{j}") for j in range(k)))
+    last = final_forms(F.lit(words[-1]))
+    same = F.transform(shifted, lambda c, i: F.when(reduce(and_, [*(c[f"w{j}"] == w for j, w in enumerate(words[:-1])), F.array_contains(last, c[f"w{k - 1}"])]), i))
     places = F.filter(same, lambda i: i.isNotNull())
-    # Occurrences do not overlap: the fold keeps the last one's place.
+    # The fold keeps the last occurrence's place.
     hits = F.aggregate(places, F.struct(F.lit(0).alias("n"), F.lit(-k).alias("last")), lambda s, i: F.when(i >= s["last"] + k, F.struct((s["n"] + 1).alias("n"), i.alias("last"))).otherwise(s), lambda s: s["n"])
-    return rows.select("doc_id", "block", "line", hits.alias("hits")).where("hits > 0")
+    return rows.select("doc_id", "block", "at", F.col("sentence").alias("line"), hits.alias("hits")).where("hits > 0")
 
 
 def phrase_sites(docs: DataFrame, phrase: str) -> DataFrame:
-    """The first quotations of each document, with the document's number of occurrences."""
+    """The first quotations of each document, sentences, with the document's number of occurrences."""
     hits = phrase_hits(docs, phrase)
-    by_doc, order = Window.partitionBy("doc_id"), Window.partitionBy("doc_id").orderBy("block")
+    by_doc, order = Window.partitionBy("doc_id"), Window.partitionBy("doc_id").orderBy("block", "at")
     ranked = hits.withColumn("total", F.sum("hits").over(by_doc)).withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= QUOTATIONS).select("doc_id", "rank", "block", "line", "hits", "total")
 

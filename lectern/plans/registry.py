@@ -11,7 +11,7 @@ from lectern.functions import expr
 from lectern.operators import library, questions, reading, review, text, topics, vocab
 from lectern.sources import tables as t
 from lectern.plans import reader_log, search, study, study_sql
-from lectern.plans.registry_sql import ACRONYM_ROWS, ANSWERS, ASKED, BLOCKS, CATALOG, CORE, DOCS, FNV, HITS, KEY, MERGE, PACE, PAPERS, SALIENT, STATE, TOPICS
+from lectern.plans.registry_sql import ACRONYM_ROWS, ANSWERS, BLOCKS, CATALOG, CORE, DOCS, FNV, KEY, MERGE, PACE, PAPERS, STATE, TOPICS
 from lectern.streaming import readers
 
 PHRASE, SEARCH, NOW, TODAY = "of the", "src1 en", "2024-02-01 00:00:00", "1998-06-01"
@@ -67,9 +67,6 @@ QUERIES: dict[str, Query] = {
     "phrase_docs": lambda s, d: vocab.phrase_docs(t.docs(s, d), PHRASE),
     "catalog_search": lambda s, d: vocab.catalog_search(t.docs(s, d), SEARCH),
     "required_topics": lambda s, d: topics.required_topics(t.table(s, d, "benchmark")),
-    "term_salience": lambda s, d: questions.salient_terms(t.docs(s, d)),
-    "cloze_candidates": lambda s, d: questions.asked_terms(t.docs(s, d)),
-    "item_ids": lambda s, d: questions.item_ids(t.docs(s, d)),
     "seeded_shuffle": lambda s, d: questions.seeded_shuffle(t.table(s, d, "orders"), "o_orderkey", "seed"),
     "review_state": _state,
     "difficulty": lambda s, d: review.difficulty(_state(s, d)),
@@ -124,12 +121,8 @@ SELECT n.source, line, n FROM n JOIN q ON n.source IS NOT DISTINCT FROM q.source
     "acronym_tag": f"""WITH {BLOCKS}, v(key, expansion, category) AS (VALUES {', '.join(map(str, vocab.ACRONYMS))}),
 fo AS (SELECT key, expansion, unnest([key, key || 's', key || '''s']) AS core FROM v), w AS (SELECT doc_id, {CORE} AS core FROM tk WHERE regexp_matches(word, '[A-Z]'))
 SELECT doc_id, key, expansion, count(*) AS n FROM w JOIN fo USING (core) GROUP BY ALL""",
-    "phrase_sites": f"WITH {HITS} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY block)::INTEGER AS rank, block, line, hits, sum(hits) OVER (PARTITION BY doc_id)::BIGINT AS total FROM h QUALIFY rank <= 3",
-    "phrase_docs": f"WITH {HITS} SELECT doc_id, sum(hits)::BIGINT AS total FROM h GROUP BY 1",
     "catalog_search": f"WITH {DOCS} SELECT doc_id, title, source FROM dt WHERE contains(lower(concat_ws(' ', title, source, lang)), 'src1') AND contains(lower(concat_ws(' ', title, source, lang)), 'en')",
     "required_topics": f"WITH {TOPICS} SELECT topic, title, groups FROM rq",
-    "term_salience": f"WITH {SALIENT} SELECT * FROM ss",
-    "cloze_candidates": f"WITH {ASKED} SELECT * FROM sr",
     "seeded_shuffle": f"WITH h AS (SELECT o_orderkey, {FNV.format(chr(39) + 'seed' + chr(39) + ' || o_orderkey')} AS h FROM orders) SELECT o_orderkey, h, row_number() OVER (ORDER BY h, o_orderkey) AS place FROM h",
     "review_state": f"WITH {STATE} SELECT * FROM st",
     "answers_upsert_stream": f"WITH {STATE} SELECT reader, item, ease, reps, lapses FROM st",
@@ -163,7 +156,6 @@ SELECT word, coalesce(pl[CASE WHEN len(pl) <= 1 THEN 0 WHEN len(pl) <= 5 THEN 1
     "acronym_expand": f"""WITH {BLOCKS}, fm AS (SELECT k || e AS form, x || e AS spoken FROM (SELECT key AS k, expansion AS x, unnest(['', 's', chr(39) || 's', '’s']) AS e FROM ({ACRONYM_ROWS}))),
 w AS (SELECT doc_id, block, "at", word, {CORE} AS core FROM tk), e AS (SELECT doc_id, block, string_agg(CASE WHEN spoken IS NULL THEN word ELSE replace(word, core, spoken) END, ' ' ORDER BY "at") AS spoken, count(spoken) AS n FROM w LEFT JOIN fm ON form = core GROUP BY 1, 2)
 SELECT doc_id, block, spoken FROM e WHERE n > 0""",
-    "item_ids": f"WITH {ASKED} SELECT DISTINCT doc_id, doc_id || ':cloze:' || substring(regexp_replace(regexp_replace(lower(term), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 48) AS item FROM sr",
     "read_time": f"""WITH {DOCS}, r AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))::INTEGER AS words FROM d), q AS (SELECT *, words / 185.0::DOUBLE * 60 AS s FROM r),
 m AS (SELECT *, floor(s / 60)::BIGINT AS m, floor(s % 60 + 0.5)::BIGINT AS k FROM q) SELECT doc_id, words, round(s, 3) AS seconds, CASE WHEN s <= 0 THEN '0s' WHEN m = 0 THEN k || 's' WHEN m < 60 THEN CASE WHEN k > 0 THEN m || 'm ' || k || 's' ELSE m || 'm' END ELSE (m // 60) || 'h ' || (m % 60) || 'm' END AS label FROM m""",
     "wpm_windows_stream": "SELECT date_trunc('hour', ts) AS started, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY ALL",

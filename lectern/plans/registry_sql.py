@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.operators import questions, vocab
+from lectern.operators import vocab
 
 ACRONYM_ROWS = "SELECT * FROM (VALUES " + ", ".join(map(str, vocab.ACRONYMS)) + ") v(key, expansion, category)"
 DOCS = r"""d AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '^\x{FEFF}', ''), '\r\n?', chr(10), 'g') AS text, lang, source FROM documents),
@@ -34,15 +34,6 @@ pt AS (SELECT voice, tenths, sum(words)::BIGINT AS words, sum(ms)::BIGINT AS ms
 pf0 AS (SELECT voice, count(*) AS points, regr_slope(words / (ms / 60000.0::DOUBLE), tenths / 10.0::DOUBLE) AS s, regr_intercept(words / (ms / 60000.0::DOUBLE), tenths / 10.0::DOUBLE) AS i,
   avg(words / (ms / 60000.0::DOUBLE)) AS w, avg(tenths / 10.0::DOUBLE) AS r FROM pt WHERE words >= 40 AND ms >= 8000 GROUP BY voice),
 pf AS (SELECT voice, points, round(CASE WHEN points > 1 AND s > 0 THEN s ELSE w / r END, 6) AS slope, round(CASE WHEN points > 1 AND s > 0 THEN i ELSE 0.0 END, 6) AS intercept FROM pf0)"""
-SALIENT = BLOCKS + f""",
-sc AS (SELECT doc_id, block, "at", {CORE} AS core FROM tk WHERE regexp_matches({CORE}, '[A-Z0-9]')),
-sv AS (SELECT *, CASE WHEN regexp_matches(core, '[0-9]') AND length(core) >= 2 THEN 4 WHEN "at" > 0 AND lower(core) NOT IN {questions.STOPWORDS} AND regexp_full_match(core, '[A-Z]{{2,}}') THEN 5
-  WHEN "at" > 0 AND lower(core) NOT IN {questions.STOPWORDS} AND regexp_full_match(core, '[A-Z][a-z]{{3,}}') THEN 3 ELSE 0 END AS score FROM sc),
-ss AS (SELECT doc_id, (block // 5)::BIGINT AS win, core AS term, sum(score)::BIGINT AS score, count(*) AS times FROM sv WHERE score > 0 GROUP BY ALL)"""
-ASKED = SALIENT + f""", sr AS (SELECT doc_id, win, term, row_number() OVER (PARTITION BY doc_id, win ORDER BY score DESC, h, term)::INTEGER AS rank FROM (SELECT *, {FNV.format("'s' || term")} AS h FROM ss) QUALIFY rank <= 3)"""
-HITS = BLOCKS + f""",
-hc AS (SELECT doc_id, block, line, list_transform(words, lambda word: lower({CORE})) AS c FROM bw WHERE contains(lower(line), 'of')),
-hp AS (SELECT doc_id, block, line, len(list_filter(range(1, len(c)), lambda i: c[i] = 'of' AND c[i + 1] = 'the'))::INTEGER AS hits FROM hc), h AS (SELECT * FROM hp WHERE hits > 0)"""
 TOPICS = BLOCKS + f""",
 rq0 AS (SELECT item_id, trim(string_split(coalesce(text, ''), chr(10))[1]) AS title FROM benchmark),
 rq AS (SELECT {KEY.format("title")} AS topic, min_by(title, item_id) AS title, count(DISTINCT item_id % 6) AS groups FROM rq0 WHERE {KEY.format("title")} <> '' GROUP BY 1),

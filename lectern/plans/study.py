@@ -100,6 +100,15 @@ class _Words:
         return papers.question_pool(self.cloze(), self.acronym())
 
 
+def _item_ids(s: SparkSession, d: str) -> DataFrame:
+    """``doc_id, item``: what each cloze question and each acronym of a document is remembered under."""
+    words = _Words(s, d)
+    own = F.col("doc_id").cast("string")
+    cloze = words.cloze().select("doc_id", F.concat(own, F.lit(":cloze:"), slug(F.col("answer"))).alias("item"))
+    short = papers.salience(words.rows).where("acronym IS NOT NULL").select("doc_id", F.concat(own, F.lit(":acr:"), "acronym").alias("item"))
+    return cloze.unionByName(short).distinct()
+
+
 def _drill(s: SparkSession, d: str) -> DataFrame:
     words = _Words(s, d)
     found = words.acronym(None)
@@ -319,11 +328,14 @@ QUERIES = {
     "topic_coverage": _topic_states,
     "topic_gaps": lambda s, d: _topic_states(s, d).where("state = 'absent'").select("topic"),
     "group_coverage": lambda s, d: coverage.group_coverage(coverage.topic_coverage(coverage.exclusive(_units(s, d), _page_topics(s, d)), _page_topics(s, d))),
+    "term_salience": lambda s, d: papers.salience(_Words(s, d).rows).select("doc_id", "i", "key", "core", "score"),
+    "cloze_candidates": lambda s, d: _Words(s, d).candidates(),
     "cloze_windows": lambda s, d: _Words(s, d).candidates(),
     "cloze_carriers": lambda s, d: _Words(s, d).carriers(),
     "cloze_checks": lambda s, d: _Words(s, d).checks(),
     "acronym_questions": lambda s, d: _Words(s, d).acronym().withColumn("options", F.array_join("options", "|")),
     "cloze_questions": lambda s, d: _Words(s, d).cloze(),
+    "item_ids": _item_ids,
     "question_pool": lambda s, d: _Words(s, d).pool(),
     "paper": lambda s, d: papers.paper(_Words(s, d).pool(), SEED),
     "drill": _drill,

@@ -6,7 +6,7 @@ from functools import reduce
 
 from lectern.operators import coverage, entities, papers, structure, text, vocab
 from lectern.operators.questions import STOPWORDS
-from lectern.plans.registry_sql import ACRONYM_ROWS, CORE, DOCS, FNV, HITS, KEY, PAPERS, STATE
+from lectern.plans.registry_sql import ACRONYM_ROWS, CORE, DOCS, FNV, KEY, PAPERS, STATE
 from lectern.plans.registry_sql import BLOCKS as LINE_BLOCKS
 from lectern.sources import tables
 
@@ -97,6 +97,11 @@ HEARD = f"""{SECTIONS}, {_chunks("p")}, hr AS (SELECT c.*, s.section, s.furnitur
 DOC_BLOCKS = f"{DOCS}, {_blocks('d', 'd')}"
 DOC_CHUNKS = f"{DOC_BLOCKS}, {_chunks('d')}"
 
+#: Sentences in which the words "of" and "the" (or a form of it) follow each other, and how often.
+SITES = f"""{LINE_BLOCKS}, dbk AS (SELECT doc_id, block, 'p' AS kind, line AS text FROM b), {_sentences("d")},
+hw AS (SELECT doc_id, block, s, sentence, list_transform(list_filter(string_split(sentence, ' '), lambda x: x <> ''), lambda word: lower({CORE})) AS c FROM dq4),
+hp AS (SELECT doc_id, block, s, sentence, len(list_filter(range(1, len(c)), lambda i: c[i] = 'of' AND c[i + 1] IN ('the', 'thes', 'thees')))::INTEGER AS hits FROM hw), h AS (SELECT * FROM hp WHERE hits > 0)"""
+
 LINES = f"""{LINE_BLOCKS}, dbk AS (SELECT doc_id, block, 'p' AS kind, line AS text, len(words)::INTEGER AS words, coalesce(sum(len(words)) OVER (PARTITION BY doc_id ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM bw)"""
 
 READING = """rd AS (SELECT event_id, ts, user_id AS reader, event_type, (props->>'$.k')::BIGINT AS doc_id, floor(value * 2)::INTEGER AS caret FROM events WHERE (props->>'$.k') IS NOT NULL),
@@ -198,7 +203,7 @@ def _perfect(full: bool) -> str:
 
 
 W = "WITH RECURSIVE "
-SQL = {
+SQL: dict[str, str] = {
     "src_pages": f"WITH {BLOCKS} SELECT * FROM pkd WHERE kind <> 'blank'",
     "snapshot_export": r"SELECT doc_id, source, md5(text) AS digest FROM documents WHERE regexp_matches(coalesce(text, ''), '\S')",
     "block_kinds": f"WITH {BLOCKS} SELECT doc_id, kind, count(*) AS n, sum(length(body))::BIGINT AS chars FROM pkd GROUP BY ALL",
@@ -235,7 +240,7 @@ SELECT item_id, array_to_string(list_sort(list_distinct(list_filter([l, l || 's'
     "topic_gaps": f"{W}{TOPICS} SELECT topic FROM tc WHERE state = 'absent'",
     "pacing_checkpoints": f"{W}{LINES}, {_sections('d')} SELECT doc_id, section, title, part, block_from, block_to, words FROM dsx",
     "group_coverage": f"""{W}{TOPICS}, g AS (SELECT unnest(groups) AS grp, state FROM tc) SELECT grp, count(*) AS topics, {', '.join(f"count(*) FILTER (state = '{s}') AS {s}" for s in ("absent", "unread", "unchecked", "partial", "verified"))} FROM g GROUP BY 1""",
-    "cloze_windows": f"{W}{CANDIDATES} SELECT * FROM ca",
+    "cloze_candidates": f"{W}{CANDIDATES} SELECT * FROM ca",
     "cloze_carriers": f"{W}{TOKENS}, {CARRIERS} SELECT * FROM cr",
     "cloze_checks": f"{W}{CHECKS} SELECT * FROM ck",
     "acronym_questions": f"{W}{TOKENS}, {ACRONYM} SELECT * FROM aq WHERE place <= {papers.PER_DOC}",
@@ -278,5 +283,11 @@ SELECT 'entities' AS report, "check", value::BIGINT AS value, "check" IN ('entri
     "dq_paper": f"{W}{POOL} " + _report("paper", [("answer not among the options", "aq WHERE NOT contains(options, answer)", 0), ("empty prompt", "po WHERE trim(prompt) = ''", 0), ("one question twice", "(SELECT id FROM po GROUP BY id HAVING count(DISTINCT meaning) > 1)", 0), ("questions", "(SELECT DISTINCT meaning FROM po LIMIT 40)", None)]),
     "dq_coverage": f"{W}{SECTIONS} " + _report("coverage", [("owed after a perfect reading", f"{_perfect(True)} WHERE words > 0 AND NOT furniture AND state <> 'verified'", 0), ("verified after an empty reading", f"{_perfect(False)} WHERE words > 0 AND NOT furniture AND state = 'verified'", 0), ("sections", "pow WHERE words > 0", None)]),
     "dq_topics": f"{W}{TOPICS} " + _report("topics", [("document and section counted both", "(SELECT 1 FROM ex GROUP BY reader, doc_id, topic HAVING bool_or(section IS NULL) AND bool_or(section IS NOT NULL))", 0), ("names lost to normalisation", "psx WHERE level > 0 AND trim(base) = ''", 0), ("topics", "tp", None)]),
-    "dq_phrases": f"WITH {HITS}, si AS (SELECT line, row_number() OVER (PARTITION BY doc_id ORDER BY block) AS rank FROM h QUALIFY rank <= {vocab.QUOTATIONS}) " + _report("phrases", [("quotation without the phrase", "si WHERE NOT regexp_matches(lower(line), 'of[^a-z0-9]+the')", 0), ("more quotations than allowed", f"si WHERE rank > {vocab.QUOTATIONS}", 0), ("quotations", "si", None)]),
+    "phrase_sites": f"{W}{SITES} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY block, s)::INTEGER AS rank, block, sentence AS line, hits, sum(hits) OVER (PARTITION BY doc_id)::BIGINT AS total FROM h QUALIFY rank <= 3",
+    "phrase_docs": f"{W}{SITES} SELECT doc_id, sum(hits)::BIGINT AS total FROM h GROUP BY 1",
+    "dq_phrases": f"{W}{SITES}, si AS (SELECT sentence AS line, row_number() OVER (PARTITION BY doc_id ORDER BY block, s) AS rank FROM h QUALIFY rank <= 3) " + _report("phrases", [("quotation without the phrase", "si WHERE NOT regexp_matches(lower(line), 'of[^a-z0-9]+the')", 0), ("more quotations than allowed", "si WHERE rank > 3", 0), ("quotations", "si", None)]),
+    "term_salience": f"{W}{TOKENS} SELECT doc_id, i, key, core, score FROM dsl",
+    "item_ids": f"{W}{CLOZE} SELECT DISTINCT doc_id, doc_id || ':cloze:' || {_slug('answer')} AS item FROM cq UNION SELECT DISTINCT doc_id, doc_id || ':acr:' || acronym FROM dsl WHERE acronym IS NOT NULL",
 }
+
+SQL["cloze_windows"] = SQL["cloze_candidates"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -60,11 +60,11 @@ MARKUP = (
     ("(?is)<style[^>]*>.*?</style>", ""),
     ("(?is)<title[^>]*>.*?</title>", ""),
     ("(?s)<!--.*?-->", ""),
-    ("<h1[^>]*>", "\n\n# "),
-    ("<(h2[^>]*|p><b)>", "\n\n## "),
-    ("<h3[^>]*>", "\n\n### "),
-    ("<li[^>]*>", "\n- "),
-    ("</?(p|ul|ol|div|article|nav|br|h[1-6]|head|body|footer|section)[^>]*>", "\n\n"),
+    ("(?i)<h1[^>]*>", "\n\n# "),
+    ("(?i)<(h2[^>]*>|p><b>)", "\n\n## "),
+    ("(?i)<h3[^>]*>", "\n\n### "),
+    ("(?i)<li[^>]*>", "\n- "),
+    ("(?i)</?(p|ul|ol|div|article|nav|br|h[1-6]|head|body|footer|section)[^>]*>", "\n\n"),
     ("<[^>]*>", ""),
     ("&lt;", "<"),
     ("&gt;", ">"),
@@ -72,12 +72,17 @@ MARKUP = (
 )
 
 
-def page_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, text, source``: web pages as marked-up text; a bold start of a paragraph is a second-level heading."""
-    text = F.coalesce("html", F.lit(""))
+def marked(html: Column) -> Column:
+    """A page's markup as marks at the starts of lines; a bold start of a paragraph is a second-level heading."""
+    text = F.coalesce(html, F.lit(""))
     for pattern, by in MARKUP:
         text = F.regexp_replace(text, pattern, by)
-    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), text.alias("text"), F.regexp_extract("url", "://([^/]+)", 1).alias("source"))
+    return text
+
+
+def page_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, text, source``: web pages as marked-up text."""
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), marked(F.col("html")).alias("text"), F.regexp_extract("url", "://([^/]+)", 1).alias("source"))
 
 
 def reader_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,3 +106,18 @@ def test_read_share_and_ladder(spark):
     owing = spark.createDataFrame([(1, 0, True), (1, 1, False), (1, 2, False)], "doc_id long, section int, owes boolean")
     got = [(r.chunk, r.event) for r in coverage.ladder(heard, owing).orderBy("chunk").collect()]
     assert got == [(2, "summary"), (3, "cloze"), (6, "cloze")]
+
+
+def test_phrases_take_the_last_word_in_other_forms_and_stay_in_a_sentence(spark):
+    texts = ("See the data plan. Data plans help, a (data) plan too", "Plan of data. Plan it.", "data planes and plan data", "the data. Plan")
+    got = [(r.doc_id, r.line, r.hits) for r in vocab.phrase_hits(docs(spark, *texts), "data plan").orderBy("doc_id", "block", "at").collect()]
+    assert got == [(0, "See the data plan.", 1), (0, "Data plans help, a (data) plan too", 2), (2, "data planes and plan data", 1)]
+    assert vocab.phrase_hits(docs(spark, "Plans, plan; plane"), "plan").first().hits == 2
+
+
+def test_headings_of_pages_keep_their_titles(spark):
+    from lectern.sources import tables
+
+    html = '<h1 id=a>One</h1><H2 class="x">Two words</H2><p>text</p><p><b>Three<br><h3>Four</h3><LI>item'
+    got = structure.kinds(spark.createDataFrame([(1, html)], "doc_id long, html string").withColumn("text", tables.marked(F.col("html")))).where("kind <> 'blank'").orderBy("at").collect()
+    assert [(x.kind, x.body) for x in got] == [("h1", "One"), ("h2", "Two words"), ("p", "text"), ("h2", "Three"), ("h3", "Four"), ("li", "item")]
