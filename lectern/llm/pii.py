@@ -9,6 +9,7 @@ is nearer hold. A span needs a digit or an at sign, so a window without either i
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterator
 
@@ -22,6 +23,9 @@ KINDS = ("email", "ip", "card", "phone")
 #: Windows of the corpus to train on at most, characters of a window and its step.
 TRAIN_WINDOWS, WINDOW, STEP = 800, 64, 32
 
+#: Windows made by rule, half of them with a span.
+GENERATED = 1200
+
 #: Parts of each kind's windows, from each of which the first ones are taken.
 PARTS = 64
 
@@ -294,12 +298,23 @@ def _plausible(kind: int, text: str) -> bool:
     return "@" in text and "." in text if kind == 0 else 4 <= digits <= 12 if kind == 1 else 15 <= digits <= 19 if kind == 2 else 7 <= digits <= 15
 
 
+#: What an added span of a kind may begin and end with; what stands before or after that is no part of it.
+_EDGES = (r"[A-Za-z0-9].*[A-Za-z0-9]", r"[0-9].*[0-9]", r"[0-9].*[0-9]", r"[(+0-9].*[0-9]")
+_CORES = [re.compile(x, re.DOTALL) for x in _EDGES]
+
+
+def _trimmed(span: Span, text: str) -> Span:
+    k, a, b = span
+    m = _CORES[k].search(text, a, b)
+    return (k, m.start(), m.end()) if m else span
+
+
 def find(text: str, model: Tagger | None) -> tuple[list[Span], list[Span]]:
     """The patterns' spans, and those with what the model adds: spans that touch none of the former."""
     base = base_spans(text)
     if model is None or not _ANCHOR.search(text):
         return base, base
-    added = [s for s in model.spans(text) if _plausible(s[0], text[s[1] : s[2]]) and not any(s[1] < b and a < s[2] for _, a, b in base)]
+    added = [s for s in (_trimmed(s, text) for s in model.spans(text)) if _plausible(s[0], text[s[1] : s[2]]) and not any(s[1] < b and a < s[2] for _, a, b in base)]
     return base, sorted(base + added)
 
 
@@ -366,10 +381,62 @@ def training_windows(docs: DataFrame, most: int = TRAIN_WINDOWS, seed: int = 0)
     return out
 
 
+def _luhn_digits(r: random.Random, n: int) -> str:
+    """A card number of ``n`` digits that passes the check."""
+    head = str(r.randrange(3, 7)) + "".join(str(r.randrange(10)) for _ in range(n - 2))
+    return next(head + str(d) for d in range(10) if luhn(head + str(d)))
+
+
+def written_out(kind: int, r: random.Random) -> str:
+    """An item of a kind as people write it, in ways that the patterns don't know."""
+    d = lambda n: str(r.randrange(1, 10)) + "".join(str(r.randrange(10)) for _ in range(n - 1))
+    if kind == 0:
+        word = lambda a, b: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(a, b)))
+        name, host, end = r.choice((word(3, 9), f"{word(2, 7)}.{word(2, 8)}", f"{word(3, 8)}{r.randrange(100)}", word(3, 8).title())), r.choice((word(3, 9), f"{word(3, 6)}.{word(3, 7)}")), r.choice(("com", "org", "net", "de", "fr", "es", "edu"))
+        at, dot = r.choice((" @ ", " @", "@ ")), r.choice((".", " . ", "."))
+        return f"{name}{at}{host.replace('.', dot)}{dot}{end}"
+    if kind == 1:
+        parts = [str(r.choice((r.randrange(256), r.randrange(10), 10, 192))) for _ in range(4)]
+        return r.choice((" . ", ". ", " .", "[.]")).join(parts)
+    if kind == 2:
+        digits = _luhn_digits(r, 16)
+        return r.choice((".", "/", "  ", "_", " - ")).join(digits[i : i + 4] for i in range(0, 16, 4))
+    area, mid, end = d(3), d(3), d(4)
+    return r.choice((f"{area}-{mid}-{end}", f"({area}) {mid}-{end}", f"{area} {mid} {end}", f"{area}.{mid}.{end}", f"1-{area}-{mid}-{end}", f"({area}) {mid} {end}", f"0{d(2)} {d(3)} {d(4)}", f"0{d(3)}/{d(6)}", f"0{d(2)}-{d(7)}"))
+
+
+def look_alike(r: random.Random) -> str:
+    """Digits and at signs that are nobody's."""
+    d = lambda n: str(r.randrange(1, 10)) + "".join(str(r.randrange(10)) for _ in range(n - 1))
+    n = lambda a, b: r.randrange(a, b)
+    return r.choice(
+        (
+            f"{n(1900, 2100)}-{n(1, 13):02d}-{n(1, 29):02d}", f"{n(1, 29)}.{n(1, 13)}.{n(1900, 2100)}", f"{n(1, 13)}/{n(1, 29)}/{n(1900, 2100)}", f"{n(0, 24):02d}:{n(0, 60):02d}:{n(0, 60):02d}", f"{n(1, 999)},{n(100, 999)}.{n(10, 99)}", f"{n(1, 999)},{n(100, 999)},{n(100, 999)}",
+            f"{n(1, 20)}.{n(0, 20)}.{n(0, 20)}", f"{n(1, 20)}.{n(0, 99)}", f"{n(1, 99)}-{n(100, 199)}", f"{n(1900, 2000)}-{n(2000, 2100)}", f"978-{n(0, 9)}-{d(2)}-{d(6)}-{n(0, 9)}", f"#{d(n(3, 9))}", d(n(1, 13)), f"{d(3)} {d(3)}", f"{n(1, 99)} %", f"@{r.choice(('home', 'todo', 'see', 'all'))}", f"{n(1, 99)} @ {n(1, 99)}",
+            f"{d(4)} {d(4)}", f"{n(1, 99)} x {n(1, 99)} x {n(1, 99)}", f"no. {d(5)}", f"{d(2)} {d(2)} {d(2)}", f"{n(1, 9)} . {n(1, 9)}", f"ID-{d(6)}", f"{d(4)}-{d(4)}", f"v{n(1, 9)}.{n(0, 99)}.{n(0, 999)}.{d(5)}",
+        )
+    )
+
+
+def generated(contexts: list[str], n: int = GENERATED, seed: int = 0) -> list[tuple[str, list[Span]]]:
+    """Labelled windows made by rule: what people write out set into texts of the corpus, as often what only looks like it."""
+    r, out = random.Random(seed), []
+    for i in range(n):
+        text = _ANCHOR.sub("", r.choice(contexts)) if contexts else ""
+        kind = i // 2 % len(KINDS) if i % 2 else None
+        item = look_alike(r) if kind is None else written_out(kind, r)
+        room = WINDOW - len(item)
+        left = r.randrange(0, min(room, len(text)) + 1)
+        head, tail = text[:left], text[left : room]
+        head, tail = (head[:-1] + " " if head else ""), (r.choice((" ", ", ", ". ", ") ")) + tail)[: room - left]
+        out.append((head + item + tail, [] if kind is None else [(kind, len(head), len(head) + len(item))]))
+    return out
+
+
 def train(docs: DataFrame, seed: int = 0) -> Tagger | None:
-    """The model; none if the corpus has no window to learn from."""
+    """The model, of windows of the corpus and of ones made by rule; none if the corpus has no window to learn from."""
     windows = training_windows(docs, seed=seed)
-    return Tagger(seed).fit(windows, seed=seed) if windows else None
+    return Tagger(seed).fit(windows + generated([w for w, spans in windows if not spans], seed=seed), seed=seed) if windows else None
 
 
 def personal_data(docs: DataFrame, model: Tagger | None = None, seed: int = 0) -> DataFrame:

@@ -524,6 +524,29 @@ def test_tagger_learns_held_out_windows(spark):
     assert sum(set(model.spans(t)) == set(s) for t, s in held) >= 50
 
 
+def test_the_model_finds_what_the_patterns_miss_and_leaves_look_alikes():
+    r = random.Random(21)
+    bits = ("ther", "anin", "of", "eauon", "schich", "the", "los", "que", "is", "and")
+    texts = [" ".join(r.choice(bits) for _ in range(30)) for _ in range(60)]
+    model = pii.Tagger(0).fit(pii.generated(texts, seed=1), seed=0)
+    right, wrong, total = collections.Counter(), 0, collections.Counter()
+    for i in range(200):
+        kind, item = i % 4, pii.written_out(i % 4, r)
+        head, tail = " ".join(r.choice(bits) for _ in range(r.randrange(1, 20))) + " ", " " + " ".join(r.choice(bits) for _ in range(r.randrange(1, 20)))
+        base, every = pii.find(head + item + tail, model)
+        total[kind] += 1
+        right[kind] += (kind, len(head), len(head) + len(item)) in every and not base
+        base, every = pii.find(head + pii.look_alike(r) + tail, model)
+        wrong += len(every) > len(base)
+    assert all(right[k] >= 0.6 * total[k] for k in total) and sum(right.values()) >= 150, right
+    assert wrong <= 6
+
+
+def test_added_spans_begin_and_end_with_what_they_hold():
+    assert pii._trimmed((1, 0, 14), "* 10 . 0 . 0 . 1"[:14]) == (1, 2, 12) and pii._trimmed((3, 1, 15), "a (724) 555-7058 b") == (3, 2, 15)
+    assert pii._trimmed((0, 0, 19), "(bob @ example.com)") == (0, 1, 18)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
