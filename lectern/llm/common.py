@@ -29,8 +29,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lectern-")
+    """A new folder under ``spark.checkpoint.dir``; a temporary one only on a local master without the setting, as in tests."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="lectern-")
     return f"{base.rstrip('/')}/lectern/{uuid.uuid4().hex}"
 
 

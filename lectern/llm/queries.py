@@ -74,18 +74,22 @@ PIPELINE_SHINGLE, PIPELINE_PERCENT = 5, 80
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``docs`` that the quality rules keep, without the lines that fail; null and empty texts go, repeated rows stay or go alike, an empty table gives none, further columns pass."""
     return quality.cleaned(docs)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``docs`` without lines that stand on many sites; what is left without a word by that goes; null texts, ties, repeated rows, empty tables and further columns as ``lines.cleaned`` says."""
     return lines.cleaned(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near copies, that of the least ``doc_id``; texts without words and nulls are no copies; an empty table gives none, further columns pass."""
     return jaccard.representatives(docs, PIPELINE_SHINGLE, PIPELINE_PERCENT)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``docs`` in training order, as often as the mix takes each; nulls, repeated rows and empty tables as ``mixing.mixed`` says."""
     return mixing.mixed(docs)
 
 

@@ -218,3 +218,57 @@ def token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str |
     folder = folder or scratch(docs.sparkSession)
     write_shards(docs, tokenizer, folder, end_id)
     return document_table(read_shards(docs.sparkSession, folder))
+
+
+def _each(row: dict) -> WaveletMatrix:
+    return WaveletMatrix.read(row["n"], row["width"], row["zeros"], row["ranks"], row["planes"])
+
+
+def accessed(shards: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``doc_id, at, token`` for the places ``wanted(doc_id, at)``, from the documents' bit-planes without decoding them.
+
+    A place that a document doesn't have gives no row; repeated places give one; of rows that share an id each is looked
+    up. Places are distinct, so a shard is asked for no more of them than it has tokens.
+    """
+    docs = shards.select("part", "seq", F.posexplode(F.arrays_zip(F.col("doc_ids").alias("doc_id"), F.col("sizes").alias("size"))).alias("k", "d")).select("part", "seq", "k", "d.*")
+    before = Window.partitionBy("part", "seq").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    docs = docs.withColumn("first", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    asked = docs.join(wanted.select("doc_id", "at").distinct(), "doc_id").where((F.col("at") >= 0) & (F.col("at") < F.col("size")))
+    asked = asked.groupBy("part", "seq").agg(F.collect_list(F.struct("doc_id", "at", (F.col("first") + F.col("at")).alias("place"))).alias("asked"))
+
+    def look(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for r in batch.to_pylist():
+                w = _each(r)
+                yield pa.RecordBatch.from_pylist([{"doc_id": x["doc_id"], "at": x["at"], "token": w.access(x["place"])} for x in r["asked"]], pa.schema([("doc_id", pa.int64()), ("at", pa.int64()), ("token", pa.int64())]))
+
+    return shards.join(asked, ["part", "seq"]).mapInArrow(look, "doc_id long, at long, token long")
+
+
+def counted(shards: DataFrame, tokens: list[int]) -> DataFrame:
+    """``token, n`` of a short list of tokens: how often each stands in the files, by two ranks a bit-plane and shard."""
+
+    def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for r in batch.to_pylist():
+                w = _each(r)
+                yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.int64()), pa.array([w.count(t) if t >> r["width"] == 0 else 0 for t in tokens], pa.int64())], ["token", "n"])
+
+    return shards.mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def located(shards: DataFrame, token: int) -> DataFrame:
+    """``doc_id, at`` of every occurrence of a token, one select each; a document's places count from 0."""
+
+    def find(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for r in batch.to_pylist():
+                w = _each(r)
+                places = np.array([w.select(token, k) for k in range(w.count(token))] if token >> r["width"] == 0 else [], np.int64)
+                ends = np.cumsum(np.array(r["sizes"], np.int64))
+                of = np.searchsorted(ends, places, "right")
+                firsts = ends - np.array(r["sizes"], np.int64)
+                ids = pa.array(r["doc_ids"], pa.int64()).take(pa.array(of, pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(places - firsts[of], pa.int64())], ["doc_id", "at"])
+
+    return shards.mapInArrow(find, "doc_id long, at long")

@@ -524,6 +524,32 @@ def test_tagger_learns_held_out_windows(spark):
     assert sum(set(model.spans(t)) == set(s) for t, s in held) >= 50
 
 
+def test_token_files_are_queried(spark, docs, tmp_path):
+    folder = str(tmp_path / "shards")
+    wavelet.write_shards(docs, BPE, folder, 2, shard_tokens=700)
+    shards, t = wavelet.read_shards(spark, folder), Tokenizer.from_file(BPE)
+    ids = {r.doc_id: [*t.encode(r.text or "", add_special_tokens=False).ids, 2] for r in docs.collect()}
+    assert shards.count() > 3
+    wanted = [(i, at) for i, v in ids.items() for at in {0, len(v) // 2, len(v) - 1, len(v), -1}] + [(10_000, 0), (0, 0)]
+    got = wavelet.accessed(shards, spark.createDataFrame(wanted, "doc_id long, at long")).collect()
+    assert {(r.doc_id, r.at): r.token for r in got} == {(i, at): ids[i][at] for i, at in wanted if i in ids and 0 <= at < len(ids[i])} and len({(r.doc_id, r.at) for r in got}) == len(got)
+    common = collections.Counter(x for v in ids.values() for x in v)
+    some = [2, common.most_common(3)[1][0], max(common), 49_999, 1 << 20]
+    assert {r.token: r.n for r in wavelet.counted(shards, some).collect()} == {x: common[x] for x in some}
+    rare = common.most_common(9)[8][0]
+    assert sorted(map(tuple, wavelet.located(shards, rare).collect())) == sorted((i, at) for i, v in ids.items() for at, x in enumerate(v) if x == rare)
+    assert wavelet.located(shards, 1 << 20).count() == 0
+
+
+def test_stages_take_an_empty_table(spark, empty):
+    import corpus_pipeline
+
+    docs = empty.select("doc_id", "text", "lang", "source", "n_chars")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stage(spark, docs, "")
+        assert docs.count() == 0 and (k == 4 or docs.columns == ["doc_id", "text", "lang", "source", "n_chars"])
+
+
 def test_the_model_finds_what_the_patterns_miss_and_leaves_look_alikes():
     r = random.Random(21)
     bits = ("ther", "anin", "of", "eauon", "schich", "the", "los", "que", "is", "and")
