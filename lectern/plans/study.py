@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions.expr import fnv1a, slug
+from lectern.functions.expr import fnv1a, slug, title_key
 from lectern.operators import coverage, entities, library, papers, review, structure, text, topics, vocab
 from lectern.sources import tables as t
 
@@ -43,16 +43,27 @@ def _titles(s: SparkSession, d: str) -> DataFrame:
     return _page_sections(s, d).where("level = 1").groupBy("doc_id").agg(F.min_by("base", "section").alias("title"))
 
 
-def _units(s: SparkSession, d: str) -> DataFrame:
-    return coverage.units(_covered(s, d), _titles(s, d))
+class _Topics:
+    """What the queries of topics share: sections, coverage and topics of pages, written once."""
+
+    def __init__(self, s: SparkSession, d: str):
+        self.sections = library.kept(_page_sections(s, d))
+        covered = coverage.section_coverage(t.reader_sessions(s, d), structure.owing(self.sections), t.spot_checks(s, d), t.summaries(s, d))
+        titles = self.sections.where("level = 1").groupBy("doc_id").agg(F.min_by("base", "section").alias("title"))
+        self.units = coverage.units(library.kept(covered), titles)
+        # Headings of pages as topics, one for each normalised title; a page's group is its number by ten.
+        rows = self.sections.where("level > 0 AND coalesce(part, 1) = 1").select(title_key(F.col("base")).alias("topic"), (F.col("doc_id") % 10).alias("g")).where("topic <> ''")
+        self.topics = library.kept(rows.groupBy("topic").agg(F.sort_array(F.collect_set("g")).alias("groups")))
 
+    def exclusive(self) -> DataFrame:
+        return coverage.exclusive(self.units, self.topics)
 
-def _page_topics(s: SparkSession, d: str) -> DataFrame:
-    """Headings of pages as topics, one for each normalised title; a page's group is its number by ten."""
-    from lectern.functions.expr import title_key
+    def states(self) -> DataFrame:
+        return coverage.topic_coverage(self.exclusive(), self.topics)
 
-    rows = _page_sections(s, d).where("level > 0 AND coalesce(part, 1) = 1").select(title_key(F.col("base")).alias("topic"), (F.col("doc_id") % 10).alias("g")).where("topic <> ''")
-    return rows.groupBy("topic").agg(F.sort_array(F.collect_set("g")).alias("groups"))
+
+def _units(s: SparkSession, d: str) -> DataFrame:
+    return coverage.units(library.kept(_covered(s, d)), _titles(s, d))
 
 
 def _doc_blocks(s: SparkSession, d: str) -> DataFrame:
@@ -180,13 +191,8 @@ def _line_blocks(s: SparkSession, d: str) -> DataFrame:
 
 
 def _matched(s: SparkSession, d: str) -> DataFrame:
-    from lectern.functions.expr import title_key
-
-    return _units(s, d).withColumn("topic", title_key(F.col("title"))).join(_page_topics(s, d).select("topic"), "topic").select("reader", "doc_id", "section", "topic", "words")
-
-
-def _topic_states(s: SparkSession, d: str) -> DataFrame:
-    return coverage.topic_coverage(coverage.exclusive(_units(s, d), _page_topics(s, d)), _page_topics(s, d)).drop("groups")
+    all_ = _Topics(s, d)
+    return all_.units.withColumn("topic", title_key(F.col("title"))).join(all_.topics.select("topic"), "topic").select("reader", "doc_id", "section", "topic", "words")
 
 
 def _exported(s: SparkSession, d: str) -> DataFrame:
@@ -263,13 +269,10 @@ def _dq_coverage(s: SparkSession, d: str) -> DataFrame:
 
 
 def _dq_topics(s: SparkSession, d: str) -> DataFrame:
-    kept, listed = coverage.exclusive(_units(s, d), _page_topics(s, d)), _page_topics(s, d)
-    twice = kept.groupBy("reader", "doc_id", "topic").agg(F.max(F.col("section").isNull()).alias("whole"), F.max(F.col("section").isNotNull()).alias("part")).where("whole AND part")
-    return _report("topics", [
-        ("document and section counted both", _count(twice), 0),
-        ("names lost to normalisation", _count(_page_sections(s, d).where((F.col("level") > 0) & (F.trim("base") == ""))), 0),
-        ("topics", _count(listed), None),
-    ])
+    all_ = _Topics(s, d)
+    twice = all_.exclusive().groupBy("reader", "doc_id", "topic").agg((F.max(F.col("section").isNull()) & F.max(F.col("section").isNotNull())).alias("both")).agg(F.count_if("both").alias("document and section counted both"))
+    lost = all_.sections.agg(F.count_if((F.col("level") > 0) & (F.trim("base") == "")).alias("names lost to normalisation"))
+    return _told("topics", [(twice, {"document and section counted both": 0}), (lost, {"names lost to normalisation": 0}), (all_.topics.agg(F.count(F.lit(1)).alias("topics")), {"topics": None})])
 
 
 def _dq_phrases(s: SparkSession, d: str) -> DataFrame:
@@ -323,11 +326,11 @@ QUERIES = {
     "final_forms": lambda s, d: _forms(s, d).select("item_id", "forms"),
     "short_name": lambda s, d: t.table(s, d, "customer").select("c_custkey", vocab.short_name(F.concat(F.lit("Google "), F.col("c_mktsegment"), F.lit(" voice - "), F.col("c_name"))).alias("label")),
     "coverage_units": _units,
-    "unit_exclusive": lambda s, d: coverage.exclusive(_units(s, d), _page_topics(s, d)),
+    "unit_exclusive": lambda s, d: _Topics(s, d).exclusive(),
     "topic_match": _matched,
-    "topic_coverage": _topic_states,
-    "topic_gaps": lambda s, d: _topic_states(s, d).where("state = 'absent'").select("topic"),
-    "group_coverage": lambda s, d: coverage.group_coverage(coverage.topic_coverage(coverage.exclusive(_units(s, d), _page_topics(s, d)), _page_topics(s, d))),
+    "topic_coverage": lambda s, d: _Topics(s, d).states().drop("groups"),
+    "topic_gaps": lambda s, d: _Topics(s, d).states().where("state = 'absent'").select("topic"),
+    "group_coverage": lambda s, d: coverage.group_coverage(_Topics(s, d).states()),
     "term_salience": lambda s, d: papers.salience(_Words(s, d).rows).select("doc_id", "i", "key", "core", "score"),
     "cloze_candidates": lambda s, d: _Words(s, d).candidates(),
     "cloze_windows": lambda s, d: _Words(s, d).candidates(),
