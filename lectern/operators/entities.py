@@ -77,12 +77,13 @@ def mentions(located: DataFrame) -> DataFrame:
     connects = ~named & (trail == "") & core.isin(*CONNECTORS)
     role = F.when(plain & named & (F.col("at") > 0), F.when(trail == "", "open").otherwise("closed")).when(plain & connects, "joins").otherwise("breaks")
     order = Window.partitionBy("doc_id").orderBy("i")
-    back = [F.lag(F.struct("role", "core"), k).over(order) for k in range(1, MOST_CONNECTORS + 2)]
-    rows = located.withColumn("role", role).withColumns({f"b{k}": b for k, b in enumerate(back)})
+    back = [F.lag(F.struct("role", "core", "i"), k).over(order) for k in range(1, MOST_CONNECTORS + 2)]
+    # Words that break a name are left out before the window: what is next to each other then must have neighbouring numbers.
+    rows = located.withColumn("role", role).where(F.col("role") != "breaks").select("doc_id", "i", "section", "core", "role").withColumns({f"b{k}": b for k, b in enumerate(back)})
     is_name = F.col("role").isin("open", "closed")
     held = F.lit(None).cast("int")
     for k in range(MOST_CONNECTORS, -1, -1):  # the name before ends k connectors ago
-        joined = F.col(f"b{k}.role") == "open"
+        joined = (F.col(f"b{k}.role") == "open") & (F.col(f"b{k}.i") == F.col("i") - (k + 1))
         for j in range(k):
             joined &= F.col(f"b{j}.role") == "joins"
         held = F.when(joined, k).otherwise(held)
