@@ -79,7 +79,7 @@ def mentions(located: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("i")
     back = [F.lag(F.struct("role", "core", "i"), k).over(order) for k in range(1, MOST_CONNECTORS + 2)]
     # Words that break a name are left out before the window: what is next to each other then must have neighbouring numbers.
-    rows = located.withColumn("role", role).where(F.col("role") != "breaks").select("doc_id", "i", "section", "core", "role").withColumns({f"b{k}": b for k, b in enumerate(back)})
+    rows = located.where(core.rlike("^[A-Z]") | core.isin(*CONNECTORS)).withColumn("role", role).where(F.col("role") != "breaks").select("doc_id", "i", "section", "core", "role").withColumns({f"b{k}": b for k, b in enumerate(back)})
     is_name = F.col("role").isin("open", "closed")
     held = F.lit(None).cast("int")
     for k in range(MOST_CONNECTORS, -1, -1):  # the name before ends k connectors ago
