@@ -5,9 +5,9 @@ copy, the word's place and the turn decides whether the candidate is skipped; a
 neighbour merges. With dropout 0 the ids are the library's. Any segmentation decodes to the same text.
 
 A piece holds spaces at its start only, so words are segmented one by one, each with the spaces before it. A word's
-segmentation without a skip is remembered, and holds wherever none of its turns is skipped; the others are remembered
-by word and skipped turns. New words of a batch are segmented together, those of one length as the rows of a matrix
-that holds every row's agenda.
+segmentation without a skip is remembered, and holds wherever none of its turns is skipped; elsewhere the word is
+segmented with the skips of its place. Words of a batch are segmented together, those of one length as the rows of a
+matrix that holds every row's agenda.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import batches, mix
 
-#: Share of candidate merges that are skipped; words, and words with skipped turns, that a worker remembers.
-DROPOUT, WORD_CACHE, VARIED_CACHE = 0.1, 500_000, 300_000
+#: Share of candidate merges that are skipped; words that a worker remembers.
+DROPOUT, WORD_CACHE = 0.1, 500_000
 
 SPACE = "▁"
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -40,8 +40,12 @@ NEVER, SHORT = 1 << 30, 48
 #: Words of one length that are worth a matrix, the longest of them, characters of texts that are encoded together.
 ROWS, WIDEST, BATCH = 48, 24, 8 << 20
 
-#: Characters of a word whose turns, three for each pair at most, fit the bits of a number.
-MASKED = 22
+#: Turns in which a skip is looked for; a word with more merges is segmented each time.
+TURNS = 64
+
+#: Slots of the table of pairs, some twenty for each pair.
+SLOT_BITS = 20
+SLOTS = 1 << SLOT_BITS
 
 _C1 = np.uint64(0x9E3779B97F4A7C15)
 
@@ -57,6 +61,15 @@ def _skipped_all(keys: np.ndarray, turn: int, limit: int) -> np.ndarray:
     return mix(keys + np.uint64(turn * 0x9E3779B97F4A7C15 & _M)) >> np.uint64(32) < np.uint64(limit)
 
 
+def _slot(pairs: np.ndarray) -> np.ndarray:
+    return (pairs.view(np.uint64) * _C1 >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _places(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places of stretches that start at ``starts``, one stretch after the other."""
+    return np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+
+
 class Pieces:
     """A SentencePiece BPE model with byte fallback and an identity normalizer."""
 
@@ -89,8 +102,12 @@ class Pieces:
                 x, y = self._symbol(t[:k]), self._symbol(t[k:])
                 if x is not None and y is not None:
                     made.append((x << 21 | y, self.ranks[t], i))
-        self.pairs, ranks, self.pair_ids = (np.array(c, np.int64) for c in zip(*sorted(made)))
-        self.pair_ranks = ranks.astype(np.int32)
+        #: A table of pairs by hash: one that finds its slot taken stands in the next free one.
+        self.slots, self.slot_ranks, self.slot_ids = np.full(SLOTS + len(made), -1, np.int64), np.full(SLOTS + len(made), NEVER, np.int32), np.zeros(SLOTS + len(made), np.int64)
+        for slot, (pair, rank, i) in zip(_slot(np.array([m[0] for m in made], np.int64)).tolist(), made):
+            while self.slots[slot] >= 0:
+                slot += 1
+            self.slots[slot], self.slot_ranks[slot], self.slot_ids[slot] = pair, rank, i
 
     def _symbol(self, text: str) -> int | None:
         return int(self.symbols[ord(text)]) if len(text) == 1 else self.ids.get(text)
@@ -98,55 +115,60 @@ class Pieces:
     def _met(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank of each two symbols and the piece that they make."""
         key = x << 21 | y
-        i = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-        return np.where(self.pairs[i] == key, self.pair_ranks[i], np.int32(NEVER)), self.pair_ids[i]
-
-    def segment_all(self, words: list[str], keys: list[int], limit: int) -> list[bytes]:
-        """``segment`` of many words of one length, each as 32-bit integers."""
-        return self.merged_all(words, keys, limit)[0]
-
-    def merged_all(self, words: list[str], keys: list[int], limit: int) -> tuple[list[bytes], list[int]]:
-        """``segment_all``, and how many merges were done in each word."""
+        slot = _slot(key)
+        held = self.slots[slot]
+        apart = np.flatnonzero((held != key) & (held >= 0))
+        while len(apart):
+            slot[apart] += 1
+            held = self.slots[slot[apart]]
+            apart = apart[(held != key[apart]) & (held >= 0)]
+        return np.where(self.slots[slot] == key, self.slot_ranks[slot], np.int32(NEVER)), self.slot_ids[slot]
+
+    def segment_all(self, words: list[str], keys: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``segment`` of many words of one length: all ids in one array, how many each word has, and the merges done in it."""
         width, n = len(words[0]), len(words)
         points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, width)
         symbol = self.symbols[points]
-        key = np.array(keys, np.uint64)
-        # One column more on each side, without a symbol: neighbours are places 0 and width + 1 at the ends.
-        at = np.full((n, width + 2), -1, np.int64)
-        at[:, 1:-1] = symbol
-        after, before = np.tile(np.arange(1, width + 3), (n, 1)), np.tile(np.arange(-1, width + 1), (n, 1))
-        rank, piece = np.full((n, width + 2), NEVER, np.int32), np.zeros((n, width + 2), np.int64)
-        rank[:, 1:-2], piece[:, 1:-2] = self._met(symbol[:, :-1], symbol[:, 1:])
+        # A word has a column more on each side, without a symbol. A place is the number of its cell in all the matrix.
+        across = width + 2
+        cells = np.full((n, across), -1, np.int64)
+        cells[:, 1:-1] = symbol
+        ranks, made = np.full((n, across), NEVER, np.int32), np.zeros((n, across), np.int64)
+        ranks[:, 1:-2], made[:, 1:-2] = (m.reshape(n, width - 1) for m in self._met(symbol[:, :-1].ravel(), symbol[:, 1:].ravel()))
+        at, rank, piece = cells.ravel(), ranks.ravel(), made.ravel()
+        after, before = np.arange(1, len(at) + 1), np.arange(-1, len(at) - 1)
         live, turn = np.arange(n), -1
         while len(live):
             turn += 1
-            a = rank[live].argmin(1)
-            best = rank[live, a]
-            going = best != NEVER
+            a = live * across + ranks[live].argmin(1)
+            going = rank[a] != NEVER
             live, a = live[going], a[going]
             if limit:
-                skip = _skipped_all(key[live], turn, limit)
-                rank[live[skip], a[skip]] = NEVER
-                r, a = live[~skip], a[~skip]
-            else:
-                r = live
-            b = after[r, a]
-            c, z = after[r, b], before[r, a]
-            at[r, a], at[r, b] = piece[r, a], -1
-            rank[r, b] = NEVER
-            after[r, a], before[r, c] = c, a
-            for left, right in ((a, c), (z, a)):
-                x, y = at[r, left], at[r, right]
-                found, made = self._met(x, y)
-                rank[r, left], piece[r, left] = np.where((x < 0) | (y < 0), np.int32(NEVER), found), made
-        held = at >= 0
-        left = held.sum(1)
-        ids, ends = at[held].astype(np.int32).tobytes(), (np.cumsum(left) * 4).tolist()
-        out = [ids[x:y] for x, y in zip([0, *ends], ends)]
-        for k in np.flatnonzero((at >= self.n).any(1)).tolist():
-            mixed = np.frombuffer(out[k], np.int32).tolist()
-            out[k] = np.array([i for s in mixed for i in ([s] if s < self.n else [self.bytes.get(b, self.unknown) for b in chr(s - self.n).encode()])], np.int32).tobytes()
-        return out, (width - left).tolist()
+                skip = _skipped_all(keys[live], turn, limit)
+                rank[a[skip]] = NEVER
+                a = a[~skip]
+            b = after[a]
+            c, z = after[b], before[a]
+            at[a], at[b] = piece[a], -1
+            rank[b] = NEVER
+            after[a], before[c] = c, a
+            left, right = np.concatenate([a, z]), np.concatenate([c, a])
+            rank[left], piece[left] = self._met(at[left], at[right])
+        held = cells >= 0
+        counts = held.sum(1)
+        return *self._spelled(cells[held], counts), width - counts
+
+    def _spelled(self, symbols: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words' symbols: what is no piece becomes the pieces of its bytes."""
+        odd = symbols >= self.n
+        if odd.any():
+            spelled = [[self.bytes.get(b, self.unknown) for b in chr(s - self.n).encode()] for s in symbols[odd].tolist()]
+            times = np.ones(len(symbols), np.int64)
+            times[odd] = [len(x) for x in spelled]
+            counts = np.bincount(np.repeat(np.arange(len(counts)), counts), times, len(counts)).astype(np.int64)
+            symbols, odd = np.repeat(symbols, times), np.repeat(odd, times)
+            symbols[odd] = list(chain.from_iterable(spelled))
+        return symbols.astype(np.int32), counts
 
     def segment(self, word: str, key: int = 0, limit: int = 0) -> list[int]:
         """Ids of one word; ``limit`` of 2^32 is the share of candidates that are skipped, ``key`` decides which."""
@@ -227,66 +249,62 @@ def pieces(path: str) -> Pieces:
 
 
 class Segmenter:
-    """Whole texts by a model, a seed and a dropout; ``variants`` bounds the ways in which one word is segmented, 0 does not."""
+    """Whole texts by a model, a seed and a dropout."""
 
-    def __init__(self, model: Pieces, dropout: float, seed: int, variants: int = 0) -> None:
-        self.model, self.limit, self.seed, self.variants = model, int(dropout * 2**32), seed, variants
+    def __init__(self, model: Pieces, dropout: float, seed: int) -> None:
+        self.model, self.limit, self.seed = model, int(dropout * 2**32), seed
         self._forget()
 
     def _forget(self) -> None:
+        #: Words by number; all their ids without a skip, where each word's start, how many they are, merges done.
         self.number: dict[str, int] = {}
-        self.plain: list[bytes] = []
-        #: Of each word: merges without a skip, and characters.
-        self.merges, self.widths = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.varied: dict[tuple[int, int], bytes] = {}
+        self.ids, self.starts, self.counts, self.merges = np.zeros(0, np.int32), *(np.zeros(0, np.int64) for _ in range(3))
 
     def words(self, text: str) -> list[str]:
         """The text's words with a space before the first, as the library adds it."""
         return _WORDS.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
-    def _segmented(self, words: list[str], keys: list[int], limit: int) -> list[tuple[bytes, int]]:
-        """Ids of each word, and its merges or more."""
-        out: list[tuple[bytes, int]] = [(b"", 0)] * len(words)
+    def _segmented(self, words: list[str], keys: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, and of each word: where its ids start, how many they are, its merges or more."""
+        counts, merges, starts = (np.zeros(len(words), np.int64) for _ in range(3))
         widths = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(widths, kind="stable")
+        parts, held = [np.zeros(0, np.int32)], 0
         for group in np.split(order, np.flatnonzero(np.diff(widths[order])) + 1) if words else ():
-            some, width = group.tolist(), int(widths[group[0]])
-            if 1 < width <= WIDEST and len(some) >= ROWS:
-                found = zip(*self.model.merged_all([words[k] for k in some], [keys[k] for k in some], limit))
+            some, width = [words[k] for k in group.tolist()], int(widths[group[0]])
+            if width <= WIDEST and len(some) >= ROWS:
+                ids, counts[group], merges[group] = self.model.segment_all(some, keys[group], limit)
             else:
-                found = ((np.array(self.model.segment(words[k], keys[k], limit), np.int32).tobytes(), width - 1) for k in some)
-            for k, x in zip(some, found):
-                out[k] = x
-        return out
+                found = [self.model.segment(w, k, limit) for w, k in zip(some, keys[group].tolist())]
+                ids, counts[group], merges[group] = np.array(list(chain.from_iterable(found)), np.int32), [len(x) for x in found], width - 1
+            starts[group] = held + np.cumsum(counts[group]) - counts[group]
+            parts.append(ids)
+            held += len(ids)
+        return np.concatenate(parts), starts, counts, merges
+
+    def _keys(self, starts: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """What the skips of each word hang on: its text's key and its place there."""
+        return mix(starts + places * _C1)
 
     def learn(self, words: list[str]) -> None:
         """Segments what is not remembered yet; a full memory starts anew."""
         met = set(words)
-        new = sorted(met.difference(self.number))
+        new = list(met.difference(self.number))
         if len(self.number) + len(new) > WORD_CACHE and self.number:
             self._forget()
-            new = sorted(met)
-        elif len(self.varied) > VARIED_CACHE:
-            self.varied.clear()
+            new = list(met)
         self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
-        found = self._segmented(new, [0] * len(new), 0)
-        self.plain += [x for x, _ in found]
-        self.merges = np.concatenate([self.merges, np.array([n for _, n in found], np.int64)])
-        self.widths = np.concatenate([self.widths, np.fromiter(map(len, new), np.int64, len(new))])
-
-    def _keys(self, words: list[str], starts: np.ndarray, places: np.ndarray) -> np.ndarray:
-        keys = mix(starts + places * _C1)
-        if self.variants:
-            own = np.fromiter((zlib.crc32(w.encode(), self.seed & 0xFFFFFFFF) for w in words), np.uint64, len(words))
-            keys = mix((own << np.uint64(20)) + keys % np.uint64(self.variants))
-        return keys
+        ids, starts, counts, merges = self._segmented(new, np.zeros(len(new), np.uint64), 0)
+        self.starts = np.concatenate([self.starts, starts + len(self.ids)])
+        self.ids = np.concatenate([self.ids, ids])
+        self.counts, self.merges = np.concatenate([self.counts, counts]), np.concatenate([self.merges, merges])
 
     def _skipping(self, at: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """Places where a turn of the word's merges is skipped, and of the words with too many turns to tell here."""
         merges = self.merges[at]
-        long = merges > 3 * MASKED
+        long = merges > TURNS
         found, live = [np.flatnonzero(long)], np.flatnonzero(~long)
-        for turn in range(3 * MASKED):
+        for turn in range(TURNS):
             live = live[merges[live] > turn]
             if not len(live):
                 break
@@ -295,44 +313,26 @@ class Segmenter:
             live = live[~hit]
         return np.concatenate(found)
 
-    def _vary(self, words: list[str], at: np.ndarray, keys: np.ndarray, out: list[bytes]) -> None:
-        rows = self._skipping(at, keys)
-        widths = self.widths[at[rows]]
-        fit = widths <= MASKED
-        alone, rows, most = rows[~fit].tolist(), rows[fit], 3 * (widths[fit] - 1)
-        masks, live = np.zeros(len(rows), np.uint64), np.arange(len(rows))
-        for turn in range(3 * (MASKED - 1)):
-            live = live[most[live] > turn]
-            if not len(live):
-                break
-            masks[live] |= _skipped_all(keys[rows[live]], turn, self.limit).astype(np.uint64) << np.uint64(turn)
-        marks = list(zip(at[rows].tolist(), masks.tolist()))
-        # Words with the same skipped turns are segmented alike, whatever their keys are.
-        new: dict[tuple[int, int], int] = {m: r for m, r in zip(marks, rows.tolist()) if m not in self.varied}
-        asked = [*new.values(), *alone]
-        found = [x for x, _ in self._segmented([words[r] for r in asked], [int(keys[r]) for r in asked], self.limit)]
-        self.varied.update(zip(new, found))
-        for m, r in zip(marks, rows.tolist()):
-            out[r] = self.varied[m]
-        for r, x in zip(alone, found[len(new) :]):
-            out[r] = x
-
     def start(self, text: str | None, doc_id: int | None, copy: int = 0) -> int:
         """What the skips of a text hang on besides place and turn; the text tells rows apart that share an id."""
         return xxhash.xxh3_64_intdigest(f"{self.seed}:{doc_id}:{copy}:{text or ''}".encode("utf-8", "surrogatepass"))
 
-    def encode_all(self, texts: list[str | None], starts: list[int]) -> list[np.ndarray]:
+    def encode_all(self, texts: list[str | None], doc_keys: list[int]) -> list[np.ndarray]:
         docs = [self.words(t or "") for t in texts]
         sizes = np.array([len(d) for d in docs], np.int64)
         words = list(chain.from_iterable(docs))
         self.learn(words)
         at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        out = list(map(self.plain.__getitem__, at.tolist()))
-        ends = np.cumsum(sizes)
+        ids, starts, counts, ends = self.ids, self.starts[at], self.counts[at], np.cumsum(sizes)
         if self.limit and words:
             places = (np.arange(len(words)) - np.repeat(ends - sizes, sizes)).astype(np.uint64)
-            self._vary(words, at, self._keys(words, np.repeat(np.array(starts, np.uint64), sizes), places), out)
-        return [np.frombuffer(b"".join(out[end - n : end]), np.int32) for n, end in zip(sizes.tolist(), ends.tolist())]
+            keys = self._keys(np.repeat(np.array(doc_keys, np.uint64), sizes), places)
+            rows = self._skipping(at, keys)
+            varied, first, counts[rows], _ = self._segmented([words[r] for r in rows.tolist()], keys[rows], self.limit)
+            starts[rows] = first + len(ids)
+            ids = np.concatenate([ids, varied])
+        before = np.concatenate([[0], np.cumsum(counts)])
+        return np.split(ids[_places(starts, counts)], before[ends[:-1]]) if texts else []
 
     def encode(self, text: str | None, doc_id: int | None, copy: int = 0) -> list[int]:
         return self.encode_all([text], [self.start(text, doc_id, copy)])[0].tolist()

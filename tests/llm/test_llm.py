@@ -326,20 +326,22 @@ def test_pieces_equal_the_library_without_dropout_and_decode_with_it():
 
     texts = [t for t in sample() if t] + ["  two  spaces", "é😀\nx", "x" * 200, " "]
     m, sp = pieces.Pieces(PIECE), sentencepiece.SentencePieceProcessor(model_file=PIECE)
-    plain, varied = pieces.Segmenter(m, 0, 0, 1), pieces.Segmenter(m, 0.3, 1, 4)
+    plain, varied = pieces.Segmenter(m, 0, 0), pieces.Segmenter(m, 0.3, 1)
     assert [plain.encode(t, 1) for t in texts] == sp.encode(texts)
     found = [varied.encode(t, i) for i, t in enumerate(texts)]
     assert [m.decode(x) for x in found] == texts and found != [plain.encode(t, 1) for t in texts]
-    assert found == [pieces.Segmenter(m, 0.3, 1, 4).encode(t, i) for i, t in enumerate(texts)]
+    assert found == [pieces.Segmenter(m, 0.3, 1).encode(t, i) for i, t in enumerate(texts)]
 
 
 @pytest.mark.parametrize("limit", [0, 1 << 28, 1 << 31, (1 << 32) - 1])
 def test_words_segmented_together_equal_words_alone(limit):
     m, rng = pieces.Pieces(PIECE), random.Random(limit)
-    for width in (2, 3, 7, 24):
+    for width in (1, 2, 3, 7, 24):
         words = ["".join(rng.choice("▁▁aeinrstß日𝄞\x00") for _ in range(width)) for _ in range(200)] + ["▁international"[:width].ljust(width, "s")]
         keys = [rng.getrandbits(64) for _ in words]
-        together = [np.frombuffer(b, np.int32).tolist() for b in m.segment_all(words, keys, limit)]
+        ids, counts, merges = m.segment_all(words, np.array(keys, np.uint64), limit)
+        together = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+        assert len(together) == len(words) and (merges <= width - 1).all()
         assert together == [m.segment(w, k, limit) for w, k in zip(words, keys)]
 
 
@@ -375,7 +377,7 @@ def test_words_are_segmented_by_their_own_key():
     s, texts = pieces.Segmenter(m, 0.3, 5), [t for t in sample() if t] + ["international " * 300, "y" * 200]
     for doc_id, (text, got) in enumerate(zip(texts, s.encode_all(texts, [s.start(t, k) for k, t in enumerate(texts)]))):
         words = s.words(text)
-        keys = s._keys(words, np.full(len(words), s.start(text, doc_id), np.uint64), np.arange(len(words)).astype(np.uint64))
+        keys = s._keys(np.full(len(words), s.start(text, doc_id), np.uint64), np.arange(len(words)).astype(np.uint64))
         assert got.tolist() == [i for w, k in zip(words, keys.tolist()) for i in m.segment(w, k, s.limit)]
 
 
