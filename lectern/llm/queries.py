@@ -109,6 +109,17 @@ def queries() -> dict:
 
 WS = r"[\x20\x09-\x0D]"
 
+OP5_PHRASES = (
+    "(?i)all rights reserved|cookie policy|enable javascript|follow us on|licensed under|lorem ipsum|privacy policy|sign up for|subscribe to our|terms of service|terms of use|use of cookies"
+    "|alle rechte vorbehalten|cookie-richtlinie|datenschutzerklärung|folgen sie uns|javascript aktivieren|newsletter abonnieren|nutzungsbedingungen|verwendet cookies"
+    "|abonnez-vous|activer javascript|conditions d''utilisation|mentions légales|politique de confidentialité|suivez-nous|tous droits réservés|utilise des cookies"
+    "|activar javascript|aviso legal|condiciones de uso|política de privacidad|suscríbete a|síguenos en|todos los derechos reservados|utiliza cookies"
+)
+OP5_FUNCTION = (
+    rf"(?i)(?:^|{WS})(?:a|and|are|as|at|be|by|for|from|in|is|it|of|on|that|the|this|to|was|with|auf|das|dem|den|der|des|die|ein|eine|für|im|ist|mit|nicht|sich|und|von|zu"
+    rf"|au|avec|dans|de|du|en|est|et|la|le|les|par|pas|pour|que|qui|sur|un|une|al|con|del|el|es|las|los|no|para|por|se|su|una|y)(?:[,.;:!?]|{WS}|$)"
+)
+
 OP5 = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(text, '{WS}+'), lambda x: x <> '') AS words, string_split(text, chr(10)) AS lines FROM d),
@@ -117,17 +128,23 @@ u AS (SELECT doc_id, unnest(tri) AS g, unnest(range(1, len(tri) + 1)) AS i FROM
 r AS (SELECT doc_id, i FROM u QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
 p AS (SELECT doc_id, count(DISTINCT k) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS k FROM r) GROUP BY doc_id),
 f AS (SELECT *, list_filter(lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS worded,
-  list_filter(lines, lambda x: NOT (regexp_matches(x, '[^\x20\x09-\x0D]') AND (
-    len(regexp_extract_all(x, '[#*$%&|<>!\x{{00BB}}\x{{2022}}]+')) * 1000 > length(x) * {quality.MAX_RUNS}
-    OR (length(x) >= {quality.UNPUNCTUATED} AND NOT regexp_matches(x, '[.!?\x{{2026}}\x{{3002}}]'))
-    OR (length(x) <= {quality.BOILERPLATE_CHARS} AND regexp_matches(x, '(?i){"|".join(quality.BOILERPLATE)}'))))) AS good FROM t),
+  20 * len(regexp_extract_all(text, '{OP5_FUNCTION}')) >= len(words) AS known FROM t),
+g AS (SELECT doc_id, known, x, i, regexp_replace(x, '^{WS}+|{WS}+$', '', 'g') AS bare FROM (SELECT doc_id, known, unnest(lines) AS x, unnest(range(len(lines))) AS i FROM f)),
+h AS (SELECT *, length(bare) BETWEEN 1 AND 40 AND row_number() OVER (PARTITION BY doc_id, bare ORDER BY i) > 1 AS again,
+  len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS nw, len(regexp_extract_all(x, '{WS}([|/>·»•›→]|::){WS}')) AS ns FROM g),
+o AS (SELECT doc_id, sum(length(x)) AS lost FROM h WHERE again OR (bare <> '' AND (
+    len(regexp_extract_all(x, '[#*$%&|<>!»•]+')) * 1000 > length(x) * 40
+    OR (ns >= 2 AND nw - ns <= 3 * (ns + 1) AND NOT regexp_matches(x, '[.!?…。]["'')\]”’]*{WS}*$'))
+    OR (length(x) >= 60 AND NOT regexp_matches(x, '[.!?…。]')) OR (nw <= 12 AND regexp_matches(x, '(\.\.\.|…){WS}*$'))
+    OR (length(x) <= 160 AND regexp_matches(x, '{OP5_PHRASES}'))
+    OR (known AND nw >= 12 AND NOT regexp_matches(x, '{OP5_FUNCTION}')))) GROUP BY doc_id),
 m AS (SELECT doc_id, text, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
   len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(worded) - len(list_distinct(worded)))::BIGINT AS n_dup_lines,
-  (coalesce(list_sum(list_transform(lines, lambda x: length(x))), 0) - coalesce(list_sum(list_transform(good, lambda x: length(x))), 0))::BIGINT AS n_lost_chars FROM f),
+  coalesce(lost, 0)::BIGINT AS n_lost_chars FROM f LEFT JOIN o USING (doc_id)),
 b AS (SELECT m.*, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM m LEFT JOIN p USING (doc_id)),
-v AS (SELECT *, (n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT} * n_words) AS base_failed FROM b)
+v AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM b)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  (NOT base_failed AND n_lost_chars * 100 <= length(text) * {quality.MAX_LOST}) AS kept, n_lost_chars FROM v
+  (NOT base_failed AND n_lost_chars * 100 <= length(text) * 50) AS kept, n_lost_chars FROM v
 """
 
 OP6 = rf"""

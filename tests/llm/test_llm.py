@@ -226,6 +226,36 @@ def test_quality_rules(spark):
     assert all("rights reserved" not in r.text and r.n_chars == len(r.text) and (r.q, r.row, r.place) == ("q", "r", "p") for r in kept.values())
 
 
+def test_lines_that_are_no_prose_go(spark):
+    prose = {
+        "en": "The river rose in the night and it was over the bridge by the morning of the feast.",
+        "de": "Der Fluss stieg in der Nacht und stand am Morgen des Festes über der alten Brücke.",
+        "fr": "La rivière monta dans la nuit et passa le pont au matin de la fête avec le vent.",
+        "es": "El río subió en la noche y pasó el puente por la mañana de la fiesta con el viento.",
+        "fi": "Joki nousi yöllä ja peitti sillan aamulla kun juhla alkoi ja tuuli kääntyi pohjoiseen illaksi.",
+    }
+    bad = {
+        "en": ["Home / News / Our shop / Help", "Home > Sport > Results", "Read the whole story of the flood…", "See our Privacy Policy.", "red blue green white black brown grey pink gold teal lime plum.", "### *** ### !!! %"],
+        "de": ["Start · Über uns · Kontakt", "Mehr dazu ...", "ALLE RECHTE VORBEHALTEN.", "Zur Datenschutzerklärung."],
+        "fr": ["Accueil › Nos vins › Blancs", "TOUS DROITS RÉSERVÉS.", "Lire la suite...", "Mentions légales."],
+        "es": ["Inicio | Tienda | Ayuda", "Política de privacidad.", "Leer el resto…", "Síguenos en la red."],
+        "fi": ["Etusivu :: Uutiset :: Kauppa"],
+    }
+    fine = ["Price / weight / height of all of the boxes that we sold in the last year / month.", "Yes.", "He paused and then he said to the man at the door that it was far too late for him to go on…", ""]
+    texts, wanted = [], []
+    for lang, line in prose.items():
+        kept = [line] + [f"{line} {lang} {i}." for i in range(6)] + (fine if lang == "en" else [])
+        mixed = [kept[0], *(x for pair in zip(kept[1:], bad[lang] + [" Yes. "] * 20) for x in pair if x != " Yes. ")]
+        texts.append("\n".join(mixed))
+        wanted.append("\n".join(kept))
+    texts += ["\n".join([prose["en"] + f" {i}." for i in range(9)] + ["Short one.", " Short one.\r", prose["en"] * 2, prose["en"] * 2, "Short one."])]
+    wanted += ["\n".join([prose["en"] + f" {i}." for i in range(9)] + ["Short one.", prose["en"] * 2, prose["en"] * 2])]
+    texts += ["\n".join([prose["en"]] * 8 + ["Home | News | Shop | Help | Home pages | All sites"] * 20), "\n".join(f"{prose['de']} {i}" for i in range(5)) + "\n" * 3]
+    wanted += ["\n".join([prose["en"]] * 8), texts[-1]]
+    got = {r.doc_id: r.cleaned for r in quality.measured(fixture(spark, texts)).select("row.doc_id", "q.cleaned").collect()}
+    assert [got.get(i) for i in range(len(texts))] == wanted
+
+
 def test_line_dedup_keeps_the_first_occurrence(spark):
     texts = [f"own line {i}.\n shared \r\nrare" if i < 3 else f"own line {i}.\nshared" for i in range(8)] + [None, "", "shared"]
     got = {r.row.doc_id: r for r in lines.deduplicated(fixture(spark, texts, [f"s{i % 6}" if i % 6 else None for i in range(len(texts))])).collect()}
