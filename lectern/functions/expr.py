@@ -50,16 +50,21 @@ INLINE = (
     (r"\[([^\]]+)\]\([^)]*\)", "$1"),
     (r"</?[a-zA-Z][^>]*>", ""),
     (r"`([^`]+)`", "$1"),
-    (r"\*\*([^*]+)\*\*", "$1"),
-    (r"__([^_]+)__", "$1"),
-    (r"~~([^~]+)~~", "$1"),
-    (r"[ \t]+([,.;:!?])", "$1"),
-    (r"[ \t]+", " "),
+    (r"(\*\*\*|___)(.+?)\1", "$2"),
+    (r"(\*\*|__)(.+?)\1", "$2"),
+    (r"(\*|_)(?=\S)(.+?)(?<=\S)\1", "$2"),
+    (r"~~(.+?)~~", "$1"),
+    (r"\[\s*\d{1,3}(?:\s*[,;–—-]\s*\d{1,3})*\s*\]", ""),
+    (r"(?<!(?:https?://|doi\.org|www\.)[\s\S]{0,36})(?<!/\S{0,39})([A-Za-z][.!?][\"'’”)\]]?)\d{1,3}(?:\s*[,;–—-]\s*\d{1,3})*(?![./\w])", "$1"),
+    (r"([A-Za-z])[*†‡§¶‖]+", "$1"),
+    (r"\s+([,.;:!?])", "$1"),
+    (r"\\([\\`*_{}\[\]()#+\-.!])", "$1"),
+    (r"\s+", " "),
 )
 
 
 def plain_inline(text: Column) -> Column:
-    """Text without inline marks: images, links, tags, code, emphasis, escapes, spaces before stops."""
+    """Text without inline marks: images, links, tags, code, emphasis, marks of citations (not inside addresses), spaces before stops, escapes."""
     t = text
     for pattern, by in INLINE:
         t = F.regexp_replace(t, pattern, by)

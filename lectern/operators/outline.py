@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: The deepest level of a heading; 0 is the document itself.
 DEEPEST = 3
 
+#: Fixed value: a section of fewer words never owed a summary.
+SUMMARY_WORDS = 60
+
 
 def _plain(title: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(title), r"\s+", " "))
@@ -47,3 +50,15 @@ def ambiguous(sections: DataFrame) -> DataFrame:
     full = rows.groupBy("doc_id").agg(F.count_distinct("name").alias("names"))
     out = by.groupBy("doc_id").agg(F.sum("n").alias("stops"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("shared"), F.count(F.lit(1)).alias("titles"))
     return out.join(full, "doc_id")
+
+
+def summary_sweep(items: DataFrame, sections: DataFrame) -> DataFrame:
+    """``items(doc_id, section, prompt, ...)`` with ``action`` and ``name``, the prompt that a summary should have.
+
+    A summary of a section too short to be asked about is to ``remove``, one whose section has another full name to
+    ``rename``, any other is to ``keep``. What names no section that is there (or none) is ``unjudged``, never removed.
+    Repeated items are judged alike; an empty table gives none.
+    """
+    known = qualified(sections).select("doc_id", "section", F.col("words").alias("_words"), "name")
+    action = F.when(F.col("_words").isNull(), "unjudged").when(F.col("_words") < SUMMARY_WORDS, "remove").when((F.col("name") != "") & ~F.col("name").eqNullSafe(F.col("prompt")), "rename").otherwise("keep")
+    return items.join(known, ["doc_id", "section"], "left").withColumn("action", action).drop("_words")

@@ -99,8 +99,15 @@ QUERIES: dict[str, Query] = {
 }
 
 _PLAIN = "coalesce(html, '')"
-for _pattern, _by in expr.INLINE:
-    _PLAIN = f"regexp_replace({_PLAIN}, '{_pattern}', '{_by.replace('$', chr(92))}', 'g')"
+# The rules again without references back or looks around, which DuckDB's patterns lack. Digits at the end of a sentence
+# take the next character along; the pages hold no address outside a tag, so that none needs to be left alone.
+for _pattern, _by in (
+    (r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]+)\]\([^)]*\)", r"\1"), (r"</?[a-zA-Z][^>]*>", ""), (r"`([^`]+)`", r"\1"),
+    (r"\*\*\*(.+?)\*\*\*|___(.+?)___", r"\1\2"), (r"\*\*(.+?)\*\*|__(.+?)__", r"\1\2"), (r"\*(\S(?:.*?\S)??)\*|_(\S(?:.*?\S)??)_", r"\1\2"), (r"~~(.+?)~~", r"\1"),
+    (r"\[\s*\d{1,3}(?:\s*[,;–—-]\s*\d{1,3})*\s*\]", ""), (r'''([A-Za-z][.!?]["''’”)\]]?)\d{1,3}(?:\s*[,;–—-]\s*\d{1,3})*([^./\w]|$)''', r"\1\2"), (r"([A-Za-z])[*†‡§¶‖]+", r"\1"),
+    (r"\s+([,.;:!?])", r"\1"), (r"\\([\\`*_{}\[\]()#+\-.!])", r"\1"), (r"\s+", " "),
+):
+    _PLAIN = f"regexp_replace({_PLAIN}, '{_pattern}', '{_by}', 'g')"
 
 SQL: dict[str, str] = {
     "clean_inline": f"SELECT page_id, md5(trim({_PLAIN})) AS digest FROM pages",

@@ -68,11 +68,22 @@ def _records(s: SparkSession, d: str) -> DataFrame:
     return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
 
 
+def _swept(s: SparkSession, d: str) -> DataFrame:
+    """Summaries of pages' sections, stored under the section's own title by readers of even numbers, under its full name by others."""
+    rows = _sections(s, d)
+    named = outline.qualified(rows).select("doc_id", "section", "base", "name")
+    prompt = F.coalesce(F.when(F.col("reader") % 2 == 0, F.trim("base")).otherwise(F.col("name")), F.lit("gone"))
+    items = t.summaries(s, d).join(named, ["doc_id", "section"], "left").withColumn("prompt", prompt).drop("base", "name")
+    return outline.summary_sweep(items, rows)
+
+
 QUERIES = {
     "chapter_titles": lambda s, d: outline.chapters(_sections(s, d)).select("doc_id", "section", "level", "base", "chapter"),
     "qualified_title": lambda s, d: outline.qualified(_sections(s, d)).select("doc_id", "section", "name"),
     "outline_search": lambda s, d: outline.search(_sections(s, d), NEEDLE).select("doc_id", "section", "base", "chapter"),
     "ambiguous_titles": lambda s, d: outline.ambiguous(_sections(s, d)),
+    "summary_sweep": lambda s, d: _swept(s, d).select("reader", "doc_id", "section", "action", "prompt", "name"),
+    "summary_sweep_counts": lambda s, d: _swept(s, d).groupBy("action").agg(F.count(F.lit(1)).alias("n")),
     "transcript_terms": _corrections,
     "near_miss_alarm": lambda s, d: topics.near_misses(_titles(s, d), _topics(s, d), _look_alikes(s, d)),
     "topic_resembles": lambda s, d: topics.resembling(_topics(s, d).select(F.col("topic").alias("title")), _look_alikes(s, d)).withColumn("topics", F.array_join("topics", "|")),
@@ -104,7 +115,14 @@ UNION ALL SELECT 'sessions', event_id, CASE WHEN event_type = 'error' OR event_t
 UNION ALL SELECT 'reviews', conv_id, CASE WHEN role IS NULL THEN 'id: missing' WHEN conv_id IS NULL THEN 'docId: missing' WHEN text IS NULL OR length(text) > 400 THEN 'prompt: missing' WHEN turn IS NULL THEN 'dueAt: missing' ELSE 'dueAt: no number' END FROM conversations
 UNION ALL SELECT 'exams', doc_id, CASE WHEN toxic = 1 THEN 'id: empty' WHEN quality IS NULL THEN 'correct: missing' END FROM labels)"""
 
+SWEEP = f"""{CHAPTERS}, si AS (SELECT DISTINCT user_id AS reader, (props->>'$.k')::BIGINT AS doc_id, (event_id % 4)::INTEGER AS section FROM events WHERE event_type = 'purchase' AND (props->>'$.k') IS NOT NULL),
+sw AS (SELECT reader, si.doc_id, si.section, CASE WHEN x.doc_id IS NULL THEN 'unjudged' WHEN x.words < 60 THEN 'remove' WHEN oq.name <> '' AND reader % 2 = 0 AND oq.name <> trim(x.base) THEN 'rename' ELSE 'keep' END AS action,
+  CASE WHEN x.doc_id IS NULL THEN 'gone' WHEN reader % 2 = 0 THEN trim(x.base) ELSE oq.name END AS prompt, oq.name
+  FROM si LEFT JOIN psx x ON x.doc_id = si.doc_id AND x.section = si.section LEFT JOIN oq ON oq.doc_id = si.doc_id AND oq.section = si.section)"""
+
 SQL = {
+    "summary_sweep": f"{SWEEP} SELECT reader, doc_id, section, action, prompt, name FROM sw",
+    "summary_sweep_counts": f"{SWEEP} SELECT action, count(*) AS n FROM sw GROUP BY 1",
     "sound_key": f"WITH {LINE_BLOCKS} SELECT word, {_sound('word')} AS key FROM (SELECT DISTINCT word FROM tk)",
     "chapter_titles": f"{CHAPTERS} SELECT doc_id, section, level, base, chapter FROM oc",
     "qualified_title": f"{CHAPTERS} SELECT doc_id, section, name FROM oq",

@@ -187,3 +187,28 @@ def test_sound_key_keeps_a_leading_vowel(spark):
     words = ["eau", "aab", "Étion", "bookkeeper", "excess", "", "1", "xx", "eck"]
     got = spark.createDataFrame([(w,) for w in words], "w string").select(expr.sound_key(F.col("w")).alias("k")).collect()
     assert [x.k for x in got] == ["e", "ab", "tn", "bkpr", "ekss".replace("ss", "s"), "", "", "ks" + "ks", "ek"]
+
+
+def test_summary_sweep(spark):
+    sections = spark.createDataFrame([(1, 0, 1, "Closure", 4), (1, 1, 2, "Best Practices", 59), (1, 2, 2, "Locks", 60), (1, 3, 2, "Requirements", 90), (2, 0, 1, "", 80)], "doc_id long, section int, level int, base string, words int")
+    items = [(1, 1, "Best Practices", "a"), (1, 2, "Locks", "b"), (1, 2, "Closure — Locks", "c"), (1, 3, None, "d"), (1, 9, "gone", "e"), (1, None, "gone", "f"), (7, 0, "other", "g"), (None, 0, "other", "h"), (2, 0, "anything", "i"), (1, 2, "Closure — Locks", "c")]
+    got = outline.summary_sweep(spark.createDataFrame(items, "doc_id long, section int, prompt string, id string"), sections).collect()
+    assert sorted((r.id, r.action) for r in got) == [("a", "remove"), ("b", "rename"), ("c", "keep"), ("c", "keep"), ("d", "rename"), ("e", "unjudged"), ("f", "unjudged"), ("g", "unjudged"), ("h", "unjudged"), ("i", "keep")]
+    assert {r.name for r in got if r.action == "rename"} == {"Closure — Locks", "Closure — Requirements"}
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("***all*** of ___it___ and **b * c** __d_e__", "all of it and b * c d_e"),
+        ("*one* _two_ * three * 2*3 _ four_", "one two * three * 2*3 _ four_"),
+        ("~~gone~ by~~ 1\\* kept \\# a\\.b", "gone~ by 1* kept # a.b"),
+        ("as said [1, 2–4] and [12 ] but [2024]", "as said and but [2024]"),
+        ("stamps.13 He said \"data.\"8,19 and 312.62 of e.0083049", 'stamps. He said "data." and 312.62 of e.0083049'),
+        ("see https://doi.org/jscdm.411 now", "see https://doi.org/jscdm.411 now"),
+        ("Smith† and method‡§ end .", "Smith and method end."),
+        ("<b>x</b>\n ![i](u) [l](u) `c`", "x l c"),
+    ],
+)
+def test_inline_marks_go(spark, text, want):
+    assert spark.createDataFrame([(text,)], "t string").select(expr.plain_inline(F.col("t")).alias("p")).first().p == want
