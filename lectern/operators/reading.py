@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.expr import half_up
+from lectern.functions.expr import half_up, near_ms
 
 #: A gap counts as reading up to so many milliseconds; words and milliseconds that make a pace sample count.
 GAP_MS, SAMPLE_WORDS, SAMPLE_MS = 1500, 40, 8000
@@ -15,14 +15,10 @@ BASE_WPM, MIN_RATE, MAX_RATE = 185, 0.5, 2.0
 AWAY_MIN = 15
 
 
-def _ms(ts: Column) -> Column:
-    return F.unix_millis(ts.cast("timestamp"))
-
-
 def active_time(events: DataFrame) -> DataFrame:
-    """``reader, events, active_ms``: gaps between a reader's events, each up to the cap."""
+    """``reader, events, active_ms``: gaps between a reader's events in milliseconds, each moment to the nearest, each gap up to the cap."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = (_ms(F.col("ts")) - _ms(F.lag("ts").over(order))).alias("gap")
+    gap = (near_ms(F.col("ts")) - near_ms(F.lag("ts").over(order))).alias("gap")
     rows = events.select(F.col("user_id").alias("reader"), gap)
     return rows.groupBy("reader").agg(F.count(F.lit(1)).alias("events"), F.coalesce(F.sum(F.least("gap", F.lit(GAP_MS))), F.lit(0)).alias("active_ms"))
 
