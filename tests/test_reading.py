@@ -27,3 +27,8 @@ def test_active_time_of_gaps_shorter_than_the_cap(spark, tmp_path):
     rows = short_gaps(DAY, 1733) + [(900 + k, datetime.datetime(1969, 12, 31, 23, 59, 59, 999_000 + k), 9, "view", 1.0, None) for k in (0, 500, 600)]
     got, want = told(spark, tmp_path, "active_time", rows)
     assert got == want and got[-1] == (9, 3, 1500 + 1)
+
+
+def test_pace_of_short_gaps(spark, tmp_path):
+    got, want = told(spark, tmp_path, "effective_wpm", short_gaps(DAY, 43))
+    assert got == want and len(got) == 3
