@@ -88,3 +88,14 @@ def test_a_sign_of_life_at_the_deadline_comes_first(spark, ms):
     rows = [(1, at(0), 1), (2, at(90) + datetime.timedelta(milliseconds=ms), 1), (3, at(90.5), 2)]
     kinds = [k for r, k, _ in rows_of(presence.checks(spark.createDataFrame(rows, EVENTS))) if r == 1]
     assert kinds == (["cleared", "raised"] if ms else [])
+
+
+def test_results_of_the_stream_are_ordered_by_the_nearest_millisecond(spark, tmp_path):
+    """As in the SQL: 0.6 ms and 1.4 ms are one moment, so that the greater ``event_id`` holds; no Python runs for each window."""
+    parts = [(7, 600), (6, 1400), (21, 1600), (22, 2400), (33, 400), (30, 600)]
+    rows = [(e, DAY + datetime.timedelta(microseconds=us), e // 10, "click", 3.0, '{"k": 4}') for e, us in parts]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    df = stream.check_results(spark, str(tmp_path))
+    assert {r.reader: r.recalled for r in df.collect()} == {0: 3, 2: 2, 3: 2}
+    results = spark.readStream.schema(RESULTS).parquet(str(tmp_path)).withWatermark("ts", "10 minutes")
+    assert "Pandas" not in stream.latest(results.withColumn("ms", F.unix_millis("ts")))._jdf.queryExecution().logical().toString()
