@@ -212,3 +212,18 @@ def test_summary_sweep(spark):
 )
 def test_inline_marks_go(spark, text, want):
     assert spark.createDataFrame([(text,)], "t string").select(expr.plain_inline(F.col("t")).alias("p")).first().p == want
+
+
+def test_blocks_are_placed_in_sections_without_a_shuffle_of_their_words(spark):
+    texts = ["plain line\n\nmore of it", "# One\n\n" + "word " * 720 + "\n\nnext\n\n## Two Parts\n\n- a\n- b\n\nend", "", "## References\n\nlast"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3, "doc_id")
+    b = structure.blocks(docs)
+    s = structure.sections(b)
+    of = s.select("doc_id", "section", "furniture", F.explode(F.sequence("block_from", F.col("block_to") - 1)).alias("block"))
+    want = b.join(of, ["doc_id", "block"]).select("doc_id", "block", "section", "furniture", "text")
+    got = entities.placed(b, s)
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect())) and got.count() == b.count() > 9
+    words = structure.tokens(structure.chunks(got, "section", "furniture"), "section", "furniture")
+    plan = words._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(doc_id") == 2  # texts, once for each side and alike; neither blocks nor words
+    assert words.where("core = 'word'").count() == 720
