@@ -121,3 +121,13 @@ def test_headings_of_pages_keep_their_titles(spark):
     html = '<h1 id=a>One</h1><H2 class="x">Two words</H2><p>text</p><p><b>Three<br><h3>Four</h3><LI>item'
     got = structure.kinds(spark.createDataFrame([(1, html)], "doc_id long, html string").withColumn("text", tables.marked(F.col("html")))).where("kind <> 'blank'").orderBy("at").collect()
     assert [(x.kind, x.body) for x in got] == [("h1", "One"), ("h2", "Two words"), ("p", "text"), ("h2", "Three"), ("h3", "Four"), ("li", "item")]
+
+
+def test_a_title_of_most_units_is_dealt_to_parts(spark):
+    """Every reader's unit of one title meets its topic, in more than one part, and titles are normalised after they are distinct."""
+    units = spark.range(400).selectExpr("id AS reader", "id % 3 AS doc_id", "cast(id % 2 AS int) AS section", "CASE WHEN id % 50 = 7 THEN NULL WHEN id % 50 = 9 THEN 'Other' ELSE 'The Plan' END AS title")
+    topics = spark.createDataFrame([("plan",), ("",), ("none",)], "topic string")
+    got = coverage.of_topics(units, topics)
+    assert got.columns == ["topic", *units.columns] and got.count() == 384 and {r.topic for r in got.collect()} == {"plan"}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "_part" in plan and not any("Filter" in x and "regexp_replace" in x for x in plan.splitlines())
