@@ -227,3 +227,26 @@ def test_blocks_are_placed_in_sections_without_a_shuffle_of_their_words(spark):
     plan = words._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(doc_id") == 2  # texts, once for each side and alike; neither blocks nor words
     assert words.where("core = 'word'").count() == 720
+
+
+def test_blocks_pass_through_their_sections(spark):
+    long = "\n".join(f"- {'w ' * 300}{k}" for k in range(7))
+    b = structure.blocks(spark.createDataFrame([(1, "plain\n\n# One\nAlpha beta.\n\n## Two\n" + long + "\n# References\n- a"), (2, "# Only"), (3, "")], "doc_id long, text string"))
+    got = structure.seated(b)
+    want = entities.placed(b, structure.sections(b)).select(got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 10
+
+
+def test_words_are_chosen_before_they_are_rows(spark):
+    text = "He met (Ann of) the Hill, and saw THE's 7 cats; x ab--cd  ef. (gh)  ij.  K9 of\n\nof\n\nthe Bar of Hope"
+    c = structure.chunks(structure.blocks(spark.createDataFrame([(1, text)], "doc_id long, text string"))).withColumns({"section": F.lit(0), "furniture": F.lit(False)})
+    every = papers.tagged(structure.tokens(c, "section", "furniture"))
+    some = structure.tokens(c, like="[A-Z0-9]")
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, every.select(some.columns).where(F.col("word").rlike("[A-Z0-9]")).collect()))
+    lower = structure.lower_words(c)
+    assert sorted(map(tuple, lower.collect())) == sorted(map(tuple, every.where(F.col("core").rlike("^[a-z]{2,}$")).select(lower.columns).collect()))
+    named = papers.tagged(structure.tokens(c.where(F.col("text").rlike(entities.NAMED) | (F.col("n") <= entities.MOST_CONNECTORS)), "section", "furniture", like=entities.NAMING))
+    short = every.where("acronym IS NOT NULL")
+    got, want = entities.document_index(named, short, papers.tagged(structure.lower_words(c, "section", "furniture"))), entities.document_index(every)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert sorted(map(tuple, entities.mentions(named, short).collect())) == sorted(map(tuple, entities.mentions(every).collect())) and short.count() == 1
