@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.expr import title_key
-from lectern.operators import dictation, outline, records, structure, text, topics
+from lectern.operators import dictation, library, outline, records, structure, text, topics
 from lectern.operators.vocab import CORE
 from lectern.plans.registry_sql import BLOCKS as LINE_BLOCKS
 from lectern.plans.registry_sql import KEY
@@ -35,7 +35,7 @@ def _dictated(s: SparkSession, d: str) -> DataFrame:
 
 
 def _corrections(s: SparkSession, d: str) -> DataFrame:
-    out = dictation.reconciled(_dictated(s, d), _vocabulary(s, d))
+    out = dictation.reconciled(_dictated(s, d), library.kept(_vocabulary(s, d)))
     told = F.array_join(F.transform("corrections", lambda c: F.concat_ws(">", c["from"], c["to"])), "|")
     return out.select("id.conv_id", "id.turn", F.md5(F.col("text").cast("binary")).alias("digest"), told.alias("corrections"))
 

@@ -250,3 +250,11 @@ def test_words_are_chosen_before_they_are_rows(spark):
     got, want = entities.document_index(named, short, papers.tagged(structure.lower_words(c, "section", "furniture"))), entities.document_index(every)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert sorted(map(tuple, entities.mentions(named, short).collect())) == sorted(map(tuple, entities.mentions(every).collect())) and short.count() == 1
+
+
+def test_dictated_turns_are_dealt_and_their_windows_carry_no_text(spark):
+    turns = spark.createDataFrame([(k, k % 2, "see the bett ric scale at Kİ Betric now") for k in range(4)], "id long, scope long, text string")
+    terms = spark.createDataFrame([(0, "Betric"), (1, "Scale")], "scope long, term string")
+    out = dictation.reconciled(turns, terms)
+    assert {(r.id % 2, tuple(c["from"] for c in r.corrections)) for r in out.collect()} == {(0, ("bett ric",)), (1, ("scale",))}
+    assert "phrase" not in out._jdf.queryExecution().analyzed().toString()
