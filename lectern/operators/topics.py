@@ -29,25 +29,37 @@ def _pieces(key, most: int):
 def near_misses(titles: DataFrame, topics: DataFrame, resembled: DataFrame | None = None, least: int = LEAST_TITLE, most: int = MOST_EDITS) -> DataFrame:
     """``title, topic, distance``: titles one or two edits from a topic that are no topic, nor listed as resembling one.
 
-    A topic is kept under its length and each of three pieces; a title looks up its own substrings of the pieces' lengths,
-    at most two places off, for each length within two edits. So candidates meet by equality, and only they are
-    measured. Keys under eight characters are too short to tell.
+    A topic is kept under its length and each of three pieces; a title looks up its own substrings of the pieces' lengths
+    for each length within two edits. Of a topic's pieces, the first that is whole has ``k`` edits before it and the
+    others after it, so piece ``k`` is looked for at most ``k`` places off and as near to the place counted from the end.
+    So candidates meet by equality of hashed keys, and only they are measured. Keys under eight characters are too short
+    to tell.
     """
     known = topics.select("topic").distinct()
     own = titles.select(F.col("title")).distinct().where(F.length("title") >= least).join(known.select(F.col("topic").alias("title")), "title", "left_anti")
     if resembled is not None:
         own = own.join(resembled.select("title").distinct(), "title", "left_anti")
     kept = known.where(F.length("topic") >= least - most).select("topic", F.length("topic").alias("n"), F.explode(_pieces(F.col("topic"), most)).alias("p"))
-    kept = kept.select("topic", "n", "p.k", "p.piece")
-    lengths = own.select("title", F.explode(F.sequence(F.length("title") - most, F.length("title") + most)).alias("n"))
-    parts = most + 1
-    tried = lengths.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(most)))).withColumn("off", F.explode(F.sequence(F.lit(-most), F.lit(most))))
-    start, stop = F.floor(F.col("n") * F.col("k") / parts).cast("int"), F.floor(F.col("n") * (F.col("k") + 1) / parts).cast("int")
-    tried = tried.withColumn("at", start + F.col("off")).withColumn("piece", F.substring("title", F.col("at") + 1, stop - start)).where(F.col("at") >= 0)
-    met = tried.join(kept, ["n", "k", "piece"]).select("title", "topic").distinct()
+    kept = kept.select("topic", F.xxhash64("n", "p.k", "p.piece").alias("key"))
+    tried = own.select("title", F.explode(_tried(F.col("title"), most)).alias("p")).select("title", F.xxhash64("p.n", "p.k", "p.piece").alias("key"))
+    met = tried.join(kept, "key").select("title", "topic").distinct()
     return met.withColumn("distance", F.levenshtein("title", "topic", most)).where(F.col("distance").between(1, most))
 
 
+def _tried(title, most: int):
+    """``n, k, piece``: the substrings of a title that may be piece ``k`` of a text of length ``n``, by how many edits may stand before and after it."""
+    length, parts = F.length(title), most + 1
+    out = []
+    for far in range(-most, most + 1):  # the title's length less the other's
+        n = length - far
+        for k in range(parts):
+            start, stop = F.floor(n * k / parts).cast("int"), F.floor(n * (k + 1) / parts).cast("int")
+            for off in range(max(-k, far - (most - k)), min(k, far + (most - k)) + 1):
+                at = start + off
+                out.append(F.when((at >= 0) & (at + stop - start <= length), F.struct(n.alias("n"), F.lit(k).alias("k"), F.substring(title, at + 1, stop - start).alias("piece"))))
+    return F.filter(F.array(*out), lambda p: p.isNotNull())
+
+
 def resembling(titles: DataFrame, listed: DataFrame) -> DataFrame:
     """``title, topics``: titles that are listed as look-alikes of topics, which they don't count for."""
     by = listed.groupBy("title").agg(F.sort_array(F.collect_set("topic")).alias("topics"))

@@ -252,6 +252,26 @@ def test_words_are_chosen_before_they_are_rows(spark):
     assert sorted(map(tuple, entities.mentions(named, short).collect())) == sorted(map(tuple, entities.mentions(every).collect())) and short.count() == 1
 
 
+def test_near_misses_are_all_pairs_within_two_edits_and_look_up_few_pieces(spark):
+    rng = random.Random(7)
+    known = {"".join(rng.choice("ab c") for _ in range(rng.randint(6, 16))) for _ in range(150)}
+
+    def edited(t):
+        for _ in range(rng.randint(1, 3)):
+            at, kind = rng.randrange(len(t)), rng.randrange(3)
+            t = t[:at] + (rng.choice("abcx") if kind else "") + t[at + (kind < 2) :]
+        return t
+
+    made = {t: edited(t) for t in known}
+    titles = spark.createDataFrame([(x,) for x in {*made.values(), *(edited(t) for t in known)}], "title string")
+    topics_ = spark.createDataFrame([(x,) for x in known], "topic string")
+    got = topics.near_misses(titles, topics_)
+    pairs = titles.distinct().where(F.length("title") >= 8).crossJoin(topics_).withColumn("distance", F.levenshtein("title", "topic"))
+    want = pairs.where(F.col("distance").between(1, 2)).join(topics_.select(F.col("topic").alias("title")), "title", "left_anti").select(got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 100
+    assert titles.select(F.size(topics._tried(F.col("title"), 2)).alias("n")).agg(F.max("n")).first()[0] <= 19
+
+
 def test_dictated_turns_are_dealt_and_their_windows_carry_no_text(spark):
     turns = spark.createDataFrame([(k, k % 2, "see the bett ric scale at Kİ Betric now") for k in range(4)], "id long, scope long, text string")
     terms = spark.createDataFrame([(0, "Betric"), (1, "Scale")], "scope long, term string")
