@@ -131,3 +131,22 @@ def test_a_title_of_most_units_is_dealt_to_parts(spark):
     assert got.columns == ["topic", *units.columns] and got.count() == 384 and {r.topic for r in got.collect()} == {"plan"}
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "_part" in plan and not any("Filter" in x and "regexp_replace" in x for x in plan.splitlines())
+
+
+def test_topics_are_told_before_readers_are_met(spark):
+    """Equal sessions are one profile, and the words of topics are those of all readers' units, without a row for each reader's section."""
+    sections = [(d, k, title, level, None, a, b, b - a, title == "References", True) for d in (1, 2) for k, (title, level, a, b) in enumerate((("One", 1, 0, 300), ("Two", 2, 300, 320), ("One", 2, 320, 640), ("References", 2, 640, 700)))]
+    cols = "doc_id long, section int, base string, level int, part int, token_from int, token_to int, words int, furniture boolean, owes boolean"
+    owing = spark.createDataFrame(sections, cols).withColumn("owes", F.col("section") == 0)
+    sessions = spark.createDataFrame([(r, 1 + r % 2, (r % 4) * 160 + 200) for r in range(200)] + [(None, 1, 700), (None, 2, None)], "reader long, doc_id long, caret int")
+    windows = spark.createDataFrame([(r, 1 + r % 2, a, a + 250, 3, 1) for r in range(0, 200, 3) for a in (0, 250)] + [(None, 1, 0, 250, 3, 1), (900, 1, 0, 250, 3, 1)], "reader long, doc_id long, from int, to int, blanks int, recalled int")
+    given = spark.createDataFrame([(r, 1 + r % 2, 0) for r in range(0, 200, 5)] + [(None, 1, 0)], "reader long, doc_id long, section int")
+    titles = owing.where("level = 1").groupBy("doc_id").agg(F.min_by("base", "section").alias("title"))
+    topics = spark.createDataFrame([("one", [1]), ("two", [1]), ("references", [1]), ("other", [2])], "topic string, groups array<int>")
+    units = coverage.units(coverage.section_coverage(sessions, owing, windows, given), titles)
+    want = sorted(coverage.topic_coverage(coverage.exclusive(units, topics), topics).collect())
+    pages, seen = coverage.page_units(owing, titles), coverage.profiles(sessions, windows, given)
+    assert seen.agg(F.sum("n")).first()[0] == 202 and seen.count() < 40
+    rows = coverage.topic_words(coverage.exclusive(pages, topics), pages.where("section IS NOT NULL").drop("title"), seen)
+    assert sorted(coverage.topic_coverage(rows, topics).collect()) == want and {r.state for r in want} == {"absent", "partial"}
+    assert rows.count() < 40 * 6
