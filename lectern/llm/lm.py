@@ -26,7 +26,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import binaries, chained, scratch, words, workroom
+from lectern.llm.common import binaries, scratch, words, workroom
 
 #: Unless asked for otherwise, words of an n-gram at most and times it must occur from two words on; what is taken off its count.
 ORDER, LEAST, DISCOUNT = 3, 1, 0.75
@@ -35,10 +35,13 @@ ORDER, LEAST, DISCOUNT = 3, 1, 0.75
 FOLDS, HELD_OUT = 7, 2
 
 #: Tokens that a worker counts together, and scores together.
-COUNT_TOKENS, SCORE_TOKENS = 1_000_000, 400_000
+COUNT_TOKENS, SCORE_TOKENS = 1_000_000, 600_000
 
-#: Rows that are sent on together; keys of a file, but for the followers of one context, which are never parted; words a worker remembers.
-SENT, FILE_KEYS, WORD_CACHE = 1 << 16, 2 << 20, 150_000
+#: Tokens of a range of pairs, whose windows a task holds at a time, and of a slice of words that ranges are made of.
+RANGE_TOKENS, SLICE_TOKENS = 1 << 20, 1 << 16
+
+#: Keys of a file, but for the followers of one context, which are never parted; words a worker remembers.
+FILE_KEYS, PAIR_KEYS, WORD_CACHE = 2 << 20, 1 << 19, 150_000
 
 #: Log probabilities are stored in steps over this range.
 LOWEST, STEPS = -14.0, 65535
@@ -226,7 +229,7 @@ class Level:
         self.lasts = np.array([f[4] for f in self.files], np.int64)
         self.base = np.concatenate([[0], np.cumsum([f[2] for f in self.files])]).astype(np.int64)
         self.n = int(self.base[-1])
-        self.sequences, self.kinds = (1, ("<u4",)) if level == 1 else (3, ("<u2", "<u2", "<u4"))
+        self.sequences, self.kinds = (1, ("<u4",)) if level == 1 else (3, ("<u2", "<u2"))
 
     def _opened(self, k: int) -> tuple[list[EliasFano], list[np.ndarray]]:
         f = self.files[k]
@@ -259,23 +262,38 @@ class Level:
         return at
 
     def after(self, parent: np.ndarray, word: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each word after its context: the n-gram's index (-1: none), its share of the context, and what the context leaves."""
-        at, share, left = np.full(len(parent), -1, np.int64), np.zeros(len(parent)), np.ones(len(parent))
-        part = np.searchsorted(self.lasts, parent, "left")
-        part[parent < 0] = len(self.files)
-        for k, rows in self._by_file(part):
-            (parents, pointers, followers), (shares, rests, _) = self._opened(k)
-            i = parents.find(parent[rows])
+        """Of each word after its context: the n-gram's index (-1: none), its share of the context, and what the context leaves.
+
+        Equal questions are asked once, in the order of the files, and each context is looked for once.
+        """
+        asked = np.flatnonzero(parent >= 0)
+        keys, place = np.unique(parent[asked] * (span + 1) + word[asked] + 1, return_inverse=True)
+        p, w = np.divmod(keys, span + 1)
+        w -= 1
+        new = changed([p])
+        starts, group = np.append(np.flatnonzero(new), len(p)), np.cumsum(new) - 1
+        own = p[starts[:-1]]
+        found, share, left = np.full(len(p), -1, np.int64), np.zeros(len(p)), np.ones(len(p))
+        cuts = np.searchsorted(np.searchsorted(self.lasts, own, "left"), np.arange(len(self.files) + 1))
+        for k in np.flatnonzero(np.diff(cuts)):
+            (parents, pointers, followers), (shares, rests) = self._opened(k)
+            at = parents.find(own[cuts[k] : cuts[k + 1]])
+            rows = np.arange(starts[cuts[k]], starts[cuts[k + 1]])
+            i = at[group[rows] - cuts[k]]
             rows, i = rows[i >= 0], i[i >= 0]
             left[rows] = restored(rests[i])
-            known = word[rows] >= 0
+            known = w[rows] >= 0
             rows, i = rows[known], i[known]
             # The context's followers stand from its pointer up to the next one's.
-            j, hit = followers.search(i * span + word[rows])
-            hit &= j < pointers.at(i + 1)
-            rows, j = rows[hit], j[hit]
-            at[rows], share[rows] = j + self.base[k], restored(shares[j])
-        return at, share, left
+            j, hit = followers.search(i * span + w[rows])
+            rows, i, j = rows[hit], i[hit], j[hit]
+            inside = j < pointers.at(i + 1)
+            rows, j = rows[inside], j[inside]
+            found[rows], share[rows] = j + self.base[k], restored(shares[j])
+        out = np.full(len(parent), -1, np.int64), np.zeros(len(parent)), np.ones(len(parent))
+        for to, of in zip(out, (found, share, left)):
+            to[asked] = of[place]
+        return out
 
 
 @lru_cache(maxsize=8)
@@ -314,6 +332,7 @@ class Model:
     def __init__(self, folder: str, tokens: int, distinct: int, documents: int, order: int) -> None:
         self.folder, self.tokens, self.distinct, self.documents, self.order = folder, tokens, distinct, documents, order
         self.files: dict[int, tuple] = {}
+        self.cuts: Cuts | None = None
 
     def words(self) -> _Words:
         return _words(self.folder, self.files[1])
@@ -321,10 +340,10 @@ class Model:
     def level(self, k: int) -> Level:
         return _level(self.folder, k, self.files[k])
 
-    def occurrences(self, k: int, parent: np.ndarray) -> np.ndarray:
-        """How often each context of k words occurs; the start of a text is a context of one word."""
-        n = self.level(k).counts(np.where(parent == self.distinct, -1, parent) if k == 1 else parent)
-        return np.where(parent == self.distinct, max(self.documents, 1), n) if k == 1 else n
+    def occurrences(self, parent: np.ndarray) -> np.ndarray:
+        """How often each word occurs as a context; the start of a text is one."""
+        n = self.level(1).counts(np.where(parent == self.distinct, -1, parent))
+        return np.where(parent == self.distinct, max(self.documents, 1), n)
 
     @staticmethod
     def after(context: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -348,9 +367,6 @@ class Model:
             context = self.level(j).after(self.after(context, starts), before, self.distinct + 1)[0]
         return w, context
 
-    def _keys(self, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
-        return np.where((parent >= 0) & (word >= 0), parent * (self.distinct + 1) + word, -1)
-
 
 def _texts(rows: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple]]:
     """Rows with their words and the end, about ``most`` tokens together."""
@@ -386,36 +402,157 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def _counted(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """The distinct keys and how often each is there; ``held`` is emptied, so that no copy of it stays."""
-    flat = chained(held, np.int64)
-    held.clear()
-    flat.sort()
-    cuts = np.concatenate([np.flatnonzero(np.diff(flat, prepend=-1)), [len(flat)]])
-    for i in range(0, len(cuts) - 1, SENT):
-        some = cuts[i : i + SENT + 1]
-        yield _emitted(flat[some[:-1]], np.diff(some))
+class Cuts:
+    """Ranges of pairs of words that hold about as many tokens each: words are cut where their counts add up, and pairs of a word that fills more than a range are cut by what the second words' counts add up to."""
+
+    def __init__(self, slices: list[tuple[int, int]], distinct: int, documents: int, tokens: int) -> None:
+        # The start of a text stands after all words.
+        starts, sizes = zip(*slices, (distinct, documents))
+        self.at, self.sizes = np.array(starts, np.int64), np.array(sizes, np.int64)
+        self.before = np.cumsum(self.sizes) - self.sizes
+        self.single = np.diff(self.at, append=distinct + 1) == 1
+        self.tokens, self.n = max(tokens, 1), int((self.before[-1] + self.sizes[-1]) // RANGE_TOKENS) + 1
+
+    def ranges(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The range of each pair; they rise with the pairs."""
+        i = np.searchsorted(self.at, first, "right") - 1
+        j = np.searchsorted(self.at, second, "right") - 1
+        part = np.where(self.single[i], self.sizes[i] * (self.before[j] / self.tokens), 0)
+        return ((self.before[i] + part) / RANGE_TOKENS).astype(np.int64)
+
+
+class Windows:
+    """Windows of ``order`` symbols as rows of few numbers, each holding as many symbols as fit; in their order, those of one start are together.
+
+    Symbols are word ids, ``distinct`` for the start of a text and ``distinct + 1`` for what is after its end.
+    """
+
+    def __init__(self, order: int, distinct: int) -> None:
+        self.order, self.none, self.span = order, distinct + 1, distinct + 2
+        self.per = min(order, max(k for k in range(1, 63) if self.span**k < 1 << 63))
+        self.columns = -(-order // self.per)
+
+    def of(self, ids: list[np.ndarray]) -> list[np.ndarray]:
+        """The symbols of the windows that start at each symbol of the texts but the last."""
+        start, none = np.array([self.none - 1]), np.full(self.order, self.none)
+        flat = np.concatenate([x for i in ids for x in (start, i, none)])
+        # A text's windows start up to the symbol before its end.
+        open_ = np.ones(len(flat), bool)
+        stops = np.cumsum([len(i) + 1 + self.order for i in ids])
+        for k in range(1, self.order + 2):
+            open_[stops - k] = False
+        at = np.flatnonzero(open_)
+        return [flat[at + k] for k in range(self.order)]
+
+    def packed(self, symbols: list[np.ndarray]) -> list[np.ndarray]:
+        out = []
+        for c in range(0, self.order, self.per):
+            key = symbols[c].astype(np.int64)
+            for s in symbols[c + 1 : c + self.per]:
+                key = key * self.span + s
+            out.append(key)
+        return out
 
+    def symbols(self, rows: list[np.ndarray]) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        for c, key in enumerate(rows):
+            own = []
+            for _ in range(min(self.per, self.order - c * self.per) - 1):
+                key, s = np.divmod(key, self.span)
+                own.append(s)
+            out += [key, *own[::-1]]
+        return out
 
-def ngram_counts(docs: DataFrame, model: Model, k: int, least: int = LEAST) -> DataFrame:
-    """``key, n`` of the k-word n-grams whose first k - 1 words are stored, from ``least`` times on."""
+    def counted(self, rows: list[np.ndarray], n: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+        """The distinct rows in their order, and how often each is there."""
+        if n is None and len(rows) == 1:
+            rows = [np.sort(rows[0])]
+        else:
+            order = np.lexsort(rows[::-1]) if len(rows) > 1 else np.argsort(rows[0], kind="stable")
+            rows, n = [r[order] for r in rows], None if n is None else n[order]
+        starts = np.flatnonzero(changed(rows))
+        return [r[starts] for r in rows], np.diff(np.append(starts, len(rows[0]))) if n is None else np.add.reduceat(n, starts)
+
+
+def changed(rows: list[np.ndarray]) -> np.ndarray:
+    """Where a row differs from the one before it; the first one does."""
+    out = np.ones(len(rows[0]), bool)
+    out[1:] = False
+    for r in rows:
+        out[1:] |= r[1:] != r[:-1]
+    return out
+
+
+def _planes(v: np.ndarray) -> bytes:
+    """Whole numbers by their steps, in as few bytes as the longest step needs: the first bytes of all of them, then the second ones."""
+    steps = np.diff(v)
+    width = (int(steps.max(initial=0)).bit_length() + 7) // 8 if steps.min(initial=0) >= 0 else 8
+    planes = np.ascontiguousarray(steps.astype("<i8").view(np.uint8).reshape(-1, 8).T[:width])
+    return np.array([len(v), v[0], width], "<i8").tobytes() + planes.tobytes()
+
+
+def _from_planes(data: memoryview) -> list[np.ndarray]:
+    """The sequences that stand one after the other."""
+    out, at = [], 0
+    while at < len(data):
+        n, first, width = np.frombuffer(data[at : at + 24], "<i8").tolist()
+        steps = np.zeros((n - 1, 8), np.uint8)
+        steps[:, :width] = np.frombuffer(data[at + 24 : at + 24 + width * (n - 1)], np.uint8).reshape(width, n - 1).T
+        out.append(np.cumsum(np.append(first, steps.view("<i8").ravel())))
+        at += 24 + width * (n - 1)
+    return out
+
+
+def _sums(n: np.ndarray) -> bytes:
+    """Counts, as what they add up to."""
+    return _planes(np.cumsum(n))
+
+
+def _from_sums(data: memoryview) -> np.ndarray:
+    return np.diff(_from_planes(data)[0], prepend=0)
+
+
+def windows(docs: DataFrame, model: Model) -> DataFrame:
+    """``part, rows, n``: the distinct windows of about a million tokens of ``docs`` and their counts, by ranges of their first two symbols."""
+    kind, cuts = Windows(model.order, model.distinct), model.cuts
+
+    def told(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        rows, n = kind.counted([np.concatenate(c) for c in zip(*held)])
+        held.clear()
+        first, second = kind.symbols(rows)[:2]
+        part = cuts.ranges(first, second)
+        starts = np.flatnonzero(changed([part]))
+        stops = np.append(starts[1:], len(part))
+        some = [[int(part[a]), b"".join(_planes(r[a:b]) for r in rows), _sums(n[a:b])] for a, b in zip(starts, stops)]
+        for i in range(0, len(some), 256):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some[i : i + 256]), (pa.int32(), pa.binary(), pa.binary()))], ["part", "rows", "n"])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[list[np.ndarray]] = []
         size = 0
         for some in _texts(rows, SCORE_TOKENS):
-            w, context = model.contexts(model.words().ids([t for t, _ in some]), k)
-            keys = model._keys(context, w)
-            held.append(keys[keys >= 0])
-            size += len(held[-1])
+            held.append(kind.packed(kind.of(model.words().ids([t for t, _ in some]))))
+            size += len(held[-1][0])
             if size >= COUNT_TOKENS:
-                yield from _counted(held)
-                held, size = [], 0
+                yield from told(held)
+                size = 0
         if held:
-            yield from _counted(held)
+            yield from told(held)
 
-    found = docs.select("doc_id", "text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    return found.where(F.col("n") >= least)
+    return docs.select("doc_id", "text").mapInArrow(run, "part int, rows binary, n binary")
+
+
+def _by_part(rows: Iterator[pa.RecordBatch], add, ended) -> Iterator[pa.RecordBatch]:
+    """Calls ``add`` with each row but its part, and yields what ``ended(part)`` gives once a part's rows have passed."""
+    now = None
+    for batch in rows:
+        for i, part in enumerate(batch.column(0).to_pylist()):
+            if part != now and now is not None:
+                yield ended(now)
+            now = part
+            add(*(memoryview(c[i].as_buffer()) for c in batch.columns[1:]))
+    if now is not None:
+        yield ended(now)
 
 
 def _ranged(counts: DataFrame, model: Model, by: Column, run) -> list:
@@ -446,36 +583,151 @@ def _held(rows: Iterator[pa.RecordBatch], span: int) -> Iterator[tuple[int, np.n
 
 
 _SCHEMA = pa.schema([("level", pa.int32()), ("part", pa.int32()), ("n", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("shapes", pa.list_(pa.int64()))])
+_MADE = pa.schema([*_SCHEMA, ("keys", pa.binary()), ("counts", pa.binary())])
 
 
 def write_words(counts: DataFrame, model: Model) -> None:
+    """Writes the first level, and tells the model where words are cut into slices of about as many tokens."""
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, k, v in _held(rows, 1):
             shapes = _packed(model.folder, f"1-{part}", [k], [np.minimum(v, 2**32 - 1).astype("<u4")])
-            yield pa.RecordBatch.from_pylist([{"level": 1, "part": part, "n": len(k), "first": int(k[0]), "last": int(k[-1]), "shapes": shapes}], _SCHEMA)
-
-    model.files[1] = tuple(_ranged(counts, model, F.col("key"), run))
-
+            # A word that fills a slice stands alone.
+            step, full = np.cumsum(v) // SLICE_TOKENS, v >= SLICE_TOKENS
+            cut = changed([step]) | full | np.append(False, full[:-1])
+            at = np.flatnonzero(cut)
+            slices = np.stack([at, np.add.reduceat(v, at)], 1).ravel().tolist()
+            yield pa.RecordBatch.from_pylist([{"level": 1, "part": part, "n": len(k), "first": int(k[0]), "last": int(k[-1]), "shapes": [*shapes, *slices]}], _SCHEMA)
+
+    files, slices, base = [], [], 0
+    for f in sorted(_ranged(counts, model, F.col("key"), run), key=lambda f: f[3]):
+        files.append((*f[:5], f[5][:6]))
+        slices += [(base + i, n) for i, n in zip(f[5][6::2], f[5][7::2])]
+        base += f[2]
+    model.files[1] = tuple(files)
+    model.cuts = Cuts(slices, model.distinct, model.documents, model.tokens)
+
+
+def _level_file(model: Model, level: int, part: int, parent: np.ndarray, word: np.ndarray, n: np.ndarray, total) -> dict:
+    """Writes n-grams in their order as a file: contexts, pointers, followers, their shares and the contexts' rests; ``total`` tells how often contexts occur."""
+    starts = np.flatnonzero(changed([parent]))
+    own = parent[starts]
+    sizes = np.diff(np.append(starts, len(parent)))
+    times = total(own)
+    rest = quantised(np.maximum(times - np.add.reduceat(n - DISCOUNT, starts), 1e-9) / times)
+    share = quantised((n - DISCOUNT) / np.repeat(times, sizes))
+    followers = np.repeat(np.arange(len(own)), sizes) * (model.distinct + 1) + word
+    shapes = _packed(model.folder, f"{level}-{part}", [own, np.append(starts, len(parent)), followers], [share, rest])
+    return {"level": level, "part": part, "n": len(parent), "first": int(own[0]), "last": int(own[-1]), "shapes": shapes}
+
+
+def _ngrams(found: DataFrame, model: Model, least: int) -> DataFrame:
+    """The files of three words and more of each range of windows, and a row of level 2 with its pairs and their counts.
+
+    A range holds all windows that start with its pairs, so contexts of two words and more are whole in it; their
+    numbers are those within the range.
+    """
+    kind = Windows(model.order, model.distinct)
 
-def write_level(counts: DataFrame, model: Model, level: int) -> None:
-    """Writes ``counts(key, n)`` of n-grams: contexts, pointers, followers; their shares, the contexts' rests, and counts for a longer level."""
-    span = model.distinct + 1
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[list[np.ndarray], np.ndarray]] = []
+        size = 0
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, k, v in _held(rows, span):
-            parent, word = np.divmod(k, span)
-            starts = np.flatnonzero(np.diff(parent, prepend=-1))
-            own = parent[starts]
-            sizes = np.diff(np.append(starts, len(k)))
-            total = model.occurrences(level - 1, own)
-            rest = quantised(np.maximum(total - np.add.reduceat(v - DISCOUNT, starts), 1e-9) / total)
-            share = quantised((v - DISCOUNT) / np.repeat(total, sizes))
-            counted = np.minimum(v, 2**32 - 1).astype("<u4") if level < model.order else np.zeros(0, "<u4")
-            followers = np.repeat(np.arange(len(own)), sizes) * span + word
-            shapes = _packed(model.folder, f"{level}-{part}", [own, np.append(starts, len(k)), followers], [share, rest, counted])
-            yield pa.RecordBatch.from_pylist([{"level": level, "part": part, "n": len(k), "first": int(own[0]), "last": int(own[-1]), "shapes": shapes}], _SCHEMA)
-
-    model.files[level] = tuple(_ranged(counts, model, F.expr(f"key div {span}"), run))
+        def merged() -> None:
+            nonlocal held, size
+            if len(held) > 1:
+                rows, n = [np.concatenate(c) for c in zip(*(h[0] for h in held))], np.concatenate([h[1] for h in held])
+                held.clear()
+                held.append(kind.counted(rows, n))
+            size = 0
+
+        def add(rows, n) -> None:
+            nonlocal size
+            held.append((_from_planes(rows), _from_sums(n)))
+            size += len(held[-1][1])
+            if size >= FILE_KEYS:
+                merged()
+
+        def ended(part: int) -> pa.RecordBatch:
+            merged()
+            rows, n = held.pop()
+            s = kind.symbols(rows)
+            out = []
+            new = changed(s[:2])
+            starts, index, times = np.flatnonzero(new), None, None
+            for level in range(2, model.order + 1):
+                if level > 2:
+                    new = new | changed(s[level - 1 : level])
+                    starts = np.flatnonzero(new)
+                    # What is after the end is no word.
+                    whole = s[level - 1][starts] != kind.none
+                else:
+                    whole = np.ones(len(starts), bool)
+                c = np.add.reduceat(n, starts)
+                stays = whole & (c >= least)
+                kept, c = starts[stays], c[stays]
+                if level == 2:
+                    keys = s[0][kept] * (model.distinct + 1) + s[1][kept]
+                    ends = [int(s[0][kept[i]]) for i in (0, -1)] if len(kept) else [-1, -1]
+                    out.append({"level": 2, "part": part, "n": len(kept), "first": ends[0], "last": ends[1], "shapes": [], "keys": _planes(keys) if len(kept) else b"", "counts": _sums(c) if len(kept) else b""})
+                elif len(kept):
+                    out.append(_level_file(model, level, part, index[kept], s[level - 1][kept], c, times.__getitem__))
+                # The number of the n-gram that a window starts with; of those that are not stored none has a follower that is.
+                mark = np.zeros(len(n), np.int64)
+                mark[kept] = 1
+                index, times = np.cumsum(mark) - 1, c
+            return pa.RecordBatch.from_pylist(out, _MADE)
+
+        yield from _by_part(batches, add, ended)
+
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return found.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, FILES + ", keys binary, counts binary")
+
+
+def _pairs(made: DataFrame, model: Model, groups: list[tuple[int, int]]) -> list:
+    """The files of pairs: ranges in groups, so that the followers of a word are never parted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def ended(part: int) -> pa.RecordBatch:
+            keys, n = (np.concatenate(c) for c in zip(*held))
+            held.clear()
+            parent, word = np.divmod(keys, model.distinct + 1)
+            return pa.RecordBatch.from_pylist([_level_file(model, 2, part, parent, word, n, model.occurrences)], _SCHEMA)
+
+        yield from _by_part(batches, lambda keys, n: held.append((_from_planes(keys)[0], _from_sums(n))), ended)
+
+    spark = made.sparkSession
+    of = spark.createDataFrame(groups, "part int, file int")  # one row a range
+    rows = made.where("level = 2 AND n > 0").join(F.broadcast(of), "part").select("file", "part", "keys", "counts")
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file").sortWithinPartitions("file", "part").select("file", "keys", "counts")
+    return sorted((r[0], r[1], r[2], r[3], r[4], tuple(r[5])) for r in rows.mapInArrow(run, FILES).collect())
+
+
+def write_levels(docs: DataFrame, model: Model, least: int, keep) -> None:
+    """Counts the windows of ``docs`` once, and writes all levels from two words on."""
+    made = keep(_ngrams(windows(docs, model), model, least))
+    told = sorted(made.select(*_SCHEMA.names).collect(), key=lambda r: (r.level, r.part))  # one row a file
+    groups, size, last = [], PAIR_KEYS, -1
+    for r in told:
+        if r.level == 2 and r.n:
+            if size + r.n > PAIR_KEYS and r.first != last:
+                groups.append((r.part, r.part))
+                size = 0
+            else:
+                groups.append((r.part, groups[-1][1]))
+            size, last = size + r.n, r.last
+    model.files[2] = tuple(_pairs(made, model, groups)) if groups else ()
+    for level in range(3, model.order + 1):
+        # Contexts are numbered within their range: the n-grams of the ranges before it come first.
+        base, n = {}, 0
+        for r in told:
+            if r.level == level - 1:
+                base[r.part] = n
+                n += r.n
+        files = [r for r in told if r.level == level]
+        model.files[level] = tuple((level, r.part, r.n, r.first + (b := base[r.part]), r.last + b, (r.shapes[0], r.shapes[1] + b, *r.shapes[2:])) for r in files)
 
 
 def train(docs: DataFrame, order: int = ORDER, least: int = LEAST) -> Model:
@@ -490,9 +742,9 @@ def train(docs: DataFrame, order: int = ORDER, least: int = LEAST) -> Model:
         tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
         model = Model(folder, tokens, distinct, docs.count(), order)
         write_words(counts, model)
-    for k in range(2, order + 1):
+    if order > 1:
         with workroom(docs.sparkSession) as keep:
-            write_level(keep(ngram_counts(docs, model, k, least)), model, k)
+            write_levels(docs, model, least, keep)
     return model
 
 
