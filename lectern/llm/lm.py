@@ -115,6 +115,17 @@ class EliasFano:
             place += np.where(up, half, 0)
         return np.where(h > 0, (k << 6) + place + 1 - h, 0)
 
+    def _run(self, i: np.ndarray, h: np.ndarray, most: int) -> np.ndarray:
+        """The end of the values from i on that have the high part h: they are ones up to the next zero, which most often is in the same word."""
+        place = i + h
+        k, off = place >> 6, place & 63
+        gap = ~(self.high[np.minimum(k, len(self.high) - 1)] >> off.astype(_U))
+        ones = np.bitwise_count((gap & (~gap + _U(1))) - _U(1)).astype(np.int64)
+        end = i + ones
+        over = np.flatnonzero((ones >= 64 - off) | (k >= len(self.high)))
+        end[over] = np.maximum(i[over], self._bucket(np.minimum(h[over] + 1, most)))
+        return np.minimum(end, self.n)
+
     def values(self) -> np.ndarray:
         """The whole sequence."""
         places = np.flatnonzero(np.unpackbits(np.ascontiguousarray(self.high).view(np.uint8), bitorder="little"))
@@ -140,7 +151,7 @@ class EliasFano:
         h, most = v >> self.width, len(self.high) * 64 - self.n - 1
         want = v.astype(_U) & _U((1 << self.width) - 1)
         i = np.where(h > most, self.n, self._bucket(np.minimum(h, most)))
-        end = np.maximum(i, self._bucket(np.minimum(h + 1, most)))
+        end = self._run(i, np.minimum(h, most), most)
         # Values of one high part are in order of their low bits.
         low, high = i, end.copy()
         open_ = np.flatnonzero(low < high)
@@ -411,14 +422,14 @@ class Cuts:
         self.at, self.sizes = np.array(starts, np.int64), np.array(sizes, np.int64)
         self.before = np.cumsum(self.sizes) - self.sizes
         self.single = np.diff(self.at, append=distinct + 1) == 1
-        self.tokens, self.n = max(tokens, 1), int((self.before[-1] + self.sizes[-1]) // RANGE_TOKENS) + 1
+        self.tokens, self.size = max(tokens, 1), RANGE_TOKENS
 
     def ranges(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """The range of each pair; they rise with the pairs."""
         i = np.searchsorted(self.at, first, "right") - 1
         j = np.searchsorted(self.at, second, "right") - 1
         part = np.where(self.single[i], self.sizes[i] * (self.before[j] / self.tokens), 0)
-        return ((self.before[i] + part) / RANGE_TOKENS).astype(np.int64)
+        return ((self.before[i] + part) / self.size).astype(np.int64)
 
 
 class Windows:

@@ -490,6 +490,33 @@ def test_lm_scores_of_longer_ngrams(docs, order, least):
         assert abs(r.score - score) <= 1.2e-4 * order * len(t)
 
 
+def test_windows_of_texts_are_dealt_by_ranges_in_order(docs, monkeypatch):
+    """One row a range and chunk of texts, not one a key; ranges rise with pairs, and a frequent word's pairs are in several."""
+    r = np.random.default_rng(1)
+    cuts = lm.Cuts([(0, 10), (1, 5 * lm.RANGE_TOKENS), (2, lm.RANGE_TOKENS // 2), (9, lm.RANGE_TOKENS)], 30, 7, 7 * lm.RANGE_TOKENS)
+    first, second = np.divmod(np.unique(r.integers(0, 31 * 32, 900)), 32)
+    got = cuts.ranges(first, second)
+    assert (np.diff(got) >= 0).all() and len(set(got[first == 1])) > 2 and got.max() <= 7 and len(set(got[first == 5])) == 1
+    for distinct in (7, 3_000_000):  # all symbols of a window in one number, and in two
+        kind = lm.Windows(3, distinct)
+        texts = [r.integers(0, 5, n) for n in (1, 2, 6, 40, 40)]
+        want = collections.Counter(tuple([distinct, *t, distinct + 1][j : j + 3]) for t in map(list, texts) for j in range(len(t)))
+        assert kind.columns == (1 if distinct == 7 else 2)
+        rows, n = kind.counted(kind.packed(kind.of(texts)))
+        again = lm._from_planes(b"".join(map(lm._planes, rows))), lm._from_sums(lm._sums(n))
+        rows, n = kind.counted([np.concatenate([x, x]) for x in again[0]], np.concatenate([again[1]] * 2))
+        grams = list(zip(*(s.tolist() for s in kind.symbols(rows))))
+        assert grams == sorted(grams) and dict(zip(grams, (n // 2).tolist())) == want
+    # With small ranges and files, many of each, scores are the same.
+    before = {x.doc_id: x.score for x in lm.scores(docs).collect()}
+    monkeypatch.setattr(lm, "RANGE_TOKENS", 512)
+    monkeypatch.setattr(lm, "SLICE_TOKENS", 64)
+    monkeypatch.setattr(lm, "PAIR_KEYS", 100)
+    model = lm.train(docs.where(~lm.held_out()))
+    assert len(model.files[2]) > 3 and len(model.files[3]) > 3
+    assert {x.doc_id: x.score for x in lm.scored(docs, model).collect()} == pytest.approx(before)
+
+
 def test_op10_has_contexts_of_two_words(spark, tmp_path):
     from lectern.llm import queries
 
