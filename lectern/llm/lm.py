@@ -3,8 +3,8 @@
 The first level holds the words by their hash, with exact counts. A file of a longer level holds the contexts (parents)
 of a range, each context's pointer to its first follower, and the followers' word ids, which are relative to their
 context; all three are monotone and Elias-Fano coded. A query finds its context, and searches the successor of its
-word among that context's followers only. Payloads are 16-bit log probabilities of followers, 16-bit shares that
-contexts leave to shorter n-grams, and the counts that the next level needs. Files lie in the shared folder; a worker
+word among that context's followers only. Payloads are 16-bit log probabilities of followers and 16-bit shares that
+contexts leave to shorter n-grams. All levels are counted from one shuffle of windows of word ids. Files lie in the shared folder; a worker
 opens one at a time, mapped into memory where the folder is a local path, and keeps none of them.
 
 Probabilities: words by adding one; longer n-grams by absolute discounting, with all mass that the stored n-grams
