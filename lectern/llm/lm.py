@@ -1,11 +1,12 @@
 """An n-gram language model in Elias-Fano trie levels, and the log10 probability of whole texts under it.
 
-The first level holds the words by their hash, with exact counts. A file of a longer level holds the contexts (parents)
-of a range, each context's pointer to its first follower, and the followers' word ids, which are relative to their
-context; all three are monotone and Elias-Fano coded. A query finds its context, and searches the successor of its
-word among that context's followers only. Payloads are 16-bit log probabilities of followers and 16-bit shares that
-contexts leave to shorter n-grams. All levels are counted from one shuffle of windows of word ids. Files lie in the shared folder; a worker
-opens one at a time, mapped into memory where the folder is a local path, and keeps none of them.
+The first level holds the words by their hash, with exact counts. A file of a longer level holds all contexts of a
+range of numbers: each context's pointer to its first follower, and the followers' word ids, which are relative to
+their context; both are monotone and Elias-Fano coded. A query takes its context by its number, and searches the
+successor of its word among that context's followers only. Payloads are 16-bit log probabilities of followers and
+16-bit shares that contexts leave to shorter n-grams. All levels are counted from one shuffle of windows of word ids.
+Files lie in the shared folder; a worker opens one at a time, mapped into memory where the folder is a local path, and
+keeps none of them.
 
 Probabilities: words by adding one; longer n-grams by absolute discounting, with all mass that the stored n-grams
 leave (also that of n-grams seen less than ``least`` times, which are not stored) given to the shorter one. A context
@@ -14,19 +15,22 @@ of two words and more occurs as often as it is counted itself.
 
 from __future__ import annotations
 
-from collections import Counter
+import math
+import mmap
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import chain
+from functools import cached_property, lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import binaries, scratch, words, workroom
+from lectern.llm.bpe import slices
+from lectern.llm.common import scratch, workroom
 
 #: Unless asked for otherwise, words of an n-gram at most and times it must occur from two words on; what is taken off its count.
 ORDER, LEAST, DISCOUNT = 3, 1, 0.75
@@ -35,7 +39,10 @@ ORDER, LEAST, DISCOUNT = 3, 1, 0.75
 FOLDS, HELD_OUT = 7, 2
 
 #: Tokens that a worker counts together, and scores together.
-COUNT_TOKENS, SCORE_TOKENS = 1_000_000, 600_000
+COUNT_TOKENS, SCORE_TOKENS = 1_000_000, 800_000
+
+#: Bytes of texts that are split into words at a time.
+SPLIT_BYTES = 1 << 20
 
 #: Tokens of a range of pairs, whose windows a task holds at a time, and of a slice of words that ranges are made of.
 RANGE_TOKENS, SLICE_TOKENS = 1 << 20, 1 << 16
@@ -60,8 +67,25 @@ def quantised(p: np.ndarray) -> np.ndarray:
     return np.round(np.clip(np.log10(p) / LOWEST, 0, 1) * STEPS).astype("<u2")
 
 
+_RESTORED = 10.0 ** (np.arange(STEPS + 1) * (LOWEST / STEPS))
+
+
 def restored(q: np.ndarray) -> np.ndarray:
-    return 10.0 ** (q.astype(np.float64) * (LOWEST / STEPS))
+    return _RESTORED[q]
+
+
+#: Where the k-th one of each byte is, at 256 k + byte.
+_IN_BYTE = np.array([([b for b in range(8) if byte >> b & 1] + [0] * 8)[k] for k in range(8) for byte in range(256)], _U)
+_EACH, _TOPS = _U(0x0101010101010101), _U(0x8080808080808080)
+
+
+def nth_one(word: np.ndarray, nth: np.ndarray) -> np.ndarray:
+    """The place of the nth one (from 0) of each word, which has that many: first its byte, by the ones up to each byte, then the place in it."""
+    n = nth.astype(_U)
+    ones = np.bitwise_count(np.ascontiguousarray(word).view(np.uint8)).view(_U) * _EACH
+    byte = np.bitwise_count((n * _EACH | _TOPS) - ones & _TOPS).astype(_U) << _U(3)
+    n -= ones << _U(8) >> byte & _U(255)
+    return (byte + _IN_BYTE[n << _U(8) | word >> byte & _U(255)]).astype(np.int64)
 
 
 class EliasFano:
@@ -69,7 +93,10 @@ class EliasFano:
 
     def __init__(self, n: int, first: int, width: int, low: np.ndarray, high: np.ndarray, ranks: np.ndarray) -> None:
         self.n, self.first, self.width, self.low, self.high, self.ranks = n, first, width, low, high, ranks
-        self.zeros = (np.arange(len(ranks), dtype=np.int64) << 6) - ranks.astype(np.int64)
+
+    @cached_property
+    def zeros(self) -> np.ndarray:
+        return (np.arange(len(self.ranks), dtype=np.int64) << 6) - self.ranks
 
     @staticmethod
     def encode(values: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
@@ -97,22 +124,14 @@ class EliasFano:
         at = i.astype(_U) * _U(self.width)
         word, off = (at >> _U(6)).astype(np.int64), at & _U(63)
         v = self.low[word] >> off
-        v |= np.where(off > 0, self.low[word + 1] << ((_U(64) - off) & _U(63)), _U(0))
+        v |= self.low[word + 1] << _U(1) << (_U(63) - off)
         return v & _U((1 << self.width) - 1)
 
     def _bucket(self, h: np.ndarray) -> np.ndarray:
         """How many values have a high part below h: the h-th zero's place, less h."""
         k = np.searchsorted(self.zeros, h, "left") - 1
         k = np.clip(k, 0, len(self.high) - 1)
-        left = np.where(h > 0, h - self.zeros[k], 0)
-        word = ~self.high[k]
-        place = np.zeros(len(h), np.int64)
-        for half in (32, 16, 8, 4, 2, 1):
-            c = np.bitwise_count(word & _U((1 << half) - 1)).astype(np.int64)
-            up = left > c
-            left = np.where(up, left - c, left)
-            word = np.where(up, word >> _U(half), word)
-            place += np.where(up, half, 0)
+        place = nth_one(~self.high[k], np.maximum(h - self.zeros[k], 1) - 1)
         return np.where(h > 0, (k << 6) + place + 1 - h, 0)
 
     def _run(self, i: np.ndarray, h: np.ndarray, most: int) -> np.ndarray:
@@ -135,14 +154,7 @@ class EliasFano:
     def at(self, i: np.ndarray) -> np.ndarray:
         """The values at some places: the place of the i-th one among the high bits, and the low bits."""
         k = np.clip(np.searchsorted(self.ranks, i, "right") - 1, 0, len(self.high) - 1)
-        left = i - self.ranks[k].astype(np.int64)
-        word, place = self.high[k], np.zeros(len(i), np.int64)
-        for half in (32, 16, 8, 4, 2, 1):
-            c = np.bitwise_count(word & _U((1 << half) - 1)).astype(np.int64)
-            up = left >= c
-            left = np.where(up, left - c, left)
-            word = np.where(up, word >> _U(half), word)
-            place += np.where(up, half, 0)
+        place = nth_one(self.high[k], i - self.ranks[k])
         return self.first + (((k << 6) + place - i) << self.width | self._low(i).astype(np.int64))
 
     def search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -196,7 +208,8 @@ def _write(folder: str, name: str, arrays: list[np.ndarray]) -> None:
 def _open(folder: str, name: str) -> np.ndarray:
     system, path = _filesystem(folder)
     if isinstance(system, fs.LocalFileSystem):
-        return np.memmap(f"{path}/{name}", np.uint8, "r")
+        with open(f"{path}/{name}", "rb") as f:
+            return np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ), np.uint8)
     with system.open_input_stream(f"{path}/{name}") as f:
         return np.frombuffer(f.read(), np.uint8)
 
@@ -240,7 +253,7 @@ class Level:
         self.lasts = np.array([f[4] for f in self.files], np.int64)
         self.base = np.concatenate([[0], np.cumsum([f[2] for f in self.files])]).astype(np.int64)
         self.n = int(self.base[-1])
-        self.sequences, self.kinds = (1, ("<u4",)) if level == 1 else (3, ("<u2", "<u2"))
+        self.sequences, self.kinds = (1, ("<u4",)) if level == 1 else (2, ("<u2", "<u2"))
 
     def _opened(self, k: int) -> tuple[list[EliasFano], list[np.ndarray]]:
         f = self.files[k]
@@ -287,18 +300,19 @@ class Level:
         found, share, left = np.full(len(p), -1, np.int64), np.zeros(len(p)), np.ones(len(p))
         cuts = np.searchsorted(np.searchsorted(self.lasts, own, "left"), np.arange(len(self.files) + 1))
         for k in np.flatnonzero(np.diff(cuts)):
-            (parents, pointers, followers), (shares, rests) = self._opened(k)
-            at = parents.find(own[cuts[k] : cuts[k + 1]])
-            rows = np.arange(starts[cuts[k]], starts[cuts[k + 1]])
-            i = at[group[rows] - cuts[k]]
-            rows, i = rows[i >= 0], i[i >= 0]
-            left[rows] = restored(rests[i])
+            (pointers, followers), (shares, rests) = self._opened(k)
+            i = own[cuts[k] : cuts[k + 1]] - self.files[k][3]
+            # Before the file's first context are those without followers, between two files.
+            before = int(np.searchsorted(i, 0))
+            rows, i = np.arange(starts[cuts[k] + before], starts[cuts[k + 1]]), i[before:]
+            stops, of = pointers.at(i + 1) - i - 1, group[rows] - cuts[k] - before
+            left[rows] = restored(rests[i])[of]
             known = w[rows] >= 0
-            rows, i = rows[known], i[known]
+            rows, of = rows[known], of[known]
+            j, hit = followers.search(i[of] * span + w[rows])
+            rows, of, j = rows[hit], of[hit], j[hit]
             # The context's followers stand from its pointer up to the next one's.
-            j, hit = followers.search(i * span + w[rows])
-            rows, i, j = rows[hit], i[hit], j[hit]
-            inside = j < pointers.at(i + 1)
+            inside = j < stops[of]
             rows, j = rows[inside], j[inside]
             found[rows], share[rows] = j + self.base[k], restored(shares[j])
         out = np.full(len(parent), -1, np.int64), np.zeros(len(parent)), np.ones(len(parent))
@@ -318,14 +332,11 @@ class _Words(dict):
     def __init__(self, level: Level) -> None:
         self.level = level
 
-    def learn(self, new: list[bytes]) -> None:
+    def ids(self, own: list[bytes]) -> np.ndarray:
+        new = [w for w in own if w not in self]
         at = self.level.words(np.fromiter(map(word_hash, new), np.int64, len(new)))
         self.update(zip(new, at.tolist()))
-
-    def ids(self, docs: list[list[bytes]]) -> list[np.ndarray]:
-        new = list(set(chain.from_iterable(docs)).difference(self))
-        self.learn(new)
-        out = [np.fromiter(map(self.__getitem__, d), np.int64, len(d)) for d in docs]
+        out = np.fromiter(map(self.__getitem__, own), np.int64, len(own))
         if len(self) > 2 * WORD_CACHE:
             for w in new:
                 del self[w]
@@ -363,37 +374,53 @@ class Model:
         out[starts] = -1
         return out
 
-    def contexts(self, ids: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each token, with the end: its word id, and its context of k - 1 words in level k - 1 (-1: not stored).
 
-        The start of a text is the context V, in all levels: a text's first tokens have a shorter context.
-        """
-        w = np.concatenate(ids)
-        sizes = np.array([len(i) for i in ids])
-        starts = np.cumsum(sizes) - sizes
-        before = np.concatenate([[self.distinct], w[:-1]])
-        before[starts] = self.distinct
-        context = before
-        for j in range(2, k):
-            context = self.level(j).after(self.after(context, starts), before, self.distinct + 1)[0]
-        return w, context
-
-
-def _texts(rows: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple]]:
-    """Rows with their words and the end, about ``most`` tokens together."""
-    held, n = [], 0
+class Texts(NamedTuple):
+    """Texts as numbers of their distinct words: all tokens in one array, each text's end among them, and how many each text has."""
+
+    doc_ids: list
+    words: list[bytes]
+    codes: np.ndarray
+    sizes: np.ndarray
+
+
+def _texts(rows: Iterator[pa.RecordBatch], most: int) -> Iterator[Texts]:
+    """Rows ``doc_id, text``, about ``most`` tokens together. Arrow's white space is 0x20 and 0x09-0x0D, as a word's bounds are."""
+    doc_ids: list = []
+    split: list[pa.Array] = []
+    sizes: list[np.ndarray] = []
+
+    def held() -> Texts:
+        coded = pa.chunked_array(split).dictionary_encode().combine_chunks()
+        coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
+        codes, n = coded.indices.to_numpy(), np.concatenate(sizes)
+        own = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        if b"" in own:
+            # White space at the start or end of a text leaves an empty piece there.
+            full = codes != own.index(b"")
+            stops = np.cumsum(n)
+            before = np.append(0, np.cumsum(full))
+            codes, n = codes[full], before[stops] - before[stops - n]
+        out = Texts(doc_ids.copy(), [*own, END], np.insert(codes, np.cumsum(n), len(own)), n + 1)
+        for c in (doc_ids, split, sizes):
+            c.clear()
+        return out
+
+    size = 0
     for batch in rows:
-        others = [c.to_pylist() for k, c in enumerate(batch.columns) if k != 1]
-        for row in zip(binaries(batch.column(1)), *others):
-            w = words(row[0])
-            w.append(END)
-            held.append((w, *row[1:]))
-            n += len(w)
-            if n >= most:
-                yield held
-                held, n = [], 0
-    if held:
-        yield held
+        at = 0
+        for some in slices(batch.column(1), SPLIT_BYTES):
+            lists = pc.ascii_split_whitespace(pc.ascii_lower(some))
+            doc_ids += batch.column(0).slice(at, len(some)).to_pylist()
+            split.append(lists.flatten())
+            sizes.append(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at += len(some)
+            size += len(split[-1]) + len(some)
+            if size >= most:
+                yield held()
+                size = 0
+    if doc_ids:
+        yield held()
 
 
 def _emitted(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
@@ -404,11 +431,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """``key, n``: each word's hash and count, the end's among them."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some in _texts(rows, COUNT_TOKENS // 2):
-            c: Counter = Counter()
-            for w, _ in some:
-                c.update(w)
-            yield _emitted(np.fromiter(map(word_hash, c), np.int64, len(c)), np.fromiter(c.values(), np.int64, len(c)))
+        for some in _texts(rows, COUNT_TOKENS):
+            n = np.bincount(some.codes, minlength=len(some.words))
+            # The empty piece is no word.
+            yield _emitted(np.fromiter(map(word_hash, some.words), np.int64, len(n))[n > 0], n[n > 0])
 
     return docs.select("doc_id", "text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
@@ -479,12 +505,24 @@ class Windows:
         if n is None and len(rows) == 1:
             rows = [np.sort(rows[0])]
         else:
-            order = np.lexsort(rows[::-1]) if len(rows) > 1 else np.argsort(rows[0], kind="stable")
+            key = joined(rows)
+            order = np.lexsort(rows[::-1]) if key is None else np.argsort(key)
             rows, n = [r[order] for r in rows], None if n is None else n[order]
         starts = np.flatnonzero(changed(rows))
         return [r[starts] for r in rows], np.diff(np.append(starts, len(rows[0]))) if n is None else np.add.reduceat(n, starts)
 
 
+def joined(rows: list[np.ndarray]) -> np.ndarray | None:
+    """One number for each row, in the rows' order; None where the columns' spans don't fit together."""
+    spans = [(int(r.min()), int(r.max())) for r in rows]
+    if math.prod(b - a + 1 for a, b in spans) >= 1 << 63:
+        return None
+    key = rows[0] - spans[0][0]
+    for r, (a, b) in zip(rows[1:], spans[1:]):
+        key = key * (b - a + 1) + (r - a)
+    return key
+
+
 def changed(rows: list[np.ndarray]) -> np.ndarray:
     """Where a row differs from the one before it; the first one does."""
     out = np.ones(len(rows[0]), bool)
@@ -495,11 +533,15 @@ def changed(rows: list[np.ndarray]) -> np.ndarray:
 
 
 def _planes(v: np.ndarray) -> bytes:
-    """Whole numbers by their steps, in as few bytes as the longest step needs: the first bytes of all of them, then the second ones."""
+    """Whole numbers in as few bytes as the longest needs: the first bytes of all of them, then the second ones. Rising numbers are told by their steps, others by what they are above the least (a width below 0)."""
     steps = np.diff(v)
-    width = (int(steps.max(initial=0)).bit_length() + 7) // 8 if steps.min(initial=0) >= 0 else 8
+    first, sign = int(v[0]), 1
+    if steps.min(initial=0) < 0:
+        first, sign = int(v.min()), -1
+        steps = v - first
+    width = (int(steps.max(initial=0)).bit_length() + 7) // 8
     planes = np.ascontiguousarray(steps.astype("<i8").view(np.uint8).reshape(-1, 8).T[:width])
-    return np.array([len(v), v[0], width], "<i8").tobytes() + planes.tobytes()
+    return np.array([len(v), first, sign * width], "<i8").tobytes() + planes.tobytes()
 
 
 def _from_planes(data: memoryview) -> list[np.ndarray]:
@@ -507,10 +549,12 @@ def _from_planes(data: memoryview) -> list[np.ndarray]:
     out, at = [], 0
     while at < len(data):
         n, first, width = np.frombuffer(data[at : at + 24], "<i8").tolist()
-        steps = np.zeros((n - 1, 8), np.uint8)
-        steps[:, :width] = np.frombuffer(data[at + 24 : at + 24 + width * (n - 1)], np.uint8).reshape(width, n - 1).T
-        out.append(np.cumsum(np.append(first, steps.view("<i8").ravel())))
-        at += 24 + width * (n - 1)
+        own, width = n if width < 0 else n - 1, abs(width)
+        steps = np.zeros((own, 8), np.uint8)
+        steps[:, :width] = np.frombuffer(data[at + 24 : at + 24 + width * own], np.uint8).reshape(width, own).T
+        v = steps.view("<i8").ravel()
+        out.append(v + first if own == n else np.cumsum(np.append(first, v)))
+        at += 24 + width * own
     return out
 
 
@@ -523,32 +567,38 @@ def _from_sums(data: memoryview) -> np.ndarray:
     return np.diff(_from_planes(data)[0], prepend=0)
 
 
+def _pressed(data: bytes) -> bytes:
+    return np.array([len(data)], "<i8").tobytes() + pa.compress(data, "zstd", asbytes=True)
+
+
+def _unpressed(data: memoryview) -> memoryview:
+    return memoryview(pa.decompress(data[8:], int(np.frombuffer(data[:8], "<i8")[0]), "zstd"))
+
+
 def windows(docs: DataFrame, model: Model) -> DataFrame:
     """``part, rows, n``: the distinct windows of about a million tokens of ``docs`` and their counts, by ranges of their first two symbols."""
     kind, cuts = Windows(model.order, model.distinct), model.cuts
 
-    def told(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        rows, n = kind.counted([np.concatenate(c) for c in zip(*held)])
-        held.clear()
-        first, second = kind.symbols(rows)[:2]
-        part = cuts.ranges(first, second)
-        starts = np.flatnonzero(changed([part]))
-        stops = np.append(starts[1:], len(part))
-        some = [[int(part[a]), b"".join(_planes(r[a:b]) for r in rows), _sums(n[a:b])] for a, b in zip(starts, stops)]
-        for i in range(0, len(some), 256):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some[i : i + 256]), (pa.int32(), pa.binary(), pa.binary()))], ["part", "rows", "n"])
+    def told(ids: np.ndarray, some: Texts) -> tuple[list[np.ndarray], np.ndarray]:
+        """The distinct windows in their order, as symbols, and their counts. They are sorted in the few words of these texts, which mostly makes a number of each."""
+        own = np.unique(ids)
+        small = Windows(model.order, len(own))
+        codes = np.searchsorted(own, ids)[some.codes]
+        rows, n = small.counted(small.packed(small.of(np.split(codes, np.cumsum(some.sizes)[:-1]))))
+        all_ = np.concatenate([own, [model.distinct, model.distinct + 1]])
+        return [all_[s] for s in small.symbols(rows)], n
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        size = 0
-        for some in _texts(rows, SCORE_TOKENS):
-            held.append(kind.packed(kind.of(model.words().ids([t for t, _ in some]))))
-            size += len(held[-1][0])
-            if size >= COUNT_TOKENS:
-                yield from told(held)
-                size = 0
-        if held:
-            yield from told(held)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in _texts(batches, COUNT_TOKENS):
+            symbols, n = told(model.words().ids(some.words), some)
+            part = cuts.ranges(*symbols[:2])
+            rows = kind.packed(symbols)
+            del symbols
+            starts = np.flatnonzero(changed([part]))
+            stops = np.append(starts[1:], len(part))
+            out = [[int(part[a]), _pressed(b"".join(_planes(r[a:b]) for r in rows)), _pressed(_sums(n[a:b]))] for a, b in zip(starts, stops)]
+            for i in range(0, len(out), 256):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 256]), (pa.int32(), pa.binary(), pa.binary()))], ["part", "rows", "n"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "part int, rows binary, n binary")
 
@@ -619,17 +669,18 @@ def write_words(counts: DataFrame, model: Model) -> None:
     model.cuts = Cuts(slices, model.distinct, model.documents, model.tokens)
 
 
-def _level_file(model: Model, level: int, part: int, parent: np.ndarray, word: np.ndarray, n: np.ndarray, total) -> dict:
-    """Writes n-grams in their order as a file: contexts, pointers, followers, their shares and the contexts' rests; ``total`` tells how often contexts occur."""
-    starts = np.flatnonzero(changed([parent]))
-    own = parent[starts]
-    sizes = np.diff(np.append(starts, len(parent)))
-    times = total(own)
-    rest = quantised(np.maximum(times - np.add.reduceat(n - DISCOUNT, starts), 1e-9) / times)
-    share = quantised((n - DISCOUNT) / np.repeat(times, sizes))
-    followers = np.repeat(np.arange(len(own)), sizes) * (model.distinct + 1) + word
-    shapes = _packed(model.folder, f"{level}-{part}", [own, np.append(starts, len(parent)), followers], [share, rest])
-    return {"level": level, "part": part, "n": len(parent), "first": int(own[0]), "last": int(own[-1]), "shapes": shapes}
+def _level_file(model: Model, level: int, part: int, first: int, contexts: int, parent: np.ndarray, word: np.ndarray, n: np.ndarray, total) -> dict:
+    """Writes n-grams in their order as a file: pointers of all contexts from ``first`` on, followers, their shares and the contexts' rests; ``total`` tells how often contexts occur."""
+    at = parent - first
+    sizes = np.bincount(at, minlength=contexts)
+    times = np.maximum(total(np.arange(first, first + contexts)), 1)
+    # A context without followers leaves all.
+    rest = quantised(np.maximum(times - np.bincount(at, n - DISCOUNT, contexts), 1e-9) / times)
+    share = quantised((n - DISCOUNT) / times[at])
+    # Steps of one make pointers rise strictly.
+    pointers = np.append(0, np.cumsum(sizes)) + np.arange(contexts + 1)
+    shapes = _packed(model.folder, f"{level}-{part}", [pointers, at * (model.distinct + 1) + word], [share, rest])
+    return {"level": level, "part": part, "n": len(parent), "first": first, "last": first + contexts - 1, "shapes": shapes}
 
 
 def _ngrams(found: DataFrame, model: Model, least: int) -> DataFrame:
@@ -654,7 +705,7 @@ def _ngrams(found: DataFrame, model: Model, least: int) -> DataFrame:
 
         def add(rows, n) -> None:
             nonlocal size
-            held.append((_from_planes(rows), _from_sums(n)))
+            held.append((_from_planes(_unpressed(rows)), _from_sums(_unpressed(n))))
             size += len(held[-1][1])
             if size >= FILE_KEYS:
                 merged()
@@ -680,9 +731,9 @@ def _ngrams(found: DataFrame, model: Model, least: int) -> DataFrame:
                 if level == 2:
                     keys = s[0][kept] * (model.distinct + 1) + s[1][kept]
                     ends = [int(s[0][kept[i]]) for i in (0, -1)] if len(kept) else [-1, -1]
-                    out.append({"level": 2, "part": part, "n": len(kept), "first": ends[0], "last": ends[1], "shapes": [], "keys": _planes(keys) if len(kept) else b"", "counts": _sums(c) if len(kept) else b""})
+                    out.append({"level": 2, "part": part, "n": len(kept), "first": ends[0], "last": ends[1], "shapes": [], "keys": _pressed(_planes(keys)) if len(kept) else b"", "counts": _pressed(_sums(c)) if len(kept) else b""})
                 elif len(kept):
-                    out.append(_level_file(model, level, part, index[kept], s[level - 1][kept], c, times.__getitem__))
+                    out.append(_level_file(model, level, part, 0, len(times), index[kept], s[level - 1][kept], c, times.__getitem__))
                 # The number of the n-gram that a window starts with; of those that are not stored none has a follower that is.
                 mark = np.zeros(len(n), np.int64)
                 mark[kept] = 1
@@ -705,9 +756,9 @@ def _pairs(made: DataFrame, model: Model, groups: list[tuple[int, int]]) -> list
             keys, n = (np.concatenate(c) for c in zip(*held))
             held.clear()
             parent, word = np.divmod(keys, model.distinct + 1)
-            return pa.RecordBatch.from_pylist([_level_file(model, 2, part, parent, word, n, model.occurrences)], _SCHEMA)
+            return pa.RecordBatch.from_pylist([_level_file(model, 2, part, int(parent[0]), int(parent[-1] - parent[0]) + 1, parent, word, n, model.occurrences)], _SCHEMA)
 
-        yield from _by_part(batches, lambda keys, n: held.append((_from_planes(keys)[0], _from_sums(n))), ended)
+        yield from _by_part(batches, lambda keys, n: held.append((_from_planes(_unpressed(keys))[0], _from_sums(_unpressed(n)))), ended)
 
     spark = made.sparkSession
     of = spark.createDataFrame(groups, "part int, file int")  # one row a range
@@ -738,7 +789,7 @@ def write_levels(docs: DataFrame, model: Model, least: int, keep) -> None:
                 base[r.part] = n
                 n += r.n
         files = [r for r in told if r.level == level]
-        model.files[level] = tuple((level, r.part, r.n, r.first + (b := base[r.part]), r.last + b, (r.shapes[0], r.shapes[1] + b, *r.shapes[2:])) for r in files)
+        model.files[level] = tuple((level, r.part, r.n, r.first + (b := base[r.part]), r.last + b, tuple(r.shapes)) for r in files)
 
 
 def train(docs: DataFrame, order: int = ORDER, least: int = LEAST) -> Model:
@@ -770,19 +821,22 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in _texts(rows, SCORE_TOKENS):
-            w, context = model.contexts(model.words().ids([t for t, _ in some]), 2)
-            c = model.level(1).counts(w)
-            p = (c + 1) / bottom
-            base = np.log10(p)
-            sizes = np.array([len(t) for t, _ in some])
-            starts = np.cumsum(sizes) - sizes
+            own = model.words().ids(some.words)
+            n = model.level(1).counts(own)
+            w = own[some.codes]
+            starts = np.cumsum(some.sizes) - some.sizes
+            # The start of a text is the context V, in all levels: a text's first tokens have a shorter context.
+            context = np.concatenate([[model.distinct], w[:-1]])
+            context[starts] = model.distinct
+            p = (n + 1) / bottom
+            base, p, c = np.log10(p)[some.codes], p[some.codes], n[some.codes]
             for k in range(2, model.order + 1):
                 at, share, left = model.level(k).after(context, w, model.distinct + 1)
                 p = p * left + share
                 context = model.after(at, starts)
             sums = [np.add.reduceat(x, starts) for x in (base, np.log10(p), (c > 0).astype(np.int64))]
-            k = len(some)
-            yield pa.RecordBatch.from_arrays([pa.array([d for _, d in some], pa.int64()), pa.array(sizes), pa.array(sums[2]), pa.array(np.full(k, model.tokens)), pa.array(sums[0]), pa.array(sums[1])], names)
+            k = len(starts)
+            yield pa.RecordBatch.from_arrays([pa.array(some.doc_ids, pa.int64()), pa.array(some.sizes), pa.array(sums[2]), pa.array(np.full(k, model.tokens)), pa.array(sums[0]), pa.array(sums[1])], names)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 

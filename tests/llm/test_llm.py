@@ -517,6 +517,53 @@ def test_windows_of_texts_are_dealt_by_ranges_in_order(docs, monkeypatch):
     assert {x.doc_id: x.score for x in lm.scored(docs, model).collect()} == pytest.approx(before)
 
 
+def test_windows_of_many_words_take_few_bytes():
+    """Where three words don't fit in one number, the third ones, which don't rise, take no more bytes than a word needs."""
+    r = np.random.default_rng(2)
+    sizes = {}
+    for distinct in (1_000_000, 4_000_000):  # one number a window, and two
+        kind = lm.Windows(3, distinct)
+        rows, _ = kind.counted(kind.packed(kind.of([r.integers(0, distinct, 20_000)])))
+        assert len(rows) == (1 if distinct == 1_000_000 else 2)
+        told = list(map(lm._planes, rows))
+        assert all((x == y).all() for x, y in zip(lm._from_planes(b"".join(told)), rows))
+        sizes[distinct] = sum(map(len, told)) / len(rows[0])
+    assert sizes[4_000_000] <= 1.5 * sizes[1_000_000]
+    for v in ([7], [7, 3], [-5, 9, -5], [3, 3, 3], [0, 2**62, 1]):
+        assert lm._from_planes(lm._planes(np.array(v)))[0].tolist() == v
+    # Rows of several numbers come in their order where those fit together in one key, and where they don't.
+    for top in (50, 2**62):
+        rows = [r.integers(-top, top, 3000), r.integers(0, top, 3000)]
+        got, n = lm.Windows(4, 2**31).counted([np.append(x, x) for x in rows], np.ones(6000, np.int64))
+        want = collections.Counter(zip(*(np.append(x, x).tolist() for x in rows)))
+        assert list(zip(*(x.tolist() for x in got))) == sorted(want) and n.tolist() == [want[k] for k in sorted(want)]
+
+
+def test_a_level_finds_contexts_by_number(spark):
+    """Every context of a file has a pointer, those without followers too, so none is searched for; a file holds two sequences and two payloads."""
+    docs = fixture(spark, ["a b c", "b c a b", "c", "", None, "a b d"] * 3)
+    model = lm.train(docs, 4)
+    for level in (2, 3, 4):
+        for _, _, n, first, last, shapes in model.files[level]:
+            assert len(shapes) == 2 * 5 + 2 and shapes[0] == last - first + 2 and shapes[5] == shapes[10] == n and shapes[11] == last - first + 1
+        assert lm.Level(model.folder, level, model.files[level]).after(np.array([-1, 10**6]), np.array([0, 0]), model.distinct + 1)[0].tolist() == [-1, -1]
+
+
+def test_lm_words_of_odd_texts(spark, monkeypatch):
+    """Words are cut at 0x20 and 0x09-0x0D alone, and small parts of texts are put together."""
+    odd = [" ", "  a  b ", "\ta\x0bB\x0cb\rb\n", "a\x1cb\x1fc", "a\u00a0b \u0085 \u3000", "\u00c4 \u00e4 A a \u0130", "a" * 5000, "", None, "x\x00y \x00"] * 4
+    docs = fixture(spark, odd)
+    want = {i: len((t or "").encode().lower().split()) + 1 for i, t in enumerate(odd)}
+    got = lm.scored(docs, lm.train(docs)).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == want and all(r.n_known == r.n_tokens and r.train_tokens == sum(want.values()) for r in got)
+    monkeypatch.setattr(lm, "SPLIT_BYTES", 5)
+    batch, at = docs.select("doc_id", "text").toArrow().to_batches(), {}
+    for some in lm._texts(iter(batch), 10):
+        for i, codes in zip(some.doc_ids, np.split(some.codes, np.cumsum(some.sizes)[:-1])):
+            at[i] = [some.words[c] for c in codes]
+    assert at == {i: [*(t or "").encode().lower().split(), lm.END] for i, t in enumerate(odd)}
+
+
 def test_op10_has_contexts_of_two_words(spark, tmp_path):
     from lectern.llm import queries
 
