@@ -184,9 +184,16 @@ en0 AS (SELECT doc_id, key, arg_min(display, i) AS display, arg_min(kind, i) AS
 lo AS (SELECT doc_id, core, count(*) AS n FROM lc WHERE NOT furniture AND kind <> 'code' AND acronym IS NULL AND regexp_full_match(core, '[a-z]{2,}') GROUP BY 1, 2),
 en1 AS (SELECT e.* FROM en0 e LEFT JOIN lo ON lo.doc_id = e.doc_id AND lo.core = lower(e.display) WHERE e.kind = 'acronym' OR (e.n > 1 AND (strpos(e.display, ' ') > 0 OR e.n >= coalesce(lo.n, 0)))),
 en AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, display, key)::INTEGER AS rank, key, display, kind, n AS count, first, sections, greatest(count(*) OVER (PARTITION BY doc_id) - 600, 0)::BIGINT AS truncated FROM en1 QUALIFY rank <= 600)"""
-CORPUS = INDEX + """,
+LISTED = "string_agg(doc_id || ':' || count || ':' || first || ':' || len(sections), ',' ORDER BY count DESC, doc_id)"
+
+
+def _corpus(listed: str) -> str:
+    return INDEX + f""",
 cx AS (SELECT key, arg_max(display, (count, -doc_id)) AS display, arg_min(kind, doc_id) AS kind, count(*) AS docs, sum(count)::BIGINT AS total,
-  CASE WHEN count(*) <= 1000 THEN string_agg(doc_id || ':' || count || ':' || first || ':' || len(sections), ',' ORDER BY count DESC, doc_id) END AS listed FROM en GROUP BY 1)"""
+  {listed} AS listed FROM en GROUP BY 1)"""
+
+
+CORPUS = _corpus(f"CASE WHEN count(*) <= 1000 THEN {LISTED} END")
 ANSWER = r"regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[’'']s\b', '', 'g'), '[^a-z0-9%. ]+', ' ', 'g'), ' +', ' ', 'g')), 's$', '')"
 FORMS = f"""f0 AS (SELECT item_id, list_filter(list_transform(regexp_split_to_array(string_split(coalesce(text, ''), chr(10))[1], '\\s+'), lambda word: {CORE}), lambda x: x <> '') AS w FROM benchmark),
 f1 AS (SELECT item_id, w, w[-1] AS l FROM f0 WHERE len(w) > 0)"""
@@ -223,7 +230,7 @@ l AS (SELECT word, length(regexp_extract(word, '^([^A-Za-zÀ-ɏ]*)', 1)) AS h, l
 SELECT word, substring(word, 1, CASE WHEN n = 0 THEN length(word) ELSE h + CASE WHEN n <= 3 THEN 1 ELSE greatest(1, floor(n * 0.45::DOUBLE + 0.5)::INTEGER) END END) AS lead FROM l""",
     "entity_mentions": f"{W}{MENTIONS} SELECT doc_id, i::BIGINT AS i, section, kind, key, display FROM mn",
     "entity_doc": f"{W}{INDEX} SELECT doc_id, rank, key, display, kind, count, first::BIGINT AS first, array_to_string(sections, ',') AS sections, truncated FROM en",
-    "entity_corpus": f"{W}{CORPUS} SELECT * FROM cx",
+    "entity_corpus": f"{W}{_corpus(LISTED)} SELECT * FROM cx",
     "entity_filter": f"{W}{CORPUS} SELECT cx.* FROM cx LEFT JOIN ({ACRONYM_ROWS}) a ON cx.kind = 'acronym' AND a.key = cx.key WHERE docs >= 2 AND (contains(lower(display), 'e') OR coalesce(contains(lower(expansion), 'e'), false))",
     "section_anchors": f"""{W}{INDEX}, an AS (SELECT doc_id, section, acronym AS label, 'acronym' AS kind, -count(*) AS o FROM lc WHERE acronym IS NOT NULL GROUP BY 1, 2, 3
   UNION ALL SELECT doc_id, unnest(sections), display, 'term', rank FROM en WHERE kind = 'term'),

@@ -3,11 +3,13 @@
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import expr
 from lectern.operators import dictation, entities, outline, papers, records, structure, topics
+from lectern.plans import registry
 
 
 def sections(spark, *rows):
@@ -165,6 +167,35 @@ def test_document_and_corpus_index(spark):
     assert [x.key for x in entities.filtered(entities.corpus_index(index), acronyms, "", shared=True, kind="term").collect()] == ["k"]
 
 
+def test_corpus_lists_every_document_however_many(spark):
+    r = random.Random(5)
+    rows = [(d, "k", r.choice(["Kay", "KAY", "kAY"]), r.choice(["term", "acronym"]), r.choice([1, 2, 10, 300]), r.randrange(99), list(range(r.randrange(1, 13)))) for d in [*range(1001), *range(-2, 0), *range(4095, 9000, 7), 2**40]]
+    rows += [(7, "z", "Z", "acronym", 1, 0, [0])]
+    index = spark.createDataFrame(rows, "doc_id long, key string, display string, kind string, count long, first long, sections array<int>")
+    for key in "kz":
+        own = [x for x in rows if x[1] == key]
+        busy = sorted(own, key=lambda x: (-x[4], x[0]))
+        want = (busy[0][2], min(own)[3], len(own), sum(x[4] for x in own))
+        list_, text = (f(index).where(f"key = '{key}'").first() for f in (entities.corpus_index, entities.corpus_text))
+        assert (list_.display, list_.kind, list_.docs, list_.total) == (text.display, text.kind, text.docs, text.total) == want
+        assert [tuple(x) for x in list_.listed] == [(x[0], x[4], x[5], len(x[6])) for x in busy]
+        assert text.listed == ",".join(f"{x[0]}:{x[4]}:{x[5]}:{len(x[6])}" for x in busy)
+    assert [x.listed is None for x in entities.corpus_index(index, entities.LISTED).orderBy("key").collect()] == [True, False]
+
+
+def test_corpus_of_a_common_name_equals_its_sql(spark, tmp_path):
+    texts = ["so THE end is THE same" if i % 3 else "so THE end. we met Ada Byron and Ada Byron" for i in range(1100)]
+    spark.createDataFrame([(i, x, "en", "s", len(x)) for i, x in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    columns = "key, display, kind, docs, total, listed"
+    for name in ("entity_corpus", "entity_filter"):
+        got = sorted(map(tuple, registry.queries()[name](spark, str(tmp_path)).select(*columns.split(", ")).collect()))
+        assert got == sorted(c.execute(f"SELECT {columns} FROM ({registry.oracle_sql()[name]})").fetchall())
+        whole = {x[0]: x[5] and len(x[5].split(",")) for x in got}
+        assert whole["THE"] == (1100 if name == "entity_corpus" else None)
+
+
 def test_capped_sentences_are_cut_where_a_loop_cuts(spark):
     def parts(s):
         out, rest = [], s
